@@ -115,7 +115,7 @@ def ladder_checks(stdout, expected) -> dict[str, Column]:
     return {
         "exact": py_strip(F.array_join(out, "\n")) == sexp,
         "line_strip": py_strip(F.array_join(F.transform(out, py_strip), "\n")) == sexp,
-        "single": (F.size(out) == 1) & (F.try_element_at(out, 1) == exp),
+        "single": (F.size(out) == 1) & (F.try_element_at(out, F.lit(1)) == exp),
         "lines": out == el,
         "nonempty_lines": ne == el,
         "numeric": all_close(ne, el),

@@ -70,19 +70,37 @@ def random_positions(n, k, seed, key) -> Column:
         .otherwise(F.array().cast("array<int>"))
 
 
+# Lambdas below reference only their own variables. A per-row value needed
+# inside a lambda is passed in as an argument (``arrays_zip`` with
+# ``array_repeat``): arguments are evaluated once per row, while an outer
+# expression inside a lambda body would be evaluated again for every element.
 def mask_words(text, positions) -> Column:
     """Words (split on single blanks) at ``positions`` become '#' x len(word)."""
     words = F.split(_c(text), " ", -1)
-    pos = _c(positions)
-    return F.array_join(F.transform(words, lambda w, i: F.when(
-        F.array_contains(pos, i), F.repeat(F.lit("#"), F.length(w))).otherwise(w)), " ")
+    z = F.arrays_zip(words.alias("w"), F.array_repeat(_c(positions), F.size(words)).alias("p"))
+    return F.array_join(F.transform(z, lambda x, i: F.when(
+        F.array_contains(x["p"], i), F.repeat(F.lit("#"), F.length(x["w"]))).otherwise(x["w"])), " ")
 
 
-def mask_text(text, rate: float, seed, key) -> Column:
-    """X3 + O10: mask ``floor(n_words * rate)`` random words."""
-    n = F.size(F.split(_c(text), " ", -1))
+def mask_text(df, text: str, rate: float, seed, key: str, out: str = "masked"):
+    """X3 + O10: mask ``floor(n_words * rate)`` words chosen by md5 rank.
+
+    The chosen words are those whose hash is at most the k-th smallest hash
+    (hashes of distinct positions differ), so one sort per text is enough.
+    A DataFrame step: the per-word hashes are staged once as a column.
+    """
+    cols = df.columns
+    words = F.split(F.col(text), " ", -1)
+    st = df.withColumn("_w", words).withColumn("_h", F.transform(
+        F.sequence(F.lit(0), F.size("_w") - 1),
+        lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")))))
+    n = F.size("_w")
     k = F.floor(n * F.lit(float(rate))).cast("int")
-    return mask_words(text, random_positions(n, k, seed, key))
+    thr = F.when(k > 0, F.try_element_at(F.array_sort("_h"), k))
+    z = F.arrays_zip(F.col("_w").alias("w"), F.col("_h").alias("h"), F.array_repeat(thr, n).alias("t"))
+    masked = F.array_join(F.transform(z, lambda x: F.when(
+        x["h"] <= x["t"], F.repeat(F.lit("#"), F.length(x["w"]))).otherwise(x["w"])), " ")
+    return st.select(*cols, masked.alias(out))
 
 
 # ------------------------------------------------------------------ X4 X5
@@ -96,14 +114,18 @@ def remove_prefix(s, prefix: str) -> Column:
     return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c)
 
 
+def header_regex(headers: Sequence[str] = SUMMARY_HEADERS) -> str:
+    """Removing prefixes one after the other equals one anchored regex of
+    optional groups in the same order (greedy, never fails, so no backtracking)."""
+    return "^" + "".join("(?:" + _q(h) + ")?" for h in headers)
+
+
 def strip_summary_header(s, headers: Sequence[str] = SUMMARY_HEADERS,
                          after_last_summary: bool = True) -> Column:
     """Remove header spellings in sequence; then keep the text after the last 'SUMMARY'."""
-    c = _c(s)
-    for h in headers:
-        c = remove_prefix(c, h)
+    c = F.regexp_replace(_c(s), header_regex(headers), "")
     if after_last_summary:
-        c = F.try_element_at(split_lit(c, "SUMMARY"), -1)
+        c = F.try_element_at(split_lit(c, "SUMMARY"), F.lit(-1))
     return c
 
 
@@ -117,7 +139,7 @@ def parse_class_label(s) -> Column:
     """Text after the first 'Class:' up to the next one, stripped; else the whole text."""
     c = _c(s)
     return F.when(F.contains(c, F.lit("Class:")),
-                  py_strip(F.try_element_at(split_lit(c, "Class:"), 2))).otherwise(c)
+                  py_strip(F.try_element_at(split_lit(c, "Class:"), F.lit(2)))).otherwise(c)
 
 
 def parse_confidence(s) -> Column:
@@ -177,7 +199,7 @@ def drop_python_first_line(s) -> Column:
     """A first line that mentions 'python' is dropped."""
     c = _c(s)
     lines = F.split(c, "\n", -1)
-    return F.when(F.contains(F.try_element_at(lines, 1), F.lit("python")),
+    return F.when(F.contains(F.try_element_at(lines, F.lit(1)), F.lit("python")),
                   F.array_join(F.slice(lines, 2, 1 << 30), "\n")).otherwise(c)
 
 
@@ -202,35 +224,46 @@ def _strip_startswith(line, word: str) -> Column:
     return py_strip(line).startswith(word)
 
 
-def extract_code(text, model_name=None) -> Column:
-    """X11: response markers, then the first matching fence pattern (group 1, dot
-    matches newline), else a line filter up to the class line with relative
-    dedent of a class that is not at column 0."""
+def _markers(text) -> Column:
     t = py_rstrip(_c(text))
     for m in RESPONSE_MARKERS:
-        t = F.when(F.contains(t, F.lit(m)), F.try_element_at(split_lit(t, m), 2)).otherwise(t)
-    incoder = F.try_element_at(split_lit(t, "<|/ file |>"), 1)
-
-    lines = F.split(t, "\n", -1)
-    is_class = F.transform(lines, lambda l: _strip_startswith(l, "class"))
-    first_class = F.array_position(is_class, F.lit(True))
-    head = F.when(first_class > 0, F.slice(lines, 1, (first_class - 1).cast("int"))).otherwise(lines)
-    head = F.when(first_class == 1, F.array().cast("array<string>")).otherwise(head)
+        t = F.when(F.contains(t, F.lit(m)), F.try_element_at(split_lit(t, m), F.lit(2))).otherwise(t)
+    return t
+
+
+def extract_code(df, text: str, out: str = "code", model_name: str | None = None):
+    """X11: response markers, then the first matching fence pattern (group 1, dot
+    matches newline), else a line filter up to the class line with relative
+    dedent of a class that is not at column 0.
+
+    A DataFrame step (not a single expression): the marker-cleaned text and
+    the line arrays are staged as columns, because each is read many times.
+    """
+    cols = df.columns
+    st = df.withColumn("_t", _markers(F.col(text)))
+    st = st.withColumn("_lines", F.split(F.col("_t"), "\n", -1))
+    fc = F.array_position(F.transform("_lines", lambda l: _strip_startswith(l, "class")), F.lit(True))
+    head = (F.when(fc == 1, F.array().cast("array<string>"))
+            .when(fc > 1, F.slice("_lines", 1, (fc - 1).cast("int")))
+            .otherwise(F.col("_lines")))
     removed = F.filter(head, lambda l: ~(_strip_startswith(l, "import") | _strip_startswith(l, "from")))
-    kept = F.filter(lines, lambda l: ~F.array_contains(removed, l))
-    k_class = F.filter(kept, lambda l: _strip_startswith(l, "class"))
-    indent = F.coalesce(leading_spaces(F.try_element_at(k_class, 1)), F.lit(0))
-    dedented = F.transform(kept, lambda l: F.concat(
-        F.repeat(F.lit(" "), F.greatest(leading_spaces(l) - indent, F.lit(0))), py_lstrip(l)))
-    fallback = F.array_join(F.when(indent != 0, dedented).otherwise(kept), "\n")
-
-    out = fallback
+    z = F.arrays_zip(F.col("_lines").alias("l"), F.array_repeat(removed, F.size("_lines")).alias("r"))
+    st = st.withColumn("_kept", F.transform(F.filter(z, lambda x: ~F.array_contains(x["r"], x["l"])),
+                                            lambda x: x["l"]))
+    k_class = F.filter("_kept", lambda l: _strip_startswith(l, "class"))
+    st = st.withColumn("_ind", F.coalesce(leading_spaces(F.try_element_at(k_class, F.lit(1))), F.lit(0)))
+    zd = F.arrays_zip(F.col("_kept").alias("l"), F.array_repeat(F.col("_ind"), F.size("_kept")).alias("d"))
+    dedented = F.transform(zd, lambda x: F.concat(
+        F.repeat(F.lit(" "), F.greatest(leading_spaces(x["l"]) - x["d"], F.lit(0))), py_lstrip(x["l"])))
+    fallback = F.array_join(F.when(F.col("_ind") != 0, dedented).otherwise(F.col("_kept")), "\n")
+    res = fallback
     for p in reversed(CODE_PATTERNS):
         rp = "(?s)" + p
-        out = F.when(t.rlike(rp), F.regexp_extract(t, rp, 1)).otherwise(out)
-    if model_name is None:
-        return out
-    return F.when(F.contains(_c(model_name), F.lit("incoder")), incoder).otherwise(out)
+        res = F.when(F.col("_t").rlike(rp), F.regexp_extract(F.col("_t"), rp, 1)).otherwise(res)
+    if model_name is not None:
+        incoder = F.try_element_at(split_lit(F.col("_t"), "<|/ file |>"), F.lit(1))
+        res = F.when(F.contains(F.col(model_name), F.lit("incoder")), incoder).otherwise(res)
+    return st.select(*cols, res.alias(out))
 
 
 def add_static_methods(code) -> Column:
@@ -246,7 +279,7 @@ def add_static_methods(code) -> Column:
 def prepend_imports(code, imports) -> Column:
     """Import lines, newline, then the text after the last word 'python'."""
     return F.concat(F.array_join(_c(imports), "\n"), F.lit("\n"),
-                    F.try_element_at(split_lit(_c(code), "python"), -1))
+                    F.try_element_at(split_lit(_c(code), "python"), F.lit(-1)))
 
 
 IMPORT_PATTERN = r"(?md)^import\s.*$|from\s.*\simport.*$"
@@ -278,7 +311,7 @@ def first_n_lines(s, n: int) -> Column:
     lines = F.split(_c(s), "\n", -1)
     alnum_pos = F.filter(F.transform(lines, lambda l, i: F.when(l.rlike(ALNUM), i).otherwise(F.lit(-1))),
                          lambda i: i >= 0)
-    cut = F.try_element_at(alnum_pos, n)
+    cut = F.try_element_at(alnum_pos, F.lit(n))
     keep = F.when(F.size(alnum_pos) >= n, F.slice(lines, 1, cut + 1)).otherwise(lines)
     return F.array_join(keep, "\n")
 
@@ -355,21 +388,21 @@ def parse_solutions(s) -> Column:
 
 def repo_name(path) -> Column:
     """Parent directory name of a path."""
-    return F.try_element_at(F.split(_c(path), "/", -1), -2)
+    return F.try_element_at(F.split(_c(path), "/", -1), F.lit(-2))
 
 
 # ------------------------------------------------------------------ X33 - X38
 def reply_code(reply) -> Column:
     """With a fence, the text after the first 'python' minus its first and last 3 chars."""
     c = _c(reply)
-    after = F.try_element_at(split_lit(c, "python"), 2)
+    after = F.try_element_at(split_lit(c, "python"), F.lit(2))
     inner = F.when(F.length(after) > 4, F.substring(after, 2, F.length(after) - 4)).otherwise(F.lit(""))
     return F.when(F.contains(c, F.lit("```")), inner).otherwise(c)
 
 
 def function_name(code) -> Column:
     """Name between the first 'def ' and the next '('."""
-    return F.substring_index(F.try_element_at(split_lit(_c(code), "def "), 2), "(", 1)
+    return F.substring_index(F.try_element_at(split_lit(_c(code), "def "), F.lit(2)), "(", 1)
 
 
 def assertion_line(fn, test_input, expected) -> Column:

@@ -61,7 +61,7 @@ def numeric_problem_key(qid="qid") -> Column:
     'ClassEval_0' -> '67108971151156911897108954' + ... as a decimal(38,0).
     """
     s = _c(qid).cast("string")
-    direct = s.try_cast("decimal(38,0)")
+    direct = F.regexp_replace(s, r"^\s+|\s+$", "").try_cast("decimal(38,0)")
     codes = F.array_join(F.transform(F.split(s, ""), lambda ch: F.ascii(ch).cast("string")), "")
     return F.coalesce(F.when(s.rlike(r"^\s*[+-]?[0-9]+\s*$"), direct),
                       codes.try_cast("decimal(38,0)"))

@@ -35,10 +35,12 @@ def finished(code) -> Column:
     return F.contains(_c(code), F.lit("```"))
 
 
-def should_stop(stopping_condition, query_needed=F.lit(True)) -> Column:
-    """Stop for a user query when always asked to, or when the assistant wants one."""
+def should_stop(stopping_condition, query_needed=None) -> Column:
+    """Stop for a user query when always asked to, or when the assistant wants one
+    (the reference's assistant always wants one, the default here)."""
     sc = _c(stopping_condition)
-    return (sc == "always_stop") | ((sc == "ask_asst") & query_needed)
+    q = F.lit(True) if query_needed is None else _c(query_needed)
+    return (sc == "always_stop") | ((sc == "ask_asst") & q)
 
 
 def number_rounds(turns: DataFrame, keys: Sequence[str] = STEP, pos: str = "turn") -> DataFrame:
