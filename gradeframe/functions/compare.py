@@ -171,3 +171,38 @@ def int_keys(m) -> Column:
     ok = F.forall(F.map_keys(mc), lambda k: k.rlike(r"^\s*[+-]?[0-9]+\s*$"))
     return F.when(ok, F.map_from_entries(F.transform(
         F.map_entries(mc), lambda e: F.struct(py_strip(e["key"]).cast("int").alias("key"), e["value"].alias("value")))))
+
+
+# ------------------------------------------------------------------ staged form
+RUNG_ORDER = ("exact", "line_strip", "single", "lines", "nonempty_lines", "numeric", "token_sets", "rounded_sets")
+
+
+def with_ladder(df, stdout: str = "stdout", expected: str = "expected"):
+    """DataFrame form of the ladder: the line arrays are staged once as columns
+    (each is read by several rungs), then every rung becomes a boolean column
+    ``c_<rung>`` plus ``all_int``; ``passed_apps`` / ``passed_lcb`` / ``rung`` summarise."""
+    st = (df.withColumn("_out", splitlines(F.col(stdout)))
+            .withColumn("_el", expected_lines(F.col(expected)))
+            .withColumn("_sexp", py_strip(F.col(expected))))
+    st = st.withColumn("_ne", F.filter("_out", lambda x: x != ""))
+    out, el, ne = F.col("_out"), F.col("_el"), F.col("_ne")
+    rungs = {
+        "exact": py_strip(F.array_join(out, "\n")) == F.col("_sexp"),
+        "line_strip": py_strip(F.array_join(F.transform(out, py_strip), "\n")) == F.col("_sexp"),
+        "single": (F.size(out) == 1) & (F.try_element_at(out, F.lit(1)) == F.col(expected)),
+        "lines": out == el,
+        "nonempty_lines": ne == el,
+        "numeric": all_close(ne, el),
+        "token_sets": token_sets_equal(ne, el),
+        "rounded_sets": rounded_sets_equal(ne, el),
+    }
+    st = st.select("*", *[F.coalesce(c, F.lit(False)).alias(f"c_{k}") for k, c in rungs.items()],
+                   F.coalesce(all_int_pairs(ne, el), F.lit(True)).alias("all_int"))
+    c = {k: F.col(f"c_{k}") for k in RUNG_ORDER}
+    base = c["exact"] | c["line_strip"] | c["single"] | c["lines"] | c["nonempty_lines"]
+    rung = F.lit("fail")
+    for k in reversed(RUNG_ORDER):
+        rung = F.when(c[k], F.lit(k)).otherwise(rung)
+    return st.drop("_out", "_el", "_sexp", "_ne").select(
+        "*", (base | c["numeric"] | c["token_sets"] | c["rounded_sets"]).alias("passed_apps"),
+        (base | (~F.col("all_int") & c["numeric"])).alias("passed_lcb"), rung.alias("rung"))
