@@ -45,7 +45,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
 def _load_all() -> None:
     # Importing the modules fills the registry.
     from . import q_stats  # noqa: F401
-    for mod in ("q_passk", "q_classeval", "q_history", "q_corpus", "q_text",
+    for mod in ("q_passk", "q_history", "q_corpus", "q_text",
                 "q_compare", "q_scans", "q_pyjobs"):
         try:
             __import__(f"{__package__}.{mod}")

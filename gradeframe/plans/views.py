@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- verdicts
+# (l_orderkey, l_linenumber) repeats in the driver data; these five columns
+# give a total order, so positions agree between engines.
+ORDER_KEYS = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")
+ORDER_SQL = ", ".join(ORDER_KEYS)
+
 def verdict_code(quantity: Column, tax: Column, discount: Column) -> Column:
     """Fixture rule that turns a lineitem into a verdict code in {-2,-1,0,1}."""
     return (F.when(quantity >= 50, F.lit(-2))
@@ -43,10 +48,10 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").cast("string").alias("qid"),
         (F.col("l_orderkey") % 2).alias("step"),
         (F.col("l_linenumber") % 4).alias("sample"),
-        "l_orderkey", "l_linenumber",
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate",
         verdict_code(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")).alias("verdict"),
     )
-    w = Window.partitionBy("qid", "step", "sample").orderBy("l_orderkey", "l_linenumber")
+    w = Window.partitionBy("qid", "step", "sample").orderBy(*ORDER_KEYS)
     return base.select(
         "qid", "step", "sample",
         (F.row_number().over(w) - 1).cast("int").alias("test_idx"),
@@ -54,6 +59,18 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tests(qid, test_idx, input, expected): the test cases of each problem, in order."""
+    li = table(spark, sf_dir, "lineitem")
+    w = Window.partitionBy("l_partkey").orderBy(*ORDER_KEYS)
+    case = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" line "),
+                    F.col("l_linenumber").cast("string"), F.lit(";"))
+    return li.select(F.col("l_partkey").cast("string").alias("qid"),
+                     (F.row_number().over(w) - 1).cast("int").alias("test_idx"),
+                     F.repeat(case, 20).alias("input"),
+                     F.col("l_suppkey").cast("string").alias("expected"))
+
+
 # ------------------------------------------------------------ class counts
 def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """class_counts(task, sample, test_class, errors, failures, tests_run).
@@ -130,13 +147,20 @@ VIEW_SQL = {
 verdicts AS (
   SELECT qid, step, sample,
          CAST(row_number() OVER (PARTITION BY qid, step, sample
-                                 ORDER BY l_orderkey, l_linenumber) - 1 AS INTEGER) AS test_idx,
+                                 ORDER BY """ + ORDER_SQL + """) - 1 AS INTEGER) AS test_idx,
          verdict
   FROM (SELECT CAST(l_partkey AS VARCHAR) AS qid, l_orderkey % 2 AS step,
-               l_linenumber % 4 AS sample, l_orderkey, l_linenumber,
+               l_linenumber % 4 AS sample, """ + ORDER_SQL + """,
                CASE WHEN l_quantity >= 50 THEN -2 WHEN l_tax >= 0.08 THEN -1
                     WHEN l_discount >= 0.09 THEN 0 ELSE 1 END AS verdict
         FROM lineitem) b)""",
+    "tests": """
+tests AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS qid,
+         CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY """ + ORDER_SQL + """) - 1 AS INTEGER) AS test_idx,
+         repeat('order ' || CAST(l_orderkey AS VARCHAR) || ' line ' || CAST(l_linenumber AS VARCHAR) || ';', 20) AS input,
+         CAST(l_suppkey AS VARCHAR) AS expected
+  FROM lineitem)""",
     "class_counts": """
 class_counts AS (
   SELECT CAST(o_custkey AS VARCHAR) AS task, l_linenumber % 4 AS sample, l_returnflag AS test_class,
