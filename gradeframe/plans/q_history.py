@@ -12,7 +12,7 @@ from . import views as V
 from .catalogue import register
 
 SEP = " ||| "
-STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+STRIP = "trim({}, (' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
 
 
 def _strip(x: str) -> str:
@@ -222,7 +222,7 @@ def _prompt_sql() -> str:
             out = f"replace({out}, '{{{slot}}}', {slot})"
         return out
     sys_ = (f"CASE WHEN sys_suffix IS NULL THEN {fill('sys')} ELSE "
-            f"regexp_replace({fill('sys')}, '\\s+$', '', 'g') || ' ' || {fill('sys_suffix')} END")
+            f"rtrim({fill('sys')}, (' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) || ' ' || {fill('sys_suffix')} END")
     starter_txt = "CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'def solve_' || qid || '():' END"
     starter = (f"CASE WHEN task = 'livecodebench' AND {starter_txt} <> '' THEN "
                f"'Here is the starter code that you must continue:' || chr(10) || chr(10) || '```python' || chr(10) "

@@ -17,16 +17,19 @@ from .catalogue import register
 NL = "chr(10)"
 
 
+WS = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {WS})"
 
 
 def rstrip(x: str) -> str:
-    return f"regexp_replace({x}, '\\s+$', '')"
+    return f"rtrim({x}, {WS})"
 
 
 def lstrip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+', '')"
+    return f"ltrim({x}, {WS})"
 
 
 def lit(s: str) -> str:
