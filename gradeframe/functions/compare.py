@@ -34,14 +34,45 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# Single-character line boundaries besides "\n" (and the "\r\n" pair).
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
+OTHER_BREAKS_CLASS = "[\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
+
+
+def _normalize_breaks(c: Column) -> Column:
+    """Every line boundary becomes "\n" ("\r\n" counts once). The translate
+    pass only runs when a rare boundary character is present."""
+    return F.when(c.rlike(OTHER_BREAKS_CLASS),
+                  F.translate(F.replace(c, F.lit("\r\n"), F.lit("\n")), OTHER_BREAKS,
+                              "\n" * len(OTHER_BREAKS))).otherwise(c)
+
+
+def _drop_last_if_break(norm: Column, parts: Column, orig: Column) -> Column:
+    return (F.when(orig == "", F.array().cast("array<string>"))
+            .when(F.right(norm, F.lit(1)) == "\n", F.slice(parts, 1, F.size(parts) - 1))
+            .otherwise(parts))
+
+
 def splitlines(s) -> Column:
-    """Python ``str.splitlines()``: no trailing empty piece, [] for ''."""
+    """Python ``str.splitlines()``: no trailing empty piece, [] for ''.
+
+    Column form; inside larger plans prefer :func:`with_lines`, which stages
+    the normalised text once."""
     c = _c(s)
-    parts = F.split(c, LINE_BREAKS, -1)
-    ends = c.rlike("(" + LINE_BREAKS + ")$")
-    return (F.when(c == "", F.array().cast("array<string>"))
-            .when(ends, F.slice(parts, 1, F.size(parts) - 1))
-            .otherwise(parts))
+    norm = _normalize_breaks(c)
+    return _drop_last_if_break(norm, F.split(norm, "\n", -1), c)
+
+
+def with_lines(df, col: str, out: str):
+    """DataFrame step: ``out`` = ``splitlines(col)``, with the normalised text
+    and the split pieces staged as columns so each is computed once."""
+    cols = df.columns
+    st = df.withColumn("_norm_" + out, _normalize_breaks(F.col(col)))
+    st = st.withColumn("_parts_" + out, F.split(F.col("_norm_" + out), "\n", -1))
+    res = _drop_last_if_break(F.col("_norm_" + out), F.col("_parts_" + out), F.col(col))
+    return st.select(*cols, res.alias(out))
 
 
 def expected_lines(expected) -> Column:
@@ -178,31 +209,42 @@ RUNG_ORDER = ("exact", "line_strip", "single", "lines", "nonempty_lines", "numer
 
 
 def with_ladder(df, stdout: str = "stdout", expected: str = "expected"):
-    """DataFrame form of the ladder: the line arrays are staged once as columns
-    (each is read by several rungs), then every rung becomes a boolean column
-    ``c_<rung>`` plus ``all_int``; ``passed_apps`` / ``passed_lcb`` / ``rung`` summarise."""
-    st = (df.withColumn("_out", splitlines(F.col(stdout)))
+    """DataFrame form of the ladder.
+
+    The line arrays and per-line token sets are staged once as columns (each
+    is read by several rungs). The rung is a lazy CASE: later (costlier)
+    rungs run only for outputs that earlier rungs rejected. Adds ``rung``,
+    ``passed_apps`` and ``passed_lcb``.
+    """
+    cols = df.columns
+    st = (with_lines(df, stdout, "_out")
             .withColumn("_el", expected_lines(F.col(expected)))
             .withColumn("_sexp", py_strip(F.col(expected))))
     st = st.withColumn("_ne", F.filter("_out", lambda x: x != ""))
     out, el, ne = F.col("_out"), F.col("_el"), F.col("_ne")
-    rungs = {
-        "exact": py_strip(F.array_join(out, "\n")) == F.col("_sexp"),
-        "line_strip": py_strip(F.array_join(F.transform(out, py_strip), "\n")) == F.col("_sexp"),
-        "single": (F.size(out) == 1) & (F.try_element_at(out, F.lit(1)) == F.col(expected)),
-        "lines": out == el,
-        "nonempty_lines": ne == el,
-        "numeric": all_close(ne, el),
-        "token_sets": token_sets_equal(ne, el),
-        "rounded_sets": rounded_sets_equal(ne, el),
-    }
-    st = st.select("*", *[F.coalesce(c, F.lit(False)).alias(f"c_{k}") for k, c in rungs.items()],
-                   F.coalesce(all_int_pairs(ne, el), F.lit(True)).alias("all_int"))
-    c = {k: F.col(f"c_{k}") for k in RUNG_ORDER}
-    base = c["exact"] | c["line_strip"] | c["single"] | c["lines"] | c["nonempty_lines"]
+    st = st.withColumn("_tso", F.filter(F.transform(ne, token_set), lambda a: F.size(a) > 0)) \
+           .withColumn("_tse", F.transform(el, token_set))
+    tso, tse = F.col("_tso"), F.col("_tse")
+
+    def rounded(sets):
+        r = F.transform(sets, lambda a: F.transform(a, lambda t: F.round(t.try_cast("double"), 3)))
+        ok = F.forall(r, lambda a: F.forall(a, lambda v: v.isNotNull()))
+        return F.when(ok, F.array_sort(F.array_distinct(F.transform(r, lambda a: F.array_sort(F.array_distinct(a))))))
+
+    rungs = [
+        ("exact", py_strip(F.array_join(out, "\n")) == F.col("_sexp")),
+        ("line_strip", py_strip(F.array_join(F.transform(out, py_strip), "\n")) == F.col("_sexp")),
+        ("single", (F.size(out) == 1) & (F.try_element_at(out, F.lit(1)) == F.col(expected))),
+        ("lines", out == el),
+        ("nonempty_lines", ne == el),
+        ("numeric", all_close(ne, el)),
+        ("token_sets", F.array_sort(F.array_distinct(tso)) == F.array_sort(F.array_distinct(tse))),
+        ("rounded_sets", rounded(tso) == rounded(tse)),
+    ]
     rung = F.lit("fail")
-    for k in reversed(RUNG_ORDER):
-        rung = F.when(c[k], F.lit(k)).otherwise(rung)
-    return st.drop("_out", "_el", "_sexp", "_ne").select(
-        "*", (base | c["numeric"] | c["token_sets"] | c["rounded_sets"]).alias("passed_apps"),
-        (base | (~F.col("all_int") & c["numeric"])).alias("passed_lcb"), rung.alias("rung"))
+    for name, cond in reversed(rungs):
+        rung = F.when(F.coalesce(cond, F.lit(False)), F.lit(name)).otherwise(rung)
+    st = st.withColumn("rung", rung)
+    base = F.col("rung").isin("exact", "line_strip", "single", "lines", "nonempty_lines")
+    lcb = base | ((F.col("rung") == "numeric") & ~F.coalesce(all_int_pairs(ne, el), F.lit(True)))
+    return st.select(*cols, "rung", (F.col("rung") != "fail").alias("passed_apps"), lcb.alias("passed_lcb"))

@@ -95,13 +95,11 @@ FROM (SELECT doc_id, la, lb, TRY_CAST({strip('la')} AS DOUBLE) AS a, TRY_CAST({s
       FROM (SELECT doc_id, coalesce(out[-1], '') AS la, el[-1] AS lb FROM s1) x) y""", LADDER_CTES[:2]))
 def q_compare_numbers(spark, sf_dir):
     """X19 numeric rung + X20 integer check on the last line of output and expectation."""
-    o = V.outputs(spark, sf_dir)
-    out = CMP.splitlines(F.col("stdout"))
-    el = CMP.expected_lines(F.col("expected"))
-    la = F.coalesce(F.try_element_at(out, F.lit(-1)), F.lit(""))
-    lb = F.try_element_at(el, F.lit(-1))
-    a, b = F.array(la), F.array(lb)
-    return o.select("doc_id", F.coalesce(CMP.all_close(a, b), F.lit(False)).cast("int").alias("is_close"),
+    o = CMP.with_lines(V.outputs(spark, sf_dir), "stdout", "out")
+    o = o.select("doc_id", F.coalesce(F.try_element_at("out", F.lit(-1)), F.lit("")).alias("la"),
+                 F.try_element_at(CMP.expected_lines(F.col("expected")), F.lit(-1)).alias("lb"))
+    la, lb = F.col("la"), F.col("lb")
+    return o.select("doc_id", F.coalesce(CMP.all_close(F.array(la), F.array(lb)), F.lit(False)).cast("int").alias("is_close"),
                     (CMP.is_int_text(la) & CMP.is_int_text(lb)).cast("int").alias("all_int"))
 
 
@@ -109,11 +107,11 @@ def q_compare_numbers(spark, sf_dir):
 SELECT doc_id, CAST(tso = tse AS INTEGER) AS same_token_sets, len(tso) AS n_sets FROM s3""", LADDER_CTES[:4]))
 def q_compare_sets(spark, sf_dir):
     """Set-of-token-sets equality of output and expectation."""
-    o = V.outputs(spark, sf_dir)
-    ne = F.filter(CMP.splitlines(F.col("stdout")), lambda x: x != "")
-    el = CMP.expected_lines(F.col("expected"))
-    return o.select("doc_id", CMP.token_sets_equal(ne, el).cast("int").alias("same_token_sets"),
-                    F.size(CMP.token_sets(ne, True)).alias("n_sets"))
+    o = CMP.with_lines(V.outputs(spark, sf_dir), "stdout", "out")
+    o = o.select("doc_id", F.filter("out", lambda x: x != "").alias("ne"),
+                 CMP.expected_lines(F.col("expected")).alias("el"))
+    return o.select("doc_id", CMP.token_sets_equal(F.col("ne"), F.col("el")).cast("int").alias("same_token_sets"),
+                    F.size(CMP.token_sets(F.col("ne"), True)).alias("n_sets"))
 
 
 CALL_CTE = """c AS (
