@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 
 from ..functions.verdict import normalize_verdict
 
-PATH = F.col("_metadata.file_path")
+def _path() -> Column:
+    """The source file of each row (``_metadata.file_path``)."""
+    return F.col("_metadata.file_path")
 
 PROBLEM_SCHEMA = T.StructType([
     T.StructField("qid", T.StringType()),
@@ -41,8 +43,9 @@ PROBLEM_SCHEMA = T.StructType([
 ])
 
 
-def path_part(pattern: str, group: int = 1, path: Column = PATH) -> Column:
+def path_part(pattern: str, group: int = 1, path: Column | None = None) -> Column:
     """A key from the file path; ``key=`` prefixes written by ``partitionBy`` are dropped."""
+    path = _path() if path is None else path
     return F.regexp_replace(F.regexp_extract(path, pattern, group), r"^[A-Za-z_]+=", "")
 
 
@@ -65,19 +68,20 @@ def problem_scan(spark: SparkSession, root: str, transformation: str = "*",
     reader = spark.read.schema(PROBLEM_SCHEMA).option("multiLine", layout == "reference") \
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
     if layout == "reference":
-        df = reader.json(f"{r}/**/input/{transformation}")
+        # dataset/split/... or dataset/difficulty/split/... (Hadoop glob alternation)
+        df = reader.json(f"{r}/{{*/*,*/*/*}}/input/{transformation}")
         return df.select(
             "*",
-            F.regexp_extract(PATH, r"/([^/]+)/(?:[^/]+/)?[^/]+/input/", 1).alias("dataset"),
-            F.regexp_extract(PATH, r"/([^/]+)/[^/]+/input/", 1).alias("difficulty_dir"),
-            F.regexp_extract(PATH, r"/input/([^/]+)/", 1).alias("transformation"),
-            F.regexp_extract(PATH, r"([^/]+)\.json$", 1).alias("file_qid"))
+            F.regexp_extract(_path(), r"/([^/]+)/(?:[^/]+/)?[^/]+/input/", 1).alias("dataset"),
+            F.regexp_extract(_path(), r"/([^/]+)/[^/]+/input/", 1).alias("difficulty_dir"),
+            F.regexp_extract(_path(), r"/input/([^/]+)/", 1).alias("transformation"),
+            F.regexp_extract(_path(), r"([^/]+)\.json$", 1).alias("file_qid"))
     df = reader.json(r)
     return df.select(
         "*",
-        F.regexp_extract(PATH, r"/dataset=([^/]+)/", 1).alias("dataset"),
-        F.regexp_extract(PATH, r"/difficulty=([^/]+)/", 1).alias("difficulty_dir"),
-        F.regexp_extract(PATH, r"/transformation=([^/]+)/", 1).alias("transformation"))
+        F.regexp_extract(_path(), r"/dataset=([^/]+)/", 1).alias("dataset"),
+        F.regexp_extract(_path(), r"/difficulty=([^/]+)/", 1).alias("difficulty_dir"),
+        F.regexp_extract(_path(), r"/transformation=([^/]+)/", 1).alias("transformation"))
 
 
 def jsonl_scan(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -192,5 +196,5 @@ def source_tree_scan(spark: SparkSession, root: str, pattern: str = "*.py") -> D
     """Every ``*.py`` file below ``root`` as (path, repo, content), whole text per file."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern) \
         .text(root, wholetext=True)
-    return df.select(PATH.alias("path"), F.element_at(F.split(PATH, "/"), -2).alias("repo"),
+    return df.select(_path().alias("path"), F.element_at(F.split(_path(), "/"), -2).alias("repo"),
                      F.col("value").alias("content"))
