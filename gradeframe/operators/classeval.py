@@ -71,42 +71,49 @@ def class_rollup(counts: DataFrame, task: str = "task") -> DataFrame:
             .agg(*[F.count_if(F.col("class_outcome") == x).alias(x) for x in CLASS_OUTCOMES]))
 
 
-def class_report(counts: DataFrame, pass_k: int, by: Sequence[str] = (),
+def class_report(counts: DataFrame, pass_k: int | Sequence[int], by: Sequence[str] = (),
                  task: str = "task", test_class: str = "test_class",
                  sample: str = "sample") -> DataFrame:
-    """A15 + A16: the four ClassEval rates at pass@k.
+    """A15 + A16: the four ClassEval rates at pass@k, one row per (by..., k).
 
     The sample count of each task comes from the data. Function-level rates
     average over (task, test class) pairs, class-level rates over tasks;
-    pairs/tasks with no success add 0.
+    pairs/tasks with no success add 0. All k values come out of one plan:
+    the outcome table is aggregated at two grains - (task, sample) for the
+    class-level outcome and (task, class) for the function-level counts -
+    and every k is a column of the same final aggregates.
     """
+    ks = [int(pass_k)] if isinstance(pass_k, int) else [int(k) for k in pass_k]
     by = list(by)
     o = with_outcome(counts)
     grouped = bool(by)
-    if not grouped:  # one report row: group on a constant key rather than cross-joining
+    if not grouped:  # one report row per k: group on a constant key rather than cross-joining
         o, by = o.withColumn("_all", F.lit(1)), ["_all"]
-    n_samples = o.groupBy(*by, task).agg(F.countDistinct(sample).alias("n_samples"))
-    pairs = (o.groupBy(*by, task, test_class)
-             .agg(F.count_if(F.col("outcome") == "success").alias("s"),
-                  F.count_if(F.col("outcome").isin("success", "partial_success")).alias("sp"))
-             .join(n_samples, [*by, task]))
-
-    def pk(s):
-        return F.when(F.col(s) > 0, pass_at_k_comb(F.lit(pass_k), F.col("n_samples"), F.col(s))).otherwise(0.0)
-
-    fun = pairs.groupBy(*by).agg(
-        F.avg(pk("s")).alias("fun_success"), F.avg(pk("sp")).alias("fun_partial_success"))
-    co = class_outcomes(o.drop("outcome"), task, sample)
-    co = co.join(o.select(*by, task).distinct(), task)
-    tasks = (co.groupBy(*by, task)
-             .agg(F.count_if(F.col("class_outcome") == "class_success").alias("cs"),
-                  F.count_if(F.col("class_outcome") != "class_fail").alias("cps"))
-             .join(n_samples, [*by, task]))
-    cls = tasks.groupBy(*by).agg(
-        F.avg(pk("cs")).alias("class_success"), F.avg(pk("cps")).alias("class_partial_success"))
-    out = fun.join(cls, by)
+    per_run = o.groupBy(*by, task, sample).agg(
+        F.count(F.lit(1)).alias("_nc"),
+        F.count_if(F.col("outcome") == "success").alias("_ns"),
+        F.count_if(F.col("outcome").isin("fail", "error")).alias("_nb"))
+    per_task = per_run.groupBy(*by, task).agg(
+        F.count(F.lit(1)).alias("n_samples"),
+        F.count_if(F.col("_ns") == F.col("_nc")).alias("cs"),
+        F.count_if(F.col("_nb") == 0).alias("cps"))
+    per_pair = (o.groupBy(*by, task, test_class)
+                .agg(F.count_if(F.col("outcome") == "success").alias("s"),
+                     F.count_if(F.col("outcome").isin("success", "partial_success")).alias("sp"))
+                .join(per_task.select(*by, task, "n_samples"), [*by, task]))
+
+    def pk(s, k):
+        return F.when(F.col(s) > 0, pass_at_k_comb(F.lit(k), F.col("n_samples"), F.col(s))).otherwise(0.0)
+
+    fun = per_pair.groupBy(*by).agg(*[F.avg(pk(c, k)).alias(f"{name}_{k}") for k in ks
+                                      for c, name in (("s", "fun_success"), ("sp", "fun_partial_success"))])
+    cls = per_task.groupBy(*by).agg(*[F.avg(pk(c, k)).alias(f"{name}_{k}") for k in ks
+                                      for c, name in (("cs", "class_success"), ("cps", "class_partial_success"))])
+    wide = fun.join(cls, by)
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("pass_k"),
+                                        *[F.col(f"{r}_{k}").alias(r) for r in RATES]) for k in ks]))
     keep = by if grouped else []
-    return out.select(*keep, F.lit(pass_k).alias("pass_k"), *RATES)
+    return wide.select(*keep, rows.alias("_r")).select(*keep, "_r.*")
 
 
 def report_projection(report: DataFrame, pass_k: int, setting: str = "setting") -> DataFrame:

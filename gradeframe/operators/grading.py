@@ -40,6 +40,26 @@ def stop_at_runtime_error(lists: DataFrame) -> DataFrame:
     return lists.withColumn("verdicts", early_stop("verdicts"))
 
 
+def fill_missing(expected: DataFrame, verdicts: DataFrame, n_tests: int, keys: Sequence[str] = ROLLOUT,
+                 code: int = RUNTIME_ERROR) -> DataFrame:
+    """X26 on the long table: rollouts of ``expected`` without any verdict row get
+    ``n_tests`` rows of ``code`` (anti-join, then a bounded ``explode``)."""
+    missing = expected.select(*keys).join(verdicts.select(*keys).distinct(), list(keys), "left_anti")
+    filler = missing.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_tests - 1))).alias("test_idx"),
+                            F.lit(code).alias("verdict"))
+    return verdicts.select(*keys, "test_idx", "verdict").unionByName(
+        filler.select(*keys, F.col("test_idx").cast("int").alias("test_idx"), "verdict"))
+
+
+def stop_at_first_runtime_error(verdicts: DataFrame, keys: Sequence[str] = ROLLOUT) -> DataFrame:
+    """X27 on the long table: keep tests up to the first runtime error (an aggregate
+    and an equi-join; no per-rollout list is built)."""
+    first = verdicts.groupBy(*keys).agg(F.min(F.when(F.col("verdict") == RUNTIME_ERROR, F.col("test_idx")))
+                                        .alias("_stop"))
+    j = verdicts.join(first, list(keys))
+    return j.filter(F.col("_stop").isNull() | (F.col("test_idx") <= F.col("_stop"))).drop("_stop")
+
+
 def rollout_firsts(verdicts: DataFrame, keys: Sequence[str] = ROLLOUT, idx: str = "test_idx",
                    verdict: str = "verdict") -> DataFrame:
     """First verdict and first runtime-error test index of every rollout (aggregates)."""

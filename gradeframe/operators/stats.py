@@ -96,6 +96,7 @@ def problem_stats(rollouts: DataFrame, by: Sequence[str] = ("step",),
         std_error(tca_nce).alias("test_case_average_ignoring_compile_errors_std"),
         F.avg("strict_accuracy").alias("strict_accuracy"),
         std_error("strict_accuracy").alias("strict_accuracy_std"),
+        F.max("test_case_average").alias("best_tca"),
     )
 
 
@@ -130,21 +131,31 @@ def overall_stats(rollouts: DataFrame, by: Sequence[str] = ("step",),
                   problem: str = "qid") -> DataFrame:
     """A4 + A5: every metric averaged over rollouts with std/sqrt(n);
     pass@1 = strict accuracy over rollouts; pass@n = any rollout of a problem
-    fully passes, averaged over problems (its own denominator)."""
+    fully passes, averaged over problems (its own denominator).
+
+    One pass: rollouts are reduced per problem to counts, sums and sums of
+    squares (plus the any-pass flag); the per-step statistics combine those,
+    so the verdict table is scanned and shuffled once for both denominators.
+    """
     keys = _keys(by)
-    per_rollout = []
+    per_problem = [F.count(F.lit(1)).alias("_n"), F.max("strict_accuracy").alias("_any")]
+    for m in ROLLOUT_METRICS:
+        x = F.col(m).cast("double")
+        per_problem += [F.sum(x).alias(f"_s_{m}"), F.sum(x * x).alias(f"_q_{m}")]
+    p = rollouts.groupBy(*keys, problem).agg(*per_problem)
+    n = F.sum("_n")
+    out = []
     for m in ROLLOUT_METRICS:
-        per_rollout += [F.avg(m).alias(m), std_error(m).alias(f"{m}_std")]
-    per_rollout += [F.avg("strict_accuracy").alias("pass_at_1"),
-                    std_error("strict_accuracy").alias("pass_at_1_std"),
-                    F.count(F.lit(1)).alias("num_rollouts")]
-    a = rollouts.groupBy(*keys).agg(*per_rollout)
-    any_pass = (rollouts.groupBy(*keys, problem)
-                .agg(F.max("strict_accuracy").alias("_p"))
-                .groupBy(*keys)
-                .agg(F.avg("_p").alias("pass_at_n"), std_error("_p").alias("pass_at_n_std"),
-                     F.count(F.lit(1)).alias("num_problems")))
-    return a.join(any_pass, keys)
+        mean = F.sum(f"_s_{m}") / n
+        var = F.greatest(F.sum(f"_q_{m}") / n - mean * mean, F.lit(0.0))
+        out += [mean.alias(m), (F.sqrt(var) / F.sqrt(n)).alias(f"{m}_std")]
+    sm = F.sum("_s_strict_accuracy") / n
+    out += [sm.alias("pass_at_1"),
+            (F.sqrt(F.greatest(F.sum("_q_strict_accuracy") / n - sm * sm, F.lit(0.0))) / F.sqrt(n)).alias("pass_at_1_std"),
+            n.alias("num_rollouts"),
+            F.avg("_any").alias("pass_at_n"), std_error("_any").alias("pass_at_n_std"),
+            F.count(F.lit(1)).alias("num_problems")]
+    return p.groupBy(*keys).agg(*out)
 
 
 # ------------------------------------------------------------------ A7
@@ -210,11 +221,23 @@ def bucket_membership(buckets: DataFrame, problem: str = "qid") -> DataFrame:
     return buckets.select(problem, F.explode(names).alias("bucket"))
 
 
-def bucket_stats(pstats: DataFrame, buckets: DataFrame, by: Sequence[str] = ("step",),
-                 problem: str = "qid") -> DataFrame:
-    """J6 + A6: macro statistics restricted to each bucket's problems."""
-    m = bucket_membership(buckets, problem)
-    return macro_stats(pstats.join(m, problem), by=["bucket", *_keys(by)])
+def bucket_stats(pstats: DataFrame, baseline_step: int = 0, step: str = "step", problem: str = "qid",
+                 good_threshold: float = 0.6) -> DataFrame:
+    """J6 + A6: macro statistics restricted to each bucket's problems, for every step.
+
+    The buckets come from the baseline step's rows of the same problem table:
+    a window over each problem's steps (bounded by the step count) carries
+    the baseline's best score to all its steps, so nothing is scanned twice.
+    """
+    from pyspark.sql import Window
+    best = F.max(F.when(F.col(step) == baseline_step, F.col("best_tca"))).over(Window.partitionBy(problem))
+    t = pstats.withColumn("_b", best).filter(F.col("_b").isNotNull())
+    names = F.array_compact(F.array(
+        F.when(F.col("_b") == 1.0, F.lit("perfect")),
+        F.when(F.col("_b") > good_threshold, F.lit("good")),
+        F.when((F.col("_b") < 1.0) & (F.col("_b") <= good_threshold), F.lit("bad"))))
+    m = t.withColumn("bucket", F.explode(names)).drop("_b")
+    return macro_stats(m, by=["bucket", step])
 
 
 def bad_only(problems: DataFrame, buckets: DataFrame, problem: str = "qid") -> DataFrame:

@@ -49,7 +49,7 @@ LEFT JOIN (SELECT qid, arg_min(input, md5('{SEED}|' || qid || '|' || CAST(test_i
            FROM tests GROUP BY qid) rt ON rt.qid = f.qid""", [FIRSTS_CTE]))
 def q_failing_test(spark, sf_dir):
     """J2 + X25 + O9: test-based feedback per rollout."""
-    return G.feedback_messages(V.verdicts(spark, sf_dir), V.tests(spark, sf_dir), SEED)
+    return G.feedback_messages(V.verdicts(spark, sf_dir, positions=True), V.tests(spark, sf_dir), SEED)
 
 
 # Default verdict count when grading returned nothing (APPS), and the rollout grid.
@@ -58,35 +58,29 @@ STEPS, SAMPLES = [0, 1], [0, 1, 2, 3]
 
 
 @register("default_verdicts", V.with_views(["verdicts"], f"""
-SELECT e.qid, e.step, e.sample, coalesce(g.n, {DEFAULT_TESTS}) AS n_tests,
-       coalesce(g.v, array_to_string(list_transform(range({DEFAULT_TESTS}), lambda x: '-1'), ',')) AS verdicts
+SELECT qid, step, sample, test_idx, verdict FROM verdicts
+UNION ALL
+SELECT e.qid, e.step, e.sample, CAST(t.i AS INTEGER) AS test_idx, -1 AS verdict
 FROM (SELECT CAST(p_partkey AS VARCHAR) AS qid, s.step, m.sample
       FROM part, (SELECT unnest({STEPS}) AS step) s, (SELECT unnest({SAMPLES}) AS sample) m) e
-LEFT JOIN (SELECT qid, step, sample, count(*) AS n,
-                  string_agg(CAST(verdict AS VARCHAR), ',' ORDER BY test_idx) AS v
-           FROM verdicts GROUP BY 1, 2, 3) g
-  ON e.qid = g.qid AND e.step = g.step AND e.sample = g.sample"""))
+CROSS JOIN (SELECT unnest(range({DEFAULT_TESTS})) AS i) t
+WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.qid = e.qid AND v.step = e.step AND v.sample = e.sample)"""))
 def q_default_verdicts(spark, sf_dir):
-    """Every expected rollout (problem x step x sample) gets verdicts; ungraded ones 21 x -1."""
+    """X26 in long form: every expected rollout (problem x step x sample) has
+    verdict rows; rollouts grading did not return get 21 rows of -1."""
     problems = V.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("qid"))
     grid = problems.select("qid", F.explode(F.array(*[F.lit(s).cast("long") for s in STEPS])).alias("step"),
                            F.explode(F.array(*[F.lit(s) for s in SAMPLES])).alias("sample"))
-    lists = G.verdict_lists(V.verdicts(spark, sf_dir))
-    d = G.with_defaults(grid, lists, DEFAULT_TESTS)
-    return d.select("qid", "step", "sample", F.size("verdicts").cast("long").alias("n_tests"),
-                    F.array_join(F.col("verdicts").cast("array<string>"), ",").alias("verdicts"))
+    return G.fill_missing(grid, V.verdicts(spark, sf_dir, positions=True), DEFAULT_TESTS)
 
 
 @register("early_stop", V.with_views(["verdicts"], """
-SELECT v.qid, v.step, v.sample, string_agg(CAST(v.verdict AS VARCHAR), ',' ORDER BY v.test_idx) AS verdicts
+SELECT v.qid, v.step, v.sample, v.test_idx, v.verdict
 FROM verdicts v JOIN f ON v.qid = f.qid AND v.step = f.step AND v.sample = f.sample
-WHERE f.first_runtime_idx IS NULL OR v.test_idx <= f.first_runtime_idx
-GROUP BY 1, 2, 3""", [FIRSTS_CTE]))
+WHERE f.first_runtime_idx IS NULL OR v.test_idx <= f.first_runtime_idx""", [FIRSTS_CTE]))
 def q_early_stop(spark, sf_dir):
-    """LiveCodeBench verdict lists end at the first runtime error."""
-    lists = G.stop_at_runtime_error(G.verdict_lists(V.verdicts(spark, sf_dir)))
-    return lists.select("qid", "step", "sample", F.array_join(F.col("verdicts").cast("array<string>"), ",")
-                        .alias("verdicts"))
+    """X27 in long form: each rollout's verdicts up to and including its first runtime error."""
+    return G.stop_at_first_runtime_error(V.verdicts(spark, sf_dir, positions=True))
 
 
 def _trunc_sql(x: str) -> str:
@@ -103,7 +97,7 @@ SELECT f.qid, f.step, f.sample,
 FROM f LEFT JOIN tests t ON t.qid = f.qid AND t.test_idx = f.first_runtime_idx""", [FIRSTS_CTE]))
 def q_error_taxonomy(spark, sf_dir):
     """X24 + X18"""
-    return G.error_taxonomy(V.verdicts(spark, sf_dir), V.tests(spark, sf_dir))
+    return G.error_taxonomy(V.verdicts(spark, sf_dir, positions=True), V.tests(spark, sf_dir))
 
 
 @register("todo_problems", """

@@ -122,12 +122,7 @@ def _class_counts_by_setting(spark, sf_dir):
 
 
 def _reports(spark, sf_dir, ks):
-    cc = _class_counts_by_setting(spark, sf_dir)
-    out = None
-    for k in ks:
-        r = C.class_report(cc, k, by=["setting"])
-        out = r if out is None else out.unionByName(r)
-    return out
+    return C.class_report(_class_counts_by_setting(spark, sf_dir), ks, by=["setting"])
 
 
 @register("class_pass_at_k", V.with_views(["class_counts"], "\nUNION ALL\n".join(

@@ -33,7 +33,7 @@ def q_scan_verdicts(spark, sf_dir):
     """S13 -> S4 + X1: per-problem result documents (mixed true/false/-1/-2) written
     and scanned back into the long verdict table."""
     root = scratch(spark, "verdicts")
-    docs = SK.verdict_documents(V.verdicts(spark, sf_dir))
+    docs = SK.verdict_documents(V.verdicts(spark, sf_dir, positions=True))
     SK.write_documents(docs, f"{root}/raw_output", "qid", "doc")
     return SC.verdict_scan(spark, root, name="part-*")
 

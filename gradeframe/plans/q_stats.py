@@ -115,7 +115,7 @@ FROM (SELECT CAST(p_partkey AS VARCHAR) AS qid FROM part) pr LEFT JOIN p ON pr.q
           [rollout_cte(["step"]), problem_cte(["step"])]))
 def q_problem_stats(spark, sf_dir):
     """A2 + A3 + W4, with problems that have no rollout kept as NULL rows."""
-    ps = S.problem_stats(_rollouts(spark, sf_dir))
+    ps = S.problem_stats(_rollouts(spark, sf_dir)).drop("best_tca")
     problems = V.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("qid"))
     return finish(S.with_all_problems(ps, problems))
 
@@ -199,9 +199,7 @@ def q_buckets(spark, sf_dir):
     "pb AS (SELECT p.*, m.bucket FROM p JOIN m USING (qid))"]))
 def q_bucket_stats(spark, sf_dir):
     """J6 + A6: macro statistics per difficulty bucket and step."""
-    r = _rollouts(spark, sf_dir)
-    b = S.difficulty_buckets(r.filter(F.col("step") == 0))
-    return finish(S.bucket_stats(S.problem_stats(r), b))
+    return finish(S.bucket_stats(S.problem_stats(_rollouts(spark, sf_dir))))
 
 
 @register("bad_only", V.with_views(["verdicts"], """

@@ -35,40 +35,40 @@ def verdict_code(quantity: Column, tax: Column, discount: Column) -> Column:
             .otherwise(F.lit(1)))
 
 
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """verdicts(qid string, step bigint, sample int, test_idx int, verdict int).
+def verdicts(spark: SparkSession, sf_dir: str, positions: bool = False) -> DataFrame:
+    """verdicts(qid string, step bigint, sample int, [test_idx int,] verdict int).
 
-    One row per (problem, refinement step, sample, test case). ``test_idx`` is
-    the test position inside the rollout; Catalyst drops the window when a
-    query does not read it (checked with explain), so aggregates never pay for
-    it.
+    One row per (problem, refinement step, sample, test case). Aggregating
+    queries do not need the test position; ``positions=True`` adds
+    ``test_idx`` with the skew-safe positional index (a rollout holding a
+    third of all rows is still spread over many tasks).
     """
     li = table(spark, sf_dir, "lineitem")
     base = li.select(
         F.col("l_partkey").cast("string").alias("qid"),
         (F.col("l_orderkey") % 2).alias("step"),
         (F.col("l_linenumber") % 4).alias("sample"),
-        "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate",
+        *ORDER_KEYS,
         verdict_code(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")).alias("verdict"),
     )
-    w = Window.partitionBy("qid", "step", "sample").orderBy(*ORDER_KEYS)
-    return base.select(
-        "qid", "step", "sample",
-        (F.row_number().over(w) - 1).cast("int").alias("test_idx"),
-        "verdict",
-    )
+    if not positions:
+        return base.select("qid", "step", "sample", "verdict")
+    from ..operators.positions import group_positions
+    p = group_positions(base, ["qid", "step", "sample"], list(ORDER_KEYS), "test_idx")
+    return p.select("qid", "step", "sample", "test_idx", "verdict")
 
 
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tests(qid, test_idx, input, expected): the test cases of each problem, in order."""
+    from ..operators.positions import group_positions
     li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_partkey").orderBy(*ORDER_KEYS)
     case = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" line "),
                     F.col("l_linenumber").cast("string"), F.lit(";"))
-    return li.select(F.col("l_partkey").cast("string").alias("qid"),
-                     (F.row_number().over(w) - 1).cast("int").alias("test_idx"),
-                     F.repeat(case, 20).alias("input"),
-                     F.col("l_suppkey").cast("string").alias("expected"))
+    base = li.select(F.col("l_partkey").cast("string").alias("qid"), *ORDER_KEYS)
+    p = group_positions(base, ["qid"], list(ORDER_KEYS), "test_idx")
+    return p.select("qid", "test_idx",
+                    F.repeat(case, 20).alias("input"),
+                    F.col("l_suppkey").cast("string").alias("expected"))
 
 
 # ------------------------------------------------------------ class counts
