@@ -122,13 +122,14 @@ def first_n(df: DataFrame, n: int, key: str = "qid") -> DataFrame:
 def seeded_shuffle(df: DataFrame, seed, key: str = "qid") -> DataFrame:
     """O1: deterministic shuffle: rank rows by md5(seed | key).
 
-    Returns the rows with their shuffled position; ``orderBy`` on the md5 key
-    is a range-partitioned sort, so it scales to any size.
+    Returns the rows with their 0-based shuffled position. The rank is the
+    skew-safe positional index over one global group, so the ordering is
+    range-partitioned across tasks instead of a single-partition window.
     """
+    from .positions import group_positions
     h = X.seeded_rank_key(seed, F.col(key))
-    return (df.withColumn("_h", h)
-            .withColumn("shuffle_rank", (F.row_number().over(Window.orderBy("_h", key)) - 1).cast("int"))
-            .drop("_h"))
+    r = group_positions(df.withColumn("_h", h).withColumn("_g", F.lit(0)), ["_g"], ["_h", key], "shuffle_rank")
+    return r.drop("_h", "_g")
 
 
 def first_samples(df: DataFrame, n: int, sample: str = "sample") -> DataFrame:

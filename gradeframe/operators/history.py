@@ -219,14 +219,14 @@ def running_context(turns: DataFrame, keys: Sequence[str] = ("conv_id",), pos: s
 
     The running text after turn t is ``final_text[:end_offset]``; materialising
     it per turn would copy the history quadratically, so we return offsets.
-    The offsets are running sums computed with an equi-join-free window over
-    the (bounded) turns of one conversation.
+    The offsets are skew-safe running sums (``positions.group_cumsum``): a
+    conversation holding a third of all turns is still split over many tasks.
     """
-    from pyspark.sql import Window
+    from .positions import group_cumsum
     piece = context_piece()
     t = turns.select(*keys, pos, piece.alias("piece"))
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_turn = t.select(*keys, pos, F.sum(F.length("piece")).over(w).alias("end_offset"))
+    lens = t.select(*keys, pos, F.length("piece").cast("long").alias("_len"))
+    per_turn = group_cumsum(lens, list(keys), [pos], "_len", "end_offset").select(*keys, pos, "end_offset")
     start_c = F.lit(start) if isinstance(start, str) else start
     final = t.groupBy(*keys).agg(
         F.concat(start_c, F.array_join(F.transform(

@@ -29,39 +29,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "pos",
-                    num_partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = 0-based position of each row in its group ordered by ``order``."""
+def group_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | None, out: str,
+                 num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` (inclusive) in each group ordered by ``order``;
+    ``value=None`` counts rows (so ``out - 1`` is the row number).
+
+    Same plan as described in the module docstring: range partitioning splits
+    hot groups, ``mapInPandas`` sums inside each partition's slice, and the
+    totals of earlier slices are added for groups that span partitions.
+    """
     spark = df.sparkSession
     group, order = list(group), list(order)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if value is None:
+        df, value = df.withColumn("_one", F.lit(1).cast("long")), "_one"
     s = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
     schema = T.StructType(s.schema.fields + [T.StructField("_pid", T.IntegerType(), False),
                                              T.StructField("_local", T.LongType(), False)])
 
-    def local_index(batches):
+    def local_sums(batches):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
-        prev_key, prev_run = None, 0          # last group seen and its rows so far
+        prev_key, prev_total = None, 0       # last group seen and its running total so far
         for pdf in batches:
             if pdf.empty:
                 continue
             g = pdf[group]
             changed = (g != g.shift()).any(axis=1)
-            first_key = tuple(g.iloc[0])
             changed.iloc[0] = True
             run = changed.cumsum()
-            local = pdf.groupby(run).cumcount().astype("int64")
+            vals = pdf[value].fillna(0).astype("int64")
+            local = vals.groupby(run).cumsum().astype("int64")
+            first_key = tuple(g.iloc[0])
             if first_key == prev_key:          # the group continues from the previous batch
-                local = local + (run == 1).astype("int64") * prev_run
-            last_key = tuple(g.iloc[-1])
-            last_len = int((run == run.iloc[-1]).sum())
-            prev_run = last_len + (prev_run if (first_key == prev_key and run.iloc[-1] == 1) else 0)
-            prev_key = last_key
+                local = local + (run == 1).astype("int64") * prev_total
+            prev_key, prev_total = tuple(g.iloc[-1]), int(local.iloc[-1])
             yield pdf.assign(_pid=pid, _local=local)
 
-    idx = s.mapInPandas(local_index, schema)
-    sizes = idx.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    idx = s.mapInPandas(local_sums, schema)
+    sizes = idx.groupBy(*group, "_pid").agg(F.sum(value).alias("_n"))
     w = Window.partitionBy(*group).orderBy("_pid")
     spans = (sizes.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(*group)))
              .filter(F.col("_parts") > 1)
@@ -70,5 +76,12 @@ def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[str], o
              .select(*group, "_pid", "_off"))
     # bounded by 2 x partitions rows (only boundary groups span partitions)
     res = idx.join(F.broadcast(spans), [*group, "_pid"], "left")
-    return res.withColumn(out, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).cast("int")) \
-        .drop("_pid", "_local", "_off")
+    res = res.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0)))
+    return res.drop("_pid", "_local", "_off", "_one")
+
+
+def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "pos",
+                    num_partitions: int | None = None) -> DataFrame:
+    """Add ``out`` = 0-based position of each row in its group ordered by ``order``."""
+    r = group_cumsum(df, group, order, None, "_cnt", num_partitions)
+    return r.withColumn(out, (F.col("_cnt") - 1).cast("int")).drop("_cnt")
