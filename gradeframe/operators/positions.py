@@ -9,7 +9,9 @@ data. Here instead:
    each partition holds a contiguous slice of the (g, o) order.
 2. ``mapInPandas``: within a partition, the position of each row inside its
    group's slice (pandas ``cumcount``, carried across Arrow batches).
-3. Only the first and the last group of a partition can continue into another
+3. The numbered rows are materialised once (``checkpoint()`` in the shared
+   checkpoint folder) and read by both of the following steps.
+4. Only the first and the last group of a partition can continue into another
    partition, so at most ``2 x partitions`` (group, partition) slices need an
    offset. Slice sizes come from one aggregate; the offsets of the groups that
    span partitions form a table whose size is bounded by the partition count,
@@ -30,9 +32,11 @@ from pyspark.sql import types as T
 
 
 def group_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | None, out: str,
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Running sum of ``value`` (inclusive) in each group ordered by ``order``;
-    ``value=None`` counts rows (so ``out - 1`` is the row number).
+    ``value=None`` counts rows (so ``out - 1`` is the row number). ``keep``
+    limits the other columns carried through the Python step (the order
+    columns are only needed for the sort, which happens in the JVM).
 
     Same plan as described in the module docstring: range partitioning splits
     hot groups, ``mapInPandas`` sums inside each partition's slice, and the
@@ -44,6 +48,8 @@ def group_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     if value is None:
         df, value = df.withColumn("_one", F.lit(1).cast("long")), "_one"
     s = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
+    if keep is not None:   # a projection keeps the sorted order inside each partition
+        s = s.select(*dict.fromkeys([*group, value, *keep]))
     schema = T.StructType(s.schema.fields + [T.StructField("_pid", T.IntegerType(), False),
                                              T.StructField("_local", T.LongType(), False)])
 
@@ -66,7 +72,11 @@ def group_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
             prev_key, prev_total = tuple(g.iloc[-1]), int(local.iloc[-1])
             yield pdf.assign(_pid=pid, _local=local)
 
-    idx = s.mapInPandas(local_sums, schema)
+    # One Python pass, materialised with a reliable checkpoint (shared
+    # spark.checkpoint.dir): the slice sizes and the final join read the same
+    # rows, so partition ids agree however the shuffle reads were coalesced.
+    from ..session import cut_lineage
+    idx = cut_lineage(s.mapInPandas(local_sums, schema))
     sizes = idx.groupBy(*group, "_pid").agg(F.sum(value).alias("_n"))
     w = Window.partitionBy(*group).orderBy("_pid")
     spans = (sizes.withColumn("_parts", F.count(F.lit(1)).over(Window.partitionBy(*group)))
@@ -81,7 +91,7 @@ def group_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
 
 
 def group_positions(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "pos",
-                    num_partitions: int | None = None) -> DataFrame:
+                    num_partitions: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``out`` = 0-based position of each row in its group ordered by ``order``."""
-    r = group_cumsum(df, group, order, None, "_cnt", num_partitions)
+    r = group_cumsum(df, group, order, None, "_cnt", num_partitions, keep)
     return r.withColumn(out, (F.col("_cnt") - 1).cast("int")).drop("_cnt")

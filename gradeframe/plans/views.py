@@ -54,7 +54,7 @@ def verdicts(spark: SparkSession, sf_dir: str, positions: bool = False) -> DataF
     if not positions:
         return base.select("qid", "step", "sample", "verdict")
     from ..operators.positions import group_positions
-    p = group_positions(base, ["qid", "step", "sample"], list(ORDER_KEYS), "test_idx")
+    p = group_positions(base, ["qid", "step", "sample"], list(ORDER_KEYS), "test_idx", keep=["verdict"])
     return p.select("qid", "step", "sample", "test_idx", "verdict")
 
 
@@ -65,7 +65,8 @@ def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" line "),
                     F.col("l_linenumber").cast("string"), F.lit(";"))
     base = li.select(F.col("l_partkey").cast("string").alias("qid"), *ORDER_KEYS)
-    p = group_positions(base, ["qid"], list(ORDER_KEYS), "test_idx")
+    p = group_positions(base, ["qid"], list(ORDER_KEYS), "test_idx",
+                        keep=["l_orderkey", "l_linenumber", "l_suppkey"])
     return p.select("qid", "test_idx",
                     F.repeat(case, 20).alias("input"),
                     F.col("l_suppkey").cast("string").alias("expected"))
