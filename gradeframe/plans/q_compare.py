@@ -104,7 +104,7 @@ def q_compare_numbers(spark, sf_dir):
 
 
 @register("compare_sets", V.with_views(["outputs"], """
-SELECT doc_id, CAST(tso = tse AS INTEGER) AS same_token_sets, len(tso) AS n_sets FROM s3""", LADDER_CTES[:4]))
+SELECT doc_id, CAST(tso = tse AS INTEGER) AS same_token_sets, CAST(len(tso) AS INTEGER) AS n_sets FROM s3""", LADDER_CTES[:4]))
 def q_compare_sets(spark, sf_dir):
     """Set-of-token-sets equality of output and expectation."""
     o = CMP.with_lines(V.outputs(spark, sf_dir), "stdout", "out")
@@ -128,8 +128,8 @@ SELECT event_id,
        CAST(coalesce(json(output) = json(expected)
                      OR (json_type(expected) = 'ARRAY' AND json(output) = json(json_extract(expected, '$[0]'))), false)
             AS INTEGER) AS matches,
-       len(list_filter(string_split(props || chr(10) || CAST(user_id AS VARCHAR) || chr(10) || '"' || event_type || '"', chr(10)),
-                       lambda l: json_valid(l))) AS n_args,
+       CAST(len(list_filter(string_split(props || chr(10) || CAST(user_id AS VARCHAR) || chr(10) || '"' || event_type || '"', chr(10)),
+                       lambda l: json_valid(l))) AS INTEGER) AS n_args,
        event_type AS restored
 FROM c""", [CALL_CTE]))
 def q_compare_calls(spark, sf_dir):

@@ -125,8 +125,8 @@ FILES_CTE = """files AS (
 
 
 def _significant_sql(x: str) -> str:
-    return (f"len(list_filter(string_split({x}, chr(10)), lambda l: {strip('l')} <> '' "
-            f"AND NOT starts_with({strip('l')}, '#')))")
+    return (f"CAST(len(list_filter(string_split({x}, chr(10)), lambda l: {strip('l')} <> '' "
+            f"AND NOT starts_with({strip('l')}, '#'))) AS INTEGER)")
 
 
 def _significant(c):

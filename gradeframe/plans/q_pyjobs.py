@@ -58,7 +58,7 @@ MAX_PER_REPO = 5
 SELECT repo, path, name, significant_lines FROM (
   SELECT repo, path, name, significant_lines, row_number() OVER (PARTITION BY repo ORDER BY path, name) AS rn
   FROM (SELECT source AS repo, 'repos/' || source || '/mod_' || CAST(doc_id AS VARCHAR) || '.py' AS path,
-               'f_' || CAST(doc_id AS VARCHAR) AS name, len(string_split(text, chr(10))) + 1 AS significant_lines
+               'f_' || CAST(doc_id AS VARCHAR) AS name, CAST(len(string_split(text, chr(10))) + 1 AS INTEGER) AS significant_lines
         FROM documents) a
   WHERE significant_lines > 20) b
 WHERE rn <= {MAX_PER_REPO}""")

@@ -200,7 +200,7 @@ def _import_wrap():
 
 @register("imports", f"""
 SELECT doc_id, array_to_string(regexp_extract_all(w, '(?m)^import\\s.*$|from\\s.*\\simport.*$'), ';') AS imports,
-       length(w) - length({lstrip('w')}) AS leading
+       CAST(length(w) - length({lstrip('w')}) AS INTEGER) AS leading
 FROM (SELECT doc_id, {IMPORT_WRAP_SQL} AS w FROM documents) a""")
 def q_imports(spark, sf_dir):
     """X14 + X15"""
@@ -358,7 +358,7 @@ NO_SOLUTION = "(No solution provided. Use the only information from the question
 
 @register("solution_info", f"""
 SELECT doc_id, mode, CASE WHEN mode = 'no_solution' THEN {lit(NO_SOLUTION)} ELSE sols[1] END AS solution_info,
-       len(sols) AS n_solutions
+       CAST(len(sols) AS INTEGER) AS n_solutions
 FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'full_solution' ELSE 'no_solution' END AS mode,
              CASE WHEN json_valid(s) AND json_type(s) = 'ARRAY' THEN CAST(json_extract_string(s, '$[*]') AS VARCHAR[])
                   ELSE [s] END AS sols
