@@ -268,3 +268,41 @@ def q_label_prompts(spark, sf_dir):
     t = V.turns(spark, sf_dir).filter(F.col("role") == "user")
     return t.select("conv_id", "turn", PR.render_fixed(LABEL_TEMPLATE, {
         "step": F.col("step"), "feedback": F.col("text")}).alias("prompt"))
+
+
+# ------------------------------------------------------------------ P13
+RESHAPE = {"oracle": "code_completions_w_comments", "baseline": "code_completions_wo_comments"}
+
+
+@register("record_reshape", V.with_views(["turns"], """
+SELECT 'oracle' AS setting, qid, sample, step AS part, q_last AS query, n_resp AS n_responses FROM st
+UNION ALL
+SELECT 'baseline', qid, sample, step, q_first, n_resp FROM st""", [
+    """st AS (SELECT qid, sample, step,
+                      arg_max(text, turn) FILTER (WHERE role = 'user') AS q_last,
+                      arg_min(text, turn) FILTER (WHERE role = 'user') AS q_first,
+                      CAST(count(*) FILTER (WHERE role = 'assistant') AS INTEGER) AS n_resp
+               FROM turns GROUP BY 1, 2, 3)"""]))
+def q_record_reshape(spark, sf_dir):
+    """Old records hold one response map per completion style; each new setting
+    keeps only (query, responses) of its style, one row per part."""
+    from ..operators import corpus as C
+    t = V.turns(spark, sf_dir)
+    per_step = t.groupBy("qid", "sample", "step").agg(
+        F.max_by(F.when(F.col("role") == "user", F.col("text")),
+                 F.when(F.col("role") == "user", F.col("turn"))).alias("q_last"),
+        F.min_by(F.when(F.col("role") == "user", F.col("text")),
+                 F.when(F.col("role") == "user", F.col("turn"))).alias("q_first"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant",
+                                                       F.struct("turn", "text")))), lambda x: x["text"])
+        .alias("resp"))
+    old = per_step.groupBy("qid", "sample").agg(
+        F.map_from_entries(F.collect_list(F.struct("step", F.struct(
+            F.col("q_last").alias("query"), F.col("resp").alias("responses"),
+            F.lit("").alias("starter_code"))))).alias("code_completions_w_comments"),
+        F.map_from_entries(F.collect_list(F.struct("step", F.struct(
+            F.col("q_first").alias("query"), F.col("resp").alias("responses"),
+            F.lit("").alias("starter_code"))))).alias("code_completions_wo_comments"))
+    new = C.reshape_records(old, RESHAPE, keys=["qid", "sample"])
+    return new.select("setting", "qid", "sample", "part", "query",
+                      F.size("responses").alias("n_responses"))

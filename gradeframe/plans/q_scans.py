@@ -126,6 +126,19 @@ def q_scan_reports(spark, sf_dir):
     return r.select(F.col("setting").cast("int").alias("setting"), "pass_k", *CE.RATES)
 
 
+@register("scan_labels", None)  # oracle: the sample_labels query, see below
+def q_scan_labels(spark, sf_dir):
+    """Per-problem label documents written and read back (labels in step order)."""
+    from .catalogue import QUERIES
+    root = scratch(spark, "labels")
+    lab = QUERIES["sample_labels"](spark, sf_dir)
+    docs = SK.label_documents(lab.select("qid", "sample", F.split("labels", ",").alias("labels"),
+                                         F.split("labels", ",").alias("full_outputs")))
+    SK.write_documents(docs, root, "qid", "doc")
+    back = SC.label_scan(spark, root, name="part-*")
+    return back.select("qid", "sample", F.array_join("labels", ",").alias("labels"))
+
+
 @register("report_tsv", None)  # oracle added below (text columns)
 def q_report_tsv(spark, sf_dir):
     """S14 + S15: the latest-step report written as TSV with a header and read back."""
@@ -142,3 +155,4 @@ def _tsv_oracle() -> str:
 
 from .catalogue import ORACLES as _O  # noqa: E402
 _O["report_tsv"] = _tsv_oracle()
+_O["scan_labels"] = _O["sample_labels"]

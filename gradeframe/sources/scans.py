@@ -161,6 +161,17 @@ def setting_verdict_scan(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumnRenamed("step", "part")
 
 
+LABEL_FILE_TYPE = "map<string,struct<labels:array<string>,full_outputs:array<string>>>"
+
+
+def label_scan(spark: SparkSession, root: str, name: str = "*.json") -> DataFrame:
+    """S18 read side: per-problem label documents -> (qid, sample, labels, full_outputs)."""
+    raw = spark.read.text(f"{root.rstrip('/')}/*/{name}", wholetext=True).select(
+        "value", path_part(r"/" + _dir("qid") + r"/[^/]+$").alias("qid"))
+    e = raw.select("qid", F.explode(F.from_json("value", LABEL_FILE_TYPE)).alias("sample", "v"))
+    return e.select("qid", F.col("sample").cast("int").alias("sample"), "v.labels", "v.full_outputs")
+
+
 # ------------------------------------------------------------------ S5
 CLASS_FILE_TYPE = ("map<string,map<string,map<string,struct<errors:int,failures:int,testsRun:int>>>>")
 

@@ -65,6 +65,14 @@ def verdict_documents(verdicts: DataFrame, qid: str = "qid") -> DataFrame:
     return per_step.groupBy(qid).agg(doc.alias("doc"))
 
 
+def label_documents(labels: DataFrame, qid: str = "qid", sample: str = "sample") -> DataFrame:
+    """``{sample: {labels: [...], full_outputs: [...]}}`` text per problem
+    (bounded by the samples of one problem)."""
+    entry = F.struct(F.col("labels"), F.col("full_outputs"))
+    return labels.groupBy(qid).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
+        F.col(sample).cast("string"), entry)))).alias("doc"))
+
+
 def consolidate(df: DataFrame, path: str, step: str = "step") -> None:
     """All per-task records of a step in one place - a directory per step
     written in parallel (``partitionBy``), instead of one array file built by
