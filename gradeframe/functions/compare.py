@@ -105,9 +105,16 @@ def all_int_pairs(a, b) -> Column:
                                lambda x, y: is_int_text(x) & is_int_text(y)), lambda ok: ok)
 
 
+# White space other than the blank that separates tokens (Java's \s set).
+_WS_OTHER = "\t\n\x0b\x0c\r"
+
+
 def token_set(line) -> Column:
-    """Tokens of one line (``line.split()``) as a sorted distinct array."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(_c(line), r"\s+", -1), lambda t: t != "")))
+    """Tokens of one line (``line.split()``) as a sorted distinct array.
+
+    White space is mapped to blanks and split on the single blank (no regex)."""
+    blanks = F.translate(_c(line), _WS_OTHER, " " * len(_WS_OTHER))
+    return F.array_sort(F.array_distinct(F.filter(F.split(blanks, " ", -1), lambda t: t != "")))
 
 
 def token_sets(lines, drop_empty: bool) -> Column:
@@ -222,9 +229,9 @@ def with_ladder(df, stdout: str = "stdout", expected: str = "expected"):
             .withColumn("_sexp", py_strip(F.col(expected))))
     st = st.withColumn("_ne", F.filter("_out", lambda x: x != ""))
     out, el, ne = F.col("_out"), F.col("_el"), F.col("_ne")
-    st = st.withColumn("_tso", F.filter(F.transform(ne, token_set), lambda a: F.size(a) > 0)) \
-           .withColumn("_tse", F.transform(el, token_set))
-    tso, tse = F.col("_tso"), F.col("_tse")
+    # token sets are read only by the last two rungs: computed inside the lazy CASE
+    tso = F.filter(F.transform(ne, token_set), lambda a: F.size(a) > 0)
+    tse = F.transform(el, token_set)
 
     def rounded(sets):
         r = F.transform(sets, lambda a: F.transform(a, lambda t: F.round(t.try_cast("double"), 3)))
