@@ -73,7 +73,7 @@ def class_rollup(counts: DataFrame, task: str = "task") -> DataFrame:
 
 def class_report(counts: DataFrame, pass_k: int | Sequence[int], by: Sequence[str] = (),
                  task: str = "task", test_class: str = "test_class",
-                 sample: str = "sample") -> DataFrame:
+                 sample: str = "sample", materialize: bool = True) -> DataFrame:
     """A15 + A16: the four ClassEval rates at pass@k, one row per (by..., k).
 
     The sample count of each task comes from the data. Function-level rates
@@ -81,11 +81,17 @@ def class_report(counts: DataFrame, pass_k: int | Sequence[int], by: Sequence[st
     pairs/tasks with no success add 0. All k values come out of one plan:
     the outcome table is aggregated at two grains - (task, sample) for the
     class-level outcome and (task, class) for the function-level counts -
-    and every k is a column of the same final aggregates.
+    and every k is a column of the same final aggregates. The outcome table
+    (one row per task, sample and class - far smaller than the verdicts it
+    comes from) feeds both grains, so it is materialised once with a reliable
+    checkpoint instead of being recomputed per branch.
     """
     ks = [int(pass_k)] if isinstance(pass_k, int) else [int(k) for k in pass_k]
     by = list(by)
     o = with_outcome(counts)
+    if materialize:
+        from ..session import cut_lineage
+        o = cut_lineage(o)
     grouped = bool(by)
     if not grouped:  # one report row per k: group on a constant key rather than cross-joining
         o, by = o.withColumn("_all", F.lit(1)), ["_all"]
@@ -133,6 +139,14 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
 
 
+def upsert_versions(df: DataFrame, key: Sequence[str], version: str) -> DataFrame:
+    """U6 in one pass: rows of several report versions in one frame; per key the row of
+    the highest version wins (an aggregate, so no second read of either version)."""
+    cols = [c for c in df.columns if c not in key and c != version]
+    win = F.max_by(F.struct(*cols), F.col(version))
+    return df.groupBy(*key).agg(win.alias("_w")).select(*key, "_w.*")
+
+
 def class_verdicts(counts: DataFrame, task: str = "task", sample: str = "sample") -> DataFrame:
     """Collapse class counts into a verdict vector per (task, sample):
     ``1 x correct, 0 x failures, -1 x errors``, or ``[-2]`` when nothing ran."""

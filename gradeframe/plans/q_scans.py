@@ -126,6 +126,24 @@ def q_scan_reports(spark, sf_dir):
     return r.select(F.col("setting").cast("int").alias("setting"), "pass_k", *CE.RATES)
 
 
+@register("scan_consolidated", V.with_views(["turns"], """
+SELECT qid, sample, step, arg_max(text, turn) AS code FROM turns
+WHERE role = 'assistant' AND step = (SELECT max(step) FROM turns WHERE role = 'assistant')
+GROUP BY 1, 2, 3"""))
+def q_scan_consolidated(spark, sf_dir):
+    """S21 (+ W8): per-task step records consolidated into one directory per step,
+    written in parallel; the latest step is read back by partition pruning."""
+    root = scratch(spark, "consolidated")
+    codes = H.step_code(V.turns(spark, sf_dir)).withColumnRenamed("final_code", "code")
+    SK.consolidate(codes, root)
+    back = spark.read.json(root)
+    latest = back.agg(F.max("step").alias("_m"))
+    # one-row aggregate: its broadcast is bounded by construction
+    out = back.join(F.broadcast(latest), F.col("step") == F.col("_m"))
+    return out.select("qid", F.col("sample").cast("int").alias("sample"), F.col("step").cast("long").alias("step"),
+                      "code")
+
+
 @register("scan_labels", None)  # oracle: the sample_labels query, see below
 def q_scan_labels(spark, sf_dir):
     """Per-problem label documents written and read back (labels in step order)."""

@@ -82,3 +82,12 @@ def test_incremental_ingest_is_idempotent(spark, tmpdir_path):
     assert spark.read.parquet(table).count() == 5
     st = ingested_statistics(spark, table).collect()[0]
     assert st["num_rollouts"] == 3
+
+
+def test_single_problem_filter_reaches_the_scan(spark):
+    from gradeframe.operators.corpus import single_problem
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr(
+        "l_partkey AS qid", "l_quantity")
+    plan = single_problem(df, 5).select("qid")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_partkey), EqualTo(l_partkey,5)]" in plan
+    assert "ReadSchema: struct<l_partkey:bigint>" in plan
