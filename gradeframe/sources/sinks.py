@@ -31,6 +31,18 @@ def append(df: DataFrame, path: str, fmt: str = "json") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
+def split_by_key(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "json") -> None:
+    """One output folder per key value (e.g. setting, problem), written in parallel;
+    for interchange with tools that expect a file per key."""
+    df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).format(fmt).save(path)
+
+
+def save_split(df: DataFrame, path: str, split: str = "train", mode: str = "overwrite") -> None:
+    """Save a dataset under a split name (a ``split`` partition column); S9 loads
+    it back with ``spark.read.parquet(path)`` (``split`` becomes a column again)."""
+    df.withColumn("split", F.lit(split)).write.mode(mode).partitionBy("split").parquet(path)
+
+
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Tab-separated text with a header line."""
     df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
