@@ -144,6 +144,23 @@ def q_scan_consolidated(spark, sf_dir):
                       "code")
 
 
+@register("scan_stream_ingest", None)  # oracle: the overall_stats query, see below
+def q_scan_stream_ingest(spark, sf_dir):
+    """Streaming ingest (J3 by checkpoint): result records (one problem's document per
+    JSON line) are read by a file stream (availableNow) and merged idempotently
+    into a verdict table - a second run finds nothing new - then the overall
+    statistics are computed from the table."""
+    from ..streaming.incremental import ingest_verdicts, ingested_statistics
+    from .catalogue import finish
+    root = scratch(spark, "stream")
+    docs = SK.verdict_documents(V.verdicts(spark, sf_dir, positions=True))
+    docs.select("qid", F.col("doc").alias("results")).write.mode("overwrite").json(f"{root}/in")
+    table, ck = f"{root}/table", f"{root}/checkpoint"
+    ingest_verdicts(spark, f"{root}/in", table, ck, name="part-*", layout="lines")
+    ingest_verdicts(spark, f"{root}/in", table, ck, name="part-*", layout="lines")   # nothing new
+    return finish(ingested_statistics(spark, table))
+
+
 @register("scan_labels", None)  # oracle: the sample_labels query, see below
 def q_scan_labels(spark, sf_dir):
     """Per-problem label documents written and read back (labels in step order)."""
@@ -174,3 +191,4 @@ def _tsv_oracle() -> str:
 from .catalogue import ORACLES as _O  # noqa: E402
 _O["report_tsv"] = _tsv_oracle()
 _O["scan_labels"] = _O["sample_labels"]
+_O["scan_stream_ingest"] = _O["overall_stats"]
