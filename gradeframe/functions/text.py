@@ -96,9 +96,11 @@ def mask_text(df, text: str, rate: float, seed, key: str, out: str = "masked"):
     """
     cols = df.columns
     words = F.split(F.col(text), " ", -1)
-    st = df.withColumn("_w", words).withColumn("_h", F.transform(
+    # md5("<seed>|<key>|<position>"): the per-row prefix is built once, each word adds its position
+    prefix = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"))
+    st = df.withColumn("_w", words).withColumn("_p", prefix).withColumn("_h", F.transform(
         F.sequence(F.lit(0), F.size("_w") - 1),
-        lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")))))
+        lambda i: F.md5(F.concat(F.col("_p"), i.cast("string")))))
     n = F.size("_w")
     k = F.floor(n * F.lit(float(rate))).cast("int")
     thr = F.when(k > 0, F.try_element_at(F.array_sort("_h"), k))
