@@ -108,10 +108,10 @@ SELECT doc_id, CAST(tso = tse AS INTEGER) AS same_token_sets, CAST(len(tso) AS I
 def q_compare_sets(spark, sf_dir):
     """Set-of-token-sets equality of output and expectation."""
     o = CMP.with_lines(V.outputs(spark, sf_dir), "stdout", "out")
-    o = o.select("doc_id", F.filter("out", lambda x: x != "").alias("ne"),
-                 CMP.expected_lines(F.col("expected")).alias("el"))
-    return o.select("doc_id", CMP.token_sets_equal(F.col("ne"), F.col("el")).cast("int").alias("same_token_sets"),
-                    F.size(CMP.token_sets(F.col("ne"), True)).alias("n_sets"))
+    o = o.select("doc_id", CMP.token_sets(F.filter("out", lambda x: x != ""), True).alias("tso"),
+                 CMP.token_sets(CMP.expected_lines(F.col("expected")), False).alias("tse"))
+    return o.select("doc_id", (F.col("tso") == F.col("tse")).cast("int").alias("same_token_sets"),
+                    F.size("tso").alias("n_sets"))
 
 
 CALL_CTE = """c AS (
