@@ -151,6 +151,13 @@ def verdict_scan(spark: SparkSession, root: str, name: str = "test_case_results.
     return _explode_verdict_map(raw, ["qid"])
 
 
+def verdict_lines_scan(spark: SparkSession, path: str) -> DataFrame:
+    """S4 for JSON-lines deliveries: records ``{"qid": ..., "results": "<document text>"}``,
+    many problems per file (the shape Spark writers produce)."""
+    raw = spark.read.schema("qid string, results string").json(path)
+    return _explode_verdict_map(raw.select(F.col("results").alias("value"), "qid"), ["qid"])
+
+
 def setting_verdict_scan(spark: SparkSession, root: str) -> DataFrame:
     """``test_cases_results/<setting>/<index>.json``: one entry per partial solution."""
     glob = f"{root.rstrip('/')}/test_cases_results/*/*.json"
@@ -176,12 +183,13 @@ def label_scan(spark: SparkSession, root: str, name: str = "*.json") -> DataFram
 CLASS_FILE_TYPE = ("map<string,map<string,map<string,struct<errors:int,failures:int,testsRun:int>>>>")
 
 
-def class_count_scan(spark: SparkSession, path: str) -> DataFrame:
+def class_count_scan(spark: SparkSession, path: str, wholetext: bool = True) -> DataFrame:
     """``{task: {task_i: {TestClass: {errors, failures, testsRun}}}}`` -> class_counts.
 
-    ``task_i`` is ``<task>_<sample>``; three explodes flatten the maps.
+    ``task_i`` is ``<task>_<sample>``; three explodes flatten the maps. With
+    ``wholetext=False`` every line is one such document (JSON lines).
     """
-    raw = spark.read.text(path, wholetext=True)
+    raw = spark.read.text(path, wholetext=wholetext)
     a = raw.select(F.explode(F.from_json("value", CLASS_FILE_TYPE)).alias("task", "runs"))
     b = a.select("task", F.explode("runs").alias("task_i", "classes"))
     c = b.select("task", "task_i", F.explode("classes").alias("test_class", "r"))
