@@ -43,6 +43,8 @@ def group_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     totals of earlier slices are added for groups that span partitions.
     """
     spark = df.sparkSession
+    from ..session import ship_package
+    ship_package(spark)
     group, order = list(group), list(order)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if value is None:

@@ -18,6 +18,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from ..session import ship_package
+    ship_package(spark)   # queries may run Python steps on executors
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
