@@ -247,9 +247,10 @@ def stuck_runs(turns: DataFrame, keys: Sequence[str] = STEP, limit: int = 10,
     """
     t = turns.filter(F.col("role") == role)
     blank = X.py_strip(F.col("text")) == ""
+    # the first turn has no previous code to compare with, so it never counts
     agg = t.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_turns"),
-        F.count_if(blank).alias("n_stuck"),
+        (F.count_if(blank) - F.min_by(blank.cast("int"), F.col("turn"))).alias("n_stuck"),
         F.max_by("text", "turn").alias("_last"))
     given_up = F.col("n_stuck") >= limit
     return agg.select(*keys, "n_turns", "n_stuck", given_up.cast("int").alias("given_up"),

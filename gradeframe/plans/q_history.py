@@ -139,11 +139,13 @@ def q_context_offsets(spark, sf_dir):
     return per_turn
 
 
+_NS = f"(count(*) FILTER (WHERE {_strip('text')} = '') - arg_min(CAST({_strip('text')} = '' AS INTEGER), turn))"
+
+
 @register("stuck_runs", V.with_views(["turns"], f"""
-SELECT qid, sample, step, count(*) AS n_turns,
-       count(*) FILTER (WHERE {_strip('text')} = '') AS n_stuck,
-       CAST(count(*) FILTER (WHERE {_strip('text')} = '') >= 10 AS INTEGER) AS given_up,
-       CASE WHEN count(*) FILTER (WHERE {_strip('text')} = '') >= 10 THEN '' ELSE arg_max(text, turn) END AS final_code
+SELECT qid, sample, step, count(*) AS n_turns, {_NS} AS n_stuck,
+       CAST({_NS} >= 10 AS INTEGER) AS given_up,
+       CASE WHEN {_NS} >= 10 THEN '' ELSE arg_max(text, turn) END AS final_code
 FROM turns WHERE role = 'assistant' GROUP BY 1, 2, 3"""))
 def q_stuck_runs(spark, sf_dir):
     """Blank continuations counted per step; at 10 the sample is given up."""

@@ -47,3 +47,12 @@ def test_jsonl_first_matches_and_split_save(spark, tmpdir_path):
     assert back.filter(F.col("split") == "train").count() == 10
     SK.split_by_key(df, f"{tmpdir_path}/bykey", ["lang"])                          # S17
     assert {"lang=C", "lang=Python"} <= set(os.listdir(f"{tmpdir_path}/bykey"))
+
+
+def test_stuck_runs_skip_first_turn(spark):
+    rows = [("q", 0, 0, 1, i, "assistant", t) for i, t in enumerate([" ", "a", "", "  "] + [""] * 9)]
+    df = spark.createDataFrame(rows, "qid string, sample int, step long, conv_id long, turn long, role string, text string")
+    r = H.stuck_runs(df).collect()[0]
+    assert (r.n_turns, r.n_stuck, r.given_up, r.final_code) == (13, 11, 1, "")
+    r9 = H.stuck_runs(df.filter("turn < 11")).collect()[0]          # 9 counted blanks: not yet given up
+    assert (r9.n_stuck, r9.given_up) == (9, 0)
