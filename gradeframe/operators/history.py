@@ -156,7 +156,7 @@ def warm_start(per_step: DataFrame, keys: Sequence[str] = ROLLOUT, step: str = "
 # ------------------------------------------------------------------ W2
 def chat_messages(turns: DataFrame, include_history: bool = True, merge_system: bool = False,
                   prefill: str | Column | None = None, conv: str = "conv_id",
-                  pos: str = "turn") -> DataFrame:
+                  pos: str = "turn", prefill_in_query: bool = False) -> DataFrame:
     """The message list sent to the model, in long form (conv, request, msg_idx, role, content).
 
     * include_history: one request per conversation holding every message in
@@ -164,8 +164,17 @@ def chat_messages(turns: DataFrame, include_history: bool = True, merge_system:
     * no history: one request per user turn = [system, that user turn].
     * merge_system (Gemma/Reka): the system text is merged into the user
       message as ``sys + "\\n\\n" + query`` and no system message is sent.
-    * prefill: appended as a last assistant message.
+    * prefill: appended as a last assistant message, or - ``prefill_in_query``,
+      the OpenAI-style clients - added to the last user message after a blank line.
     """
+    if prefill is not None and prefill_in_query:
+        last_user = turns.filter(F.col("role") == "user").groupBy(conv).agg(F.max(pos).alias("_lu"))
+        pf = F.lit(prefill) if isinstance(prefill, str) else prefill
+        turns = (turns.join(last_user, conv, "left")
+                 .withColumn("text", F.when(F.col(pos) == F.col("_lu"),
+                                            F.concat(F.col("text"), F.lit("\n\n"), pf)).otherwise(F.col("text")))
+                 .drop("_lu"))
+        prefill = None
     sys_ = turns.filter(F.col("role") == "system").groupBy(conv).agg(
         F.min_by("text", pos).alias("_sys"))
     body = turns.filter(F.col("role") != "system").join(sys_, conv, "left")

@@ -56,3 +56,17 @@ def test_stuck_runs_skip_first_turn(spark):
     assert (r.n_turns, r.n_stuck, r.given_up, r.final_code) == (13, 11, 1, "")
     r9 = H.stuck_runs(df.filter("turn < 11")).collect()[0]          # 9 counted blanks: not yet given up
     assert (r9.n_stuck, r9.given_up) == (9, 0)
+
+
+def test_chat_messages_forms(spark):
+    rows = [(1, 0, "system", "S"), (1, 1, "user", "u1"), (1, 2, "assistant", "a1"), (1, 3, "user", "u2")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    full = [(r.msg_idx, r.role, r.content) for r in
+            H.chat_messages(t, True, prefill="```python").orderBy("msg_idx").collect()]
+    assert full == [(0, "system", "S"), (2, "user", "u1"), (3, "assistant", "a1"), (4, "user", "u2"),
+                    (5, "assistant", "```python")]
+    q = [(r.role, r.content) for r in
+         H.chat_messages(t, True, prefill="P", prefill_in_query=True).orderBy("msg_idx").collect()]
+    assert q[-1] == ("user", "u2\n\nP") and len(q) == 4
+    gemma = [(r.request, r.content) for r in H.chat_messages(t, False, merge_system=True).orderBy("request").collect()]
+    assert gemma == [(1, "S\n\nu1"), (3, "S\n\nu2")]
