@@ -163,7 +163,8 @@ def chat_messages(turns: DataFrame, include_history: bool = True, merge_system:
       order (the pending call) - linear in the input, no per-turn copies.
     * no history: one request per user turn = [system, that user turn].
     * merge_system (Gemma/Reka): the system text is merged into the user
-      message as ``sys + "\\n\\n" + query`` and no system message is sent.
+      message as ``sys + "\\n\\n" + query`` and no system message is sent;
+      ``merge_system="all"`` merges it into every user message of the history.
     * prefill: appended as a last assistant message, or - ``prefill_in_query``,
       the OpenAI-style clients - added to the last user message after a blank line.
     """
@@ -183,7 +184,10 @@ def chat_messages(turns: DataFrame, include_history: bool = True, merge_system:
         first_user = body.filter(F.col("role") == "user").groupBy(conv).agg(F.min(pos).alias("_fu"))
         body = body.join(first_user, conv, "left")
         content = F.col("text")
-        if merge_system:
+        if merge_system == "all":      # Reka: every user message carries the system text
+            content = F.when(F.col("role") == "user",
+                             F.concat(sys_text, F.lit("\n\n"), F.col("text"))).otherwise(F.col("text"))
+        elif merge_system:             # Gemma: only the first user message
             content = F.when(F.col(pos) == F.col("_fu"),
                              F.concat(sys_text, F.lit("\n\n"), F.col("text"))).otherwise(F.col("text"))
         msgs = body.select(conv, F.lit(-1).cast("long").alias("request"),

@@ -70,3 +70,10 @@ def test_chat_messages_forms(spark):
     assert q[-1] == ("user", "u2\n\nP") and len(q) == 4
     gemma = [(r.request, r.content) for r in H.chat_messages(t, False, merge_system=True).orderBy("request").collect()]
     assert gemma == [(1, "S\n\nu1"), (3, "S\n\nu2")]
+
+
+def test_chat_messages_merge_all(spark):
+    rows = [(1, 0, "system", "S"), (1, 1, "user", "u1"), (1, 2, "assistant", "a1"), (1, 3, "user", "u2")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = [(r.role, r.content) for r in H.chat_messages(t, True, merge_system="all").orderBy("msg_idx").collect()]
+    assert got == [("user", "S\n\nu1"), ("assistant", "a1"), ("user", "S\n\nu2")]
