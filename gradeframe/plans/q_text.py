@@ -214,11 +214,15 @@ def _class_skeleton_parts():
     return ["class C:", "    @staticmethod", "    def a(x):", "        return x", "    def b(self, y):"]
 
 
-@register("static_methods", f"""
-SELECT doc_id, array_to_string(flatten(list_transform(list_filter(string_split(w, {NL}), lambda l: NOT contains(l, '@staticmethod')),
+def _static_sql(x: str) -> str:
+    return f"""array_to_string(flatten(list_transform(list_filter(string_split({x}, {NL}), lambda l: NOT contains(l, '@staticmethod')),
          lambda l: CASE WHEN starts_with({strip('l')}, 'def ') AND NOT contains(l, 'self') AND NOT contains(l, 'cls')
                              AND length(l) - length({lstrip('l')}) = 4
-                        THEN ['    @staticmethod', l] ELSE [l] END)), {NL}) AS code
+                        THEN ['    @staticmethod', l] ELSE [l] END)), {NL})"""
+
+
+@register("static_methods", f"""
+SELECT doc_id, {_static_sql('w')} AS code
 FROM (SELECT doc_id, {s_nl(*[lit(p) for p in _class_skeleton_parts()], 'text', lit('    def c(cls):'),
                             lit('        pass'), lit('    def d():'))} AS w FROM documents) a""")
 def q_static_methods(spark, sf_dir):
@@ -322,13 +326,14 @@ ex AS (SELECT doc_id, CASE {fence} ELSE array_to_string(CASE WHEN ind <> 0 THEN
 
 @register("extract_code", f"""WITH w0 AS (SELECT doc_id, {REPLY_WRAP_SQL} AS w FROM documents),
 {_extract_code_sql()}
-SELECT doc_id, code, {lit(chr(10).join(IMPORTS))} || {NL} || string_split(code, 'python')[-1] AS program
+SELECT doc_id, code, {lit(chr(10).join(IMPORTS))} || {NL} || {_static_sql("string_split(code, 'python')[-1]")} AS program
 FROM ex""")
 def q_extract_code(spark, sf_dir):
-    """X11 + X13: code pulled out of a model reply, then the import lines put in front."""
+    """X11 + X12 + X13: code pulled out of a model reply, static methods marked, then
+    the import lines put in front."""
     d = X.extract_code(_docs(spark, sf_dir).select("doc_id", _reply_wrap().alias("reply")), "reply")
     imports = F.array(*[F.lit(i) for i in IMPORTS])
-    return d.select("doc_id", "code", X.prepend_imports(F.col("code"), imports).alias("program"))
+    return d.select("doc_id", "code", X.classeval_program(F.col("code"), imports).alias("program"))
 
 
 # ------------------------------------------------------------------ X36 P12
