@@ -222,6 +222,17 @@ def parse_call_args(text) -> Column:
     return F.transform(F.split(_c(text), "\n", -1), lambda l: F.try_parse_json(l))
 
 
+def int_keys_or_original(m) -> Column:
+    """X23 with one result type: keys normalised as integers (``int(k)``, e.g. ' 07' ->
+    '7') when every key is one, else the original map - as the reference keeps
+    the dict when the conversion fails."""
+    mc = _c(m)
+    ok = F.forall(F.map_keys(mc), lambda k: k.rlike(r"^\s*[+-]?[0-9]+\s*$"))
+    norm = F.map_from_entries(F.transform(F.map_entries(mc), lambda e: F.struct(
+        py_strip(e["key"]).cast("long").cast("string").alias("key"), e["value"].alias("value"))))
+    return F.when(ok, norm).otherwise(mc)
+
+
 def int_keys(m) -> Column:
     """Restore integer map keys (``{int(k): v}``); NULL when a key is not an integer."""
     mc = _c(m)
