@@ -103,14 +103,16 @@ def regroup_by_step(step_codes: DataFrame, problem: str = "qid", step: str = "st
     return out
 
 
-def regroup_results(graded: DataFrame, problem: str = "qid", pos: str = "position",
+def regroup_results(graded: DataFrame, problem: str | Sequence[str] = "qid", pos: str = "position",
                     value: str = "result", meta: str | None = None) -> DataFrame:
     """Flat grading rows back into per-problem lists ordered by position;
-    metadata kept as JSON text."""
+    metadata kept as JSON text. Lists are built from one row per graded
+    generation, so their length is the sample budget."""
+    keys = [problem] if isinstance(problem, str) else list(problem)
     fields = [F.col(pos), F.col(value)] + ([F.to_json(F.col(meta)).alias("meta")] if meta else [])
     lst = F.array_sort(F.collect_list(F.struct(*fields)))
-    out = graded.groupBy(problem).agg(lst.alias("_l"))
-    cols = [problem, F.transform("_l", lambda x: x[value]).alias("results")]
+    out = graded.groupBy(*keys).agg(lst.alias("_l"))
+    cols = [*keys, F.transform("_l", lambda x: x[value]).alias("results")]
     if meta:
         cols.append(F.transform("_l", lambda x: x["meta"]).alias("metadata"))
     return out.select(*cols)

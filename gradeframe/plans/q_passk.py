@@ -186,3 +186,19 @@ def q_latest_item(spark, sf_dir):
     items = cc.select("task", "sample", "test_class", "tests_run",
                       (F.col("sample") * 256 + F.ascii("test_class")).alias("position"))
     return C.latest_item(items)
+
+
+@register("regrouped_results", V.with_views(["verdicts"], """
+SELECT qid, step, string_agg(CAST(strict_accuracy AS VARCHAR), ',' ORDER BY sample) AS results,
+       string_agg(to_json({'test_cases_run': test_cases_run, 'had_compile_errors': had_compile_errors}), '|'
+                  ORDER BY sample) AS metadata
+FROM r GROUP BY qid, step""", [rollout_cte(["step"])]))
+def q_regrouped_results(spark, sf_dir):
+    """Per-generation grades regrouped into per-problem lists in sample order,
+    with each generation's metadata as JSON text."""
+    from ..operators.history import regroup_results
+    r = S.rollout_stats(V.verdicts(spark, sf_dir)).withColumn(
+        "meta", F.struct("test_cases_run", "had_compile_errors"))
+    g = regroup_results(r, ["qid", "step"], "sample", "strict_accuracy", "meta")
+    return g.select("qid", "step", F.array_join(F.col("results").cast("array<string>"), ",").alias("results"),
+                    F.array_join("metadata", "|").alias("metadata"))
