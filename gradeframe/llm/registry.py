@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash_trie
+from . import simhash_trie, url_rules
 
-MODULES = (simhash_trie,)
+MODULES = (url_rules, simhash_trie)
 
 
 def queries() -> dict:
