@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash_trie, url_rules
+from . import simhash_trie, url_rules, warc_chunks
 
-MODULES = (url_rules, simhash_trie)
+MODULES = (warc_chunks, url_rules, simhash_trie)
 
 
 def queries() -> dict:
