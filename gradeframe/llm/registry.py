@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash_trie, url_rules, warc_chunks
+from . import quality_fm, simhash_trie, url_rules, warc_chunks
 
-MODULES = (warc_chunks, url_rules, simhash_trie)
+MODULES = (quality_fm, warc_chunks, url_rules, simhash_trie)
 
 
 def queries() -> dict:
