@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fertility, quality_fm, simhash_trie, url_rules, warc_chunks
+from . import fertility, license_index, quality_fm, simhash_trie, url_rules, warc_chunks
 
-MODULES = (quality_fm, warc_chunks, url_rules, fertility, simhash_trie)
+MODULES = (quality_fm, warc_chunks, url_rules, fertility, simhash_trie, license_index)
 
 
 def queries() -> dict:
