@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import fertility, license_index, pii_boost, quality_fm, simhash_trie, url_rules, warc_chunks
+from . import bpe_words, fertility, license_index, pii_boost, quality_fm, simhash_trie, url_rules, warc_chunks
 
-MODULES = (quality_fm, warc_chunks, url_rules, fertility, simhash_trie, license_index, pii_boost)
+MODULES = (bpe_words, quality_fm, warc_chunks, url_rules, fertility, simhash_trie, license_index, pii_boost)
 
 
 def queries() -> dict:
