@@ -1,15 +1,16 @@
 """BPE encoding through a table of distinct words, decoding through a table of pieces.
 
 1. Splitting. A pass over the whole texts splits them into the tokeniser's
-   words and writes, for a batch of texts, one row with the batch's distinct
-   words and the texts as positions in that list, most frequent first, in
-   compressed byte planes. The table lies in the shared checkpoint folder; it
-   is a fraction of the texts and the only large thing that is shuffled.
-2. Encoding. The distinct words of all batches form the word table; each word
-   is encoded once.
-3. Joining back. Word ids join the batches' word lists by word, and meet their
-   batch by its number; there every position is replaced by its word's ids.
-   A batch has at most ``batch_words`` words (or one text).
+   words. A batch of texts becomes one row: its texts as positions in the list
+   of its distinct words (most frequent first, in compressed byte planes), and
+   that list dealt into parts by a hash of the word, each part compressed. The
+   rows form a table bucketed by batch in the shared checkpoint folder.
+2. Encoding. The parts are shuffled by part number, so all batches' copies of a
+   word meet in one task, and each distinct word is encoded once there.
+3. Joining back. The ids of a batch's parts meet the batch's texts (read in
+   place from the bucketed table, only the ids are shuffled), and every
+   position is replaced by the ids of its word. A batch has at most
+   ``batch_words`` words (or one text).
 4. Decoding. The 50,257 pieces of the vocabulary are an array by id; the ids of
    a text fetch their pieces, and the bytes are decoded once whole.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import count
@@ -32,6 +34,8 @@ from ..session import ensure_checkpoint_dir
 from .common import map_arrow, table
 
 BATCH_WORDS = 3_000_000
+#: Words a task remembers; beyond that it starts anew, and words met again are encoded again.
+KNOWN_WORDS = 2_000_000
 #: Fixed value: the split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Blocks whose characters have had their classes for long; texts with others go
@@ -90,19 +94,50 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def word_batches(docs: DataFrame, path: str, batch_words: int = BATCH_WORDS, id_col: str = "doc_id",
+def pack_words(words: list[str]) -> bytes:
+    """A list of words as their lengths in bytes and the bytes, compressed."""
+    import zstandard
+    raw = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, raw), "<u4", len(raw))
+    return zstandard.ZstdCompressor(level=3).compress(
+        np.array([len(raw)], "<u4").tobytes() + sizes.view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(raw))
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    import zstandard
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    sizes = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64)
+    ends = np.cumsum(sizes) + 4 + 4 * n
+    return [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+
+
+BATCH_SCHEMA = ("batch long, ids array<long>, sizes binary, codes binary, parts binary, "
+                "lists array<struct<part:int,words:binary>>")
+
+
+def word_batches(docs: DataFrame, path: str, parts: int, batch_words: int = BATCH_WORDS, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """(batch, ids, sizes, codes, words): texts as positions in their batch's word list."""
+    """BATCH_SCHEMA: texts as positions (``codes``) in their batch's words, the part
+    of each word (``parts``), and the words of each part in the order of their positions."""
     def row(ids, sizes, codes, index) -> pa.RecordBatch:
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         order = np.argsort(-np.bincount(flat, minlength=len(index)), kind="stable")
         rank = np.empty(len(index), np.int64)
         rank[order] = np.arange(len(index))
         words = list(index)
+        words = [words[k] for k in order]
+        part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), np.int64, len(words))
+        lists: dict[int, list[str]] = defaultdict(list)
+        for p, w in zip(part.tolist(), words, strict=True):
+            lists[p].append(w)
+        made = [{"part": p, "words": pack_words(ws)} for p, ws in sorted(lists.items())]
+        kind = pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())]))
         return pa.RecordBatch.from_arrays(
             [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
              pa.array([pack(np.array(sizes))], pa.binary()), pa.array([pack(rank[flat])], pa.binary()),
-             pa.array([[words[k] for k in order]], pa.list_(pa.string()))], ["batch", "ids", "sizes", "codes", "words"])
+             pa.array([pack(part)], pa.binary()), pa.array([made], kind)],
+            ["batch", "ids", "sizes", "codes", "parts", "lists"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = splitter(path)
@@ -113,7 +148,7 @@ def word_batches(docs: DataFrame, path: str, batch_words: int = BATCH_WORDS, id_
                 got = split(t.as_py() or "")
                 ids.append(i.as_py())
                 sizes.append(len(got))
-                codes.append(np.fromiter(map(index.__getitem__, got), np.int64, len(got)))
+                codes.append(np.fromiter(map(index.__getitem__, got), np.int32, len(got)))
                 n += len(got)
                 if n >= batch_words:
                     yield row(ids, sizes, codes, index)
@@ -123,21 +158,31 @@ def word_batches(docs: DataFrame, path: str, batch_words: int = BATCH_WORDS, id_
             yield row(ids, sizes, codes, index)
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return map_arrow(src, run, "batch long, ids array<long>, sizes binary, codes binary, words array<string>")
+    return map_arrow(src, run, BATCH_SCHEMA)
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids): ids of each word as little-endian unsigned 32-bit numbers."""
+def encode_lists(lists: DataFrame, path: str) -> DataFrame:
+    """(batch, part, words) -> (batch, part, sizes, word_ids); each distinct word of a task is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(path)
+        known: dict[bytes, bytes] = {}
         for b in batches:
-            for i in range(0, b.num_rows, 4096):
-                part = b.slice(i, 4096)
-                got = t.encode_batch(part.column(0).to_pylist(), add_special_tokens=False)
+            for i in range(b.num_rows):
+                words = unpack_words(b.column(2)[i].as_py())
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                new = [w for w in words if w not in known]
+                for k in range(0, len(new), 4096):
+                    some = new[k:k + 4096]
+                    got = t.encode_batch([w.decode() for w in some], add_special_tokens=False)
+                    known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, got, strict=True))
+                ids = [known[w] for w in words]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([np.array(e.ids, "<u4").tobytes() for e in got], pa.binary())], ["word", "ids"])
+                    [b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([pack(sizes)], pa.binary()),
+                     pa.array([pack(np.frombuffer(b"".join(ids), "<u4"))], pa.binary())], ["batch", "part", "sizes", "word_ids"])
 
-    return map_arrow(words, run, "word string, ids binary")
+    return map_arrow(lists, run, "batch long, part int, sizes binary, word_ids binary")
 
 
 def gather(start: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,14 +204,18 @@ def _join_back(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows:
         return pa.Table.from_arrays([pa.array([], t) for t in types], names)
     row = left.to_pylist()[0]
-    sizes, codes = unpack(row["sizes"]).astype(np.int64), unpack(row["codes"]).astype(np.int64)
-    right = right.sort_by("code")
-    if right.num_rows and right["code"][-1].as_py() != right.num_rows - 1:
-        raise ValueError(f"batch {row['batch']}: {right.num_rows} words joined back, one has number {right['code'][-1]}")
-    parts = [np.frombuffer(x.as_buffer(), "<u4") for x in right["ids"]]
-    size = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate(parts) if parts else np.zeros(0, "<u4")
-    places, per_word = gather(np.cumsum(size) - size, size, codes)
+    sizes, codes, part = (unpack(row[c]).astype(np.int64) for c in ("sizes", "codes", "parts"))
+    got = sorted(right.select(["part", "sizes", "word_ids"]).to_pylist(), key=lambda r: r["part"])
+    word_sizes = [unpack(r["sizes"]).astype(np.int64) for r in got]
+    # words of the parts in turn, each part in the order of its positions
+    order = np.argsort(part, kind="stable")
+    if not np.array_equal(part[order], np.repeat([r["part"] for r in got], [len(x) for x in word_sizes])):
+        raise ValueError(f"batch {row['batch']}: the encoded parts are not those of its words")
+    in_turn = np.concatenate(word_sizes) if got else np.zeros(0, np.int64)
+    size, start = np.empty_like(in_turn), np.empty_like(in_turn)
+    size[order], start[order] = in_turn, np.cumsum(in_turn) - in_turn
+    flat = np.concatenate([unpack(r["word_ids"]) for r in got]) if got else np.zeros(0, "<u4")
+    places, per_word = gather(start, size, codes)
     ends = np.concatenate(([0], np.cumsum(per_word)))[np.cumsum(sizes)]
     out = flat[places].astype("<u4")
     return pa.Table.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(np.diff(ends, prepend=0)),
@@ -183,12 +232,13 @@ def encode(docs: DataFrame, path: str, batch_words: int = BATCH_WORDS, id_col: s
     other columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/words-{uuid.uuid4().hex}"
-    word_batches(docs, path, batch_words, id_col, text_col).write.parquet(folder)
-    read = spark.read.schema("batch long, ids array<long>, sizes binary, codes binary, words array<string>").parquet
-    ids = encode_words(read(folder).select(F.explode("words").alias("word")).distinct(), path)
-    lists = read(folder).select("batch", F.posexplode("words").alias("code", "word")).join(ids, "word").select("batch", "code", "ids")
-    return (read(folder).select("batch", "ids", "sizes", "codes").groupBy("batch").cogroup(lists.groupBy("batch"))
+    name = f"gradeframe_words_{uuid.uuid4().hex}"
+    parts = min(1 << 16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (word_batches(docs, path, parts, batch_words, id_col, text_col).write.bucketBy(parts, "batch")
+     .option("path", f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name))
+    lists = spark.table(name).select("batch", F.inline("lists")).repartition(parts, "part")
+    return (spark.table(name).select("batch", "ids", "sizes", "codes", "parts").groupBy("batch")
+            .cogroup(encode_lists(lists, path).groupBy("batch"))
             .applyInArrow(_join_back, "doc_id long, n_tokens long, ids binary"))
 
 

@@ -44,6 +44,17 @@ def test_pack_round_trip():
         assert B.unpack(B.pack(np.array(x, np.int64))).tolist() == x
 
 
+def test_words_round_trip():
+    for ws in ([], ["a"], ["", "é", "x" * 70_000, "\n", "日本"]):
+        assert [w.decode() for w in B.unpack_words(B.pack_words(ws))] == ws
+
+
+def test_texts_are_not_shuffled(spark):
+    plan = B.encode(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), PATH)._jdf.queryExecution().executedPlan().toString()
+    left = plan[plan.index("FlatMapCoGroupsInArrow"):]
+    assert left.count("Exchange hashpartitioning") == 2      # by part and by batch, both of the word lists
+
+
 def test_cases(spark):
     rows = [(i if i != 4 else None, t) for i, t in enumerate(TEXTS)] * 2
     df = (spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("old")).withColumn("words", F.lit(1))
