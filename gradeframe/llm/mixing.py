@@ -9,9 +9,10 @@ aggregate over the source table, so six rounds settle it.
 
 A source's budget is its weight times the token budget: whole passes over the
 source, and a rest. For the rest, documents stand in the order of a hash (a
-permutation) cut into blocks; sums per block find the block in which the budget
-runs out, and only that block's documents are summed one by one. So a source
-that holds a third of all rows costs block sums and one small window. The
+permutation) cut into blocks; sums of wide blocks, then of the blocks in one of
+them, find where the budget runs out, and only that block's documents are summed
+one by one. So a source that holds a third of all rows costs block sums and
+three small windows. The
 outcome is a cut per source, applied to each document where it stands. Copies
 are dealt into ``block`` numbers of the output stream by another hash.
 
@@ -92,6 +93,14 @@ def exponent(sources: DataFrame, total: int, target: Target) -> float:
     return high / (1 << GRID_BITS)
 
 
+def _runs_out(sums: DataFrame, room: DataFrame) -> DataFrame:
+    """(key, slot, rest): where a source's running token sum passes its ``rest``, and what is left there."""
+    w = Window.partitionBy("key").orderBy("slot")
+    return (sums.join(room, "key").withColumn("sum", F.sum("tokens").over(w))
+            .filter((F.col("rest") < F.col("sum")) & (F.col("sum") - F.col("tokens") <= F.col("rest")) & (F.col("tokens") > 0))
+            .select("key", "slot", (F.col("rest") - F.col("sum") + F.col("tokens")).alias("rest")))
+
+
 def plan(docs: DataFrame, target: Target = Target(), seed: int = SEED, id_col: str = "doc_id",
          text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, int]:
     """((key, passes, cut) of each source, tokens of the mixture)."""
@@ -113,14 +122,16 @@ def plan(docs: DataFrame, target: Target = Target(), seed: int = SEED, id_col: s
     given = (sources.withColumn("share", F.when(F.col("tokens") > 0, share))
              .select("key", F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(1).alias("passes"),
                      F.when(F.col("tokens") > 0, F.col("share") % F.col("tokens")).alias("rest")))
-    by_block = Window.partitionBy("key").orderBy("block")
-    upto = (blocks.join(given.select("key", "rest"), "key").withColumn("sum", F.sum("tokens").over(by_block))
-            .filter((F.col("rest") < F.col("sum")) & (F.col("sum") - F.col("tokens") <= F.col("rest")) & (F.col("tokens") > 0))
-            .select("key", "block", (F.col("rest") - F.col("sum") + F.col("tokens")).alias("room")))
-    upto = checkpoint(upto)
+    # three steps down, each a window over at most 2^7 sums of a source
+    half = BLOCK_BITS // 2
+    wide = blocks.groupBy("key", F.shiftright("block", half).alias("slot")).agg(F.sum("tokens").alias("tokens"))
+    upto = checkpoint(_runs_out(wide, given.select("key", "rest")))
+    fine = (blocks.withColumn("wide", F.shiftright("block", half)).join(upto.select("key", F.col("slot").alias("wide")), ["key", "wide"])
+            .select("key", F.col("block").alias("slot"), "tokens"))
+    upto = checkpoint(_runs_out(fine, upto.select("key", "rest")).withColumnRenamed("slot", "block"))
     in_block = Window.partitionBy("key").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     fits = (rows.withColumn("block", F.shiftright("h", shift)).join(upto, ["key", "block"])
-            .withColumn("sum", F.sum("tokens").over(in_block)).filter("sum <= room").groupBy("key").agg(F.max("h").alias("last")))
+            .withColumn("sum", F.sum("tokens").over(in_block)).filter("sum <= rest").groupBy("key").agg(F.max("h").alias("last")))
     cuts = upto.join(fits, "key", "left").select(
         "key", F.coalesce("last", F.shiftleft("block", shift) - 1).alias("cut"))
     return checkpoint(given.join(cuts, "key", "left").select("key", "passes", F.coalesce("cut", none).alias("cut"))), budget
