@@ -84,7 +84,7 @@ def rotated(fp: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (fp << first) | np.where(first > 0, fp >> ((np.uint64(BITS) - first) % np.uint64(BITS)), np.uint64(0))
 
 
-def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def merge_groups(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Join the groups of ``i`` and ``j``; a label is the smallest index of its group."""
     while len(i):
         a, b = label[i], label[j]
@@ -126,7 +126,7 @@ def walk(rot: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np
             off = np.arange(len(of)) - np.repeat(np.cumsum(sn) - sn, sn)
             i, j = sa[of] + off // w[of], sb[of] + off % w[of]
             near = (i < j) & (np.bitwise_count(rot[i] ^ rot[j]) <= max_bits)
-            label = _merge(label, i[near], j[near])
+            label = merge_groups(label, i[near], j[near])
             a0, a1, b0, b1, d = (x[~small] for x in (a0, a1, b0, b1, d))
         if not len(a0):
             continue
