@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from .common import map_arrow, table
 
-BATCH_WORDS = 3_000_000
+BATCH_WORDS = 1_000_000
 #: Words a task remembers; beyond that it starts anew, and words met again are encoded again.
 KNOWN_WORDS = 2_000_000
 #: Fixed value: the split pattern of byte-level BPE.
@@ -188,7 +188,8 @@ def encode_lists(lists: DataFrame, path: str) -> DataFrame:
 def gather(start: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of all parts of the items ``of`` end to end, parts per item)."""
     sizes = size[of]
-    places = np.arange(sizes.sum()) + np.repeat(start[of] - (np.cumsum(sizes) - sizes), sizes)
+    places = np.repeat(start[of] - (np.cumsum(sizes) - sizes), sizes)
+    places += np.arange(len(places))
     return places, sizes
 
 
