@@ -26,10 +26,6 @@ from .text import py_strip
 # Numpy ``allclose`` defaults.
 RTOL = 1e-5
 ATOL = 1e-8
-# The line boundaries of Python's ``str.splitlines``.
-LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -80,29 +76,66 @@ def expected_lines(expected) -> Column:
     return F.transform(F.filter(F.split(_c(expected), "\n", -1), lambda x: x != ""), py_strip)
 
 
-def _as_doubles(arr) -> Column:
-    return F.transform(arr, lambda x: py_strip(x).try_cast("double"))
+# What Python's ``float()`` reads, apart from the special names: digits with single underscores
+# between them, a point, an exponent. (A cast alone would also take Java's "1f" and "1d".)
+FLOAT_TEXT = r"^[+-]?(?:[0-9]+(?:_[0-9]+)*(?:\.(?:[0-9]+(?:_[0-9]+)*)?)?|\.[0-9]+(?:_[0-9]+)*)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*)?$"
+SPECIAL_FLOAT = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 
 
 def maybe_number(x) -> Column:
-    """Necessary for a text to parse as a float: a digit, or inf/infinity/nan.
+    """Text that ``float()`` accepts."""
+    s = py_strip(_c(x))
+    return s.rlike(FLOAT_TEXT) | s.rlike(SPECIAL_FLOAT)
+
+
+def py_float(x) -> Column:
+    """``float(text)``; NULL where it would raise. The cast only runs on texts that fit,
+    as a failing cast raises and catches an exception per value."""
+    s = py_strip(_c(x))
+    special = (F.when(F.lower(s).contains("nan"), F.lit(float("nan")))
+               .when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+    return (F.when(s.rlike(FLOAT_TEXT), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+            .when(s.rlike(SPECIAL_FLOAT), special))
+
 
-    Checked before casting, because a failing cast is expensive (the engine
-    raises and catches an exception per value) and prose fails on every token."""
-    c = _c(x)
-    return c.rlike("[0-9]") | F.lower(py_strip(c)).rlike("^[+-]?(inf|infinity|nan)$")
+def _as_doubles(arr) -> Column:
+    return F.transform(arr, py_float)
+
+
+def near(x: Column, y: Column) -> Column:
+    """One pair of ``numpy.allclose``: NaN is near nothing, an infinity only itself."""
+    inf = F.lit(float("inf"))
+    return (F.when(F.isnan(x) | F.isnan(y), F.lit(False)).when(x == y, F.lit(True))
+            .when((F.abs(x) == inf) | (F.abs(y) == inf), F.lit(False))
+            .otherwise(F.abs(x - y) <= F.lit(ATOL) + F.lit(RTOL) * F.abs(y)))
 
 
 def all_close(a, b) -> Column:
     """X19 numeric check: equal length and every pair within tolerance (asymmetric in b)."""
     fa, fb = _as_doubles(a), _as_doubles(b)
     parsed = F.forall(fa, lambda x: x.isNotNull()) & F.forall(fb, lambda x: x.isNotNull())
-    close = F.forall(F.zip_with(fa, fb, lambda x, y: F.abs(x - y) <= F.lit(ATOL) + F.lit(RTOL) * F.abs(y)),
-                     lambda ok: ok)
+    close = F.forall(F.zip_with(fa, fb, near), lambda ok: ok)
     quick = (F.size(a) == F.size(b)) & F.forall(a, maybe_number) & F.forall(b, maybe_number)
     return F.when(quick, parsed & close).otherwise(F.lit(False))
 
 
+def round_three(x: Column) -> Column:
+    """Python's ``round(x, 3)``: to the nearest multiple of 1/1000 of the exact binary value, ties to even.
+
+    The product with 1000 is rounded itself; where it falls on a half, the
+    rounding error of the product (found by splitting the factor into two
+    halves whose products are exact) says on which side the value really is.
+    """
+    big = F.lit(134217729.0) * x
+    high = big - (big - x)
+    twice = x * 2000.0
+    error = (high * 2000.0 - twice) + (x - high) * 2000.0
+    half = (twice % 2.0 != 0) & (F.floor(twice).cast("double") == twice)
+    down = (twice - 1.0) / 2.0
+    whole = (F.when(half & (error > 0), down + 1.0).when(half & (error < 0), down).otherwise(F.rint(x * 1000.0)))
+    return F.when(F.isnan(x) | (F.abs(x) >= 1e15), x).otherwise(whole / 1000.0)
+
+
 def is_int_text(x) -> Column:
     """``str.isdigit()`` for ASCII digits."""
     return _c(x).rlike("^[0-9]+$")
@@ -142,79 +175,35 @@ def token_sets(lines, drop_empty: bool) -> Column:
     return F.array_sort(F.array_distinct(s))
 
 
-def token_sets_equal(out_lines, exp_lines) -> Column:
-    """Equality of sets of token sets (order and repeats ignored)."""
-    return token_sets(out_lines, True) == token_sets(exp_lines, False)
-
-
-def _rounded_sets(lines, drop_empty: bool) -> Column:
-    quick = F.forall(lines, lambda l: F.forall(token_set(l), maybe_number))
-    s = F.transform(lines, lambda l: F.transform(token_set(l), lambda t: F.round(t.try_cast("double"), 3)))
-    if drop_empty:
-        s = F.filter(s, lambda a: F.size(a) > 0)
-    ok = F.forall(s, lambda a: F.forall(a, lambda v: v.isNotNull()))
-    return F.when(quick, F.when(ok, F.array_sort(F.array_distinct(F.transform(s, lambda a: F.array_sort(
-        F.array_distinct(a)))))))
-
-
-def rounded_sets_equal(out_lines, exp_lines) -> Column:
-    a, b = _rounded_sets(out_lines, True), _rounded_sets(exp_lines, False)
-    return F.coalesce(a == b, F.lit(False))
-
-
-def ladder_checks(stdout, expected) -> dict[str, Column]:
-    """Each rung of the ladder as a boolean column (for inspection and tests)."""
-    out = splitlines(stdout)
-    exp = _c(expected)
-    sexp = py_strip(exp)
-    el = expected_lines(exp)
-    ne = F.filter(out, lambda x: x != "")
-    return {
-        "exact": py_strip(F.array_join(out, "\n")) == sexp,
-        "line_strip": py_strip(F.array_join(F.transform(out, py_strip), "\n")) == sexp,
-        "single": (F.size(out) == 1) & (F.try_element_at(out, F.lit(1)) == exp),
-        "lines": out == el,
-        "nonempty_lines": ne == el,
-        "numeric": all_close(ne, el),
-        "token_sets": token_sets_equal(ne, el),
-        "rounded_sets": rounded_sets_equal(ne, el),
-        "_all_int": all_int_pairs(ne, el),
-    }
-
-
-def stdout_matches(stdout, expected, variant: str = "apps") -> Column:
-    """The whole ladder; ``variant='lcb'`` stops before the set checks and
-    skips the numeric check when all compared pairs are integers."""
-    c = ladder_checks(stdout, expected)
-    base = c["exact"] | c["line_strip"] | c["single"] | c["lines"] | c["nonempty_lines"]
-    if variant == "lcb":
-        return F.coalesce(base | (~c["_all_int"] & c["numeric"]), F.lit(False))
-    return F.coalesce(base | c["numeric"] | c["token_sets"] | c["rounded_sets"], F.lit(False))
-
-
-def first_matching_rung(stdout, expected) -> Column:
-    """Name of the first rung that accepts (APPS order), or 'fail'."""
-    c = ladder_checks(stdout, expected)
-    out = F.lit("fail")
-    for name in reversed(["exact", "line_strip", "single", "lines", "nonempty_lines", "numeric",
-                          "token_sets", "rounded_sets"]):
-        out = F.when(F.coalesce(c[name], F.lit(False)), F.lit(name)).otherwise(out)
-    return out
+# ------------------------------------------------------------------ X21 - X23
+# Values of a parsed JSON text on one scale: Python holds 1e2 == 100 == 100.0 and true == 1.
+_NUMBER_TOKEN = r"(?<![\w.\"+-])-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![\w.\"])"
 
 
-# ------------------------------------------------------------------ X21 - X23
 def canonical_json(s) -> Column:
-    """Canonical JSON text of a value (VARIANT round trip); NULL if not JSON."""
-    return F.to_json(F.try_parse_json(_c(s)))
+    """Canonical text of a JSON value; NULL if not JSON.
+
+    Strings are set aside, then numbers are written as their double values and
+    true/false as 1/0, so equal Python values have equal texts.
+    """
+    j = F.to_json(F.try_parse_json(_c(s)))
+    strings = F.regexp_extract_all(j, F.lit(r'"(?:[^"\\]|\\.)*"'), 0)
+    rest = F.regexp_replace(j, r'"(?:[^"\\]|\\.)*"', '"')
+    rest = F.regexp_replace(F.regexp_replace(rest, r"\btrue\b", "1"), r"\bfalse\b", "0")
+    numbers = F.transform(F.regexp_extract_all(rest, F.lit(_NUMBER_TOKEN), 0), lambda n: n.cast("double") + 0.0)
+    shape = F.regexp_replace(rest, _NUMBER_TOKEN, "#")
+    return F.concat_ws("\x01", shape, F.array_join(numbers.cast("array<string>"), "\x02"), F.array_join(strings, "\x02"))
 
 
 def call_result_matches(output, expected) -> Column:
     """The returned value equals the expected value, or its first element
     when the expected value is a non-empty list (tuples arrive as JSON lists)."""
     o, e = canonical_json(output), F.try_parse_json(_c(expected))
-    first = F.to_json(F.try_variant_get(e, "$[0]", "variant"))
+    first = canonical_json(F.to_json(F.try_variant_get(e, "$[0]", "variant")))
     is_list = F.schema_of_variant(e).startswith("ARRAY")
-    return F.coalesce((o == F.to_json(e)) | (is_list & (o == first)), F.lit(False))
+    is_json = F.try_parse_json(_c(output)).isNotNull() & e.isNotNull()
+    has_first = F.try_variant_get(e, "$[0]", "variant").isNotNull()
+    return F.coalesce(is_json & ((o == canonical_json(expected)) | (is_list & has_first & (o == first))), F.lit(False))
 
 
 def parse_call_args(text) -> Column:
@@ -242,16 +231,13 @@ def int_keys(m) -> Column:
 
 
 # ------------------------------------------------------------------ staged form
-RUNG_ORDER = ("exact", "line_strip", "single", "lines", "nonempty_lines", "numeric", "token_sets", "rounded_sets")
-
-
 def with_ladder(df, stdout: str = "stdout", expected: str = "expected"):
     """DataFrame form of the ladder.
 
-    The line arrays and per-line token sets are staged once as columns (each
-    is read by several rungs). The rung is a lazy CASE: later (costlier)
-    rungs run only for outputs that earlier rungs rejected. Adds ``rung``,
-    ``passed_apps`` and ``passed_lcb``.
+    The line arrays are staged as columns (several rungs read them). The rung is
+    a lazy CASE: the token sets are only built for outputs that the line rungs
+    rejected, once for both set rungs. Adds ``rung``, ``passed_apps`` and
+    ``passed_lcb``.
     """
     cols = df.columns
     st = (with_lines(df, stdout, "_out")
@@ -259,18 +245,25 @@ def with_ladder(df, stdout: str = "stdout", expected: str = "expected"):
             .withColumn("_sexp", py_strip(F.col(expected))))
     st = st.withColumn("_ne", F.filter("_out", lambda x: x != ""))
     out, el, ne = F.col("_out"), F.col("_el"), F.col("_ne")
-    # token sets are read only by the last two rungs: computed inside the lazy CASE
+    # bound once through an array of one, so that each rung reads what the ladder has computed
     tso = F.filter(F.transform(ne, token_set), lambda a: F.size(a) > 0)
     tse = F.transform(el, token_set)
-    keys_o, keys_e = token_sets(ne, True), token_sets(el, False)
+
+    def keys(sets):
+        return F.array_sort(F.array_distinct(F.transform(sets, lambda a: F.array_join(a, " "))))
 
     def rounded(sets):
         quick = F.forall(sets, lambda a: F.forall(a, maybe_number))
-        r = F.transform(sets, lambda a: F.transform(a, lambda t: F.round(t.try_cast("double"), 3)))
-        ok = F.forall(r, lambda a: F.forall(a, lambda v: v.isNotNull()))
-        return F.when(quick, F.when(ok, F.array_sort(F.array_distinct(F.transform(
-            r, lambda a: F.array_sort(F.array_distinct(a)))))))
+        r = F.transform(sets, lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda t: round_three(py_float(t))))))
+        # a NaN is equal to nothing, not even in a set of numbers read apart
+        no_nan = F.forall(r, lambda a: ~F.exists(a, F.isnan))
+        return F.when(quick, F.when(no_nan, F.array_sort(F.array_distinct(r))))
+
+    def same_sets(o, e):
+        return (F.when(keys(o) == keys(e), F.lit("token_sets"))
+                .when(F.coalesce(rounded(o) == rounded(e), F.lit(False)), F.lit("rounded_sets")).otherwise(F.lit("fail")))
 
+    by_sets = F.transform(F.array(F.struct(tso.alias("o"), tse.alias("e"))), lambda x: same_sets(x["o"], x["e"]))[0]
     rungs = [
         ("exact", py_strip(F.array_join(out, "\n")) == F.col("_sexp")),
         ("line_strip", py_strip(F.array_join(F.transform(out, py_strip), "\n")) == F.col("_sexp")),
@@ -278,10 +271,8 @@ def with_ladder(df, stdout: str = "stdout", expected: str = "expected"):
         ("lines", out == el),
         ("nonempty_lines", ne == el),
         ("numeric", all_close(ne, el)),
-        ("token_sets", keys_o == keys_e),
-        ("rounded_sets", rounded(tso) == rounded(tse)),
     ]
-    rung = F.lit("fail")
+    rung = by_sets                       # only evaluated where the cheaper rungs reject
     for name, cond in reversed(rungs):
         rung = F.when(F.coalesce(cond, F.lit(False)), F.lit(name)).otherwise(rung)
     st = st.withColumn("rung", rung)

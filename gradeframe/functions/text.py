@@ -64,29 +64,6 @@ def seeded_rank_key(seed, *parts) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[_c(p).cast("string") for p in parts]))
 
 
-def random_positions(n, k, seed, key) -> Column:
-    """``k`` distinct positions out of ``0..n-1`` chosen by md5 rank (no replacement)."""
-    n, k = _c(n), _c(k)
-    idx = F.sequence(F.lit(0), n - 1)
-    ranked = F.array_sort(F.transform(idx, lambda i: F.struct(
-        F.md5(F.concat_ws("|", F.lit(str(seed)), _c(key).cast("string"), i.cast("string"))).alias("h"),
-        i.alias("i"))))
-    return F.when(n > 0, F.transform(F.slice(ranked, 1, k.cast("int")), lambda x: x["i"])) \
-        .otherwise(F.array().cast("array<int>"))
-
-
-# Lambdas below reference only their own variables. A per-row value needed
-# inside a lambda is passed in as an argument (``arrays_zip`` with
-# ``array_repeat``): arguments are evaluated once per row, while an outer
-# expression inside a lambda body would be evaluated again for every element.
-def mask_words(text, positions) -> Column:
-    """Words (split on single blanks) at ``positions`` become '#' x len(word)."""
-    words = F.split(_c(text), " ", -1)
-    z = F.arrays_zip(words.alias("w"), F.array_repeat(_c(positions), F.size(words)).alias("p"))
-    return F.array_join(F.transform(z, lambda x, i: F.when(
-        F.array_contains(x["p"], i), F.repeat(F.lit("#"), F.length(x["w"]))).otherwise(x["w"])), " ")
-
-
 def mask_text(df, text: str, rate: float, seed, key: str, out: str = "masked"):
     """X3 + O10: mask ``floor(n_words * rate)`` words chosen by md5 rank.
 
@@ -116,11 +93,6 @@ SUMMARY_HEADERS = ("###SUMMARY\n", "###SUMMARY \n", "### SUMMARY\n", "### SUMMAR
                    "SUMMARY\n", "SUMMARY \n")
 
 
-def remove_prefix(s, prefix: str) -> Column:
-    c = _c(s)
-    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c)
-
-
 def header_regex(headers: Sequence[str] = SUMMARY_HEADERS) -> str:
     """Removing prefixes one after the other equals one anchored regex of
     optional groups in the same order (greedy, never fails, so no backtracking)."""
@@ -136,7 +108,7 @@ def strip_summary_header(s, headers: Sequence[str] = SUMMARY_HEADERS,
     return c
 
 
-def cap_length(s, n: int = 12000) -> Column:
+def cap_length(s, n: int) -> Column:
     """The question is capped at ``n`` characters before summarising."""
     return F.substring(_c(s), 1, n)
 
@@ -160,23 +132,36 @@ def first_line(s) -> Column:
 
 
 # ------------------------------------------------------------------ X8
-DOCSTRING_ANY = r"(?:'''[\s\S]*?''')|(\"\"\"[\s\S]*?\"\"\")"
+_DOUBLE, _SINGLE = '"' * 3, "'" * 3
+
 
+def _block(quotes: str) -> str:
+    """A triple-quoted block: quotes, as little as possible, quotes."""
+    return quotes + r"(?s:.*?)" + quotes
 
-def _func_doc_pattern(fn) -> Column:
-    # The alternation lets any ''' block match, whatever the function (kept on purpose).
-    return F.concat(F.lit(r"(def\s+"), _c(fn), F.lit(r"\s*\([^)]*\)\s*:)\s*?(\"\"\"[\s\S]*?\"\"\")|('''[\s\S]*?''')"))
+
+def _header(fn) -> Column:
+    """Pattern of ``def name(...):`` followed by white space."""
+    return F.concat(F.lit(r"def\s+"), _c(fn), F.lit(r"\s*\([^)]*\)\s*:\s*"))
+
+
+def docstring_of(class_text, fn) -> Column:
+    """The block that counts as the docstring of ``fn``; empty if there is none.
+
+    That is the first match of either a double-quoted block right after the
+    method's header, or a single-quoted block anywhere in the class.
+    """
+    t = _c(class_text)
+    either = F.concat(F.lit("(?:"), _header(fn), F.lit("(" + _block(_DOUBLE) + "))|(" + _block(_SINGLE) + ")"))
+    extract = lambda group: F.call_function("regexp_extract", t, either, F.lit(group))
+    return F.when(extract(1) != "", extract(1)).otherwise(extract(2))
 
 
 def replace_docstring(class_text, fn, new_doc) -> Column:
     """Find the docstring of ``fn`` and replace *every* equal text by ``new_doc``."""
     t = _c(class_text)
-    pat = _func_doc_pattern(fn)
-    found = F.call_function("regexp_like", t, pat)
-    g2 = F.call_function("regexp_extract", t, pat, F.lit(2))
-    g3 = F.call_function("regexp_extract", t, pat, F.lit(3))
-    doc = F.when(g2 != "", g2).otherwise(g3)
-    return F.when(found & (doc != ""), F.replace(t, doc, _lit(new_doc))).otherwise(t)
+    doc = docstring_of(t, fn)
+    return F.when(doc != "", F.replace(t, doc, _lit(new_doc))).otherwise(t)
 
 
 def replace_docstrings(skeleton, methods, name_field: str = "method_name",
@@ -191,9 +176,10 @@ def replace_docstrings(skeleton, methods, name_field: str = "method_name",
 
 
 def list_docstrings(class_text) -> Column:
-    """The \"\"\" docstrings that remain (''' blocks are consumed but yield empties), stripped."""
-    found = F.regexp_extract_all(_c(class_text), F.lit(DOCSTRING_ANY), 1)
-    return F.transform(F.filter(found, lambda x: x != ""), py_strip)
+    """The double-quoted blocks, stripped; single-quoted blocks are passed over whole."""
+    blocks = F.regexp_extract_all(_c(class_text), F.lit(_block(_SINGLE) + "|" + _block(_DOUBLE)), 0)
+    own = F.filter(blocks, lambda b: b.startswith(_DOUBLE))
+    return F.transform(own, lambda b: py_strip(b))
 
 
 # ------------------------------------------------------------------ X9 X10 X30
@@ -207,7 +193,7 @@ def drop_python_first_line(s) -> Column:
     c = _c(s)
     lines = F.split(c, "\n", -1)
     return F.when(F.contains(F.try_element_at(lines, F.lit(1)), F.lit("python")),
-                  F.array_join(F.slice(lines, 2, 1 << 30), "\n")).otherwise(c)
+                  F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n")).otherwise(c)
 
 
 def cut_at_fence(s) -> Column:
@@ -232,10 +218,12 @@ def _strip_startswith(line, word: str) -> Column:
 
 
 def _markers(text) -> Column:
+    """The text after the first marker (in the order of the list) that occurs, up to its next occurrence."""
     t = py_rstrip(_c(text))
-    for m in RESPONSE_MARKERS:
-        t = F.when(F.contains(t, F.lit(m)), F.try_element_at(split_lit(t, m), F.lit(2))).otherwise(t)
-    return t
+    out = t
+    for m in reversed(RESPONSE_MARKERS):
+        out = F.when(F.contains(t, F.lit(m)), F.try_element_at(split_lit(t, m), F.lit(2))).otherwise(out)
+    return out
 
 
 def extract_code(df, text: str, out: str = "code", model_name: str | None = None):
@@ -283,12 +271,6 @@ def add_static_methods(code) -> Column:
         need(l), F.array(F.lit("    @staticmethod"), l)).otherwise(F.array(l)))), "\n")
 
 
-def prepend_imports(code, imports) -> Column:
-    """Import lines, newline, then the text after the last word 'python'."""
-    return F.concat(F.array_join(_c(imports), "\n"), F.lit("\n"),
-                    F.try_element_at(split_lit(_c(code), "python"), F.lit(-1)))
-
-
 def classeval_program(code, imports) -> Column:
     """X11 output -> text after the last 'python' -> X12 static methods -> X13 imports
     (the order in which ClassEval predictions become programs)."""
@@ -296,12 +278,11 @@ def classeval_program(code, imports) -> Column:
     return F.concat(F.array_join(_c(imports), "\n"), F.lit("\n"), add_static_methods(piece))
 
 
-IMPORT_PATTERN = r"(?md)^import\s.*$|from\s.*\simport.*$"
-
-
 def extract_imports(code) -> Column:
-    """Import statements found in the code."""
-    return F.regexp_extract_all(_c(code), F.lit(IMPORT_PATTERN), 0)
+    """Import statements of a code: of each line, all of it if it begins with
+    ``import`` and white space, else what starts at its first ``from`` that an ``import`` follows."""
+    plain, named = r"^import\s[^\n]*", r"from\s[^\n]*\simport[^\n]*"
+    return F.regexp_extract_all(_c(code), F.lit(f"(?md){plain}|{named}"), 0)
 
 
 def class_program(code, test) -> Column:
@@ -330,12 +311,27 @@ def first_n_lines(s, n: int) -> Column:
     return F.array_join(keep, "\n")
 
 
-def truncate_middle(s, length: int = 300) -> Column:
-    """``s[:n//2] + '...(truncated) ...' + s[-n//2:]`` when longer than n."""
+# Fixed value: what stands for the part cut out.
+CUT_MARK = "...(truncated) ..."
+
+
+def truncate_middle(s, length: int | Column) -> Column:
+    """A text longer than ``length`` keeps its first half and its last half of that
+    length (the larger half at the end; a length of 0 keeps the whole text after the mark)."""
+    c = _c(s)
+    n = F.lit(length) if isinstance(length, int) else length
+    head = F.substring(c, F.lit(1), F.floor(n / 2).cast("int"))
+    tail = F.when(n == 0, c).otherwise(F.right(c, F.ceil(n / 2).cast("int")))
+    return F.when(F.length(c) <= n, c).otherwise(F.concat(head, F.lit(CUT_MARK), tail))
+
+
+def truncate_lines(s, total: int) -> Column:
+    """X18, call-based: every line of the stripped text is cut to its share of ``total``."""
     c = _c(s)
-    head, tail = length // 2, -((-length) // 2)
-    return F.when(F.length(c) <= length, c).otherwise(
-        F.concat(F.substring(c, 1, head), F.lit("...(truncated) ..."), F.right(c, F.lit(tail))))
+    lines = F.split(py_strip(c), "\n", -1)
+    share = F.floor(F.lit(total) / F.size(F.split(c, "\n", -1))).cast("int")
+    z = F.arrays_zip(lines.alias("l"), F.array_repeat(share, F.size(lines)).alias("n"))
+    return F.array_join(F.transform(z, lambda x: truncate_middle(x["l"], x["n"])), "\n")
 
 
 # ------------------------------------------------------------------ X25

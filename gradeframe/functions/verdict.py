@@ -28,11 +28,13 @@ def _c(x) -> Column:
 def normalize_verdict(raw) -> Column:
     """Mixed bool/int verdict text ('true', 'False', '-1', '1.0') -> int code.
 
-    Unknown text becomes NULL (``try_cast``), never an exception.
+    Only the four codes come out; any other text or number becomes NULL
+    (never an exception, never a pass) and is left to :func:`quarantine`.
     """
     s = F.lower(F.trim(_c(raw).cast("string")))
-    as_num = s.try_cast("double").try_cast("int")
-    return F.when(s == "true", F.lit(1)).when(s == "false", F.lit(0)).otherwise(as_num)
+    num = s.try_cast("double")
+    code = F.when(num.isin(*[float(c) for c in VALID_CODES]), num.cast("int"))
+    return F.when(s == "true", F.lit(1)).when(s == "false", F.lit(0)).otherwise(code)
 
 
 def is_compile_error(v="verdict") -> Column:
@@ -51,30 +53,35 @@ def is_pass(v="verdict") -> Column:
 
 
 def is_valid_code(v="verdict") -> Column:
-    """Trap: only the four codes are accepted; other values are quarantined."""
-    return _c(v).isin(*VALID_CODES)
+    """Only the four codes are accepted."""
+    return F.coalesce(_c(v).isin(*VALID_CODES), F.lit(False))
+
+
+def quarantine(verdicts, verdict: str = "verdict"):
+    """(rows with one of the four codes, the rest): statistics read the first, the rest is kept for inspection."""
+    ok = is_valid_code(verdict)
+    return verdicts.filter(ok), verdicts.filter(~ok)
 
 
 def numeric_problem_key(qid="qid") -> Column:
-    """Int of the name, else the concatenated decimal character codes.
+    """Int of the name, else the concatenated decimal character codes, as text.
 
-    'ClassEval_0' -> '67108971151156911897108954' + ... as a decimal(38,0).
+    The integer has no bound ('ClassEval_1000000' has 39 digits), so it stays
+    text in canonical form: no plus sign, no leading zeros. Order by
+    :func:`numeric_order`.
     """
     s = _c(qid).cast("string")
-    direct = F.regexp_replace(s, r"^\s+|\s+$", "").try_cast("decimal(38,0)")
+    plain = F.regexp_replace(s, r"^\s+|\s+$|_", "")
+    sign = F.when(plain.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.regexp_replace(F.regexp_replace(plain, r"^[+-]", ""), r"^0+(?=[0-9])", "")
+    direct = F.when(digits == "0", F.lit("0")).otherwise(F.concat(sign, digits))
     codes = F.array_join(F.transform(F.split(s, ""), lambda ch: F.ascii(ch).cast("string")), "")
-    return F.coalesce(F.when(s.rlike(r"^\s*[+-]?[0-9]+\s*$"), direct),
-                      codes.try_cast("decimal(38,0)"))
-
-
-def default_verdicts(verdicts, n_tests, code: int = RUNTIME_ERROR) -> Column:
-    """Grading produced nothing -> ``n_tests`` copies of ``code`` (-1)."""
-    n = F.lit(n_tests) if isinstance(n_tests, int) else _c(n_tests)
-    return F.coalesce(_c(verdicts), F.array_repeat(F.lit(code), n))
+    return F.when(s.rlike(r"^\s*[+-]?[0-9]+(?:_[0-9]+)*\s*$"), direct).otherwise(codes)
 
 
-def early_stop(verdicts) -> Column:
-    """An ordered verdict array ends at (and keeps) its first runtime error."""
-    arr = _c(verdicts)
-    pos = F.array_position(arr, RUNTIME_ERROR)
-    return F.when(pos > 0, F.slice(arr, 1, pos.cast("int"))).otherwise(arr)
+def numeric_order(key="qid_key") -> list[Column]:
+    """Sort columns that put the text keys of :func:`numeric_problem_key` in the order of their numbers."""
+    k = _c(key)
+    negative = k.startswith("-")
+    size = F.length(k)
+    return [F.when(negative, -size).otherwise(size), F.when(negative, F.translate(k, "0123456789", "9876543210")).otherwise(k)]

@@ -100,11 +100,6 @@ def attach_problems(gens: DataFrame, problems: DataFrame, key: str = "qid") -> D
     return gens.join(problems, key)
 
 
-def attach_tests(verdicts: DataFrame, tests: DataFrame, keys: Sequence[str] = ("qid", "test_idx")) -> DataFrame:
-    """Each verdict next to the input and expected output of its test."""
-    return verdicts.join(tests, list(keys), "left")
-
-
 def todo(problems: DataFrame, done: DataFrame, key: str = "qid", overwrite: bool = False) -> DataFrame:
     """Problems without finished output (anti-join); ``overwrite`` redoes all."""
     if overwrite:
@@ -120,11 +115,6 @@ def test_cases(df: DataFrame, inputs: str = "inputs", outputs: str = "outputs",
             .select(*keys, F.col("test_idx").cast("int").alias("test_idx"), "t.input", "t.output"))
 
 
-def public_then_private(public, private) -> Column:
-    """Public tests followed by private tests."""
-    return F.concat(F.coalesce(_c(public), F.array()), F.coalesce(_c(private), F.array()))
-
-
 # ------------------------------------------------------------------ O1 O2 O3 O5 O8 O9
 def first_n(df: DataFrame, n: int, key: str = "qid") -> DataFrame:
     """First n by key; -1 keeps everything."""
@@ -146,11 +136,6 @@ def seeded_shuffle(df: DataFrame, seed, key: str = "qid") -> DataFrame:
     return r.drop("_h", "_g")
 
 
-def first_samples(df: DataFrame, n: int, sample: str = "sample") -> DataFrame:
-    """The first n samples of each problem."""
-    return df.filter(F.col(sample) < n)
-
-
 def random_test(tests: DataFrame, seed, key: str = "qid", idx: str = "test_idx") -> DataFrame:
     """One test per problem picked by a seeded md5 rank over *all* its tests."""
     h = X.seeded_rank_key(seed, F.col(key), F.col(idx))

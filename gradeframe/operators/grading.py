@@ -15,40 +15,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.verdict import COMPILE_ERROR, RUNTIME_ERROR, early_stop
+from ..functions.verdict import COMPILE_ERROR, RUNTIME_ERROR
 from . import corpus as C
 
 ROLLOUT = ("qid", "step", "sample")
 
 
-def verdict_lists(verdicts: DataFrame, keys: Sequence[str] = ROLLOUT, idx: str = "test_idx",
-                  verdict: str = "verdict") -> DataFrame:
-    """Ordered verdict array per rollout (the reference's nested-list form)."""
-    lst = F.transform(F.array_sort(F.collect_list(F.struct(F.col(idx), F.col(verdict)))), lambda x: x[verdict])
-    return verdicts.groupBy(*keys).agg(lst.alias("verdicts"))
-
-
-def with_defaults(expected: DataFrame, lists: DataFrame, n_tests, keys: Sequence[str] = ROLLOUT) -> DataFrame:
-    """Rollouts that grading did not return get ``n_tests`` x -1."""
-    from ..functions.verdict import default_verdicts
-    j = expected.join(lists, list(keys), "left")
-    return j.withColumn("verdicts", default_verdicts("verdicts", n_tests))
-
-
-def stop_at_runtime_error(lists: DataFrame) -> DataFrame:
-    """Each list ends at (and keeps) its first runtime error."""
-    return lists.withColumn("verdicts", early_stop("verdicts"))
-
-
-def fill_missing(expected: DataFrame, verdicts: DataFrame, n_tests: int, keys: Sequence[str] = ROLLOUT,
+def fill_missing(expected: DataFrame, verdicts: DataFrame, keys: Sequence[str] = ROLLOUT, n_tests: str = "n_tests",
                  code: int = RUNTIME_ERROR) -> DataFrame:
-    """X26 on the long table: rollouts of ``expected`` without any verdict row get
-    ``n_tests`` rows of ``code`` (anti-join, then a bounded ``explode``)."""
-    missing = expected.select(*keys).join(verdicts.select(*keys).distinct(), list(keys), "left_anti")
-    filler = missing.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_tests - 1))).alias("test_idx"),
+    """X26 on the long table: rollouts of ``expected`` without any verdict row get as
+    many rows of ``code`` as their problem has tests (column ``n_tests`` of ``expected``)."""
+    missing = expected.join(verdicts.select(*keys).distinct(), list(keys), "left_anti").filter(F.col(n_tests) > 0)
+    filler = missing.select(*keys, F.explode(F.sequence(F.lit(0), F.col(n_tests).cast("int") - 1)).alias("test_idx"),
                             F.lit(code).alias("verdict"))
-    return verdicts.select(*keys, "test_idx", "verdict").unionByName(
-        filler.select(*keys, F.col("test_idx").cast("int").alias("test_idx"), "verdict"))
+    return verdicts.select(*keys, "test_idx", "verdict").unionByName(filler)
 
 
 def stop_at_first_runtime_error(verdicts: DataFrame, keys: Sequence[str] = ROLLOUT) -> DataFrame:
@@ -87,31 +67,42 @@ def feedback_messages(verdicts: DataFrame, tests: DataFrame, seed=0, keys: Seque
     return j.select(*keys, msg.alias("message"))
 
 
-# Error codes and messages of the LiveCodeBench grader.
+# Error codes and messages of the LiveCodeBench grader, and the widths of its report.
 COMPILATION = (-1, "Compilation Error")
+NO_CODE = (-1, "Unable to extract code")
 TIME_LIMIT = (-3, "Time Limit Exceeded")
 RUNTIME = (-4, "Runtime Error")
+INPUT_WIDTH, EXPECTED_WIDTH = 300, 200
 
 
-def error_taxonomy(verdicts: DataFrame, tests: DataFrame, keys: Sequence[str] = ROLLOUT,
-                   problem: str = "qid", error_text: Column | None = None, width: int = 300) -> DataFrame:
-    """X24 + X18: error code/message of a rollout with truncated input and expected output.
+def error_taxonomy(verdicts: DataFrame, tests: DataFrame, error_text: str, call_based: str, keys: Sequence[str] = ROLLOUT,
+                   problem: str = "qid", idx: str = "test_idx") -> DataFrame:
+    """X24 + X18: error code and message of a rollout with shortened input and expected output.
 
-    A leading compile error gives (-1, Compilation Error); a runtime error
-    gives (-4, Runtime Error), or (-3, Time Limit Exceeded) when the error
-    text names a timeout; passing rollouts carry no error.
+    ``error_text`` names the verdict column with the grader's error text,
+    ``call_based`` the test column that tells call-based tests. A leading
+    compile error is a compilation error, or "Unable to extract code" when the
+    named method is missing; the first runtime error is a runtime error, or a
+    time limit when its text names a timeout. Rollouts that pass carry no error.
     """
-    f = rollout_firsts(verdicts, keys)
-    rt = tests.select(problem, F.col("test_idx").alias("first_runtime_idx"), "input", "expected")
-    j = f.join(rt, [problem, "first_runtime_idx"], "left")
-    ce = F.col("first_verdict") == COMPILE_ERROR
-    has_rt = F.col("first_runtime_idx").isNotNull()
-    timeout = F.lit(False) if error_text is None else F.lower(error_text).contains("timeoutexception")
-    code = (F.when(ce, F.lit(COMPILATION[0])).when(has_rt & timeout, F.lit(TIME_LIMIT[0]))
-            .when(has_rt, F.lit(RUNTIME[0])))
-    message = (F.when(ce, F.lit(COMPILATION[1])).when(has_rt & timeout, F.lit(TIME_LIMIT[1]))
-               .when(has_rt, F.lit(RUNTIME[1])))
-    keep_io = has_rt & ~ce
-    return j.select(*keys, code.alias("error_code"), message.alias("error_message"),
-                    F.when(keep_io, X.truncate_middle(F.col("input"), width)).alias("inputs"),
-                    F.when(keep_io, X.truncate_middle(F.col("expected"), width)).alias("expected"))
+    v, i = F.col("verdict"), F.col(idx)
+    f = verdicts.groupBy(*keys).agg(
+        F.min(F.struct(i, v, F.col(error_text).alias("e"))).alias("_first"),
+        F.min(F.when(v == RUNTIME_ERROR, F.struct(i, F.col(error_text).alias("e")))).alias("_stop"))
+    rt = tests.select(problem, F.col(idx).alias("_at"), "input", "expected", F.col(call_based).alias("_call"))
+    j = (f.select(*keys, "_first", F.col(f"_stop.{idx}").alias("_at"), F.col("_stop.e").alias("_text"))
+         .join(rt, [problem, "_at"], "left"))
+    ce = F.col("_first.verdict") == COMPILE_ERROR
+    has_rt = F.col("_at").isNotNull() & ~ce
+    missing = F.coalesce(F.lower("_first.e").contains("attributeerror"), F.lit(False))
+    timeout = F.coalesce(F.lower("_text").contains("timeoutexception"), F.lit(False))
+
+    def pick(n: int) -> Column:
+        return (F.when(ce & missing, F.lit(NO_CODE[n])).when(ce, F.lit(COMPILATION[n]))
+                .when(has_rt & timeout, F.lit(TIME_LIMIT[n])).when(has_rt, F.lit(RUNTIME[n])))
+
+    shown = F.when(F.col("_call"), X.truncate_lines(F.col("input"), INPUT_WIDTH)) \
+        .otherwise(X.truncate_middle(F.col("input"), INPUT_WIDTH))
+    return j.select(*keys, pick(0).alias("error_code"), pick(1).alias("error_message"),
+                    F.when(has_rt, shown).alias("inputs"),
+                    F.when(has_rt, X.truncate_middle(F.col("expected"), EXPECTED_WIDTH)).alias("expected"))

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.verdict import COMPILE_ERROR, RUNTIME_ERROR
+from ..functions.verdict import is_compile_error, is_pass, is_runtime_error, quarantine
 
 # The rollout metric names of the reference statistics, in order.
 ROLLOUT_METRICS = (
@@ -50,14 +50,14 @@ def rollout_stats(verdicts: DataFrame, by: Sequence[str] = ("step",),
     """A1: one row per rollout (by..., qid, sample).
 
     had_* are 0/1 flags, avg_* shares of tests, strict_accuracy = all tests pass.
+    Rows without one of the four codes are quarantined first and count nowhere.
     """
-    v = F.col(verdict)
     keys = [*_keys(by), problem, sample]
-    agg = verdicts.groupBy(*keys).agg(
+    agg = quarantine(verdicts, verdict)[0].groupBy(*keys).agg(
         F.count(F.lit(1)).alias("test_cases_run"),
-        F.count_if(v == COMPILE_ERROR).alias("_ce"),
-        F.count_if(v == RUNTIME_ERROR).alias("_re"),
-        F.count_if(v > 0).alias("_ok"),
+        F.count_if(is_compile_error(verdict)).alias("_ce"),
+        F.count_if(is_runtime_error(verdict)).alias("_re"),
+        F.count_if(is_pass(verdict)).alias("_ok"),
     )
     n = F.col("test_cases_run")
     return agg.select(
@@ -100,12 +100,21 @@ def problem_stats(rollouts: DataFrame, by: Sequence[str] = ("step",),
     )
 
 
-def with_all_problems(pstats: DataFrame, problems: DataFrame, problem: str = "qid") -> DataFrame:
-    """A2 tail: problems without any rollout get one all-NULL row (left join)."""
-    return problems.select(problem).join(pstats, problem, "left")
+def with_all_problems(pstats: DataFrame, problems: DataFrame, by: Sequence[str] = ("step",),
+                      problem: str = "qid") -> DataFrame:
+    """A2 tail: in every group, problems without any rollout get one all-NULL row.
+
+    The groups are those present in ``pstats`` (steps or settings: a handful),
+    taken as one array value, so each problem is only joined on (group, problem).
+    """
+    keys = _keys(by)
+    groups = pstats.select(F.array_sort(F.collect_set(F.struct(*keys)))).scalar()
+    grid = problems.select(problem).distinct().select(problem, F.explode(groups).alias("_g")).select(*[f"_g.{k}" for k in keys], problem)
+    return grid.join(pstats, [*keys, problem], "left")
 
 
 # ------------------------------------------------------------------ A6 P18
+# The metric names of the macro averages, in order.
 MACRO_METRICS = (
     "had_compile_errors", "avg_compile_errors", "had_runtime_errors", "avg_runtime_errors",
     "avg_runtime_errors_std", "test_cases_run", "test_case_average", "test_case_average_std",
@@ -117,8 +126,8 @@ MACRO_METRICS = (
 def macro_stats(pstats: DataFrame, by: Sequence[str] = ("step",)) -> DataFrame:
     """A6 + P18: macro averages over problems; NULL-skipping ``avg`` plays ``nanmean``.
 
-    If any problem of a group has no results (n_rollouts NULL) the whole row is
-    NULL, as in the reference's guard.
+    If any problem of a group has no results (n_rollouts NULL, as
+    :func:`with_all_problems` leaves it) the group's whole row is NULL.
     """
     any_missing = F.max(F.col("n_rollouts").isNull().cast("int")) == 1
     aggs = [F.when(any_missing, F.lit(None)).otherwise(F.avg(m)).cast("double").alias(m)
@@ -133,29 +142,22 @@ def overall_stats(rollouts: DataFrame, by: Sequence[str] = ("step",),
     pass@1 = strict accuracy over rollouts; pass@n = any rollout of a problem
     fully passes, averaged over problems (its own denominator).
 
-    One pass: rollouts are reduced per problem to counts, sums and sums of
-    squares (plus the any-pass flag); the per-step statistics combine those,
-    so the verdict table is scanned and shuffled once for both denominators.
+    Deviations come from Spark's merging (count, mean, M2) aggregate, which does
+    not cancel for large values. Both aggregates read the same rollout table,
+    whose exchange Spark plans once; only their few result rows are joined.
     """
     keys = _keys(by)
-    per_problem = [F.count(F.lit(1)).alias("_n"), F.max("strict_accuracy").alias("_any")]
-    for m in ROLLOUT_METRICS:
-        x = F.col(m).cast("double")
-        per_problem += [F.sum(x).alias(f"_s_{m}"), F.sum(x * x).alias(f"_q_{m}")]
-    p = rollouts.groupBy(*keys, problem).agg(*per_problem)
-    n = F.sum("_n")
     out = []
     for m in ROLLOUT_METRICS:
-        mean = F.sum(f"_s_{m}") / n
-        var = F.greatest(F.sum(f"_q_{m}") / n - mean * mean, F.lit(0.0))
-        out += [mean.alias(m), (F.sqrt(var) / F.sqrt(n)).alias(f"{m}_std")]
-    sm = F.sum("_s_strict_accuracy") / n
-    out += [sm.alias("pass_at_1"),
-            (F.sqrt(F.greatest(F.sum("_q_strict_accuracy") / n - sm * sm, F.lit(0.0))) / F.sqrt(n)).alias("pass_at_1_std"),
-            n.alias("num_rollouts"),
-            F.avg("_any").alias("pass_at_n"), std_error("_any").alias("pass_at_n_std"),
-            F.count(F.lit(1)).alias("num_problems")]
-    return p.groupBy(*keys).agg(*out)
+        x = F.col(m).cast("double")
+        out += [F.avg(x).alias(m), std_error(x).alias(f"{m}_std")]
+    strict = F.col("strict_accuracy").cast("double")
+    out += [F.avg(strict).alias("pass_at_1"), std_error(strict).alias("pass_at_1_std"), F.count(F.lit(1)).alias("num_rollouts")]
+    over_rollouts = rollouts.groupBy(*keys).agg(*out)
+    over_problems = (rollouts.groupBy(*keys, problem).agg(F.max("strict_accuracy").alias("_any")).groupBy(*keys)
+                     .agg(F.avg("_any").alias("pass_at_n"), std_error("_any").alias("pass_at_n_std"),
+                          F.count(F.lit(1)).alias("num_problems")))
+    return over_rollouts.join(over_problems, keys)
 
 
 # ------------------------------------------------------------------ A7
@@ -212,15 +214,6 @@ def difficulty_buckets(rollouts: DataFrame, problem: str = "qid",
     )
 
 
-def bucket_membership(buckets: DataFrame, problem: str = "qid") -> DataFrame:
-    """Long form (qid, bucket): one row per bucket a problem belongs to."""
-    names = F.array_compact(F.array(
-        F.when(F.col("perfect") == 1, F.lit("perfect")),
-        F.when(F.col("good") == 1, F.lit("good")),
-        F.when(F.col("bad") == 1, F.lit("bad"))))
-    return buckets.select(problem, F.explode(names).alias("bucket"))
-
-
 def bucket_stats(pstats: DataFrame, baseline_step: int = 0, step: str = "step", problem: str = "qid",
                  good_threshold: float = 0.6) -> DataFrame:
     """J6 + A6: macro statistics restricted to each bucket's problems, for every step.
@@ -286,8 +279,7 @@ def wide_metrics(long: DataFrame, settings: Sequence[str], row: str = "part",
 def pass_rate(verdicts: DataFrame, keys: Sequence[str] = ("qid", "step", "sample"),
               verdict: str = "verdict") -> DataFrame:
     """Correct / tests of one generation (0 when no tests) and a compiles flag."""
-    v = F.col(verdict)
-    return verdicts.groupBy(*keys).agg(
-        F.coalesce(F.try_divide(F.count_if(v > 0), F.count(v)), F.lit(0.0)).alias("pass_rate"),
-        (F.count_if(v == COMPILE_ERROR) == 0).cast("int").alias("compiles"),
+    return quarantine(verdicts, verdict)[0].groupBy(*keys).agg(
+        F.coalesce(F.try_divide(F.count_if(is_pass(verdict)), F.count(verdict)), F.lit(0.0)).alias("pass_rate"),
+        (F.count_if(is_compile_error(verdict)) == 0).cast("int").alias("compiles"),
     )

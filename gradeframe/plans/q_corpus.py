@@ -52,26 +52,29 @@ def q_failing_test(spark, sf_dir):
     return G.feedback_messages(V.verdicts(spark, sf_dir, positions=True), V.tests(spark, sf_dir), SEED)
 
 
-# Default verdict count when grading returned nothing (APPS), and the rollout grid.
+# Fixed value: the test count assumed for a problem whose tests are not known (APPS).
 DEFAULT_TESTS = 21
-STEPS, SAMPLES = [0, 1], [0, 1, 2, 3]
 
 
 @register("default_verdicts", V.with_views(["verdicts"], f"""
 SELECT qid, step, sample, test_idx, verdict FROM verdicts
 UNION ALL
-SELECT e.qid, e.step, e.sample, CAST(t.i AS INTEGER) AS test_idx, -1 AS verdict
-FROM (SELECT CAST(p_partkey AS VARCHAR) AS qid, s.step, m.sample
-      FROM part, (SELECT unnest({STEPS}) AS step) s, (SELECT unnest({SAMPLES}) AS sample) m) e
-CROSS JOIN (SELECT unnest(range({DEFAULT_TESTS})) AS i) t
+SELECT e.qid, e.step, e.sample, CAST(unnest(range(coalesce(t.n, {DEFAULT_TESTS}))) AS INTEGER) AS test_idx, -1 AS verdict
+FROM (SELECT CAST(p_partkey AS VARCHAR) AS qid, s.step, s.sample
+      FROM part, (SELECT DISTINCT step, sample FROM verdicts) s) e
+LEFT JOIN (SELECT qid, count(*) AS n FROM verdicts GROUP BY qid) t ON t.qid = e.qid
 WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.qid = e.qid AND v.step = e.step AND v.sample = e.sample)"""))
 def q_default_verdicts(spark, sf_dir):
-    """X26 in long form: every expected rollout (problem x step x sample) has
-    verdict rows; rollouts grading did not return get 21 rows of -1."""
+    """X26 in long form: every expected rollout (problem x the step and sample pairs of
+    the run) has verdict rows; rollouts grading did not return get -1 for each of
+    the problem's tests (21 where the tests are not known)."""
+    v = V.verdicts(spark, sf_dir)
+    n_tests = v.groupBy("qid").agg(F.count(F.lit(1)).alias("n_tests"))
+    runs = v.select(F.collect_set(F.struct("step", "sample"))).scalar()        # a handful: the run's configuration
     problems = V.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("qid"))
-    grid = problems.select("qid", F.explode(F.array(*[F.lit(s).cast("long") for s in STEPS])).alias("step"),
-                           F.explode(F.array(*[F.lit(s) for s in SAMPLES])).alias("sample"))
-    return G.fill_missing(grid, V.verdicts(spark, sf_dir, positions=True), DEFAULT_TESTS)
+    expected = (problems.join(n_tests, "qid", "left").na.fill(DEFAULT_TESTS, ["n_tests"])
+                .select("qid", "n_tests", F.explode(runs).alias("_r")).select("qid", "_r.step", "_r.sample", "n_tests"))
+    return G.fill_missing(expected, V.verdicts(spark, sf_dir, positions=True))
 
 
 @register("early_stop", V.with_views(["verdicts"], """
@@ -83,21 +86,35 @@ def q_early_stop(spark, sf_dir):
     return G.stop_at_first_runtime_error(V.verdicts(spark, sf_dir, positions=True))
 
 
-def _trunc_sql(x: str) -> str:
-    return f"CASE WHEN length({x}) <= 300 THEN {x} ELSE substring({x}, 1, 150) || '...(truncated) ...' || right({x}, 150) END"
+def _trunc_sql(x: str, n: str) -> str:
+    tail = f"CASE WHEN {n} = 0 THEN {x} ELSE right({x}, CAST(ceil({n} / 2) AS BIGINT)) END"
+    return f"CASE WHEN length({x}) <= {n} THEN {x} ELSE substring({x}, 1, {n} // 2) || '...(truncated) ...' || {tail} END"
+
+
+_LINES = f"string_split({strip('t.input')}, chr(10))"
+_SHARE = "(300 // len(string_split(t.input, chr(10))))"
+_SHOWN = (f"CASE WHEN t.call_based THEN array_to_string(list_transform({_LINES}, lambda l: {_trunc_sql('l', _SHARE)}), chr(10)) "
+          f"ELSE {_trunc_sql('t.input', '300')} END")
 
 
 @register("error_taxonomy", V.with_views(["verdicts", "tests"], f"""
 SELECT f.qid, f.step, f.sample,
-       CASE WHEN f.first_verdict = -2 THEN -1 WHEN f.first_runtime_idx IS NOT NULL THEN -4 END AS error_code,
-       CASE WHEN f.first_verdict = -2 THEN 'Compilation Error'
-            WHEN f.first_runtime_idx IS NOT NULL THEN 'Runtime Error' END AS error_message,
-       CASE WHEN f.first_runtime_idx IS NOT NULL AND f.first_verdict <> -2 THEN {_trunc_sql('t.input')} END AS inputs,
-       CASE WHEN f.first_runtime_idx IS NOT NULL AND f.first_verdict <> -2 THEN {_trunc_sql('t.expected')} END AS expected
-FROM f LEFT JOIN tests t ON t.qid = f.qid AND t.test_idx = f.first_runtime_idx""", [FIRSTS_CTE]))
+       CASE WHEN f.first_verdict = -2 THEN -1 WHEN f.first_runtime_idx IS NULL THEN NULL
+            WHEN f.stop_text = 'TimeoutException()' THEN -3 ELSE -4 END AS error_code,
+       CASE WHEN f.first_verdict = -2 THEN CASE WHEN starts_with(f.first_text, 'AttributeError') THEN 'Unable to extract code'
+                                                ELSE 'Compilation Error' END
+            WHEN f.first_runtime_idx IS NULL THEN NULL
+            WHEN f.stop_text = 'TimeoutException()' THEN 'Time Limit Exceeded' ELSE 'Runtime Error' END AS error_message,
+       CASE WHEN f.first_runtime_idx IS NOT NULL AND f.first_verdict <> -2 THEN {_SHOWN} END AS inputs,
+       CASE WHEN f.first_runtime_idx IS NOT NULL AND f.first_verdict <> -2 THEN {_trunc_sql('t.expected', '200')} END AS expected
+FROM f LEFT JOIN tests t ON t.qid = f.qid AND t.test_idx = f.first_runtime_idx""", [
+    """f AS (SELECT qid, step, sample, arg_min(verdict, test_idx) AS first_verdict, arg_min(coalesce(error_text, ''), test_idx) AS first_text,
+             min(test_idx) FILTER (WHERE verdict = -1) AS first_runtime_idx,
+             arg_min(error_text, test_idx) FILTER (WHERE verdict = -1) AS stop_text
+      FROM verdicts GROUP BY 1, 2, 3)"""]))
 def q_error_taxonomy(spark, sf_dir):
     """X24 + X18"""
-    return G.error_taxonomy(V.verdicts(spark, sf_dir, positions=True), V.tests(spark, sf_dir))
+    return G.error_taxonomy(V.verdicts(spark, sf_dir, positions=True, errors=True), V.tests(spark, sf_dir), "error_text", "call_based")
 
 
 @register("todo_problems", """
@@ -201,13 +218,13 @@ def q_first_py(spark, sf_dir):
 
 
 @register("functions_append", V.with_views([], f"""
-SELECT string_split(path, '/')[-2] AS repo, path, 'old' AS origin FROM files WHERE lang = 'en' AND ends_with(path, '.py')
+SELECT string_split(path, '/')[-2] AS repo, path, 'old' AS origin, lang FROM files
 UNION ALL
-SELECT string_split(path, '/')[-2] AS repo, path, 'new' AS origin FROM files WHERE size > 5000 AND ends_with(path, '.py')""",
+SELECT string_split(path, '/')[-2] AS repo, path, 'new' AS origin, NULL AS lang FROM files""",
     [FILES_CTE]))
 def q_functions_append(spark, sf_dir):
-    """Old records followed by new ones, duplicates kept (the append sink's content)."""
-    f = _files(spark, sf_dir).filter(F.col("path").endswith(".py")).withColumn("repo", X.repo_name(F.col("path")))
-    old = f.filter(F.col("lang") == "en").select("repo", "path", F.lit("old").alias("origin"))
-    new = f.filter(F.col("size") > 5000).select("repo", "path", F.lit("new").alias("origin"))
+    """U2 + P3: old records followed by new ones, duplicates kept; a column that only the old ones have is NULL in the new."""
+    f = _files(spark, sf_dir).withColumn("repo", X.repo_name(F.col("path")))
+    old = f.select("repo", "path", F.lit("old").alias("origin"), "lang")
+    new = f.select("repo", "path", F.lit("new").alias("origin"))
     return C.union_optional([old, new])

@@ -110,8 +110,9 @@ _pcols = ", ".join(c if c in INT_COLS else f"round({c}, 6) AS {c}" for c in PROB
 
 
 @register("problem_stats", V.with_views(["verdicts"], f"""
-SELECT pr.qid, p.step, {", ".join(("p." + c) if c in INT_COLS else f"round(p.{c}, 6) AS {c}" for c in PROBLEM_COLS)}
-FROM (SELECT CAST(p_partkey AS VARCHAR) AS qid FROM part) pr LEFT JOIN p ON pr.qid = p.qid""",
+SELECT pr.qid, s.step, {", ".join(("p." + c) if c in INT_COLS else f"round(p.{c}, 6) AS {c}" for c in PROBLEM_COLS)}
+FROM (SELECT CAST(p_partkey AS VARCHAR) AS qid FROM part) pr CROSS JOIN (SELECT DISTINCT step FROM p) s
+LEFT JOIN p ON pr.qid = p.qid AND p.step = s.step""",
           [rollout_cte(["step"]), problem_cte(["step"])]))
 def q_problem_stats(spark, sf_dir):
     """A2 + A3 + W4, with problems that have no rollout kept as NULL rows."""
@@ -127,6 +128,44 @@ def q_macro_stats(spark, sf_dir):
     return finish(S.macro_stats(S.problem_stats(_rollouts(spark, sf_dir))))
 
 
+# A later step is graded for some problems only, so that the guard has something to do.
+GUARDED_CTES = ["""gv AS (SELECT qid, step, sample, verdict FROM verdicts
+       UNION ALL SELECT qid, 2 AS step, sample, verdict FROM verdicts WHERE step = 1 AND CAST(qid AS BIGINT) % 7 <> 0)""",
+                rollout_cte(["step"], "gv"), problem_cte(["step"]),
+                """gp AS (SELECT g.qid, g.step, p.* EXCLUDE (qid, step)
+       FROM (SELECT * FROM (SELECT DISTINCT qid FROM gv) a CROSS JOIN (SELECT DISTINCT step FROM gv) b) g
+       LEFT JOIN p ON p.qid = g.qid AND p.step = g.step)"""]
+
+
+@register("macro_stats_guarded", V.with_views(["verdicts"], macro_select(["step"], "gp"), GUARDED_CTES))
+def q_macro_stats_guarded(spark, sf_dir):
+    """A2 tail + A6 + P18: a step that lacks a problem's results has no macro averages."""
+    v = V.verdicts(spark, sf_dir)
+    later = v.filter((F.col("step") == 1) & (F.col("qid").cast("long") % 7 != 0)).withColumn("step", F.lit(2).cast("long"))
+    v = v.unionByName(later)
+    p = S.problem_stats(S.rollout_stats(v))
+    return finish(S.macro_stats(S.with_all_problems(p, v.select("qid"))))
+
+
+@register("raw_verdicts", V.with_views([], """
+SELECT l_partkey % 10 AS bucket, count(*) FILTER (WHERE good) AS n_valid, count(*) FILTER (WHERE NOT good) AS n_quarantined,
+       count(*) FILTER (WHERE good AND raw IN ('true', '1.0')) AS n_pass
+FROM (SELECT l_partkey, raw, raw IN ('true', '1.0', 'False', '0', '-1', '-2.0') AS good FROM raw) a GROUP BY 1""",
+    ["""raw AS (SELECT l_partkey, ['true', 'False', '-1', '1.0', '-2.0', '2', '7', '0.9', 'NaN', 'pass', '0'][l_orderkey % 11 + 1] AS raw
+       FROM lineitem)"""]))
+def q_raw_verdicts(spark, sf_dir):
+    """X1 + P10: raw verdict texts normalised; everything but the four codes is quarantined."""
+    from ..functions import verdict as VD
+    raw = F.array(*[F.lit(x) for x in ("true", "False", "-1", "1.0", "-2.0", "2", "7", "0.9", "NaN", "pass", "0")])
+    li = V.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_partkey") % 10).alias("bucket"),
+        VD.normalize_verdict(F.element_at(raw, (F.col("l_orderkey") % 11 + 1).cast("int"))).alias("verdict"))
+    ok, bad = VD.quarantine(li)
+    n = ok.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_valid"), F.count_if(VD.is_pass()).alias("n_pass"))
+    q = bad.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_quarantined"))
+    return n.join(q, "bucket", "full").na.fill(0)
+
+
 @register("report_totals", V.with_views(["verdicts"], f"""
 SELECT step, CAST(sum(had_compile_errors) AS BIGINT) AS had_compile_errors,
        {_r('avg(avg_compile_errors)')} AS avg_compile_errors,

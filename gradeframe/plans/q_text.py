@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import verdict as VD
+from ..operators import corpus as C
 from . import views as V
 from .catalogue import register
 
@@ -79,14 +80,25 @@ def q_masked_words(spark, sf_dir):
 N_EXAMPLES = 100
 
 
-@register("shuffled_head", f"""
-SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('{SEED}|' || CAST(doc_id AS VARCHAR))) - 1 AS INTEGER) AS shuffle_rank
-FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT {N_EXAMPLES}) h""")
-def q_shuffled_head(spark, sf_dir):
-    """O2 + O3 + O1: first n examples by key (a top-k, not a full sort), then a seeded shuffle."""
-    from ..operators import corpus as C
-    head = C.first_n(_docs(spark, sf_dir).select("doc_id"), N_EXAMPLES, "doc_id")
-    return C.seeded_shuffle(head, SEED, "doc_id")
+@register("shuffled", f"""
+SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('{SEED}|' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS INTEGER) AS shuffle_rank
+FROM documents""")
+def q_shuffled(spark, sf_dir):
+    """O1: the seeded shuffle of the whole corpus."""
+    return C.seeded_shuffle(_docs(spark, sf_dir).select("doc_id"), SEED, "doc_id")
+
+
+@register("head", f"""
+SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT {N_EXAMPLES}""")
+def q_head(spark, sf_dir):
+    """O2 + O3: the first n examples by key (a distributed top-k; the limit is the feature)."""
+    return C.first_n(_docs(spark, sf_dir).select("doc_id", "source"), N_EXAMPLES, "doc_id")
+
+
+@register("head_all", "SELECT doc_id, source FROM documents")
+def q_head_all(spark, sf_dir):
+    """O3: n = -1 keeps every example."""
+    return C.first_n(_docs(spark, sf_dir).select("doc_id", "source"), -1, "doc_id")
 
 
 # ------------------------------------------------------------------ X4 X5
@@ -357,12 +369,8 @@ def q_class_program(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ P2 X31 O7 P1
-# Fixed value: the text used when no solution is given to the simulated user.
-NO_SOLUTION = "(No solution provided. Use the only information from the question to help the assistant.)"
-
-
 @register("solution_info", f"""
-SELECT doc_id, mode, CASE WHEN mode = 'no_solution' THEN {lit(NO_SOLUTION)} ELSE sols[1] END AS solution_info,
+SELECT doc_id, mode, CASE WHEN mode = 'no_solution' THEN {lit(C.NO_SOLUTION)} ELSE sols[1] END AS solution_info,
        CAST(len(sols) AS INTEGER) AS n_solutions
 FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'full_solution' ELSE 'no_solution' END AS mode,
              CASE WHEN json_valid(s) AND json_type(s) = 'ARRAY' THEN CAST(json_extract_string(s, '$[*]') AS VARCHAR[])
@@ -371,7 +379,6 @@ FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'full_solution' ELSE 'no_solu
             FROM documents) a) b""")
 def q_solution_info(spark, sf_dir):
     """P2 + X31 + O7: parse the solution list, then pick the first solution or the fixed sentence."""
-    from ..operators import corpus as C
     d = _docs(spark, sf_dir)
     s = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('["'), F.col("source"), F.lit('", "'), F.col("lang"),
                                                  F.lit('"]'))).otherwise(F.col("text"))
@@ -387,7 +394,6 @@ SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'Summary of ' || source E
 FROM documents""")
 def q_effective_input(spark, sf_dir):
     """The vanilla transformation uses the original text."""
-    from ..operators import corpus as C
     d = _docs(spark, sf_dir)
     tr = F.when(F.col("doc_id") % 2 == 0, F.lit("vanilla")).otherwise(F.lit("plain_summary"))
     return d.select("doc_id", C.effective_input(tr, F.col("text"),
@@ -486,7 +492,6 @@ FROM (SELECT event_id, json_extract_string(CASE WHEN event_id % 2 = 0
       FROM events) a""")
 def q_test_mode(spark, sf_dir):
     """P20: call-based when the metadata names a function, else standard input."""
-    from ..operators import corpus as C
     ev = V.table(spark, sf_dir, "events")
     meta = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"func_name": "f_'), F.col("user_id").cast("string"),
                                                       F.lit('"}'))).otherwise(F.col("props"))
@@ -525,13 +530,21 @@ def q_confidence_parse(spark, sf_dir):
 
 def _key_sql(x: str) -> str:
     codes = f"array_to_string(list_transform(string_split({x}, ''), lambda c: CAST(ascii(c) AS VARCHAR)), '')"
-    return (f"coalesce(CASE WHEN regexp_matches({x}, '^\\s*[+-]?[0-9]+\\s*$') THEN TRY_CAST({strip(x)} AS DECIMAL(38,0)) END, "
-            f"TRY_CAST({codes} AS DECIMAL(38,0)))")
+    plain = f"replace({strip(x)}, '_', '')"
+    digits = f"coalesce(nullif(ltrim(ltrim({plain}, '+-'), '0'), ''), '0')"
+    return (f"CASE WHEN NOT regexp_matches({x}, '^\\s*[+-]?[0-9]+(_[0-9]+)*\\s*$') THEN {codes} "
+            f"WHEN starts_with({plain}, '-') AND {digits} <> '0' THEN '-' || {digits} ELSE {digits} END")
+
+
+# Names that stress the key: seven digits and more, signs, leading zeros, underscores, white space.
+ODD_NAMES = ("'ClassEval_' || CAST(doc_id + 1000000 AS STRING)", "'-00' || CAST(doc_id AS STRING)",
+             "' +0' || CAST(doc_id AS STRING) || '_000 '")
 
 
 @register("qid_key", f"""
 SELECT doc_id, {_key_sql('source')} AS source_key, {_key_sql('CAST(doc_id AS VARCHAR)')} AS id_key,
-       {_key_sql("'ClassEval_' || CAST(doc_id AS VARCHAR)")} AS task_key
+       {_key_sql("'ClassEval_' || CAST(doc_id AS VARCHAR)")} AS task_key,
+       {_key_sql(ODD_NAMES[0])} AS long_key, {_key_sql(ODD_NAMES[1])} AS negative_key, {_key_sql(ODD_NAMES[2])} AS padded_key
 FROM documents""")
 def q_qid_key(spark, sf_dir):
     """Numeric problem keys (int of the name, else concatenated character codes)."""
@@ -539,4 +552,6 @@ def q_qid_key(spark, sf_dir):
     return d.select("doc_id", VD.numeric_problem_key(F.col("source")).alias("source_key"),
                     VD.numeric_problem_key(F.col("doc_id").cast("string")).alias("id_key"),
                     VD.numeric_problem_key(F.concat(F.lit("ClassEval_"), F.col("doc_id").cast("string")))
-                    .alias("task_key"))
+                    .alias("task_key"),
+                    *[VD.numeric_problem_key(F.expr(x)).alias(n)
+                      for x, n in zip(ODD_NAMES, ("long_key", "negative_key", "padded_key"), strict=True)])

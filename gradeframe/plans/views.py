@@ -37,7 +37,15 @@ def verdict_code(quantity: Column, tax: Column, discount: Column) -> Column:
             .otherwise(F.lit(1)))
 
 
-def verdicts(spark: SparkSession, sf_dir: str, positions: bool = False) -> DataFrame:
+def error_text(verdict: Column, supplier: Column) -> Column:
+    """Fixture rule: what the grader said about a compile or runtime error."""
+    return (F.when((verdict == -2) & (supplier % 2 == 0), F.lit("AttributeError('no method solve')"))
+            .when(verdict == -2, F.lit("SyntaxError('invalid syntax')"))
+            .when((verdict == -1) & (supplier % 3 == 0), F.lit("TimeoutException()"))
+            .when(verdict == -1, F.lit("ValueError('x')")))
+
+
+def verdicts(spark: SparkSession, sf_dir: str, positions: bool = False, errors: bool = False) -> DataFrame:
     """verdicts(qid string, step bigint, sample int, [test_idx int,] verdict int).
 
     One row per (problem, refinement step, sample, test case). Aggregating
@@ -53,15 +61,20 @@ def verdicts(spark: SparkSession, sf_dir: str, positions: bool = False) -> DataF
         *ORDER_KEYS,
         verdict_code(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")).alias("verdict"),
     )
+    if errors:
+        base = base.withColumn("error_text", error_text(F.col("verdict"), F.col("l_suppkey")))
     if not positions:
         return base.select("qid", "step", "sample", "verdict")
     from ..operators.positions import group_positions
-    p = group_positions(base, ["qid", "step", "sample"], list(ORDER_KEYS), "test_idx", keep=["verdict"])
-    return p.select("qid", "step", "sample", "test_idx", "verdict")
+    keep = ["verdict", "error_text"] if errors else ["verdict"]
+    p = group_positions(base, ["qid", "step", "sample"], list(ORDER_KEYS), "test_idx", keep=keep)
+    return p.select("qid", "step", "sample", "test_idx", *keep)
 
 
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tests(qid, test_idx, input, expected): the test cases of each problem, in order."""
+    """tests(qid, test_idx, input, expected, call_based): the test cases of each problem, in order.
+
+    Even problems are call-based: one argument per line."""
     from ..operators.positions import group_positions
     li = table(spark, sf_dir, "lineitem")
     case = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" line "),
@@ -69,9 +82,11 @@ def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = li.select(F.col("l_partkey").cast("string").alias("qid"), *ORDER_KEYS)
     p = group_positions(base, ["qid"], list(ORDER_KEYS), "test_idx",
                         keep=["l_orderkey", "l_linenumber", "l_suppkey"])
-    return p.select("qid", "test_idx",
-                    F.repeat(case, 20).alias("input"),
-                    F.col("l_suppkey").cast("string").alias("expected"))
+    even = F.col("qid").cast("long") % 2 == 0
+    text = F.repeat(case, 20)
+    return p.select("qid", "test_idx", F.when(even, F.replace(text, F.lit(";"), F.lit(";\n"))).otherwise(text).alias("input"),
+                    F.repeat(F.concat(F.col("l_suppkey").cast("string"), F.lit(" ")), 60).alias("expected"),
+                    even.alias("call_based"))
 
 
 # ------------------------------------------------------------ class counts
@@ -128,19 +143,30 @@ def setting_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """outputs(doc_id, expected, stdout): captured program output against the expected text.
 
-    expected = document text + a number line; stdout is equal, has trailing
-    blanks, has its lines reversed, has a number changed within tolerance, or
-    a number changed beyond it (by doc_id mod 5).
+    The expected text is the whole document text and a number line, or lines of
+    numbers; the captured text differs from it by doc_id mod 14 in one of the
+    ways the comparison has a rung for, or in a way that no rung accepts.
     """
     d = table(spark, sf_dir, "documents")
-    num = F.col("n_chars").cast("string")
-    expected = F.concat(F.col("text"), F.lit("\n"), num)
-    k = F.col("doc_id") % 5
-    stdout = (F.when(k == 0, expected)
-              .when(k == 1, F.concat(expected, F.lit("  \n\n")))
-              .when(k == 2, F.array_join(F.reverse(F.split(expected, "\n")), "\n"))
-              .when(k == 3, F.concat(F.col("text"), F.lit("\n"), num, F.lit(".000001")))
-              .otherwise(F.concat(F.col("text"), F.lit("\n"), (F.col("n_chars") + 1).cast("string"))))
+    num, t, k = F.col("n_chars").cast("string"), F.col("text"), F.col("doc_id") % 14
+    lit = F.lit
+    plain = F.concat(t, lit("\n"), num)
+    gappy = F.concat(t, lit(" \n\n"), num)
+    expected = (F.when(k == 5, F.concat(num, lit("\n"), F.col("doc_id").cast("string")))
+                .when(k == 6, lit("nan")).when(k == 7, F.concat(lit("inf\n"), num))
+                .when(k.isin(9, 10), gappy)
+                .when(k == 11, F.concat(num, lit(".0001 2\n3.0"))).when(k == 12, F.concat(num, lit(" 2.0")))
+                .when(k == 13, lit("1")).otherwise(plain))
+    stdout = (F.when(k == 1, F.concat(plain, lit("  \n\n")))
+              .when(k == 2, F.array_join(F.reverse(F.split(plain, "\n")), "\n"))
+              .when(k == 3, F.concat(plain, lit(".000001")))
+              .when(k == 4, F.concat(t, lit("\n"), (F.col("n_chars") + 1).cast("string")))
+              .when(k == 5, F.concat(num, lit(".000001\n"), F.col("doc_id").cast("string")))
+              .when(k == 6, lit("5")).when(k == 7, F.concat(lit("Infinity\n"), num))
+              .when(k == 8, F.replace(plain, lit("\n"), lit("  \n")))
+              .when(k == 10, F.concat(t, lit("\n\n\n"), num))
+              .when(k == 11, F.concat(num, lit(".00012 2.0\n3"))).when(k == 12, F.concat(num, lit(" 2.0005")))
+              .when(k == 13, lit("1f")).otherwise(plain))
     return d.select("doc_id", expected.alias("expected"), stdout.alias("stdout"))
 
 
@@ -151,7 +177,10 @@ verdicts AS (
   SELECT qid, step, sample,
          CAST(row_number() OVER (PARTITION BY qid, step, sample
                                  ORDER BY """ + ORDER_SQL + """) - 1 AS INTEGER) AS test_idx,
-         verdict
+         verdict, CASE WHEN verdict = -2 AND l_suppkey % 2 = 0 THEN 'AttributeError(''no method solve'')'
+                       WHEN verdict = -2 THEN 'SyntaxError(''invalid syntax'')'
+                       WHEN verdict = -1 AND l_suppkey % 3 = 0 THEN 'TimeoutException()'
+                       WHEN verdict = -1 THEN 'ValueError(''x'')' END AS error_text
   FROM (SELECT CAST(l_partkey AS VARCHAR) AS qid, l_orderkey % 2 AS step,
                l_linenumber % 4 AS sample, """ + ORDER_SQL + """,
                CASE WHEN l_quantity >= 50 THEN -2 WHEN l_tax >= 0.08 THEN -1
@@ -161,8 +190,9 @@ verdicts AS (
 tests AS (
   SELECT CAST(l_partkey AS VARCHAR) AS qid,
          CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY """ + ORDER_SQL + """) - 1 AS INTEGER) AS test_idx,
-         repeat('order ' || CAST(l_orderkey AS VARCHAR) || ' line ' || CAST(l_linenumber AS VARCHAR) || ';', 20) AS input,
-         CAST(l_suppkey AS VARCHAR) AS expected
+         repeat('order ' || CAST(l_orderkey AS VARCHAR) || ' line ' || CAST(l_linenumber AS VARCHAR)
+                || CASE WHEN l_partkey % 2 = 0 THEN ';' || chr(10) ELSE ';' END, 20) AS input,
+         repeat(CAST(l_suppkey AS VARCHAR) || ' ', 60) AS expected, l_partkey % 2 = 0 AS call_based
   FROM lineitem)""",
     "class_counts": """
 class_counts AS (
@@ -187,14 +217,23 @@ setting_values AS (
   FROM events GROUP BY 1, 2, 3, 4)""",
     "outputs": """
 outputs AS (
-  SELECT doc_id, expected,
-         CASE doc_id % 5 WHEN 0 THEN expected
-                         WHEN 1 THEN expected || '  ' || chr(10) || chr(10)
-                         WHEN 2 THEN array_to_string(list_reverse(string_split(expected, chr(10))), chr(10))
-                         WHEN 3 THEN text || chr(10) || CAST(n_chars AS VARCHAR) || '.000001'
-                         ELSE text || chr(10) || CAST(n_chars + 1 AS VARCHAR) END AS stdout
-  FROM (SELECT doc_id, text, n_chars, text || chr(10) || CAST(n_chars AS VARCHAR) AS expected
-        FROM documents) d)""",
+  SELECT doc_id,
+         CASE WHEN k = 5 THEN num || chr(10) || CAST(doc_id AS VARCHAR) WHEN k = 6 THEN 'nan'
+              WHEN k = 7 THEN 'inf' || chr(10) || num WHEN k IN (9, 10) THEN text || ' ' || chr(10) || chr(10) || num
+              WHEN k = 11 THEN num || '.0001 2' || chr(10) || '3.0' WHEN k = 12 THEN num || ' 2.0' WHEN k = 13 THEN '1'
+              ELSE plain END AS expected,
+         CASE k WHEN 1 THEN plain || '  ' || chr(10) || chr(10)
+                WHEN 2 THEN array_to_string(list_reverse(string_split(plain, chr(10))), chr(10))
+                WHEN 3 THEN plain || '.000001'
+                WHEN 4 THEN text || chr(10) || CAST(n_chars + 1 AS VARCHAR)
+                WHEN 5 THEN num || '.000001' || chr(10) || CAST(doc_id AS VARCHAR)
+                WHEN 6 THEN '5' WHEN 7 THEN 'Infinity' || chr(10) || num
+                WHEN 8 THEN replace(plain, chr(10), '  ' || chr(10))
+                WHEN 10 THEN text || chr(10) || chr(10) || chr(10) || num
+                WHEN 11 THEN num || '.00012 2.0' || chr(10) || '3' WHEN 12 THEN num || ' 2.0005' WHEN 13 THEN '1f'
+                ELSE plain END AS stdout
+  FROM (SELECT doc_id, text, n_chars, CAST(n_chars AS VARCHAR) AS num, doc_id % 14 AS k,
+               text || chr(10) || CAST(n_chars AS VARCHAR) AS plain FROM documents) d)""",
 }
 
 
