@@ -66,12 +66,14 @@ def splitter(path: str) -> Callable[[str], list[str]]:
     pieces = regex.compile(PATTERN).findall
     rare = regex.compile(f"[^{LONG_KNOWN}]").search
     special = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-    own = load(path).pre_tokenizer.pre_tokenize_str
+    own = None
 
     def plain(text: str) -> list[str]:
+        nonlocal own
         if text.isascii() or not rare(text):
             return pieces(text)
-        return [text[a:b] for _, (a, b) in own(text)]
+        own = own or load(path).pre_tokenizer
+        return [text[a:b] for _, (a, b) in own.pre_tokenize_str(text)]
 
     def words(text: str) -> list[str]:
         if special is None or not any(a in text for a in added):
@@ -205,7 +207,7 @@ def _join_back(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows:
         return pa.Table.from_arrays([pa.array([], t) for t in types], names)
     row = left.to_pylist()[0]
-    sizes, codes, part = (unpack(row[c]).astype(np.int64) for c in ("sizes", "codes", "parts"))
+    sizes, codes, part = unpack(row["sizes"]).astype(np.int64), unpack(row["codes"]).view("<i4"), unpack(row["parts"]).view("<i4")
     got = sorted(right.select(["part", "sizes", "word_ids"]).to_pylist(), key=lambda r: r["part"])
     word_sizes = [unpack(r["sizes"]).astype(np.int64) for r in got]
     # words of the parts in turn, each part in the order of its positions

@@ -15,9 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: whole texts are large, and both sides of the pipe hold a batch.
+BATCH_ROWS = 1000
+
+
+def python_ready(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, and bound their Arrow
+    batches (a session setting; a smaller one of the user's stays)."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with this package importable in the Python workers."""
-    ship_package(df.sparkSession)
+    python_ready(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_arrow, ship_package, table
+from .common import checkpoint, map_arrow, python_ready, table
 from .graph import components
 from .simhash_trie import merge_groups
 
@@ -277,7 +277,7 @@ def centres_of(classes: DataFrame, s: Setting) -> dict[tuple[int, int], np.ndarr
         c = _means(unit(matrix(pdf["vec"])), int(pdf["k"].iloc[0]))
         return pd.DataFrame({"label": key[0], "dim": key[1], "centres": [c.astype(np.float32).tobytes()]})
 
-    ship_package(classes.sparkSession)
+    python_ready(classes.sparkSession)
     made = sample.groupBy("label", "dim").applyInPandas(fit, "label int, dim int, centres binary").collect()
     return {(r.label, r.dim): np.frombuffer(r.centres, np.float32).reshape(-1, r.dim).astype(np.float64) for r in made}
 
@@ -316,7 +316,7 @@ def shard_graphs(members: DataFrame, s: Setting) -> DataFrame:
         edges = build(unit(matrix(pdf["vec"])), s)
         return pd.DataFrame({"cid": cid, "near": [cid[e] for e in edges]})
 
-    ship_package(members.sparkSession)
+    python_ready(members.sparkSession)
     return members.select(*KEY, "cid", "vec").groupBy(*KEY).applyInPandas(graph, "cid long, near array<long>")
 
 
@@ -360,7 +360,7 @@ def found_in_shards(index: DataFrame, queries: DataFrame, s: Setting, beam: int)
              pa.array([None] * len(some) + both[label[led]].tolist(), pa.int64()),
              pa.array(counts[some].tolist() + [None] * len(led), pa.int64())], names)
 
-    ship_package(index.sparkSession)
+    python_ready(index.sparkSession)
     parts = [*KEY, "chunk"]
     return index.groupBy(*parts).cogroup(queries.groupBy(*parts)).applyInArrow(run, "u long, v long, hits long")
 
