@@ -39,7 +39,7 @@ from .simhash_trie import merge_groups
 @dataclass(frozen=True)
 class Setting:
     threshold: float = 0.93
-    shard_rows: int = 2000       # classes a shard aims at; hash parts above twice as many
+    shard_rows: int = 600        # classes a shard aims at; hash parts above twice as many
     sample_rows: int = 8192      # of each label, for its centres
     most_centres: int = 65_536   # of all labels together: bounds what is broadcast
     overlap: int = 2
@@ -66,20 +66,26 @@ def matrix(column) -> np.ndarray:
 
 # ---- one shard ---------------------------------------------------------------
 
-def prune(x: np.ndarray, node: int, pool: np.ndarray, most: int, alpha: float) -> list[int]:
-    """Robust pruning: nearest first; a kept neighbour hides those ``alpha`` times closer to it than to the node."""
-    pool = np.unique(pool[pool != node])
-    sims = x[pool] @ x[node]
-    order = np.argsort(-sims, kind="stable")
-    pool, dist = pool[order], 1 - sims[order]
-    open_ = np.ones(len(pool), bool)
-    between = 1 - x[pool] @ x[pool].T
-    kept: list[int] = []
-    while len(kept) < most and open_.any():
-        k = int(np.argmax(open_))
-        kept.append(int(pool[k]))
-        open_ &= alpha * between[k] > dist
-        open_[k] = False
+def prune(x: np.ndarray, nodes: np.ndarray, pool: np.ndarray, most: int, alpha: float) -> np.ndarray:
+    """Robust pruning of a row of candidates (-1 for none) for each node: nearest first; a
+    kept neighbour hides those ``alpha`` times closer to it than to the node."""
+    rows = np.arange(len(nodes))
+    sims = np.einsum("nld,nd->nl", x[pool], x[nodes])
+    sims[(pool < 0) | (pool == nodes[:, None])] = -np.inf
+    order = np.argsort(-sims, axis=1, kind="stable")
+    pool, sims = np.take_along_axis(pool, order, 1), np.take_along_axis(sims, order, 1)
+    open_, dist = np.isfinite(sims), 1 - sims
+    vectors = x[pool]
+    between = 1 - vectors @ vectors.transpose(0, 2, 1)
+    kept = np.full((len(nodes), min(most, pool.shape[1])), -1)
+    for k in range(kept.shape[1]):
+        best = open_.argmax(1)
+        has = open_[rows, best]
+        if not has.any():
+            break
+        kept[has, k] = pool[rows, best][has]
+        open_ &= alpha * between[rows, best] > dist
+        open_[rows, best] = False
     return kept
 
 
@@ -92,19 +98,24 @@ def build(x: np.ndarray, s: Setting) -> list[list[int]]:
     close = min(m - 1, 3 * s.near)
     rings = np.unique(np.minimum(m - 1, (close * 1.3 ** np.arange(1, 32)).astype(int)))
     out: list[list[int]] = []
-    for a in range(0, m, 512):
-        sims = x32[a:a + 512] @ x32.T
-        order = np.argsort(-sims, axis=1, kind="stable")
-        for i, o in enumerate(order, a):
-            near = prune(x32, i, o[:close + 1], s.near, s.alpha)
-            out.append(near + prune(x32, i, o[rings], s.far, s.alpha))
+    for a in range(0, m, 256):
+        nodes = np.arange(a, min(a + 256, m))
+        order = np.argsort(-(x32[nodes] @ x32.T), axis=1, kind="stable")
+        both = np.concatenate((prune(x32, nodes, order[:, :close + 1], s.near, s.alpha),
+                               prune(x32, nodes, order[:, rings], s.far, s.alpha)), 1)
+        out += [[j for j in row if j >= 0] for row in both.tolist()]
     back: list[list[int]] = [[] for _ in range(m)]
     for i, some in enumerate(out):
         for j in some:
             back[j].append(i)
-    for i, some in enumerate(back):
-        if some:
-            out[i] = sorted({*out[i], *prune(x32, i, np.array(some), s.degree - s.near, s.alpha)})
+    by_size = sorted((i for i in range(m) if back[i]), key=lambda i: len(back[i]))
+    while by_size:                       # nodes with as many reverse edges together, largest tables bounded
+        width = len(back[by_size[-1]])
+        n = max(1, (1 << 20) // (width * width))
+        some, by_size = by_size[-n:], by_size[:-n]
+        pool = np.array([back[i] + [-1] * (width - len(back[i])) for i in some])
+        for i, row in zip(some, prune(x32, np.array(some), pool, s.degree - s.near, s.alpha).tolist(), strict=True):
+            out[i] = sorted({*out[i], *(j for j in row if j >= 0)})
     return spanned(x32, linked_both_ways(x32, out, s.threshold), medoid(x))
 
 
