@@ -31,6 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Input bytes a range partition should hold.
+PARTITION_BYTES = 256 << 20
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partitions for a range shuffle of ``df``: the session's count, more where its planned size asks for it."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return least if planned >= 1 << 60 else max(least, min(1 << 20, planned // PARTITION_BYTES))   # 2^60 and more: unknown
+
+
 def group_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str | None, out: str,
                  num_partitions: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Running sum of ``value`` (inclusive) in each group ordered by ``order``;
@@ -46,7 +57,7 @@ def group_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
     from ..session import ship_package
     ship_package(spark)
     group, order = list(group), list(order)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     if value is None:
         df, value = df.withColumn("_one", F.lit(1).cast("long")), "_one"
     s = df.repartitionByRange(n, *group, *order).sortWithinPartitions(*group, *order)
@@ -63,15 +74,16 @@ def group_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
             if pdf.empty:
                 continue
             g = pdf[group]
-            changed = (g != g.shift()).any(axis=1)
+            before = g.shift()
+            changed = ((g != before) & ~(g.isna() & before.isna())).any(axis=1)     # null keys are equal to each other
             changed.iloc[0] = True
             run = changed.cumsum()
             vals = pdf[value].fillna(0).astype("int64")
             local = vals.groupby(run).cumsum().astype("int64")
-            first_key = tuple(g.iloc[0])
+            first_key = tuple(None if pd.isna(x) else x for x in g.iloc[0])
             if first_key == prev_key:          # the group continues from the previous batch
                 local = local + (run == 1).astype("int64") * prev_total
-            prev_key, prev_total = tuple(g.iloc[-1]), int(local.iloc[-1])
+            prev_key, prev_total = tuple(None if pd.isna(x) else x for x in g.iloc[-1]), int(local.iloc[-1])
             yield pdf.assign(_pid=pid, _local=local)
 
     # One Python pass, materialised with a reliable checkpoint (shared
@@ -87,7 +99,11 @@ def group_cumsum(df: DataFrame, group: Sequence[str], order: Sequence[str], valu
                                             F.lit(0)))
              .select(*group, "_pid", "_off"))
     # bounded by 2 x partitions rows (only boundary groups span partitions)
-    res = idx.join(F.broadcast(spans), [*group, "_pid"], "left")
+    renamed = spans.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(group)], F.col("_pid").alias("_p"), "_off")
+    same = F.col("_pid") == F.col("_p")
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    res = idx.join(F.broadcast(renamed), same, "left").drop("_p", *[f"_k{i}" for i in range(len(group))])
     res = res.withColumn(out, F.col("_local") + F.coalesce(F.col("_off"), F.lit(0)))
     return res.drop("_pid", "_local", "_off", "_one")
 

@@ -44,14 +44,7 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _load_all() -> None:
     # Importing the modules fills the registry.
-    from . import q_stats  # noqa: F401
-    for mod in ("q_passk", "q_history", "q_corpus", "q_text",
-                "q_compare", "q_scans", "q_pyjobs"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    from . import q_compare, q_corpus, q_history, q_passk, q_pyjobs, q_scans, q_stats, q_text  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

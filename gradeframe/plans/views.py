@@ -155,7 +155,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = (F.when(k == 5, F.concat(num, lit("\n"), F.col("doc_id").cast("string")))
                 .when(k == 6, lit("nan")).when(k == 7, F.concat(lit("inf\n"), num))
                 .when(k.isin(9, 10), gappy)
-                .when(k == 11, F.concat(num, lit(".0001 2\n3.0"))).when(k == 12, F.concat(num, lit(" 2.0")))
+                .when(k == 11, F.concat(num, lit(".0001 2\n3.0"))).when(k == 12, F.concat(num, lit(" 1.0")))
                 .when(k == 13, lit("1")).otherwise(plain))
     stdout = (F.when(k == 1, F.concat(plain, lit("  \n\n")))
               .when(k == 2, F.array_join(F.reverse(F.split(plain, "\n")), "\n"))
@@ -165,7 +165,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(k == 6, lit("5")).when(k == 7, F.concat(lit("Infinity\n"), num))
               .when(k == 8, F.replace(plain, lit("\n"), lit("  \n")))
               .when(k == 10, F.concat(t, lit("\n\n\n"), num))
-              .when(k == 11, F.concat(num, lit(".00012 2.0\n3"))).when(k == 12, F.concat(num, lit(" 2.0005")))
+              .when(k == 11, F.concat(num, lit(".00012 2.0\n3"))).when(k == 12, F.concat(num, lit(" 1.0005")))
               .when(k == 13, lit("1f")).otherwise(plain))
     return d.select("doc_id", expected.alias("expected"), stdout.alias("stdout"))
 
@@ -220,7 +220,7 @@ outputs AS (
   SELECT doc_id,
          CASE WHEN k = 5 THEN num || chr(10) || CAST(doc_id AS VARCHAR) WHEN k = 6 THEN 'nan'
               WHEN k = 7 THEN 'inf' || chr(10) || num WHEN k IN (9, 10) THEN text || ' ' || chr(10) || chr(10) || num
-              WHEN k = 11 THEN num || '.0001 2' || chr(10) || '3.0' WHEN k = 12 THEN num || ' 2.0' WHEN k = 13 THEN '1'
+              WHEN k = 11 THEN num || '.0001 2' || chr(10) || '3.0' WHEN k = 12 THEN num || ' 1.0' WHEN k = 13 THEN '1'
               ELSE plain END AS expected,
          CASE k WHEN 1 THEN plain || '  ' || chr(10) || chr(10)
                 WHEN 2 THEN array_to_string(list_reverse(string_split(plain, chr(10))), chr(10))
@@ -230,7 +230,7 @@ outputs AS (
                 WHEN 6 THEN '5' WHEN 7 THEN 'Infinity' || chr(10) || num
                 WHEN 8 THEN replace(plain, chr(10), '  ' || chr(10))
                 WHEN 10 THEN text || chr(10) || chr(10) || chr(10) || num
-                WHEN 11 THEN num || '.00012 2.0' || chr(10) || '3' WHEN 12 THEN num || ' 2.0005' WHEN 13 THEN '1f'
+                WHEN 11 THEN num || '.00012 2.0' || chr(10) || '3' WHEN 12 THEN num || ' 1.0005' WHEN 13 THEN '1f'
                 ELSE plain END AS stdout
   FROM (SELECT doc_id, text, n_chars, CAST(n_chars AS VARCHAR) AS num, doc_id % 14 AS k,
                text || chr(10) || CAST(n_chars AS VARCHAR) AS plain FROM documents) d)""",

@@ -31,3 +31,13 @@ def test_positions_match_row_number(spark):
         assert j2.count() == 2500 and j2.filter(F.col("run") != F.col("want")).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_null_groups_are_groups(spark):
+    from gradeframe.operators.positions import group_positions
+    rows = [(None if i % 3 else "g", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, o long")
+    got = group_positions(df, ["g"], ["o"], num_partitions=5).collect()
+    for key in (None, "g"):
+        mine = sorted((r.o, r.pos) for r in got if r.g == key)
+        assert [p for _, p in mine] == list(range(len(mine)))

@@ -60,12 +60,43 @@ def test_overall_two_denominators(spark):
     assert math.isclose(o["strict_accuracy_std"], (2 / 9) ** 0.5 / 3 ** 0.5)
 
 
-def test_macro_null_guard(spark):
-    ps = spark.createDataFrame([("a", 0, 1), ("b", 0, None)], "qid string, step long, n_rollouts long")
-    for m in S.MACRO_METRICS:
-        ps = ps.withColumn(m, ps["n_rollouts"].cast("double"))
-    row = S.macro_stats(ps).collect()[0]
-    assert row["strict_accuracy"] is None and row["num_problems"] == 2
+def test_macro_null_guard_in_the_chain(spark):
+    """Problems a and c are graded at both steps, b only at step 0: step 1 has no averages."""
+    data = [(q, st, 0, 0, 1) for q in "abc" for st in (0, 1) if (q, st) != ("b", 1)]
+    v = spark.createDataFrame(data, "qid string, step long, sample int, test_idx int, verdict int")
+    p = S.with_all_problems(S.problem_stats(S.rollout_stats(v)), v.select("qid"))
+    rows = {r["step"]: r for r in S.macro_stats(p).collect()}
+    assert set(rows) == {0, 1} and rows[0]["strict_accuracy"] == 1.0 and rows[1]["strict_accuracy"] is None
+    assert rows[1]["num_problems"] == 3
+
+
+def test_deviation_of_large_values(spark):
+    r = spark.createDataFrame([("a", 0, 3000000001.0), ("b", 0, 3000000002.0)], "qid string, step long, test_cases_run double")
+    for m in S.ROLLOUT_METRICS:
+        if m != "test_cases_run":
+            r = r.withColumn(m, r["test_cases_run"] * 0)
+    got = S.overall_stats(r).collect()[0]["test_cases_run_std"]
+    assert math.isclose(got, 0.5 / math.sqrt(2))
+
+
+def test_quarantine(spark):
+    from gradeframe.functions import verdict as VD
+    raw = ["true", "False", "-1", "1.0", "-2.0", "2", "7", "0.9", "nan", "", None, "0"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, raw string")
+    df = df.select("i", VD.normalize_verdict("raw").alias("verdict"))
+    assert [r.verdict for r in df.orderBy("i").collect()] == [1, 0, -1, 1, -2, None, None, None, None, None, None, 0]
+    ok, bad = VD.quarantine(df)
+    assert (ok.count(), bad.count()) == (6, 6)
+
+
+def test_problem_keys(spark):
+    from gradeframe.functions import verdict as VD
+    names = ["12", " +007 ", "-0", "-12", "1_000", "a", "ClassEval_1000000", "9" * 60]
+    df = spark.createDataFrame([(n,) for n in names], "qid string").select("qid", VD.numeric_problem_key().alias("qid_key"))
+    got = {r.qid: r.qid_key for r in df.collect()}
+    assert [got[n] for n in names] == ["12", "7", "0", "-12", "1000", "97",
+                                       "".join(str(ord(c)) for c in "ClassEval_1000000"), "9" * 60]
+    assert [r.qid for r in df.orderBy(*VD.numeric_order()).collect()] == sorted(names, key=lambda n: int(got[n]))
 
 
 def test_format_rounded(spark):
