@@ -38,15 +38,13 @@ def outcome_counts(counts: DataFrame, keys: Sequence[str] = ("task", "test_class
                    sample: str = "sample") -> DataFrame:
     """Per (task, test class) the count of each outcome and the outcomes in sample order.
 
-    The pivot uses the fixed outcome list, so no extra pass finds the values.
+    One aggregate gives both.
     The outcome list holds one entry per sample (bounded by the sample budget).
     """
     o = with_outcome(counts)
-    piv = o.groupBy(*keys).pivot("outcome", list(OUTCOMES)).count().na.fill(0, list(OUTCOMES))
-    seq = (o.groupBy(*keys)
-           .agg(F.array_sort(F.collect_list(F.struct(F.col(sample), F.col("outcome")))).alias("_l"))
-           .select(*keys, F.array_join(F.transform("_l", lambda x: x["outcome"]), ",").alias("outcomes")))
-    return piv.join(seq, list(keys))
+    done = o.groupBy(*keys).agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in OUTCOMES],
+                                F.array_sort(F.collect_list(F.struct(F.col(sample), F.col("outcome")))).alias("_l"))
+    return done.select(*keys, *OUTCOMES, F.array_join(F.transform("_l", lambda x: x["outcome"]), ",").alias("outcomes"))
 
 
 def class_outcomes(counts: DataFrame, task: str = "task", sample: str = "sample") -> DataFrame:
@@ -134,11 +132,6 @@ def report_long(report: DataFrame, key: Sequence[str] = ("setting",)) -> DataFra
     return report.select(*key, "pass_k", stack.alias("_m")).select(*key, "pass_k", "_m.metric", "_m.value")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` replace rows of ``old`` with the same key; others stay."""
-    return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
-
-
 def upsert_versions(df: DataFrame, key: Sequence[str], version: str) -> DataFrame:
     """U6 in one pass: rows of several report versions in one frame; per key the row of
     the highest version wins (an aggregate, so no second read of either version)."""
@@ -148,23 +141,15 @@ def upsert_versions(df: DataFrame, key: Sequence[str], version: str) -> DataFram
 
 
 def class_verdicts(counts: DataFrame, task: str = "task", sample: str = "sample") -> DataFrame:
-    """Collapse class counts into a verdict vector per (task, sample):
-    ``1 x correct, 0 x failures, -1 x errors``, or ``[-2]`` when nothing ran."""
+    """Class counts as runs of equal verdicts per (task, sample): (run, verdict, n) in the
+    order passes, failures, errors, or one -2 when nothing ran. No row grows with the tests."""
     s = counts.groupBy(task, sample).agg(
-        F.sum("errors").alias("errors"), F.sum("failures").alias("failures"),
-        F.sum("tests_run").alias("tests_run"))
-    correct = (F.col("tests_run") - F.col("errors") - F.col("failures")).cast("int")
-    vec = F.when(F.col("tests_run") > 0, F.concat(
-        F.array_repeat(F.lit(1), F.greatest(correct, F.lit(0))),
-        F.array_repeat(F.lit(0), F.col("failures").cast("int")),
-        F.array_repeat(F.lit(-1), F.col("errors").cast("int")))).otherwise(F.array(F.lit(-2)))
-    return s.select(task, sample, "errors", "failures", "tests_run", vec.alias("verdicts"))
-
-
-def class_verdicts_long(counts: DataFrame, task: str = "task", sample: str = "sample") -> DataFrame:
-    """A17 as the long verdict table (task, sample, test_idx, verdict) - feeds A1 directly."""
-    v = class_verdicts(counts, task, sample)
-    return v.select(task, sample, F.posexplode("verdicts").alias("test_idx", "verdict"))
+        F.sum("errors").alias("errors"), F.sum("failures").alias("failures"), F.sum("tests_run").alias("tests_run"))
+    correct = F.greatest(F.col("tests_run") - F.col("errors") - F.col("failures"), F.lit(0))
+    run = lambda k, v, n: F.struct(F.lit(k).alias("run"), F.lit(v).alias("verdict"), n.cast("long").alias("n"))
+    runs = F.when(F.col("tests_run") > 0, F.array(run(0, 1, correct), run(1, 0, F.col("failures")), run(2, -1, F.col("errors")))) \
+        .otherwise(F.array(run(0, -2, F.lit(1))))
+    return s.select(task, sample, F.inline(F.filter(runs, lambda r: r["n"] > 0)))
 
 
 def latest_item(items: DataFrame, task: str = "task", position: str = "position") -> DataFrame:

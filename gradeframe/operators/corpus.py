@@ -50,18 +50,12 @@ def union_optional(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def reshape_records(df: DataFrame, settings: dict[str, str], keys: Sequence[str] = ("qid",),
-                    fields: Sequence[str] = ("query", "responses")) -> DataFrame:
-    """Old-to-new record reshape. Each new setting name takes the response map of
-    its old column (``map<part, struct<...>>``) and keeps only ``fields``; one
-    long row per (setting, keys..., part)."""
-    out = None
-    for name, old in settings.items():
-        m = F.transform_values(F.col(old), lambda k, v: F.struct(*[v[f].alias(f) for f in fields]))
-        part = df.select(F.lit(name).alias("setting"), *keys, F.explode(m).alias("part", "r")) \
-            .select("setting", *keys, "part", *[F.col("r")[f].alias(f) for f in fields])
-        out = part if out is None else out.unionByName(part)
-    return out
+def reshape_records(df: DataFrame, settings: dict[str, str], query: str = "query") -> DataFrame:
+    """Old-to-new record reshape on long rows: each new setting takes the query column of
+    its old style; the other styles' columns go (one generated row per setting, no lists or maps)."""
+    keep = [c for c in df.columns if c not in settings.values()]
+    pairs = F.array(*[F.struct(F.lit(name).alias("setting"), F.col(old).alias(query)) for name, old in settings.items()])
+    return df.select(*keep, F.explode(pairs).alias("_s")).select(*keep, "_s.*")
 
 
 # ------------------------------------------------------------------ P4 P5 P9 P16 P17

@@ -120,8 +120,8 @@ def regroup_results(graded: DataFrame, problem: str | Sequence[str] = "qid", pos
 
 # ------------------------------------------------------------------ A21 X6
 def labels_by_step(labelled: DataFrame, keys: Sequence[str] = ROLLOUT, step: str = "step",
-                   label: str = "label", max_step: int | None = 3) -> DataFrame:
-    """Labels of each sample as a list ordered by step (steps 0..max_step)."""
+                   label: str = "label", *, max_step: int | None) -> DataFrame:
+    """Labels of each sample as a list ordered by step (steps 0..max_step; None: all)."""
     t = labelled if max_step is None else labelled.filter(F.col(step) <= max_step)
     lst = F.transform(F.array_sort(F.collect_list(F.struct(F.col(step), F.col(label)))),
                       lambda x: x[label])
@@ -141,7 +141,7 @@ def step_feedback(turns: DataFrame, keys: Sequence[str] = STEP) -> DataFrame:
 def drop_first_line(s) -> Column:
     """Feedback loses its first line: ``"\\n".join(s.strip().split("\\n")[1:])``."""
     st = X.py_strip(_c(s))
-    return F.array_join(F.slice(F.split(st, "\n"), 2, 1 << 30), "\n")
+    return F.array_join(F.slice(F.split(st, "\n"), F.lit(2), F.size(F.split(st, "\n"))), "\n")
 
 
 def warm_start(per_step: DataFrame, keys: Sequence[str] = ROLLOUT, step: str = "step") -> DataFrame:
@@ -227,27 +227,21 @@ def context_piece(role="role", text="text") -> Column:
             .otherwise(F.lit("")))
 
 
-def running_context(turns: DataFrame, keys: Sequence[str] = ("conv_id",), pos: str = "turn",
-                    start: str | Column = "") -> DataFrame:
-    """Per turn, the offset of its piece in the running context, and the
-    final running text per group.
+def context_pieces(turns: DataFrame, keys: Sequence[str] = ("conv_id",), pos: str = "turn") -> DataFrame:
+    """What each turn adds to its conversation's running context (no row holds a whole conversation)."""
+    return turns.select(*keys, pos, context_piece().alias("piece"))
 
-    The running text after turn t is ``final_text[:end_offset]``; materialising
-    it per turn would copy the history quadratically, so we return offsets.
-    The offsets are skew-safe running sums (``positions.group_cumsum``): a
+
+def context_offsets(turns: DataFrame, keys: Sequence[str] = ("conv_id",), pos: str = "turn") -> DataFrame:
+    """Where the running context ends after each turn.
+
+    The running text after a turn is all pieces up to that offset; a copy per
+    turn would be quadratic. The offsets are skew-safe running sums, so a
     conversation holding a third of all turns is still split over many tasks.
     """
     from .positions import group_cumsum
-    piece = context_piece()
-    t = turns.select(*keys, pos, piece.alias("piece"))
-    lens = t.select(*keys, pos, F.length("piece").cast("long").alias("_len"))
-    per_turn = group_cumsum(lens, list(keys), [pos], "_len", "end_offset").select(*keys, pos, "end_offset")
-    start_c = F.lit(start) if isinstance(start, str) else start
-    final = t.groupBy(*keys).agg(
-        F.concat(start_c, F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(pos), F.col("piece")))), lambda x: x["piece"]), ""))
-        .alias("context"))
-    return per_turn, final
+    lens = context_pieces(turns, keys, pos).select(*keys, pos, F.length("piece").cast("long").alias("_len"))
+    return group_cumsum(lens, list(keys), [pos], "_len", "end_offset").select(*keys, pos, "end_offset")
 
 
 # ------------------------------------------------------------------ W3
@@ -266,7 +260,8 @@ def stuck_runs(turns: DataFrame, keys: Sequence[str] = STEP, limit: int = 10,
     agg = t.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_turns"),
         (F.count_if(blank) - F.min_by(blank.cast("int"), F.col("turn"))).alias("n_stuck"),
-        F.max_by("text", "turn").alias("_last"))
+        # the code so far: all pieces of the step in order, at most the generation budget of one step
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("_code"))
     given_up = F.col("n_stuck") >= limit
     return agg.select(*keys, "n_turns", "n_stuck", given_up.cast("int").alias("given_up"),
-                      F.when(given_up, F.lit("")).otherwise(F.col("_last")).alias("final_code"))
+                      F.when(given_up, F.lit("")).otherwise(F.col("_code")).alias("final_code"))

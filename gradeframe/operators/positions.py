@@ -38,7 +38,7 @@ PARTITION_BYTES = 256 << 20
 def range_partitions(df: DataFrame) -> int:
     """Partitions for a range shuffle of ``df``: the session's count, more where its planned size asks for it."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return least if planned >= 1 << 60 else max(least, min(1 << 20, planned // PARTITION_BYTES))   # 2^60 and more: unknown
 
 

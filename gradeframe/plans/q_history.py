@@ -63,7 +63,7 @@ SELECT qid, sample, string_agg(label, ',' ORDER BY step) AS labels
 FROM (SELECT qid, sample, step, arg_max(label, turn) AS label
       FROM (SELECT qid, sample, step, turn, {_label_sql()} AS label FROM turns WHERE role = 'assistant') l
       GROUP BY 1, 2, 3) s
-WHERE step <= 3 GROUP BY qid, sample"""))
+GROUP BY qid, sample"""))
 def q_sample_labels(spark, sf_dir):
     """A21 + X6: a model's classification reply per step is parsed into its label;
     the labels of steps 0-3 are listed in step order per sample."""
@@ -72,7 +72,7 @@ def q_sample_labels(spark, sf_dir):
     reply = F.concat(F.col("text"), F.lit("\nClass: "), lab)
     t = t.withColumn("label", X.parse_class_label(reply))
     per_step = t.groupBy("qid", "sample", "step").agg(F.max_by("label", "turn").alias("label"))
-    return H.labels_by_step(per_step).select("qid", "sample", F.array_join("labels", ",").alias("labels"))
+    return H.labels_by_step(per_step, max_step=None).select("qid", "sample", F.array_join("labels", ",").alias("labels"))
 
 
 def _drop_first_line_sql(x: str) -> str:
@@ -121,12 +121,11 @@ def q_chat_requests_merged(spark, sf_dir):
 _PIECE = "CASE WHEN role = 'assistant' THEN text WHEN role = 'user' THEN chr(10) || text ELSE '' END"
 
 
-@register("running_text", V.with_views([], f"""
-SELECT conv_id, string_agg({_PIECE}, '' ORDER BY turn) AS context FROM conversations GROUP BY conv_id"""))
-def q_running_text(spark, sf_dir):
-    """The running context of each conversation (code appended, comments after a newline)."""
-    _, final = H.running_context(V.table(spark, sf_dir, "conversations"))
-    return final
+@register("context_pieces", V.with_views([], f"""
+SELECT conv_id, turn, {_PIECE} AS piece FROM conversations"""))
+def q_context_pieces(spark, sf_dir):
+    """What each turn adds to the running context (code as is, comments after a newline)."""
+    return H.context_pieces(V.table(spark, sf_dir, "conversations"))
 
 
 @register("context_offsets", V.with_views([], f"""
@@ -135,42 +134,88 @@ SELECT conv_id, turn, CAST(sum(length({_PIECE})) OVER (PARTITION BY conv_id ORDE
 FROM conversations"""))
 def q_context_offsets(spark, sf_dir):
     """Where the running context ends after each turn."""
-    per_turn, _ = H.running_context(V.table(spark, sf_dir, "conversations"))
-    return per_turn
+    return H.context_offsets(V.table(spark, sf_dir, "conversations"))
+
+
+# Generation loops of one step: a document's lines as pieces, then doc_id mod 13 blank ones; the
+# loop of every third document ends with a code fence.
+LOOPS_CTE = """loops AS (
+  SELECT CAST(doc_id AS VARCHAR) AS qid, 0 AS sample, CAST(0 AS BIGINT) AS step, 'assistant' AS role, turn, text FROM (
+    SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS turn FROM (
+      SELECT doc_id, list_concat(list_concat(list_transform(string_split(text, chr(10)), lambda x: x || chr(10)),
+                                             list_transform(range(doc_id % 13), lambda x: ' ' || chr(10))),
+                                 CASE WHEN doc_id % 3 = 0 THEN ['```'] ELSE []::VARCHAR[] END) AS l FROM documents) a) b)"""
+
+
+def _loops(spark, sf_dir):
+    d = V.table(spark, sf_dir, "documents")
+    blanks = F.array_repeat(F.lit(" \n"), (F.col("doc_id") % 13).cast("int"))
+    fence = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("```"))).otherwise(F.array().cast("array<string>"))
+    pieces = F.concat(F.transform(F.split("text", "\n", -1), lambda l: F.concat(l, F.lit("\n"))), blanks, fence)
+    return d.select(F.col("doc_id").cast("string").alias("qid"), F.lit(0).alias("sample"), F.lit(0).cast("long").alias("step"),
+                    F.lit("assistant").alias("role"), F.posexplode(pieces).alias("turn", "text"))
 
 
 _NS = f"(count(*) FILTER (WHERE {_strip('text')} = '') - arg_min(CAST({_strip('text')} = '' AS INTEGER), turn))"
 
 
-@register("stuck_runs", V.with_views(["turns"], f"""
+@register("stuck_runs", V.with_views([], f"""
 SELECT qid, sample, step, count(*) AS n_turns, {_NS} AS n_stuck,
        CAST({_NS} >= 10 AS INTEGER) AS given_up,
-       CASE WHEN {_NS} >= 10 THEN '' ELSE arg_max(text, turn) END AS final_code
-FROM turns WHERE role = 'assistant' GROUP BY 1, 2, 3"""))
+       CASE WHEN {_NS} >= 10 THEN '' ELSE string_agg(text, '' ORDER BY turn) END AS final_code
+FROM loops WHERE role = 'assistant' GROUP BY 1, 2, 3""", [LOOPS_CTE]))
 def q_stuck_runs(spark, sf_dir):
-    """Blank continuations counted per step; at 10 the sample is given up."""
-    return H.stuck_runs(V.turns(spark, sf_dir))
+    """Blank continuations counted per step; at 10 the sample is given up, else its accumulated code."""
+    return H.stuck_runs(_loops(spark, sf_dir))
 
 
-@register("rounds", V.with_views(["turns"], """
-SELECT t.conv_id, t.turn, t.qid, t.sample, t.step, CAST(t.turn - f.first_turn AS INTEGER) AS round_idx,
+@register("rounds", V.with_views([], """
+SELECT t.turn, t.qid, t.sample, t.step, CAST(t.turn - f.first_turn AS INTEGER) AS round_idx,
        CAST(contains(t.text, '```') AS INTEGER) AS is_finished
-FROM turns t JOIN (SELECT qid, sample, step, min(turn) AS first_turn FROM turns GROUP BY 1, 2, 3) f
-  ON t.qid = f.qid AND t.sample = f.sample AND t.step = f.step"""))
+FROM loops t JOIN (SELECT qid, sample, step, min(turn) AS first_turn FROM loops GROUP BY 1, 2, 3) f
+  ON t.qid = f.qid AND t.sample = f.sample AND t.step = f.step""", [LOOPS_CTE]))
 def q_rounds(spark, sf_dir):
     """W7 + X30: round index inside each step and the finished flag per turn."""
-    r = H.number_rounds(V.turns(spark, sf_dir))
-    return r.select("conv_id", "turn", "qid", "sample", "step", "round_idx",
+    r = H.number_rounds(_loops(spark, sf_dir))
+    return r.select("turn", "qid", "sample", "step", "round_idx",
                     H.finished(F.col("text")).cast("int").alias("is_finished"))
 
 
-@register("round_counts", V.with_views(["turns"], """
+@register("round_counts", V.with_views([], """
 SELECT qid, sample, step, count(*) AS n_rounds, count(*) + 1 AS total_rounds,
        CAST(max(CAST(contains(text, '```') AS INTEGER)) AS INTEGER) AS is_finished
-FROM turns GROUP BY 1, 2, 3"""))
+FROM loops GROUP BY 1, 2, 3""", [LOOPS_CTE]))
 def q_round_counts(spark, sf_dir):
     """Rounds per step; the recorded count is rounds + 1."""
-    return H.round_summary(V.turns(spark, sf_dir))
+    return H.round_summary(_loops(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ P4 P9 P16 P17
+@register("single_problem", V.with_views(["turns"], "SELECT qid, sample, step, turn FROM turns WHERE qid = '3'"))
+def q_single_problem(spark, sf_dir):
+    """The turns of one problem."""
+    from ..operators import corpus as C
+    return C.single_problem(V.turns(spark, sf_dir), "3").select("qid", "sample", "step", "turn")
+
+
+@register("existing_steps", V.with_views(["turns"], """
+SELECT t.qid, t.sample, t.step, t.turn FROM turns t
+WHERE EXISTS (SELECT 1 FROM turns u WHERE u.role = 'assistant' AND u.qid = t.qid AND u.sample = t.sample AND u.step = t.step)"""))
+def q_existing_steps(spark, sf_dir):
+    """P9 + P16: only (problem, sample, step) that have a generation."""
+    from ..operators import corpus as C
+    t = V.turns(spark, sf_dir)
+    return C.existing_steps(t.select("qid", "sample", "step", "turn"), t.filter("role = 'assistant'"))
+
+
+@register("complete_samples", V.with_views(["turns"], """
+SELECT t.qid, t.step, t.sample, t.turn, CAST(g.n >= 4 AS INTEGER) AS complete
+FROM turns t JOIN (SELECT qid, step, count(DISTINCT sample) AS n FROM turns GROUP BY 1, 2) g ON t.qid = g.qid AND t.step = g.step"""))
+def q_complete_samples(spark, sf_dir):
+    """Groups with all samples, and the quarantined rest."""
+    from ..operators import corpus as C
+    ok, bad = C.complete_samples(V.turns(spark, sf_dir).select("qid", "step", "sample", "turn"), 4)
+    return ok.withColumn("complete", F.lit(1)).unionByName(bad.withColumn("complete", F.lit(0)))
 
 
 # ------------------------------------------------------------------ prompts
@@ -277,34 +322,22 @@ RESHAPE = {"oracle": "code_completions_w_comments", "baseline": "code_completion
 
 
 @register("record_reshape", V.with_views(["turns"], """
-SELECT 'oracle' AS setting, qid, sample, step AS part, q_last AS query, n_resp AS n_responses FROM st
-UNION ALL
-SELECT 'baseline', qid, sample, step, q_first, n_resp FROM st""", [
-    """st AS (SELECT qid, sample, step,
-                      arg_max(text, turn) FILTER (WHERE role = 'user') AS q_last,
-                      arg_min(text, turn) FILTER (WHERE role = 'user') AS q_first,
-                      CAST(count(*) FILTER (WHERE role = 'assistant') AS INTEGER) AS n_resp
+SELECT s.setting, a.qid, a.sample, a.step AS part, CASE WHEN s.setting = 'oracle' THEN st.q_last ELSE st.q_first END AS query,
+       a.turn, a.text AS response
+FROM turns a CROSS JOIN (SELECT unnest(['oracle', 'baseline']) AS setting) s JOIN st ON a.qid = st.qid AND a.sample = st.sample AND a.step = st.step
+WHERE a.role = 'assistant'""", [
+    """st AS (SELECT qid, sample, step, arg_max(text, turn) FILTER (WHERE role = 'user') AS q_last,
+                      arg_min(text, turn) FILTER (WHERE role = 'user') AS q_first
                FROM turns GROUP BY 1, 2, 3)"""]))
 def q_record_reshape(spark, sf_dir):
-    """Old records hold one response map per completion style; each new setting
-    keeps only (query, responses) of its style, one row per part."""
+    """Old records carry one query per completion style; each new setting keeps its
+    style's query and the responses, one long row per response."""
     from ..operators import corpus as C
     t = V.turns(spark, sf_dir)
-    per_step = t.groupBy("qid", "sample", "step").agg(
-        F.max_by(F.when(F.col("role") == "user", F.col("text")),
-                 F.when(F.col("role") == "user", F.col("turn"))).alias("q_last"),
-        F.min_by(F.when(F.col("role") == "user", F.col("text")),
-                 F.when(F.col("role") == "user", F.col("turn"))).alias("q_first"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "assistant",
-                                                       F.struct("turn", "text")))), lambda x: x["text"])
-        .alias("resp"))
-    old = per_step.groupBy("qid", "sample").agg(
-        F.map_from_entries(F.collect_list(F.struct("step", F.struct(
-            F.col("q_last").alias("query"), F.col("resp").alias("responses"),
-            F.lit("").alias("starter_code"))))).alias("code_completions_w_comments"),
-        F.map_from_entries(F.collect_list(F.struct("step", F.struct(
-            F.col("q_first").alias("query"), F.col("resp").alias("responses"),
-            F.lit("").alias("starter_code"))))).alias("code_completions_wo_comments"))
-    new = C.reshape_records(old, RESHAPE, keys=["qid", "sample"])
-    return new.select("setting", "qid", "sample", "part", "query",
-                      F.size("responses").alias("n_responses"))
+    user = F.col("role") == "user"
+    queries = t.groupBy("qid", "sample", "step").agg(
+        F.max_by("text", F.when(user, F.col("turn"))).alias(RESHAPE["oracle"]),
+        F.min_by("text", F.when(user, F.col("turn"))).alias(RESHAPE["baseline"]))
+    responses = t.filter("role = 'assistant'").select("qid", "sample", "step", "turn", F.col("text").alias("response"))
+    return C.reshape_records(responses.join(queries, ["qid", "sample", "step"]), RESHAPE).select(
+        "setting", "qid", "sample", F.col("step").alias("part"), "query", "turn", "response")

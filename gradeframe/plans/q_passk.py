@@ -161,18 +161,17 @@ def q_report_upsert(spark, sf_dir):
 
 
 @register("class_verdicts", V.with_views(["class_counts"], """
-SELECT task, sample, errors, failures, tests_run,
-       CASE WHEN tests_run > 0 THEN array_to_string(
-              list_concat(list_concat(list_transform(range(greatest(tests_run - errors - failures, 0)), lambda x: 1),
-                                      list_transform(range(failures), lambda x: 0)),
-                          list_transform(range(errors), lambda x: -1)), ',')
-            ELSE '-2' END AS verdicts
-FROM (SELECT task, sample, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(failures) AS BIGINT) AS failures,
-             CAST(sum(tests_run) AS BIGINT) AS tests_run FROM class_counts GROUP BY 1, 2) s"""))
+SELECT task, sample, CAST(r.run AS INTEGER) AS run, CAST(r.verdict AS INTEGER) AS verdict, r.n FROM (
+  SELECT task, sample, unnest(CASE WHEN tests_run > 0 THEN
+           [{'run': 0, 'verdict': 1, 'n': greatest(tests_run - errors - failures, 0)},
+            {'run': 1, 'verdict': 0, 'n': failures}, {'run': 2, 'verdict': -1, 'n': errors}]
+         ELSE [{'run': 0, 'verdict': -2, 'n': CAST(1 AS BIGINT)}] END) AS r
+  FROM (SELECT task, sample, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(failures) AS BIGINT) AS failures,
+               CAST(sum(tests_run) AS BIGINT) AS tests_run FROM class_counts GROUP BY 1, 2) s) t
+WHERE r.n > 0"""))
 def q_class_verdicts(spark, sf_dir):
-    """A17"""
-    v = C.class_verdicts(V.class_counts(spark, sf_dir))
-    return v.withColumn("verdicts", F.array_join(F.col("verdicts").cast("array<string>"), ","))
+    """Verdict runs of each graded class sample."""
+    return C.class_verdicts(V.class_counts(spark, sf_dir))
 
 
 @register("latest_item", V.with_views(["class_counts"], """

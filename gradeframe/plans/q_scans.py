@@ -23,19 +23,28 @@ from .q_passk import CLASS_PASS_K, REPORT_CTES, _class_report_sql, _reports
 
 
 def scratch(spark, name: str) -> str:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/gf-roundtrip/{name}-{uuid.uuid4().hex[:12]}"
+    """A folder of this query's run. The folder an earlier run of the session left for the
+    same query is removed first: its result has been read by now or is read no more."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gf-roundtrip"
+    key = (spark.sparkContext.applicationId, name)
+    if key in _LEFT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_LEFT[key])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _LEFT[key] = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    return _LEFT[key]
+
+
+_LEFT: dict[tuple[str, str], str] = {}
 
 
 @register("scan_verdicts", V.with_views(["verdicts"], """
 SELECT qid, step, sample, test_idx, verdict FROM verdicts"""))
 def q_scan_verdicts(spark, sf_dir):
-    """S13 -> S4 + X1: per-problem result documents (mixed true/false/-1/-2), one per
-    JSON line, written and scanned back into the long verdict table. (The
-    one-file-per-problem tree is read by ``verdict_scan``; see the tests.)"""
+    """S13 -> S4 + X1: result records (mixed true/false/-1/-2) as JSON lines, written and
+    scanned back into the long verdict table. (The one-file-per-problem tree is
+    read by ``verdict_scan``; see the tests.)"""
     root = scratch(spark, "verdicts")
-    docs = SK.verdict_documents(V.verdicts(spark, sf_dir, positions=True))
-    docs.select("qid", F.col("doc").alias("results")).write.mode("overwrite").json(root)
+    SK.verdict_lines(V.verdicts(spark, sf_dir, positions=True)).write.json(root)
     return SC.verdict_lines_scan(spark, root)
 
 
@@ -46,27 +55,10 @@ SELECT qid, sample, step, arg_max(text, turn) FILTER (WHERE role = 'assistant')
 FROM turns GROUP BY 1, 2, 3"""))
 def q_scan_rollouts(spark, sf_dir):
     """S12 -> S3: one rollout document per (problem, sample) with data-dependent
-    step keys, scanned back with VARIANT explode."""
+    step keys, as JSON lines, scanned back through maps."""
     root = scratch(spark, "rollouts")
-    st = H.step_feedback(V.turns(spark, sf_dir))
-    entry = F.concat(F.lit('"'), F.col("step").cast("string"), F.lit('": '),
-                     F.to_json(F.struct(F.col("code").alias("final_code"))))
-    ir = F.concat(F.lit('"'), F.col("step").cast("string"), F.lit('": '),
-                  F.to_json(F.struct(F.col("code").alias("asst_ir_query"), F.col("feedback").alias("user_ir_answer"))))
-    docs = (st.groupBy("qid", "sample")
-            .agg(F.array_sort(F.collect_list(F.struct("step", entry.alias("e"), ir.alias("i")))).alias("_s"),
-                 F.max_by("code", "step").alias("final_code"), (F.max("step") + 1).alias("total_ir_steps"))
-            .select("qid", "sample", F.concat(
-                F.lit("{"), F.array_join(F.transform("_s", lambda x: x["e"]), ", "),
-                F.lit(', "iter_refinement_data": {'), F.array_join(F.transform("_s", lambda x: x["i"]), ", "),
-                F.lit('}, "final_code": '), F.coalesce(F.to_json(F.array("final_code")).substr(F.lit(2), F.lit(1 << 30)),
-                                                      F.lit("null]")),
-                F.lit(', "total_ir_steps": '), F.col("total_ir_steps").cast("string"), F.lit("}")).alias("doc")))
-    docs = docs.withColumn("doc", F.regexp_replace("doc", r'"final_code": (.*)\], "total_ir_steps"',
-                                                   '"final_code": $1, "total_ir_steps"'))
-    docs.select("qid", "sample", F.col("doc").alias("value")).write.mode("overwrite") \
-        .partitionBy("qid", "sample").text(f"{root}/raw_output")
-    return SC.rollout_scan(spark, root, name="*/part-*")
+    SK.rollout_documents(H.step_feedback(V.turns(spark, sf_dir))).write.json(root)
+    return SC.rollout_lines_scan(spark, root)
 
 
 PROBLEM_SQL = """
@@ -98,6 +90,32 @@ def q_scan_problems(spark, sf_dir):
     return p.select("qid", "orig_input", "input", "dataset", "difficulty_dir", "transformation", "solutions")
 
 
+@register("scan_problem_tree", """
+SELECT CAST(doc_id AS VARCHAR) AS qid, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Summary: ' || lang END AS input,
+       CASE WHEN doc_id % 2 = 0 THEN 'apps' ELSE 'class_eval' END AS dataset,
+       CASE WHEN doc_id % 2 = 0 THEN 'introductory' END AS difficulty_dir,
+       CASE WHEN doc_id % 3 = 0 THEN 'vanilla' ELSE 'plain_summary' END AS transformation,
+       'full_solution' AS solution_type, source AS first_solution, 2 AS n_solutions
+FROM documents""")
+def q_scan_problem_tree(spark, sf_dir):
+    """S1 on the reference layout, with and without a difficulty folder, and the solutions tree joined."""
+    root = scratch(spark, "tree")
+    d = V.table(spark, sf_dir, "documents").withColumn("qid", F.col("doc_id").cast("string"))
+    for even, top in ((True, "apps/introductory"), (False, "class_eval")):
+        half = d.filter((F.col("doc_id") % 2 == 0) == even)
+        for plain, kind in ((True, "vanilla"), (False, "plain_summary")):
+            text = F.col("text") if plain else F.concat(F.lit("Summary: "), F.col("lang"))
+            (half.filter((F.col("doc_id") % 3 == 0) == plain).select("qid", text.alias("input"))
+             .write.json(f"{root}/{top}/test/input/{kind}"))
+        listed = F.to_json(F.array("source", "lang"))
+        half.select("qid", listed.alias("solutions")).write.json(f"{root}/{top}/test/solutions/full_solution")
+    p = SC.problem_scan(spark, root, lines=True).select("qid", "input", "dataset", "difficulty_dir", "transformation")
+    s = SC.solution_scan(spark, root, lines=True)
+    return p.join(s.drop("difficulty_dir"), ["dataset", "qid"]).select(
+        "qid", "input", "dataset", "difficulty_dir", "transformation", "solution_type",
+        F.col("solutions")[0].alias("first_solution"), F.size("solutions").alias("n_solutions"))
+
+
 @register("scan_class_counts", V.with_views(["class_counts"], """
 SELECT task, sample, test_class, errors, failures, tests_run FROM class_counts"""))
 def q_scan_class_counts(spark, sf_dir):
@@ -147,15 +165,14 @@ def q_scan_consolidated(spark, sf_dir):
 
 @register("scan_stream_ingest", None)  # oracle: the overall_stats query, see below
 def q_scan_stream_ingest(spark, sf_dir):
-    """Streaming ingest (J3 by checkpoint): result records (one problem's document per
+    """Streaming ingest (J3 by checkpoint): result records (a stretch of a rollout's results per
     JSON line) are read by a file stream (availableNow) and merged idempotently
     into a verdict table - a second run finds nothing new - then the overall
     statistics are computed from the table."""
     from ..streaming.incremental import ingest_verdicts, ingested_statistics
     from .catalogue import finish
     root = scratch(spark, "stream")
-    docs = SK.verdict_documents(V.verdicts(spark, sf_dir, positions=True))
-    docs.select("qid", F.col("doc").alias("results")).write.mode("overwrite").json(f"{root}/in")
+    SK.verdict_lines(V.verdicts(spark, sf_dir, positions=True)).write.json(f"{root}/in")
     table, ck = f"{root}/table", f"{root}/checkpoint"
     ingest_verdicts(spark, f"{root}/in", table, ck, name="part-*", layout="lines")
     ingest_verdicts(spark, f"{root}/in", table, ck, name="part-*", layout="lines")   # nothing new
@@ -170,11 +187,72 @@ def q_scan_labels(spark, sf_dir):
     lab = QUERIES["sample_labels"](spark, sf_dir)
     docs = SK.label_documents(lab.select("qid", "sample", F.split("labels", ",").alias("labels"),
                                          F.split("labels", ",").alias("full_outputs")))
-    SK.write_documents(docs, root, "qid", "doc")
-    back = SC.label_scan(spark, root, name="part-*")
+    docs.select("qid", "doc").write.json(root)
+    back = SC.label_lines_scan(spark, root)
     return back.select("qid", "sample", F.array_join("labels", ",").alias("labels"))
 
 
+def _step_table_sql() -> str:
+    from .q_stats import _se, problem_cte, rollout_cte
+    tables = f"""
+SELECT 'problem_level_stats' AS name, step, count(*) AS n, round(sum(strict_accuracy), 6) AS strict FROM r GROUP BY step
+UNION ALL
+SELECT 'problem_level_agg_stats', step, (SELECT count(DISTINCT qid) FROM r), round(sum(strict_accuracy), 6) FROM p GROUP BY step
+UNION ALL
+SELECT 'agg_results', step, 1, round(avg(strict_accuracy), 6) FROM r GROUP BY step
+UNION ALL
+SELECT 'agg_stats', step, 1, round(CASE WHEN count(*) = (SELECT count(DISTINCT qid) FROM r) THEN avg(strict_accuracy) END, 6) FROM p GROUP BY step"""
+    return V.with_views(["verdicts"], tables, [rollout_cte(["step"]), problem_cte(["step"])])
+
+
+@register("step_tables", _step_table_sql())
+def q_step_tables(spark, sf_dir):
+    """The four per-step statistic tables, written and read back."""
+    from ..operators import stats as S
+    root = scratch(spark, "step_tables")
+    r = S.rollout_stats(V.verdicts(spark, sf_dir))
+    SK.write_step_tables(r, r.select("qid"), root)
+    out = None
+    for name in SK.STEP_TABLES:
+        t = SC.table_scan(spark, f"{root}/{name}").groupBy(F.col("step").cast("long").alias("step")).agg(
+            F.count(F.lit(1)).alias("n"), F.round(F.sum("strict_accuracy"), 6).alias("strict")).withColumn("name", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out.select("name", "step", "n", "strict")
+
+
+@register("splits_and_lines", """
+SELECT doc_id, lang, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, source FROM documents""")
+def q_splits_and_lines(spark, sf_dir):
+    """S20 + S9 + S7 + S2: two splits saved and loaded back as one table, joined with JSON lines read by a schema."""
+    root = scratch(spark, "splits")
+    d = V.table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    SK.save_split(d.filter("doc_id % 5 <> 0").drop("source"), f"{root}/saved", "train")
+    SK.save_split(d.filter("doc_id % 5 = 0").drop("source"), f"{root}/saved", "test", mode="append")
+    d.select("doc_id", "source").write.json(f"{root}/lines")
+    lines = SC.jsonl_scan(spark, f"{root}/lines", "doc_id long, source string")
+    return SC.table_scan(spark, f"{root}/saved").join(lines, "doc_id").select("doc_id", "lang", "split", "source")
+
+
+@register("first_matches", "SELECT doc_id, lang FROM documents WHERE lang = 'de' AND n_chars > 100 ORDER BY doc_id LIMIT 50")
+def q_first_matches(spark, sf_dir):
+    """S8 + O4: the first 50 documents of a language (the limit is the feature)."""
+    d = V.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return SC.first_matches(d, (F.col("lang") == "de") & (F.col("n_chars") > 100), 50, ["doc_id"]).select("doc_id", "lang")
+
+
+@register("appended_by_key", V.with_views(["setting_values"], """
+SELECT setting, part, count(*) * 2 AS n, round(sum(value) * 2, 4) AS total FROM setting_values GROUP BY 1, 2"""))
+def q_appended_by_key(spark, sf_dir):
+    """S16 + S17 + S19: records split into a folder per setting, then appended a second time, old files kept."""
+    root = scratch(spark, "appended")
+    v = V.setting_values(spark, sf_dir)
+    SK.split_by_key(v, f"{root}/split", ["setting"])
+    SK.append(spark.read.json(f"{root}/split"), f"{root}/all")
+    SK.append(v, f"{root}/all")
+    return spark.read.json(f"{root}/all").groupBy("setting", F.col("part").cast("int").alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @register("report_tsv", None)  # oracle added below (text columns)
 def q_report_tsv(spark, sf_dir):
     """S14 + S15: the latest-step report written as TSV with a header and read back."""

@@ -16,10 +16,14 @@ place of a bare ``value`` directory.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import parse_solutions
 from ..functions.verdict import normalize_verdict
 
 def _path() -> Column:
@@ -53,30 +57,44 @@ def _dir(d: str) -> str:
     return r"(?:[A-Za-z_]+=)?([^/]+)"
 
 
+def relative_path(root: str, path: Column | None = None) -> Column:
+    """The source file's path below ``root``."""
+    base = re.sub(r"^[A-Za-z0-9]+:/*", "/", root).rstrip("/") + "/"
+    path = _path() if path is None else path
+    return F.substring(path, F.locate(base, path) + len(base), F.length(path))
+
+
 # ------------------------------------------------------------------ S1 S2 S7 S8 S9
+def _tree(spark: SparkSession, root: str, kind: str, variant: str, lines: bool) -> DataFrame:
+    """``<dataset>/[<difficulty>/]<split>/<kind>/<variant>/<file>.json`` with the folders as columns.
+
+    Columns are counted from the scan root: six parts have a difficulty folder,
+    five have none (null). Only ``.json`` files under ``kind`` are read, so a
+    ``template.json`` at the root is no problem file.
+    """
+    r = root.rstrip("/")
+    df = (spark.read.schema(PROBLEM_SCHEMA).option("multiLine", not lines).option("recursiveFileLookup", True)
+          .option("pathGlobFilter", "*.json").json(f"{r}/{{*/*,*/*/*}}/{kind}/{variant}"))
+    parts = F.split(relative_path(r), "/")
+    return df.select("*", parts.alias("_p")).select(
+        *df.columns, F.col("_p")[0].alias("dataset"), F.when(F.size("_p") == 6, F.col("_p")[1]).alias("difficulty_dir"),
+        F.element_at("_p", -2).alias("transformation"), F.regexp_extract(F.element_at("_p", -1), r"^(.*)\.json$", 1).alias("file_qid"))
+
+
 def problem_scan(spark: SparkSession, root: str, transformation: str = "*",
-                 layout: str = "reference") -> DataFrame:
-    """Every problem file, one row per file, with dataset / difficulty /
+                 layout: str = "reference", lines: bool = False) -> DataFrame:
+    """Every problem file, one row per record, with dataset / difficulty /
     transformation columns from the path.
 
-    ``layout="reference"``: ``<dataset>/[<difficulty>/]<split>/input/<transformation>/<qid>.json``;
-    only ``.json`` files under ``input`` are read (``template.json`` at the
-    root is not a problem file). ``layout="partitioned"``: directories
-    ``dataset=/difficulty=/transformation=`` as written by ``partitionBy``.
+    ``layout="reference"``: the tree of :func:`_tree` under ``input``, one
+    document per file, or JSON lines (``lines=True``).
+    ``layout="partitioned"``: directories ``dataset=/difficulty=/transformation=``
+    as written by ``partitionBy``.
     """
-    r = root.rstrip("/")
-    reader = spark.read.schema(PROBLEM_SCHEMA).option("multiLine", layout == "reference") \
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
     if layout == "reference":
-        # dataset/split/... or dataset/difficulty/split/... (Hadoop glob alternation)
-        df = reader.json(f"{r}/{{*/*,*/*/*}}/input/{transformation}")
-        return df.select(
-            "*",
-            F.regexp_extract(_path(), r"/([^/]+)/(?:[^/]+/)?[^/]+/input/", 1).alias("dataset"),
-            F.regexp_extract(_path(), r"/([^/]+)/[^/]+/input/", 1).alias("difficulty_dir"),
-            F.regexp_extract(_path(), r"/input/([^/]+)/", 1).alias("transformation"),
-            F.regexp_extract(_path(), r"([^/]+)\.json$", 1).alias("file_qid"))
-    df = reader.json(r)
+        return _tree(spark, root, "input", transformation, lines)
+    df = (spark.read.schema(PROBLEM_SCHEMA).option("recursiveFileLookup", True)
+          .option("pathGlobFilter", "*.json").json(root.rstrip("/")))
     return df.select(
         "*",
         F.regexp_extract(_path(), r"/dataset=([^/]+)/", 1).alias("dataset"),
@@ -84,6 +102,13 @@ def problem_scan(spark: SparkSession, root: str, transformation: str = "*",
         F.regexp_extract(_path(), r"/transformation=([^/]+)/", 1).alias("transformation"))
 
 
+def solution_scan(spark: SparkSession, root: str, solution_type: str = "*", lines: bool = False) -> DataFrame:
+    """S1 for the solutions tree: (dataset, difficulty_dir, solution_type, qid, solutions), the list parsed."""
+    t = _tree(spark, root, "solutions", solution_type, lines)
+    return t.select("dataset", "difficulty_dir", F.col("transformation").alias("solution_type"), "qid",
+                    parse_solutions("solutions").alias("solutions"))
+
+
 def jsonl_scan(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """JSON lines with a given schema."""
     return spark.read.schema(schema).json(path)
@@ -95,9 +120,9 @@ def table_scan(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
-def first_matches(df: DataFrame, condition: Column, n: int = 1000) -> DataFrame:
-    """S8 + O4: a lazy filtered scan that stops after n matches."""
-    return df.filter(condition).limit(n)
+def first_matches(df: DataFrame, condition: Column, n: int, order: Sequence[str]) -> DataFrame:
+    """S8 + O4: the first n rows by ``order`` that meet the condition (a distributed top-n)."""
+    return df.filter(condition).orderBy(*order).limit(n)
 
 
 # ------------------------------------------------------------------ S3
@@ -115,6 +140,15 @@ def rollout_scan(spark: SparkSession, root: str,
         "value",
         path_part(r"raw_output/" + _dir("qid") + "/").alias("qid"),
         path_part(r"/sample[_=]([0-9]+)/").cast("int").alias("sample"))
+    return _rollout_steps(raw)
+
+
+def rollout_lines_scan(spark: SparkSession, path: str) -> DataFrame:
+    """S3 for JSON lines ``{"qid", "sample", "doc"}``: many rollouts per file."""
+    return _rollout_steps(spark.read.schema("qid string, sample int, doc string").json(path).withColumnRenamed("doc", "value"))
+
+
+def _rollout_steps(raw: DataFrame) -> DataFrame:
     ir_type = "map<string,struct<asst_ir_query:string,user_ir_answer:string>>"
     top = raw.select("qid", "sample",
                      F.from_json(F.get_json_object("value", "$.iter_refinement_data"), ir_type).alias("ir"),
@@ -151,11 +185,21 @@ def verdict_scan(spark: SparkSession, root: str, name: str = "test_case_results.
     return _explode_verdict_map(raw, ["qid"])
 
 
+VERDICT_LINE = "qid string, step long, sample int, first_test int, results string"
+
+
+def verdict_lines(lines: DataFrame) -> DataFrame:
+    """VERDICT_LINE rows (a stretch of one rollout's results each) -> the long verdict table."""
+    t = lines.select("qid", "step", "sample", "first_test",
+                     F.posexplode(F.from_json("results", "array<string>")).alias("pos", "raw"))
+    return t.select("qid", "step", "sample", (F.col("first_test") + F.col("pos")).cast("int").alias("test_idx"),
+                    normalize_verdict("raw").alias("verdict"))
+
+
 def verdict_lines_scan(spark: SparkSession, path: str) -> DataFrame:
-    """S4 for JSON-lines deliveries: records ``{"qid": ..., "results": "<document text>"}``,
-    many problems per file (the shape Spark writers produce)."""
-    raw = spark.read.schema("qid string, results string").json(path)
-    return _explode_verdict_map(raw.select(F.col("results").alias("value"), "qid"), ["qid"])
+    """S4 for JSON-lines deliveries of VERDICT_LINE records: many problems per file, and
+    a rollout of any length in records of bounded length."""
+    return verdict_lines(spark.read.schema(VERDICT_LINE).json(path))
 
 
 def setting_verdict_scan(spark: SparkSession, root: str) -> DataFrame:
@@ -175,6 +219,15 @@ def label_scan(spark: SparkSession, root: str, name: str = "*.json") -> DataFram
     """S18 read side: per-problem label documents -> (qid, sample, labels, full_outputs)."""
     raw = spark.read.text(f"{root.rstrip('/')}/*/{name}", wholetext=True).select(
         "value", path_part(r"/" + _dir("qid") + r"/[^/]+$").alias("qid"))
+    return _labels(raw)
+
+
+def label_lines_scan(spark: SparkSession, path: str) -> DataFrame:
+    """S18 read side for JSON lines ``{"qid", "doc"}``."""
+    return _labels(spark.read.schema("qid string, doc string").json(path).withColumnRenamed("doc", "value"))
+
+
+def _labels(raw: DataFrame) -> DataFrame:
     e = raw.select("qid", F.explode(F.from_json("value", LABEL_FILE_TYPE)).alias("sample", "v"))
     return e.select("qid", F.col("sample").cast("int").alias("sample"), "v.labels", "v.full_outputs")
 

@@ -3,10 +3,8 @@
 Everything is written in parallel by the executors - directories of part
 files partitioned by low-cardinality keys (dataset, transformation, step,
 setting), never ``coalesce(1)`` and never partitioned by problem id (that
-would make one directory per problem). Writers that must reproduce the
-reference's one-JSON-document-per-problem layout use ``partitionBy(key)`` +
-the text sink, one document per key, so each file holds exactly that
-problem's object.
+would make one directory per problem). Documents of a problem or rollout are
+JSON lines with the key as a field, many per file.
 """
 
 from __future__ import annotations
@@ -48,37 +46,49 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
 
 
-def write_documents(df: DataFrame, path: str, key: str, doc: str, mode: str = "overwrite") -> None:
-    """One JSON document per key value (``<path>/<key>=<v>/part-*.txt``): the per-problem layout.
+#: Verdicts of one result record: a rollout with more tests takes several records.
+TESTS_PER_LINE = 1000
 
-    Many small files: the v2 commit algorithm moves task output into place once
-    instead of twice."""
-    (df.select(key, F.col(doc).alias("value")).write.mode(mode)
-     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(key).text(path))
 
-
-def verdict_documents(verdicts: DataFrame, qid: str = "qid") -> DataFrame:
-    """``{step: [[verdict, ...] per sample]}`` text per problem; 1/0 are written as
-    true/false like the reference's mixed lists. Each problem's document is
-    bounded by its tests x samples x steps."""
+def verdict_lines(verdicts: DataFrame, tests_per_line: int = TESTS_PER_LINE) -> DataFrame:
+    """Result records (qid, step, sample, first_test, results), ``results`` a JSON list with
+    1/0 written as true/false. No record grows with a rollout's tests, no row with a problem's."""
     v = F.when(F.col("verdict") == 1, F.lit("true")).when(F.col("verdict") == 0, F.lit("false")) \
         .otherwise(F.col("verdict").cast("string"))
-    per_sample = (verdicts.groupBy(qid, "step", "sample")
-                  .agg(F.array_sort(F.collect_list(F.struct("test_idx", v.alias("v")))).alias("_t")))
-    per_sample = per_sample.select(qid, "step", "sample",
-                                   F.concat(F.lit("["), F.array_join(F.transform("_t", lambda x: x["v"]), ", "),
-                                            F.lit("]")).alias("lst"))
-    # samples are list positions: a sample without results becomes an empty list
-    per_step = (per_sample.groupBy(qid, "step")
-                .agg(F.map_from_entries(F.collect_list(F.struct("sample", "lst"))).alias("_m"))
-                .select(qid, "step", F.concat(F.lit("["), F.array_join(F.transform(
-                    F.sequence(F.lit(0), F.array_max(F.map_keys("_m"))),
-                    lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit("[]"))), ", "),
-                    F.lit("]")).alias("steps")))
-    doc = F.concat(F.lit("{"), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("step", "steps"))),
-        lambda x: F.concat(F.lit('"'), x["step"].cast("string"), F.lit('": '), x["steps"])), ", "), F.lit("}"))
-    return per_step.groupBy(qid).agg(doc.alias("doc"))
+    line = F.floor(F.col("test_idx") / tests_per_line).cast("int")
+    per = (verdicts.groupBy("qid", "step", "sample", (line * tests_per_line).alias("first_test"))
+           .agg(F.array_sort(F.collect_list(F.struct("test_idx", v.alias("v")))).alias("_t")))
+    return per.select("qid", "step", "sample", "first_test", F.concat(
+        F.lit("["), F.array_join(F.transform("_t", lambda x: x["v"]), ", "), F.lit("]")).alias("results"))
+
+
+def rollout_documents(steps: DataFrame) -> DataFrame:
+    """One rollout document per (qid, sample): an object per step, the feedback by step,
+    the last code and the step count (its length is bounded by the steps of a rollout).
+
+    ``steps`` has qid, sample, step, code, feedback.
+    """
+    key = F.col("step").cast("string")
+    per = steps.groupBy("qid", "sample").agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct(key, F.struct(F.col("code").alias("final_code")))))).alias("_steps"),
+        F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(key, F.struct(
+            F.col("code").alias("asst_ir_query"), F.col("feedback").alias("user_ir_answer"))))).alias("iter_refinement_data"),
+            F.max_by("code", "step").alias("final_code"), (F.max("step") + 1).alias("total_ir_steps"))).alias("_rest"))
+    inner = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)   # noqa: E731  an object without its braces
+    return per.select("qid", "sample", F.concat(F.lit("{"), inner(F.col("_steps")), F.lit(","), inner(F.col("_rest")),
+                                                F.lit("}")).alias("doc"))
+
+
+#: Names of the four tables of S14.
+STEP_TABLES = ("problem_level_stats", "problem_level_agg_stats", "agg_results", "agg_stats")
+
+
+def write_step_tables(rollouts: DataFrame, problems: DataFrame, root: str) -> None:
+    """Rollout rows, per-problem rows, overall rows and macro rows, each a table partitioned by step."""
+    from ..operators import stats as S
+    per_problem = S.with_all_problems(S.problem_stats(rollouts), problems)
+    for name, table in zip(STEP_TABLES, (rollouts, per_problem, S.overall_stats(rollouts), S.macro_stats(per_problem)), strict=True):
+        write_partitioned(table, f"{root}/{name}", ["step"])
 
 
 def label_documents(labels: DataFrame, qid: str = "qid", sample: str = "sample") -> DataFrame:

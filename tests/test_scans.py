@@ -37,9 +37,26 @@ def test_problem_scan_skips_template(spark, tmpdir_path):
     _write(f"{r}/apps/introductory/test/input/vanilla/1.json", json.dumps({"qid": 1, "orig_input": "q", "input": "i"}))
     _write(f"{r}/code_generation_lite/easy/test/input/plain_summary/7.json",
            json.dumps({"qid": "7", "orig_input": "q7", "input": "s7", "starter": ""}))
+    _write(f"{r}/class_eval/test/input/vanilla/ClassEval_0.json", json.dumps({"qid": "ClassEval_0", "input": "c"}, indent=1))
     p = SC.problem_scan(spark, r).orderBy("file_qid").collect()
-    assert [(x.qid, x.dataset, x.transformation, x.file_qid) for x in p] == [
-        ("1", "apps", "vanilla", "1"), ("7", "code_generation_lite", "plain_summary", "7")]
+    assert [(x.qid, x.dataset, x.difficulty_dir, x.transformation, x.file_qid) for x in p] == [
+        ("1", "apps", "introductory", "vanilla", "1"), ("7", "code_generation_lite", "easy", "plain_summary", "7"),
+        ("ClassEval_0", "class_eval", None, "vanilla", "ClassEval_0")]
+    _write(f"{r}/class_eval/test/solutions/full_solution/ClassEval_0.json", json.dumps({"qid": "ClassEval_0", "solutions": "class A: pass"}))
+    _write(f"{r}/apps/introductory/test/solutions/full_solution/1.json", json.dumps({"qid": "1", "solutions": json.dumps(["a", "b"])}))
+    got = SC.solution_scan(spark, r).orderBy("qid").collect()
+    assert [(x.dataset, x.difficulty_dir, x.solution_type, x.qid, x.solutions) for x in got] == [
+        ("apps", "introductory", "full_solution", "1", ["a", "b"]), ("class_eval", None, "full_solution", "ClassEval_0", ["class A: pass"])]
+
+
+def test_long_rollout_takes_several_records(spark, tmpdir_path):
+    rows = [("q", 0, 0, i, (i % 4) - 2) for i in range(2500)]
+    v = spark.createDataFrame(rows, "qid string, step long, sample int, test_idx int, verdict int")
+    lines = SK.verdict_lines(v, tests_per_line=1000)
+    assert lines.count() == 3
+    lines.write.json(f"{tmpdir_path}/v")
+    back = SC.verdict_lines_scan(spark, f"{tmpdir_path}/v").collect()
+    assert sorted((r.qid, r.step, r.sample, r.test_idx, r.verdict) for r in back) == rows
 
 
 def test_source_tree_reports_and_settings(spark, tmpdir_path):
