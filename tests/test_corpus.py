@@ -41,7 +41,7 @@ def test_jsonl_first_matches_and_split_save(spark, tmpdir_path):
         for i in range(10):
             f.write(json.dumps({"qid": str(i), "lang": "Python" if i % 2 else "C"}) + "\n")
     df = SC.jsonl_scan(spark, path, "qid string, lang string")                    # S2
-    assert SC.first_matches(df, F.col("lang") == "Python", 3).count() == 3         # S8 + O4
+    assert [r.qid for r in SC.first_matches(df, F.col("lang") == "Python", 3, ["qid"]).collect()] == ["1", "3", "5"]         # S8 + O4
     SK.save_split(df, f"{tmpdir_path}/saved", "train")                            # S20
     back = SC.table_scan(spark, f"{tmpdir_path}/saved")                           # S9
     assert back.filter(F.col("split") == "train").count() == 10
@@ -56,6 +56,9 @@ def test_stuck_runs_skip_first_turn(spark):
     assert (r.n_turns, r.n_stuck, r.given_up, r.final_code) == (13, 11, 1, "")
     r9 = H.stuck_runs(df.filter("turn < 11")).collect()[0]          # 9 counted blanks: not yet given up
     assert (r9.n_stuck, r9.given_up) == (9, 0)
+    pieces = [("q", 0, 0, 1, i, "assistant", t) for i, t in enumerate(["x = 1\n", "y = 2\n", "", "z = 3"])]
+    code = H.stuck_runs(spark.createDataFrame(pieces, df.schema)).collect()[0]
+    assert (code.n_stuck, code.final_code) == (1, "x = 1\ny = 2\nz = 3")           # what the loop has accumulated
 
 
 def test_chat_messages_forms(spark):
