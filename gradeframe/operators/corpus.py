@@ -170,6 +170,11 @@ def eligible_repos(repos: DataFrame, language: str, min_stars: int, max_size: in
     return repos.filter((F.col(language_col) == language) & (F.col(stars) >= min_stars) & (F.col(size) <= max_size))
 
 
+def top_repos_per_day(repos: DataFrame, k: int, created: str = "created", stars: str = "stars", repo: str = "repo") -> DataFrame:
+    """P8 (search part): of the repositories created on a day the k with most stars, for every day."""
+    return top_k_per_group(repos, [created], [F.desc(stars), repo], k, "rank")
+
+
 def has_long_python_file(files: DataFrame, min_lines: int, repo: str = "repo", path: str = "path",
                          pos: str = "position", size: str = "size", content: str = "content") -> DataFrame:
     """P8 (file part): the first .py file larger than 40 bytes per wanted line must

@@ -207,6 +207,23 @@ def q_repo_filter(spark, sf_dir):
     return out.orderBy(F.desc("stars"), "repo").limit(100)
 
 
+PER_DAY = 100      # the search returns one page a day
+
+
+@register("repos_by_day", f"""
+SELECT created, repo, stars, CAST(rn - 1 AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY created ORDER BY stars DESC, repo) AS rn
+  FROM (SELECT CAST(DATE '2024-01-01' + CAST(doc_id % 7 AS INTEGER) AS DATE) AS created, doc_id AS repo, n_chars AS stars FROM documents) a
+  WHERE stars >= {MIN_STARS} AND created >= DATE '2024-01-02') b WHERE rn <= {PER_DAY}""")
+def q_repos_by_day(spark, sf_dir):
+    """P8 + O4 + W1: the repositories created on each day, the 100 with most stars of each."""
+    d = V.table(spark, sf_dir, "documents").select(
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 7).cast("int")).alias("created"),
+        F.col("doc_id").alias("repo"), F.col("n_chars").alias("stars"))
+    ok = d.filter((F.col("stars") >= MIN_STARS) & (F.col("created") >= F.lit("2024-01-02").cast("date")))
+    return C.top_repos_per_day(ok, PER_DAY).select("created", "repo", "stars", "rank")
+
+
 @register("first_py", V.with_views([], """
 SELECT repo, path, content FROM (
   SELECT string_split(path, '/')[-2] AS repo, arg_min(path, position) AS path, arg_min(content, position) AS content
