@@ -61,6 +61,23 @@ def q_scan_rollouts(spark, sf_dir):
     return SC.rollout_lines_scan(spark, root)
 
 
+@register("scan_round_records", V.with_views(["turns"], """
+SELECT t.qid, t.sample, CAST(t.step AS INTEGER) AS iter, CAST(t.turn - f.first_turn AS INTEGER) AS round,
+       CASE WHEN t.role = 'assistant' THEN t.text END AS asst_code, CASE WHEN t.role = 'user' THEN t.text END AS user_mg_answer,
+       contains(t.text, '```') AS is_finished
+FROM turns t JOIN (SELECT qid, sample, step, min(turn) AS first_turn FROM turns GROUP BY 1, 2, 3) f
+  ON t.qid = f.qid AND t.sample = f.sample AND t.step = f.step"""))
+def q_scan_round_records(spark, sf_dir):
+    """A record per round, written as JSON lines and read back."""
+    root = scratch(spark, "rounds")
+    r = H.number_rounds(V.turns(spark, sf_dir))
+    of = lambda role: F.when(F.col("role") == role, F.col("text"))
+    doc = F.to_json(F.struct(of("assistant").alias("asst_code"), F.lit(None).cast("string").alias("asst_mg_query"),
+                             of("user").alias("user_mg_answer"), H.finished(F.col("text")).alias("is_finished")))
+    r.select("qid", "sample", F.col("step").cast("int").alias("iter"), F.col("round_idx").alias("round"), doc.alias("doc")).write.json(root)
+    return SC.round_lines_scan(spark, root).drop("asst_mg_query")
+
+
 PROBLEM_SQL = """
 SELECT CAST(doc_id AS VARCHAR) AS qid, text AS orig_input,
        CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Summary: ' || lang END AS input,

@@ -161,6 +161,29 @@ def _rollout_steps(raw: DataFrame) -> DataFrame:
         ir["asst_ir_query"].alias("asst_query"), ir["user_ir_answer"].alias("user_answer"))
 
 
+# The fields of a round record.
+ROUND_FIELDS = "asst_code string, asst_mg_query string, user_mg_answer string, is_finished boolean"
+
+
+def round_scan(spark: SparkSession, root: str) -> DataFrame:
+    """S12 read side: ``raw_output/<qid>/generation_data/sample_<s>/iter_<i>/round_<r>.json`` ->
+    (qid, sample, iter, round, the fields of a round record)."""
+    raw = spark.read.text(f"{root.rstrip('/')}/raw_output/*/generation_data/*/iter_*/round_*.json", wholetext=True)
+    number = lambda name, end: path_part(rf"/{name}_([0-9]+){end}").cast("int")
+    return _rounds(raw.select(path_part(r"raw_output/" + _dir("qid") + "/").alias("qid"), number("sample", "/").alias("sample"),
+                              number("iter", "/").alias("iter"), number("round", r"\.json$").alias("round"), F.col("value").alias("doc")))
+
+
+def round_lines_scan(spark: SparkSession, path: str) -> DataFrame:
+    """S12 read side for JSON lines with the key as fields and the record as ``doc``."""
+    return _rounds(spark.read.schema("qid string, sample int, iter int, round int, doc string").json(path))
+
+
+def _rounds(raw: DataFrame) -> DataFrame:
+    return raw.select("qid", "sample", "iter", "round", F.from_json("doc", ROUND_FIELDS).alias("_r")) \
+        .select("qid", "sample", "iter", "round", "_r.*")
+
+
 # ------------------------------------------------------------------ S4 S22
 VERDICT_FILE_TYPE = "map<string,array<array<string>>>"
 

@@ -49,6 +49,13 @@ def test_problem_scan_skips_template(spark, tmpdir_path):
         ("apps", "introductory", "full_solution", "1", ["a", "b"]), ("class_eval", None, "full_solution", "ClassEval_0", ["class A: pass"])]
 
 
+def test_round_records_of_the_reference_tree(spark, tmpdir_path):
+    r = tmpdir_path
+    _write(f"{r}/raw_output/12/generation_data/sample_3/iter_0/round_1.json",
+           json.dumps({"asst_code": "x = 1", "asst_mg_query": None, "user_mg_answer": "ok", "is_finished": True}, indent=1))
+    assert [tuple(x) for x in SC.round_scan(spark, r).collect()] == [("12", 3, 0, 1, "x = 1", None, "ok", True)]
+
+
 def test_long_rollout_takes_several_records(spark, tmpdir_path):
     rows = [("q", 0, 0, i, (i % 4) - 2) for i in range(2500)]
     v = spark.createDataFrame(rows, "qid string, step long, sample int, test_idx int, verdict int")
