@@ -16,8 +16,9 @@ three small windows. The
 outcome is a cut per source, applied to each document where it stands. Copies
 are dealt into ``block`` numbers of the output stream by another hash.
 
-DataFrame functions only; sources may be many: their table is joined as Spark
-sees fit, and only totals and the exponent's sums reach the driver.
+DataFrame functions only; sources may be many: their table is broadcast up to a
+checked number of rows and joined by key beyond it, and only totals and the
+exponent's sums reach the driver.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import checkpoint, table
 TARGET_ENTROPY, MAX_EPOCHS, BLOCK_TOKENS, SEED = 0.97, 1.25, 1 << 20, 7
 GRID_BITS, ROUND_BITS = 24, 4
 HASH_BITS, BLOCK_BITS = 60, 14
+#: Sources (a key and two numbers each) up to which their table is broadcast.
+MOST_BROADCAST = 100_000
 
 
 def words(text: Column) -> Column:
@@ -151,6 +154,8 @@ def mix(docs: DataFrame, target: Target = Target(), seed: int = SEED, block_toke
     doc, source = F.col(f"`{id_col}`"), F.col(f"`{source_col}`")
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("_epoch", "_block")]
     renamed = chosen.select(F.col("key").alias("_key"), F.col("passes").alias("_passes"), F.col("cut").alias("_cut"))
+    if chosen.count() <= MOST_BROADCAST:      # then no document has to move; beyond it Spark joins by key, splitting hot ones
+        renamed = F.broadcast(renamed)
     copies = F.col("_passes") + F.when(hash60(str(seed), doc, source) <= F.col("_cut"), 1).otherwise(0)
     blocks = max(1, -(-budget // block_tokens))
     return (docs.select(*keep).join(renamed, source_key(source) == F.col("_key")).withColumn("_copies", copies)
