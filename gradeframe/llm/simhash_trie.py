@@ -261,9 +261,10 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4,
     rows = checkpoint(fingerprints(docs, shingle, id_col, text_col))
     classes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(trie_links(classes.select("fp"), max_bits))
-    rooted = (classes.join(roots, classes["fp"] == roots["node"], "left")
-              .select("fp", F.coalesce("root", "fp").alias("root"), "first_id"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = checkpoint(classes.join(roots, classes["fp"] == roots["node"], "left")
+                        .select("fp", F.coalesce("root", "fp").alias("root"), "first_id"))
+    # both sides of the next join are tables, so Spark can split a large group's rows
+    smallest = checkpoint(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     by_fp = checkpoint(rooted.join(smallest, "root").select("fp", "component_id"))
     return (rows.join(by_fp, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
