@@ -61,29 +61,44 @@ def verdicts(spark: SparkSession, sf_dir: str, positions: bool = False, errors:
         *ORDER_KEYS,
         verdict_code(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")).alias("verdict"),
     )
-    if errors:
-        base = base.withColumn("error_text", error_text(F.col("verdict"), F.col("l_suppkey")))
     if not positions:
         return base.select("qid", "step", "sample", "verdict")
-    from ..operators.positions import group_positions
-    keep = ["verdict", "error_text"] if errors else ["verdict"]
-    p = group_positions(base, ["qid", "step", "sample"], list(ORDER_KEYS), "test_idx", keep=keep)
-    return p.select("qid", "step", "sample", "test_idx", *keep)
+
+    def number() -> DataFrame:
+        from ..operators.positions import group_positions
+        full = base.withColumn("error_text", error_text(F.col("verdict"), F.col("l_suppkey")))
+        return group_positions(full, ["qid", "step", "sample"], list(ORDER_KEYS), "test_idx", keep=["verdict", "error_text"])
+
+    p = _numbered_once(spark, sf_dir, "verdicts", number)
+    return p.select("qid", "step", "sample", "test_idx", "verdict", *(["error_text"] if errors else []))
+
+
+_NUMBERED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _numbered_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A numbered table is made once per application and input folder and shared by the queries
+    that need positions (real verdict data brings its ``test_idx`` along)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _NUMBERED:
+        _NUMBERED[key] = build()
+    return _NUMBERED[key]
 
 
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tests(qid, test_idx, input, expected, call_based): the test cases of each problem, in order.
 
     Even problems are call-based: one argument per line."""
-    from ..operators.positions import group_positions
-    li = table(spark, sf_dir, "lineitem")
-    case = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" line "),
-                    F.col("l_linenumber").cast("string"), F.lit(";"))
-    base = li.select(F.col("l_partkey").cast("string").alias("qid"), *ORDER_KEYS)
-    p = group_positions(base, ["qid"], list(ORDER_KEYS), "test_idx",
-                        keep=["l_orderkey", "l_linenumber", "l_suppkey"])
+    def number() -> DataFrame:
+        from ..operators.positions import group_positions
+        case = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" line "),
+                        F.col("l_linenumber").cast("string"), F.lit(";"))
+        base = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("qid"), *ORDER_KEYS, case.alias("case"))
+        return group_positions(base, ["qid"], list(ORDER_KEYS), "test_idx", keep=["case", "l_suppkey"])
+
+    p = _numbered_once(spark, sf_dir, "tests", number)
     even = F.col("qid").cast("long") % 2 == 0
-    text = F.repeat(case, 20)
+    text = F.repeat("case", 20)
     return p.select("qid", "test_idx", F.when(even, F.replace(text, F.lit(";"), F.lit(";\n"))).otherwise(text).alias("input"),
                     F.repeat(F.concat(F.col("l_suppkey").cast("string"), F.lit(" ")), 60).alias("expected"),
                     even.alias("call_based"))
