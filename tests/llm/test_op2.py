@@ -1,5 +1,6 @@
 import hashlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,8 +14,13 @@ TEXTS = [None, "", " ", "\n\n  \t x", "it's I'LL we'd  they've a b", "a <|end
          "͸՘ ꟎\U00011db0 \U0003d000x"]
 
 
+@cache
+def tokenizer():
+    return Tokenizer.from_file(PATH)
+
+
 def want(text):
-    t = Tokenizer.from_file(PATH)
+    t = tokenizer()
     ids = t.encode(text or "", add_special_tokens=False).ids
     return (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
             hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest())
