@@ -7,7 +7,9 @@ document frequencies of the licence words over the whole corpus.
 
 The index holds a posting (template, position) per licence word. A file looks
 up its highest-IDF licence words; every hit proposes a template at an offset
-(position in the file minus position in the template). All licence words then
+(position in the file minus position in the template). The rarest word of a
+template's key phrase proposes it too, in every file and whatever the ranks, so
+labels do not depend on how many words are looked up. All licence words then
 vote for proposed (template, offset) pairs, which intersects the postings by
 relative position. A template counts when enough of its words agree on one
 offset and its mandatory key phrase stands whole at that offset. Phrases are
@@ -112,7 +114,9 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     that overlaps itself counts at every start; repeated rows and null ids are
     scanned like any other; other columns are not read; an empty table gives an
     empty result. ``score`` is 1 with a phrase, else the best share of agreeing
-    words of a template whose key stands, else half the best share without it.
+    words of a template whose key stands, else half the best share without it;
+    only that half share, which labels nothing, is taken among the templates that
+    the ``top_words`` looked-up words propose.
     """
     spark = docs.sparkSession
     units = _units(phrases, templates)
@@ -130,6 +134,12 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     anchors = (postings.join(ranked, "w").join(info.filter("kind <> 'template'"), "unit")
                .groupBy("unit").agg(F.min(F.struct("df", "w", "j")).alias("a"))
                .select("unit", F.col("a.w").alias("w"), F.col("a.j").alias("j")))
+    n_phrases, n_templates = len(phrases), len(templates)
+    places = {i: _key_place(t) for i, t in enumerate(templates)}
+    # wherever a key can stand its template is proposed, beside the looked-up words
+    of_key = local_rows(spark, [("unit", "int"), ("template", "int"), ("place", "int")],
+                        [(n_phrases + n_templates + i, n_phrases + i, place) for i, place in places.items()])
+    anchors = anchors.union(anchors.join(of_key, "unit").select("template", "w", F.col("j") + F.col("place")))
 
     hits = rows.filter(F.col("hits").isNotNull()).select("rid", F.inline("hits"))
     per_file = Window.partitionBy("rid").orderBy("df", "w")             # at most one row per licence word
@@ -146,8 +156,6 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     base = (agreed.filter("kind = 'phrase' AND n = size").groupBy("rid")
             .agg(F.count(F.lit(1)).alias("n_base"), F.min("off").alias("first_word"), F.max("off").alias("last_word"),
                  F.collect_set("label").alias("base")))
-    n_phrases, n_templates = len(phrases), len(templates)
-    places = {i: _key_place(t) for i, t in enumerate(templates)}
     at = F.element_at(F.array(*[F.lit(places[i]) for i in range(n_templates)]), F.col("unit") - n_phrases + 1) \
         if n_templates else F.lit(0)
     keys = (agreed.filter("kind = 'key' AND n = size")

@@ -55,3 +55,30 @@ def test_query(spark):
     text = dict(docs)
     for r in rows:
         assert ("gpl-3" in r.labels) == ("GNU General Public License, version 3" in text[r.doc_id])
+
+
+def brute_labels(text):
+    w = re.findall("[a-z0-9]+", text.lower())
+    labels = set(filter(None, brute(text)[4].split(",")))
+    for t in L.TEMPLATES:
+        words, key = t.words.split(), t.key.split()
+        place = L._key_place(t)
+        for i in range(len(w)):
+            off = i - place
+            agree = sum(0 <= off + j < len(w) and w[off + j] == x for j, x in enumerate(words))
+            if w[i:i + len(key)] == key and agree >= L.LEAST_SHARE * len(words):
+                labels.add(t.label)
+    return ",".join(sorted(labels))
+
+
+def test_several_licences_in_one_file(spark):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    bsd = next(t.words for t in L.TEMPLATES if t.label == "bsd")
+    mit = next(t.words for t in L.TEMPLATES if t.words.startswith("permission"))
+    texts = [bsd + " or " + gpl, mit + ". " + gpl, bsd + " " + mit + " " + gpl, gpl + " x " + gpl.replace("3", "2") + " " + bsd,
+             "all " + " and ".join(t.words for t in L.TEMPLATES)] + [gpl] * 60       # GPL words are common, of low IDF
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: brute_labels(t) for i, t in enumerate(texts)}
+    assert want[0] == "bsd,gpl-3" and want[1] == "gpl-3,mit" and want[2] == "bsd,gpl-3,mit"
+    for top in (L.TOP_WORDS, 1, 1000):
+        assert {r.doc_id: r.labels for r in L.scan(df, top_words=top).collect()} == want
