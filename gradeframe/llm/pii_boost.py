@@ -102,18 +102,23 @@ def exact_spans(text: str) -> tuple[list[Span], list[Span]]:
     return good, bad
 
 
-#: Groups between blanks that one number may have, and its fewest and most digits when it has several.
-MOST_GROUPS, LEAST_DIGITS, MOST_DIGITS = 6, 7, 19
+#: Fewest digits of a number, and its most when it has several groups between blanks.
+LEAST_DIGITS, MOST_DIGITS = 7, 19
+#: Candidates scored at a time.
+SCORED = 4096
 
 
 def _numbers(text: str, run: re.Match) -> Iterator[Span]:
-    """The numbers that a run of digit groups may hold: all neighbouring groups of a fitting length."""
-    if text[run.end():run.end() + 1].isalpha():
-        return
+    """The numbers that a run of digit groups may hold: all neighbouring groups of a fitting length.
+
+    A last group that goes on with a letter is part of a word and of no number.
+    """
     groups = [(g.start(), g.end(), len(_digits(g[0]))) for g in _GROUP.finditer(text, run.start(), run.end())]
+    if text[run.end():run.end() + 1].isalpha():
+        groups.pop()
     for i, (a, _, _) in enumerate(groups):
         n = 0
-        for k, (_, b, more) in enumerate(groups[i:i + MOST_GROUPS]):
+        for k, (_, b, more) in enumerate(groups[i:i + MOST_DIGITS]):    # every group has a digit
             n += more
             if n > MOST_DIGITS and k:
                 break
@@ -325,12 +330,14 @@ def find(text: str | None, trees: Trees) -> tuple[list[Span], list[Span]]:
     base, _ = exact_spans(text)
     more = [s for s in candidates(text) if not any(s[1] < b and a < s[2] for _, a, b in base)] if len(base) < 64 \
         else _apart(candidates(text), base)
-    if more:
-        x = np.array([features(text, s) for s in more])
+    chosen = []
+    for k in range(0, len(more), SCORED):
+        some = more[k:k + SCORED]
+        x = np.array([features(text, s) for s in some])
         cut = np.array(trees.threshold)[x[:, 0].astype(int)]
-        more = [s for s, ok in zip(more, trees.chance(x) >= cut, strict=True) if ok]
+        chosen += [s for s, ok in zip(some, trees.chance(x) >= cut, strict=True) if ok]
     order = {k: i for i, k in enumerate(KINDS)}
-    return base, sorted({*base, *more}, key=lambda s: (order[s[0]], s[1], s[2]))
+    return base, sorted({*base, *chosen}, key=lambda s: (order[s[0]], s[1], s[2]))
 
 
 def _apart(spans: list[Span], base: list[Span]) -> list[Span]:

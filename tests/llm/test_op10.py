@@ -102,3 +102,26 @@ def test_query(spark):
             assert "secret" in r.spans
         plain += bool(r.spans) and not re.search("[0-9]", docs[r.doc_id])
     assert plain == 0
+
+
+def test_numbers_before_a_word_and_digit_by_digit():
+    def shown(t):
+        return {t[a:b] for _, a, b in Q.candidates(t)}
+
+    assert "555-123-4567" in shown("call 555-123-4567 3pm") and "0171 555 1234" in shown("phone 0171 555 1234 2nd floor")
+    assert not any(s.endswith((" 3", " 2")) for s in shown("call 555-123-4567 3pm") | shown("phone 0171 555 1234 2nd floor"))
+    assert shown("number 12345678th") == set()
+    assert "0 6 1 2 3 4 5 6 7 8" in shown("phone 0 6 1 2 3 4 5 6 7 8")
+    assert "49 30 12 34 56 78 90 1" in shown("tel 49 30 12 34 56 78 90 1")
+    assert "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9" in shown("x 1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 y")
+    trees = Q.fit(np.zeros((0, Q.FEATURES)), np.zeros(0, int))
+    t = "call 555-123-4567 3pm"
+    assert "555-123-4567" in {t[a:b] for _, a, b in Q.find(t, trees)[1]}
+
+
+def test_scoring_in_slices_changes_nothing(monkeypatch):
+    trees = Q.fit(np.zeros((0, Q.FEATURES)), np.zeros(0, int))
+    t = "call 0 6 1 2 3 4 5 6 7 8 or 555-123-4567, account 12345678901 " * 20
+    whole = Q.find(t, trees)
+    monkeypatch.setattr(Q, "SCORED", 7)
+    assert Q.find(t, trees) == whole
