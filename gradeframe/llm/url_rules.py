@@ -49,8 +49,8 @@ def host_rule(name: str, verdict: str) -> Rule:
     host, slash, path = name.partition("/")
     path = slash + path
     whole = path if path.endswith("/") else path[:path.rfind("/") + 1]   # a cut last word is no token
-    tail = re.escape(path) if path else r"(?=/|\z)"
-    return Rule(name, verdict, rf"\A(?:[^/]*\.)?{re.escape(host)}{tail}", words_of(host) + words_of(whole),
+    tail = re.escape(path) if path else r"(?=[/?]|\z)"      # a query may follow the host at once
+    return Rule(name, verdict, rf"\A(?:[^/?]*\.)?{re.escape(host)}{tail}", words_of(host) + words_of(whole),
                 1000 + len(name), True)
 
 

@@ -51,3 +51,14 @@ def test_index_takes_rarest_token(spark):
 def test_sql(spark):
     same_as_sql(spark, U, "op5_url_rules")
     same_as_sql(spark, U, "op5_url_rules", "/root/testdata/sf0.01")
+
+
+def test_query_without_a_path_stays_out_of_the_host(spark):
+    cases = [("http://example.com?next=foo.net/", None, "allow"), ("http://a.com?u=b.org/fr/", None, "allow"),
+             ("http://example.com?u=example.com/de/", None, "allow"), ("http://a.com?u=x.example.net/en/", None, "allow"),
+             ("http://foo.net?next=a.org/fr/", None, "allow"), ("http://foo.net/?next=a.org/fr/", "net/", "block")]
+    df = spark.createDataFrame([(u,) for u, _, _ in cases], "url string")
+    assert sorted(((r.url, r.rule, r.verdict) for r in U.judge(df).collect()), key=repr) == sorted(cases, key=repr)
+    host = (U.host_rule("foo.net", "block"),)
+    got = {r.url: r.rule for r in U.judge(df, rules=host).collect()}
+    assert {u for u, rule in got.items() if rule} == {"http://foo.net?next=a.org/fr/", "http://foo.net/?next=a.org/fr/"}
