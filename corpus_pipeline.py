@@ -1,7 +1,7 @@
 """Corpus pipeline: documents to token ids in five stages.
 
 Each stage reads what its predecessor wrote. The first four return the columns
-of ``documents``; the last one returns the ids.
+of ``documents``; the last one returns the ids and the digest of the text they decode to.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gradeframe.llm import bpe_words, mixing, pii_boost, quality_fm, simhash_trie
 from gradeframe.llm.common import table
@@ -36,8 +37,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of every document of the mixture."""
-    return bpe_words.encode(docs, bpe_words.public_vocabulary())
+    """doc_id, n_tokens, ids, decoded_sha256 (of the text decoded from the ids) of every document of the mixture."""
+    path = bpe_words.public_vocabulary()
+    done = bpe_words.decode(bpe_words.encode(docs, path), path)
+    return done.select("doc_id", "n_tokens", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality classifier", quality), ("simhash near-dedup", near_duplicates), ("pii", personal_data),

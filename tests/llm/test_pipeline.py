@@ -63,3 +63,12 @@ def test_empty_and_odd_tables(spark, tmp_path):
         lab.write.parquet(f"{tmp_path}/{name}/labels.parquet")
         n = C.run(spark, f"{tmp_path}/{name}").count()
         assert (n == 0) == (name == "empty"), json.dumps([name, n])
+
+
+def test_last_stage_encodes_and_decodes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200).select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "é😀 \r\n\x00 <|endoftext|> Ünï 日本")], docs.schema)).checkpoint()
+    out = dict(C.STAGES)["bpe"](spark, docs, SF)
+    assert out.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+    want = Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
+    assert Counter((r.doc_id, r.decoded_sha256) for r in out.collect()) == want
