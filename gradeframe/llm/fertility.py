@@ -6,7 +6,9 @@ token, the share of byte-fallback tokens, and the entropy of its tokens. A text
 is rejected outside the fixed band of its language or script, and outside the
 band that the corpus itself shows for its script and length: a robust distance
 from the median of all texts of that script and length step that pass the base
-rules (entropy grows with length, so one number cannot serve all lengths).
+rules (entropy grows with length, so one number cannot serve all lengths). A
+step with too few texts takes in the nearest steps of its script until there
+are enough, at most the whole script, so every text meets a band.
 
 The whole texts are read in one Arrow pass without a shuffle; a row of figures
 per text is kept. Medians come from counts of rounded figures, so they are
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_arrow, table
@@ -34,7 +36,8 @@ LEAST_WORDS, MOST_REPEATED = 10, 20
 
 
 #: Corpus bands: distance from the median in median deviations, least deviation of each figure,
-#: texts a script and length step needs to have a band of its own, and steps per doubling of the length.
+#: texts a script and length step needs to have a band of its own (fewer: with its neighbours), and steps per
+#: doubling of the length.
 SPREAD, LEAST_SPREAD = 5.0, {"chars_per_token": 0.2, "byte_share": 0.05, "token_entropy": 0.06}
 LEAST_TEXTS, STEPS = 50, 2
 
@@ -152,20 +155,46 @@ def figures(docs: DataFrame, model_path: str, bands: Mapping[str, Band] = BANDS,
     return map_arrow(src, run, "doc_id long, " + ", ".join(f"{c} {k}" for c, k in COLUMNS))
 
 
-def corpus_bands(rows: DataFrame) -> DataFrame:
+def reach(rows: DataFrame) -> DataFrame:
+    """(script, step, near): the steps whose texts make the band of a script and step.
+
+    A step with LEAST_TEXTS texts that pass the base rules stands alone; others
+    take in the steps of their script by distance, both sides alike, until there
+    are so many, at most all of them. Scripts do not mix: their figures differ
+    by nature. At most scripts x length steps x length steps rows.
+    """
+    size = rows.filter(~F.col("base_failed")).groupBy("script", "step").agg(F.count(F.lit(1)).alias("texts"))
+    pairs = (size.select("script", "step").join(size.withColumnRenamed("step", "near"), "script")
+             .withColumn("far", F.abs(F.col("near") - F.col("step"))))
+    closer = Window.partitionBy("script", "step").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
+    return (pairs.withColumn("before", F.coalesce(F.sum("texts").over(closer), F.lit(0)))
+            .filter(F.col("before") < LEAST_TEXTS).select("script", "step", "near"))
+
+
+def corpus_bands(rows: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """(script, step, low and high of each figure) from the rows that pass the base rules.
 
-    At most scripts x length steps rows: five scripts and two steps a doubling.
+    ``near`` (see ``reach``) says which steps make each band; without it steps
+    of LEAST_TEXTS texts have their own and others none. A text of a longer step
+    counts with half a bit less entropy a step, the most that so much more text
+    can add. At most scripts x length steps rows: five scripts and two steps a
+    doubling.
     """
     ok = rows.filter(~F.col("base_failed"))
+    least = LEAST_TEXTS if near is None else 1
+    if near is None:
+        near = ok.select("script", "step", F.col("step").alias("near")).distinct()
     out = None
     for c, digits in (("chars_per_token", 2), ("byte_share", 3), ("token_entropy", 2)):
-        times = ok.groupBy("script", "step", F.round(c, digits).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        times = (ok.groupBy("script", F.col("step").alias("near"), F.round(c, digits).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+                 .join(F.broadcast(near), ["script", "near"]))           # bounded, see reach
+        if c == "token_entropy":
+            times = times.withColumn("x", F.col("x") - F.greatest(F.col("near") - F.col("step"), F.lit(0)) / STEPS)
         mid = times.groupBy("script", "step").agg(F.percentile("x", 0.5, F.col("n")).alias("mid"), F.sum("n").alias("texts"))
         off = (times.join(mid, ["script", "step"]).groupBy("script", "step", "mid", "texts")
                .agg(F.percentile(F.abs(F.col("x") - F.col("mid")), 0.5, F.col("n")).alias("off")))
         width = SPREAD * F.greatest("off", F.lit(LEAST_SPREAD[c]))
-        one = (off.filter(F.col("texts") >= LEAST_TEXTS)
+        one = (off.filter(F.col("texts") >= least)
                .select("script", "step", (F.col("mid") - width).alias(f"low_{c}"),
                        # unusual but varied words are no fault: entropy has no upper corpus band
                        (F.lit(float("inf")) if c == "token_entropy" else F.col("mid") + width).alias(f"high_{c}")))
@@ -180,16 +209,16 @@ def quality_rules(docs: DataFrame, model_path: str, bands: Mapping[str, Band] =
     ``kept`` is false where the base rules fail (fewer than 10 words, or over
     20 % of the words in repeated 5-word windows) and else says whether the
     text lies in the fixed and the corpus bands of its script (or language).
-    Scripts and lengths with too few texts have no corpus band. A null text has
-    no words; a text without words fails; repeated rows and null ids are judged
-    like any other; other columns are not read; an empty table gives an empty
-    result.
+    Lengths with too few texts are judged with the nearest ones of their script,
+    a script with too few by all its texts. A null text has no words; a text
+    without words fails; repeated rows and null ids are judged like any other;
+    other columns are not read; an empty table gives an empty result.
     """
     step = F.floor(STEPS * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")
     rows = checkpoint(figures(docs, model_path, bands, id_col, text_col, lang_col).withColumn("step", step))
-    learned = corpus_bands(rows)
+    learned = corpus_bands(rows, checkpoint(reach(rows)))
     inside = F.col("in_band")
-    for c in LEAST_SPREAD:
+    for c in LEAST_SPREAD:                   # only rows that fail the base rules can be without a band
         inside = inside & F.coalesce(F.col(c).between(F.col(f"low_{c}"), F.col(f"high_{c}")), F.lit(True))
     return (rows.join(F.broadcast(learned), ["script", "step"], "left")      # bounded, see corpus_bands
             .select("doc_id", *(c for c, _ in COLUMNS), (~F.col("base_failed") & inside).alias("kept")))

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -70,3 +71,35 @@ def test_query(spark):
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     good = [r.kept for r in got if label.get(r.doc_id) == 1 and not r.base_failed]
     assert sum(good) >= 0.97 * len(good)
+
+
+def test_sparse_steps_have_bands(spark):
+    rows = [("latin", s, False, 4.0 + 0.01 * (i % 9), 0.0, s / 2 + 0.02 * (i % 5)) for s in (10, 11) for i in range(60)]
+    rows += [("latin", 14, False, 4.1, 0.0, 6.5)] * 3 + [("latin", 9, False, 4.0, 0.0, 4.5)] * 2 + [("latin", 30, True, 1.0, 0.0, 0.0)]
+    rows += [("greek", s, False, 1.0, 0.0, 6.0) for s in (8, 12, 20)]
+    df = spark.createDataFrame(rows, "script string, step int, base_failed boolean, chars_per_token double, "
+                                     "byte_share double, token_entropy double")
+    near = R.reach(df)
+    got = {(r.script, r.step, r.near) for r in near.collect()}
+    assert got == {("latin", 10, 10), ("latin", 11, 11), ("latin", 14, 14), ("latin", 14, 11), ("latin", 9, 9), ("latin", 9, 10),
+                   *(("greek", a, b) for a in (8, 12, 20) for b in (8, 12, 20))}
+    own = {(r.script, r.step): r for r in R.corpus_bands(df).collect()}
+    band = {(r.script, r.step): r for r in R.corpus_bands(df, near).collect()}
+    assert set(own) == {("latin", 10), ("latin", 11)} and all(band[k] == own[k] for k in own)
+    assert set(band) == {(a, b) for a, b, *_ in got}
+    assert band["latin", 14].low_chars_per_token > 2.9 and band["latin", 9].low_token_entropy < 4.5
+
+
+def test_rare_lengths_and_small_tables_are_judged(spark):
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en'").orderBy("doc_id").collect()]
+    tell, model = R.Fertility(R.public_model()), R.public_model()
+    good = [t for t in docs if not brute_base(t)[5]][:300]
+    rnd = random.Random(1)
+    junk = " ".join("".join(rnd.choice("aqzjo") for _ in range(5)) for _ in range(3000))
+    words, chars, *_ = R.base_counts(junk)
+    script, cpt, share, entropy, n = tell(words, chars)
+    assert not brute_base(junk)[5] and R.in_bands(R.BANDS, None, script, cpt, share, entropy, n)     # only a corpus band can tell
+    for some in (good, good[:30]):
+        df = spark.createDataFrame([*enumerate(some), (-1, junk)], "doc_id long, text string")
+        got = {r.doc_id: r.kept for r in R.quality_rules(df, model).collect()}
+        assert not got[-1] and sum(got.values()) >= 0.9 * len(some)
