@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from . import (
-    bpe_words, embed_graph, fertility, license_index, mixing, pii_boost, pipeline_query, quality_fm, simhash_trie, url_rules,
+    bpe_words, embed_graph, fertility, fim_fenwick, license_index, mixing, pii_boost, pipeline_query, quality_fm, simhash_trie, url_rules,
     warc_chunks,
 )
 
 MODULES = (embed_graph, bpe_words, quality_fm, warc_chunks, url_rules, fertility, mixing, simhash_trie, license_index,
-           pii_boost, pipeline_query)
+           pii_boost, fim_fenwick, pipeline_query)
 
 
 def queries() -> dict:
