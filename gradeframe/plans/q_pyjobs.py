@@ -54,7 +54,7 @@ def q_private_tests(spark, sf_dir):
     return PJ.expand_tests(rows, "public", "priv", ["doc_id"])
 
 
-def _quoted(line):
+def quoted(line):
     """A text as a Python string literal (JSON's escapes are Python's)."""
     j = F.to_json(F.array(line))
     return F.substring(j, F.lit(2), F.length(j) - 2)
@@ -63,7 +63,7 @@ def _quoted(line):
 def _module():
     """A module around a text: every line of it a statement, with a form feed before the
     function, a comment, a docstring, and a last line beyond ASCII."""
-    body = F.array_join(F.transform(F.split(F.col("text"), "\n", -1), lambda l: F.concat(F.lit("    v = "), _quoted(l))), "\n")
+    body = F.array_join(F.transform(F.split(F.col("text"), "\n", -1), lambda l: F.concat(F.lit("    v = "), quoted(l))), "\n")
     doc = F.col("doc_id").cast("string")
     return F.concat(F.lit("import os\n\x0c\n\ndef f_"), doc, F.lit('():\n    """Docstring."""\n    # comment\n'), body,
                     F.lit("\n    return v, 'é"), doc, F.lit("'\n\n\ndef g_"), doc, F.lit("(): return 'ü'  # rest\nx = 1\n"))

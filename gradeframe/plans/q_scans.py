@@ -17,6 +17,7 @@ from ..operators import history as H
 from ..session import ensure_checkpoint_dir
 from ..sources import scans as SC
 from ..sources import sinks as SK
+from ..sources.documents import whole, write_documents
 from . import views as V
 from .catalogue import register
 from .q_passk import CLASS_PASS_K, REPORT_CTES, _class_report_sql, _reports
@@ -36,6 +37,14 @@ def scratch(spark, name: str) -> str:
 
 _LEFT: dict[tuple[str, str], str] = {}
 
+# Fixed fixture: a root and keys with what paths must escape.
+ODD_ROOT = "my tree +%41 ü"
+ODD_KEY = " 100% a+b=c ü"
+
+
+def _odd(name: str, key):
+    return F.concat(F.lit(name), F.col(key).cast("string"), F.lit(ODD_KEY))
+
 
 @register("scan_verdicts", V.with_views(["verdicts"], """
 SELECT qid, step, sample, test_idx, verdict FROM verdicts"""))
@@ -116,7 +125,7 @@ SELECT CAST(doc_id AS VARCHAR) AS qid, CASE WHEN doc_id % 3 = 0 THEN text ELSE '
 FROM documents""")
 def q_scan_problem_tree(spark, sf_dir):
     """S1 on the reference layout, with and without a difficulty folder, and the solutions tree joined."""
-    root = scratch(spark, "tree")
+    root = f"{scratch(spark, 'tree')}/{ODD_ROOT}"
     d = V.table(spark, sf_dir, "documents").withColumn("qid", F.col("doc_id").cast("string"))
     for even, top in ((True, "apps/introductory"), (False, "class_eval")):
         half = d.filter((F.col("doc_id") % 2 == 0) == even)
@@ -209,6 +218,74 @@ def q_scan_labels(spark, sf_dir):
     return back.select("qid", "sample", F.array_join("labels", ",").alias("labels"))
 
 
+@register("verdict_tree", V.with_views(["supplier_verdicts"], f"""
+SELECT 'q ' || CAST(supplier AS VARCHAR) || '{ODD_KEY}' AS qid, step, sample, test_idx, verdict FROM supplier_verdicts"""))
+def q_verdict_tree(spark, sf_dir):
+    """S13 -> S4 on the reference layout: one ``raw_output/<qid>/test_case_results.json`` per problem,
+    streamed into files by the document writer and scanned back; root and keys hold blanks, ``%`` and ``+``."""
+    root = f"{scratch(spark, 'verdict_tree')}/{ODD_ROOT}"
+    path = F.concat(F.lit("raw_output/"), _odd("q ", "supplier"), F.lit("/test_case_results.json"))
+    write_documents(SK.verdict_documents(V.supplier_verdicts(spark, sf_dir), path), root)
+    return SC.verdict_scan(spark, root)
+
+
+@register("setting_tree", V.with_views(["supplier_verdicts"], f"""
+SELECT 'set ' || CAST(supplier % 5 AS VARCHAR) || '{ODD_KEY}' AS setting, CAST(supplier AS VARCHAR) AS qid, step AS part, sample, test_idx, verdict
+FROM supplier_verdicts"""))
+def q_setting_tree(spark, sf_dir):
+    """S22, both halves: ``test_cases_results/<setting>/<index>.json`` written and scanned back."""
+    root = f"{scratch(spark, 'setting_tree')}/{ODD_ROOT}"
+    v = V.supplier_verdicts(spark, sf_dir).withColumn("five", F.col("supplier") % 5)
+    path = F.concat(F.lit("test_cases_results/"), _odd("set ", "five"), F.lit("/"), F.col("supplier").cast("string"), F.lit(".json"))
+    write_documents(SK.verdict_documents(v, path), root)
+    return SC.setting_verdict_scan(spark, root)
+
+
+@register("label_tree", None)  # oracle: the sample_labels query, see below
+def q_label_tree(spark, sf_dir):
+    """S18 on the reference layout: a label document per problem in a folder of its own, written and scanned back."""
+    from .catalogue import QUERIES
+    root = f"{scratch(spark, 'label_tree')}/{ODD_ROOT}"
+    lab = QUERIES["sample_labels"](spark, sf_dir)
+    docs = SK.label_documents(lab.select("qid", "sample", F.split("labels", ",").alias("labels"), F.split("labels", ",").alias("full_outputs")))
+    write_documents(docs.select(*whole(F.concat(_odd("q ", "qid"), F.lit("/labels.json")), F.col("doc"))), root)
+    back = SC.label_scan(spark, root)
+    return back.select("qid", "sample", F.array_join("labels", ",").alias("labels"))
+
+
+@register("setting_folders", V.with_views(["setting_values"], """
+SELECT setting, part, count(*) AS n, round(sum(value), 4) AS total FROM setting_values GROUP BY 1, 2"""))
+def q_setting_folders(spark, sf_dir):
+    """All records of a key in one file of its own (``<setting>/<part>.json``), streamed line by line, and read back."""
+    root = f"{scratch(spark, 'setting_folders')}/{ODD_ROOT}"
+    v = V.setting_values(spark, sf_dir)
+    line = F.concat(F.to_json(F.struct("qid", "sample", "value")), F.lit("\n"))
+    path = F.concat(F.col("setting"), F.lit("/"), F.col("part").cast("string"), F.lit(".json"))
+    write_documents(v.select(path.alias("path"), F.col("sample").cast("long").alias("part"), line.alias("piece")), root)
+    lines = spark.read.schema("qid string, sample int, value double").json(f"{root}/*/*.json").select(*SC.keys_below(root, setting=0, part=-1), "value")
+    return lines.groupBy("setting", F.col("part").cast("int").alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@register("source_tree", f"""
+SELECT 'src/' || source || '{ODD_KEY}/mod_' || CAST(doc_id % 20 AS VARCHAR) || '.py' AS path, source || '{ODD_KEY}' AS repo,
+       'f_' || CAST(doc_id AS VARCHAR) AS name, CAST(len(string_split(text, chr(10))) + 1 AS INTEGER) AS significant_lines
+FROM documents""")
+def q_source_tree(spark, sf_dir):
+    """S10 -> T3: modules written as a tree of source files (a function per document), found again and parsed.
+    Spark packs whole files into tasks by size, largest first, so neither a folder nor many small files hold a task."""
+    from ..operators import pyjobs as PJ
+    from .q_pyjobs import quoted
+    root = f"{scratch(spark, 'source_tree')}/{ODD_ROOT}"
+    d = V.table(spark, sf_dir, "documents")
+    body = F.array_join(F.transform(F.split(F.col("text"), "\n", -1), lambda l: F.concat(F.lit("    v = "), quoted(l))), "\n")
+    piece = F.concat(F.lit("def f_"), F.col("doc_id").cast("string"), F.lit("():\n"), body, F.lit("\n    return v\n\n\n"))
+    path = F.concat(F.lit("src/"), _odd("", "source"), F.lit("/mod_"), (F.col("doc_id") % 20).cast("string"), F.lit(".py"))
+    write_documents(d.select(path.alias("path"), F.col("doc_id").alias("part"), piece.alias("piece")), root)
+    fn = PJ.function_rows(SC.source_tree_scan(spark, root))
+    return fn.select(F.substring_index("path", f"{ODD_ROOT}/", -1).alias("path"), "repo", "name", "significant_lines")
+
+
 def _step_table_sql() -> str:
     from .q_stats import _se, problem_cte, rollout_cte
     tables = f"""
@@ -287,4 +364,5 @@ def _tsv_oracle() -> str:
 from .catalogue import ORACLES as _O  # noqa: E402
 _O["report_tsv"] = _tsv_oracle()
 _O["scan_labels"] = _O["sample_labels"]
+_O["label_tree"] = f"SELECT 'q ' || qid || '{ODD_KEY}' AS qid, * EXCLUDE (qid) FROM ({_O['sample_labels']}) t"
 _O["scan_stream_ingest"] = _O["overall_stats"]

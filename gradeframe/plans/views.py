@@ -29,6 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ORDER_KEYS = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")
 ORDER_SQL = ", ".join(ORDER_KEYS)
 
+#: The same with a supplier as the group.
+POSITION_KEYS = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_quantity")
+
+
 def verdict_code(quantity: Column, tax: Column, discount: Column) -> Column:
     """Fixture rule that turns a lineitem into a verdict code in {-2,-1,0,1}."""
     return (F.when(quantity >= 50, F.lit(-2))
@@ -85,6 +89,18 @@ def _numbered_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFr
     return _NUMBERED[key]
 
 
+def supplier_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """supplier_verdicts(supplier, step, sample, test_idx, verdict): the verdicts with a supplier as the problem."""
+    def number() -> DataFrame:
+        from ..operators.positions import group_positions
+        base = table(spark, sf_dir, "lineitem").select(
+            F.col("l_suppkey").alias("supplier"), (F.col("l_orderkey") % 2).alias("step"), (F.col("l_linenumber") % 4).cast("int").alias("sample"),
+            *POSITION_KEYS, verdict_code(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")).alias("verdict"))
+        return group_positions(base, ["supplier", "step", "sample"], list(POSITION_KEYS), "test_idx", keep=["verdict"])
+
+    return _numbered_once(spark, sf_dir, "supplier_verdicts", number).select("supplier", "step", "sample", "test_idx", "verdict")
+
+
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tests(qid, test_idx, input, expected, call_based): the test cases of each problem, in order.
 
@@ -201,6 +217,13 @@ verdicts AS (
                CASE WHEN l_quantity >= 50 THEN -2 WHEN l_tax >= 0.08 THEN -1
                     WHEN l_discount >= 0.09 THEN 0 ELSE 1 END AS verdict
         FROM lineitem) b)""",
+    "supplier_verdicts": """
+supplier_verdicts AS (
+  SELECT l_suppkey AS supplier, l_orderkey % 2 AS step, CAST(l_linenumber % 4 AS INTEGER) AS sample,
+         CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 2, l_linenumber % 4
+                                 ORDER BY """ + ", ".join(POSITION_KEYS) + """) - 1 AS INTEGER) AS test_idx,
+         CASE WHEN l_quantity >= 50 THEN -2 WHEN l_tax >= 0.08 THEN -1 WHEN l_discount >= 0.09 THEN 0 ELSE 1 END AS verdict
+  FROM lineitem)""",
     "tests": """
 tests AS (
   SELECT CAST(l_partkey AS VARCHAR) AS qid,

@@ -10,8 +10,10 @@ Directory layouts read (fixed by the reference tool):
   raw_output/<qid>/generation_data/sample_<s>/iter_refinement_data.json       rollouts
   raw_output/<qid>/test_case_results.json                                      verdicts
   <setting>/pass_at_k_result.json                                              reports
-A ``key=value`` directory (as written by ``partitionBy``) is accepted in
-place of a bare ``value`` directory.
+A ``<name>=<value>`` directory (as written by ``partitionBy``) is accepted in
+place of a bare ``<value>`` directory. Keys are taken from the parts of the path
+below the scan root, decoded, so roots and keys may hold blanks, ``%``, ``+``,
+``=`` and letters of any script, in any file system.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from ..functions.text import parse_solutions
 from ..functions.verdict import normalize_verdict
 
 def _path() -> Column:
-    """The source file of each row (``_metadata.file_path``)."""
-    return F.col("_metadata.file_path")
+    """The source file of each row; Spark gives its path percent-encoded (a plus sign stands for itself)."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
 
 PROBLEM_SCHEMA = T.StructType([
     T.StructField("qid", T.StringType()),
@@ -47,16 +50,6 @@ PROBLEM_SCHEMA = T.StructType([
 ])
 
 
-def path_part(pattern: str, group: int = 1, path: Column | None = None) -> Column:
-    """A key from the file path; ``key=`` prefixes written by ``partitionBy`` are dropped."""
-    path = _path() if path is None else path
-    return F.regexp_replace(F.regexp_extract(path, pattern, group), r"^[A-Za-z_]+=", "")
-
-
-def _dir(d: str) -> str:
-    return r"(?:[A-Za-z_]+=)?([^/]+)"
-
-
 def relative_path(root: str, path: Column | None = None) -> Column:
     """The source file's path below ``root``."""
     base = re.sub(r"^[A-Za-z0-9]+:/*", "/", root).rstrip("/") + "/"
@@ -64,6 +57,20 @@ def relative_path(root: str, path: Column | None = None) -> Column:
     return F.substring(path, F.locate(base, path) + len(base), F.length(path))
 
 
+def path_key(part: Column, name: str) -> Column:
+    """The key that a part of a path stands for: as it is, or escaped behind ``name=``."""
+    value = F.replace(F.substring(part, F.lit(len(name) + 2), F.length(part)), F.lit("+"), F.lit("%2B"))
+    return F.when(part.startswith(f"{name}="), F.try_url_decode(value)).otherwise(part)
+
+
+def keys_below(root: str, **places: int) -> list[Column]:
+    """Keys by the place of their folder or file below ``root`` (from 0, or from the end: -1 is the file);
+    a file's key is its name without ``.json``."""
+    parts = F.split(relative_path(root), "/")
+    at = lambda i: F.try_element_at(parts, F.lit(i + 1 if i >= 0 else i))
+    return [path_key(F.regexp_replace(at(i), r"\.json$", "") if i == -1 else at(i), name).alias(name) for name, i in places.items()]
+
+
 # ------------------------------------------------------------------ S1 S2 S7 S8 S9
 def _tree(spark: SparkSession, root: str, kind: str, variant: str, lines: bool) -> DataFrame:
     """``<dataset>/[<difficulty>/]<split>/<kind>/<variant>/<file>.json`` with the folders as columns.
@@ -76,9 +83,11 @@ def _tree(spark: SparkSession, root: str, kind: str, variant: str, lines: bool)
     df = (spark.read.schema(PROBLEM_SCHEMA).option("multiLine", not lines).option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*.json").json(f"{r}/{{*/*,*/*/*}}/{kind}/{variant}"))
     parts = F.split(relative_path(r), "/")
+    p = F.col("_p")
     return df.select("*", parts.alias("_p")).select(
-        *df.columns, F.col("_p")[0].alias("dataset"), F.when(F.size("_p") == 6, F.col("_p")[1]).alias("difficulty_dir"),
-        F.element_at("_p", -2).alias("transformation"), F.regexp_extract(F.element_at("_p", -1), r"^(.*)\.json$", 1).alias("file_qid"))
+        *df.columns, path_key(p[0], "dataset").alias("dataset"), F.when(F.size(p) == 6, path_key(p[1], "difficulty")).alias("difficulty_dir"),
+        path_key(F.element_at(p, -2), "transformation").alias("transformation"),
+        F.regexp_extract(F.element_at(p, -1), r"^(.*)\.json$", 1).alias("file_qid"))
 
 
 def problem_scan(spark: SparkSession, root: str, transformation: str = "*",
@@ -95,11 +104,10 @@ def problem_scan(spark: SparkSession, root: str, transformation: str = "*",
         return _tree(spark, root, "input", transformation, lines)
     df = (spark.read.schema(PROBLEM_SCHEMA).option("recursiveFileLookup", True)
           .option("pathGlobFilter", "*.json").json(root.rstrip("/")))
-    return df.select(
-        "*",
-        F.regexp_extract(_path(), r"/dataset=([^/]+)/", 1).alias("dataset"),
-        F.regexp_extract(_path(), r"/difficulty=([^/]+)/", 1).alias("difficulty_dir"),
-        F.regexp_extract(_path(), r"/transformation=([^/]+)/", 1).alias("transformation"))
+    parts = F.split(relative_path(root.rstrip("/")), "/")
+    named = lambda name: path_key(F.try_element_at(F.filter(parts, lambda x: x.startswith(f"{name}=")), F.lit(1)), name)
+    return df.select("*", named("dataset").alias("dataset"), named("difficulty").alias("difficulty_dir"),
+                     named("transformation").alias("transformation"))
 
 
 def solution_scan(spark: SparkSession, root: str, solution_type: str = "*", lines: bool = False) -> DataFrame:
@@ -137,12 +145,15 @@ def rollout_scan(spark: SparkSession, root: str,
     """
     glob = f"{root.rstrip('/')}/raw_output/*/{name}"
     raw = spark.read.text(glob, wholetext=True).select(
-        "value",
-        path_part(r"raw_output/" + _dir("qid") + "/").alias("qid"),
-        path_part(r"/sample[_=]([0-9]+)/").cast("int").alias("sample"))
+        "value", *keys_below(root, qid=1), _number(root, "sample", "/"))
     return _rollout_steps(raw)
 
 
+def _number(root: str, name: str, end: str) -> Column:
+    """The number of ``/<name>_<number>`` below the root."""
+    return F.regexp_extract(relative_path(root), rf"/{name}[_=]([0-9]+){end}", 1).cast("int").alias(name)
+
+
 def rollout_lines_scan(spark: SparkSession, path: str) -> DataFrame:
     """S3 for JSON lines ``{"qid", "sample", "doc"}``: many rollouts per file."""
     return _rollout_steps(spark.read.schema("qid string, sample int, doc string").json(path).withColumnRenamed("doc", "value"))
@@ -169,9 +180,8 @@ def round_scan(spark: SparkSession, root: str) -> DataFrame:
     """S12 read side: ``raw_output/<qid>/generation_data/sample_<s>/iter_<i>/round_<r>.json`` ->
     (qid, sample, iter, round, the fields of a round record)."""
     raw = spark.read.text(f"{root.rstrip('/')}/raw_output/*/generation_data/*/iter_*/round_*.json", wholetext=True)
-    number = lambda name, end: path_part(rf"/{name}_([0-9]+){end}").cast("int")
-    return _rounds(raw.select(path_part(r"raw_output/" + _dir("qid") + "/").alias("qid"), number("sample", "/").alias("sample"),
-                              number("iter", "/").alias("iter"), number("round", r"\.json$").alias("round"), F.col("value").alias("doc")))
+    return _rounds(raw.select(*keys_below(root, qid=1), _number(root, "sample", "/"), _number(root, "iter", "/"),
+                              _number(root, "round", r"\.json$"), F.col("value").alias("doc")))
 
 
 def round_lines_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -203,8 +213,7 @@ def verdict_scan(spark: SparkSession, root: str, name: str = "test_case_results.
     read as text and normalised to the four codes.
     """
     glob = f"{root.rstrip('/')}/raw_output/*/{name}"
-    raw = spark.read.text(glob, wholetext=True).select(
-        "value", path_part(r"raw_output/" + _dir("qid") + "/").alias("qid"))
+    raw = spark.read.text(glob, wholetext=True).select("value", *keys_below(root, qid=1))
     return _explode_verdict_map(raw, ["qid"])
 
 
@@ -228,9 +237,7 @@ def verdict_lines_scan(spark: SparkSession, path: str) -> DataFrame:
 def setting_verdict_scan(spark: SparkSession, root: str) -> DataFrame:
     """``test_cases_results/<setting>/<index>.json``: one entry per partial solution."""
     glob = f"{root.rstrip('/')}/test_cases_results/*/*.json"
-    raw = spark.read.text(glob, wholetext=True).select(
-        "value", path_part(r"test_cases_results/" + _dir("setting") + "/").alias("setting"),
-        path_part(r"([^/]+)\.json$").alias("qid"))
+    raw = spark.read.text(glob, wholetext=True).select("value", *keys_below(root, setting=1, qid=-1))
     out = _explode_verdict_map(raw, ["setting", "qid"])
     return out.withColumnRenamed("step", "part")
 
@@ -240,8 +247,7 @@ LABEL_FILE_TYPE = "map<string,struct<labels:array<string>,full_outputs:array<str
 
 def label_scan(spark: SparkSession, root: str, name: str = "*.json") -> DataFrame:
     """S18 read side: per-problem label documents -> (qid, sample, labels, full_outputs)."""
-    raw = spark.read.text(f"{root.rstrip('/')}/*/{name}", wholetext=True).select(
-        "value", path_part(r"/" + _dir("qid") + r"/[^/]+$").alias("qid"))
+    raw = spark.read.text(f"{root.rstrip('/')}/*/{name}", wholetext=True).select("value", *keys_below(root, qid=0))
     return _labels(raw)
 
 
@@ -283,7 +289,7 @@ def report_scan(spark: SparkSession, root: str, name: str = "pass_at_k_result.js
     """Every ``pass_at_k_result.json`` below ``root``; setting = parent directory."""
     df = (spark.read.schema(REPORT_SCHEMA).option("recursiveFileLookup", True)
           .option("pathGlobFilter", name).json(root))
-    return df.select(path_part(r"/" + _dir("setting") + r"/[^/]+$").alias("setting"), "*")
+    return df.select(path_key(F.element_at(F.split(_path(), "/"), -2), "setting").alias("setting"), "*")
 
 
 # ------------------------------------------------------------------ S10

@@ -4,14 +4,15 @@ Everything is written in parallel by the executors - directories of part
 files partitioned by low-cardinality keys (dataset, transformation, step,
 setting), never ``coalesce(1)`` and never partitioned by problem id (that
 would make one directory per problem). Documents of a problem or rollout are
-JSON lines with the key as a field, many per file.
+JSON lines with the key as a field, many per file; where a tool needs a file
+per key, ``documents.py`` streams it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -30,9 +31,10 @@ def append(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def split_by_key(df: DataFrame, path: str, keys: Sequence[str], fmt: str = "json") -> None:
-    """One output folder per key value (e.g. setting, problem), written in parallel;
-    for interchange with tools that expect a file per key."""
-    df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).format(fmt).save(path)
+    """One output folder per key value (e.g. setting, problem), written in parallel. The rows of a
+    key come together where they fill no more than a partition; a larger key is split over tasks.
+    One file per key: ``sources.documents.write_documents``."""
+    df.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys).format(fmt).save(path)
 
 
 def save_split(df: DataFrame, path: str, split: str = "train", mode: str = "overwrite") -> None:
@@ -62,6 +64,29 @@ def verdict_lines(verdicts: DataFrame, tests_per_line: int = TESTS_PER_LINE) ->
         F.lit("["), F.array_join(F.transform("_t", lambda x: x["v"]), ", "), F.lit("]")).alias("results"))
 
 
+def verdict_documents(verdicts: DataFrame, path: Column, tests_per_line: int = TESTS_PER_LINE) -> DataFrame:
+    """The pieces of ``{step: [[verdicts of sample 0], ...]}``, one document per path.
+
+    A piece is a stretch of at most ``tests_per_line`` verdicts of a rollout with
+    the brackets before it, which follow from the piece before; the window sees
+    one row per stretch. Samples that are missing before others are empty lists.
+    ``sources.documents.write_documents`` streams the pieces into files.
+    """
+    lines = verdict_lines(verdicts.withColumn("qid", path), tests_per_line).withColumnRenamed("qid", "path")
+    w = Window.partitionBy("path").orderBy("step", "sample", "first_test")
+    step, sample = F.lag("step").over(w), F.lag("sample").over(w)
+    rows = lines.select("*", step.alias("_step"), sample.alias("_sample"), F.lead("step").over(w).isNull().alias("_last"),
+                        F.row_number().over(w).alias("part"))
+    opened = F.concat(F.lit('"'), F.col("step").cast("string"), F.lit('": ['), F.repeat(F.lit("[], "), F.col("sample")), F.lit("["))
+    lead = (F.when(F.col("_step").isNull(), F.concat(F.lit("{"), opened))
+            .when(F.col("_step") != F.col("step"), F.concat(F.lit("]], "), opened))
+            .when(F.col("_sample") != F.col("sample"),
+                  F.concat(F.lit("], "), F.repeat(F.lit("[], "), F.col("sample") - F.col("_sample") - 1), F.lit("[")))
+            .otherwise(", "))
+    body = F.substring("results", F.lit(2), F.length("results") - 2)
+    return rows.select("path", "part", F.concat(lead, body, F.when(F.col("_last"), "]]}").otherwise("")).alias("piece"))
+
+
 def rollout_documents(steps: DataFrame) -> DataFrame:
     """One rollout document per (qid, sample): an object per step, the feedback by step,
     the last code and the step count (its length is bounded by the steps of a rollout).
