@@ -22,6 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import py_strip
+from .verdict import ascii_digits, numeric_problem_key
 
 # Numpy ``allclose`` defaults.
 RTOL = 1e-5
@@ -119,21 +120,27 @@ def all_close(a, b) -> Column:
     return F.when(quick, parsed & close).otherwise(F.lit(False))
 
 
-def round_three(x: Column) -> Column:
-    """Python's ``round(x, 3)``: to the nearest multiple of 1/1000 of the exact binary value, ties to even.
+def py_round(x: Column, digits: int) -> Column:
+    """Python's ``round(x, digits)``: to the nearest multiple of 10^-digits of the exact binary value, ties to even.
 
-    The product with 1000 is rounded itself; where it falls on a half, the
+    The product with 10^digits is rounded itself; where it falls on a half, the
     rounding error of the product (found by splitting the factor into two
     halves whose products are exact) says on which side the value really is.
     """
+    scale = float(10 ** digits)
     big = F.lit(134217729.0) * x
     high = big - (big - x)
-    twice = x * 2000.0
-    error = (high * 2000.0 - twice) + (x - high) * 2000.0
+    twice = x * (2.0 * scale)
+    error = (high * (2.0 * scale) - twice) + (x - high) * (2.0 * scale)
     half = (twice % 2.0 != 0) & (F.floor(twice).cast("double") == twice)
     down = (twice - 1.0) / 2.0
-    whole = (F.when(half & (error > 0), down + 1.0).when(half & (error < 0), down).otherwise(F.rint(x * 1000.0)))
-    return F.when(F.isnan(x) | (F.abs(x) >= 1e15), x).otherwise(whole / 1000.0)
+    whole = (F.when(half & (error > 0), down + 1.0).when(half & (error < 0), down).otherwise(F.rint(x * scale)))
+    return F.when(F.isnan(x) | (F.abs(x) >= 1e18 / scale), x).otherwise(whole / scale)
+
+
+def round_three(x: Column) -> Column:
+    """Python's ``round(x, 3)``."""
+    return py_round(x, 3)
 
 
 def is_int_text(x) -> Column:
@@ -180,18 +187,37 @@ def token_sets(lines, drop_empty: bool) -> Column:
 _NUMBER_TOKEN = r"(?<![\w.\"+-])-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![\w.\"])"
 
 
+#: Magnitudes from which a double has no whole part in a long, and in a long times 2^53.
+_LONG, _TWO_LONGS = 2.0 ** 63, 2.0 ** 116
+
+
+def canonical_number(n: Column) -> Column:
+    """One text for equal Python numbers: integers by their digits, whole doubles as the
+    integer they are, other doubles by their value (integers are never rounded)."""
+    whole = F.regexp_replace(n, r"^-(?=0+$)", "")
+    d = n.cast("double")
+    high = F.floor(d / F.lit(2.0 ** 53)).cast("long")
+    low = (d - high.cast("double") * F.lit(2.0 ** 53)).cast("long")
+    wide = high.cast("decimal(19,0)") * F.lit(2 ** 53).cast("decimal(17,0)") + low.cast("decimal(17,0)")
+    return (F.when(~n.rlike(r"[.eE]"), whole)
+            .when((F.abs(d) < _LONG) & (F.floor(d).cast("double") == d), d.cast("long").cast("string"))
+            .when((F.abs(d) >= _LONG) & (F.abs(d) < _TWO_LONGS), wide.cast("string"))
+            .otherwise((d + 0.0).cast("string")))
+
+
 def canonical_values(j: Column) -> Column:
     """Canonical text of a value given as JSON text in Spark's form.
 
-    Strings are set aside, then numbers are written as their double values and
-    true/false as 1/0, so equal Python values have equal texts.
+    Strings are set aside, then numbers are written in one form
+    (:func:`canonical_number`) and true/false as 1/0, so equal Python values
+    have equal texts.
     """
-    string = r'"(?:[^"\\]|\\.)*"'
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
     strings = F.when(F.contains(j, F.lit('"')), F.array_join(F.regexp_extract_all(j, F.lit(string), 0), "\x02")).otherwise("")
     rest = F.when(F.contains(j, F.lit('"')), F.regexp_replace(j, string, '"')).otherwise(j)
     rest = F.replace(F.replace(rest, F.lit("true"), F.lit("1")), F.lit("false"), F.lit("0"))
-    numbers = F.transform(F.regexp_extract_all(rest, F.lit(_NUMBER_TOKEN), 0), lambda n: n.cast("double") + 0.0)
-    return F.concat_ws("\x01", F.regexp_replace(rest, _NUMBER_TOKEN, "#"), F.array_join(numbers.cast("array<string>"), "\x02"), strings)
+    numbers = F.transform(F.regexp_extract_all(rest, F.lit(_NUMBER_TOKEN), 0), canonical_number)
+    return F.concat_ws("\x01", F.regexp_replace(rest, _NUMBER_TOKEN, "#"), F.array_join(numbers, "\x02"), strings)
 
 
 def call_result_matches(output, expected) -> Column:
@@ -220,23 +246,37 @@ def parse_call_args(text) -> Column:
     return F.transform(F.split(_c(text), "\n", -1), lambda l: F.try_parse_json(l))
 
 
+#: Fixed value: texts that ``int()`` reads.
+INT_TEXT = r"^\s*[+-]?[0-9]+(?:_[0-9]+)*\s*$"
+
+
+def _last_of_equal(entries: Column) -> Column:
+    """A map of the entries in the order of their keys' first, each with its last value, as a dict is built."""
+    def of(bound):
+        keys = F.transform(bound, lambda e: e["key"])
+        merged = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), F.element_at(
+            F.filter(bound, lambda e: e["key"] == k), -1)["value"].alias("value")))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), bound).otherwise(merged))
+    return F.transform(F.array(entries), of)[0]
+
+
 def int_keys_or_original(m) -> Column:
-    """X23 with one result type: keys normalised as integers (``int(k)``, e.g. ' 07' ->
-    '7') when every key is one, else the original map - as the reference keeps
-    the dict when the conversion fails."""
+    """X23 with one result type: keys as the canonical text of ``int(k)`` (' 07' -> '7', of any
+    size) when every key is one, of equal keys the last, else the original map - as the
+    reference keeps the dict when the conversion fails."""
     mc = _c(m)
-    ok = F.forall(F.map_keys(mc), lambda k: k.rlike(r"^\s*[+-]?[0-9]+\s*$"))
-    norm = F.map_from_entries(F.transform(F.map_entries(mc), lambda e: F.struct(
-        py_strip(e["key"]).cast("long").cast("string").alias("key"), e["value"].alias("value"))))
-    return F.when(ok, norm).otherwise(mc)
+    ok = F.forall(F.map_keys(mc), lambda k: ascii_digits(k).rlike(INT_TEXT))
+    norm = F.transform(F.map_entries(mc), lambda e: F.struct(numeric_problem_key(e["key"]).alias("key"), e["value"].alias("value")))
+    return F.when(ok, _last_of_equal(norm)).otherwise(mc)
 
 
 def int_keys(m) -> Column:
-    """Restore integer map keys (``{int(k): v}``); NULL when a key is not an integer."""
+    """Restore integer map keys (``{int(k): v}``, of equal keys the last) as ``decimal(38,0)``;
+    NULL when a key is no integer of at most 38 digits (:func:`int_keys_or_original` has no bound)."""
     mc = _c(m)
-    ok = F.forall(F.map_keys(mc), lambda k: k.rlike(r"^\s*[+-]?[0-9]+\s*$"))
-    return F.when(ok, F.map_from_entries(F.transform(
-        F.map_entries(mc), lambda e: F.struct(py_strip(e["key"]).cast("int").alias("key"), e["value"].alias("value")))))
+    ok = F.forall(F.map_keys(mc), lambda k: F.coalesce(ascii_digits(k).rlike(INT_TEXT) & (F.length(numeric_problem_key(k)) <= 38), F.lit(False)))
+    return F.when(ok, _last_of_equal(F.transform(F.map_entries(mc), lambda e: F.struct(
+        numeric_problem_key(e["key"]).try_cast("decimal(38,0)").alias("key"), e["value"].alias("value")))))
 
 
 # ------------------------------------------------------------------ staged form

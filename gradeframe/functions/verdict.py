@@ -10,6 +10,9 @@ A verdict counts as a pass when it is > 0.
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +66,18 @@ def quarantine(verdicts, verdict: str = "verdict"):
     return verdicts.filter(ok), verdicts.filter(~ok)
 
 
+@cache
+def _digits() -> tuple[str, str]:
+    """The decimal digits of all scripts but ASCII, and the ASCII digits they stand for."""
+    found = [c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
+def ascii_digits(c: Column) -> Column:
+    """The text with the decimal digits of any script as 0-9, as ``int()`` reads them."""
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(c, *_digits())).otherwise(c)
+
+
 def numeric_problem_key(qid="qid") -> Column:
     """Int of the name, else the concatenated decimal character codes, as text.
 
@@ -70,12 +85,13 @@ def numeric_problem_key(qid="qid") -> Column:
     text in canonical form: no plus sign, no leading zeros. Order by
     :func:`numeric_order`.
     """
-    s = _c(qid).cast("string")
+    name = _c(qid).cast("string")
+    s = ascii_digits(name)
     plain = F.regexp_replace(s, r"^\s+|\s+$|_", "")
     sign = F.when(plain.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     digits = F.regexp_replace(F.regexp_replace(plain, r"^[+-]", ""), r"^0+(?=[0-9])", "")
     direct = F.when(digits == "0", F.lit("0")).otherwise(F.concat(sign, digits))
-    codes = F.array_join(F.transform(F.split(s, ""), lambda ch: F.ascii(ch).cast("string")), "")
+    codes = F.array_join(F.transform(F.split(name, ""), lambda ch: F.ascii(ch).cast("string")), "")
     return F.when(s.rlike(r"^\s*[+-]?[0-9]+(?:_[0-9]+)*\s*$"), direct).otherwise(codes)
 
 

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.compare import py_round
 from ..functions.verdict import is_compile_error, is_pass, is_runtime_error, quarantine
 
 # The rollout metric names of the reference statistics, in order.
@@ -177,12 +178,12 @@ def report_totals(rollouts: DataFrame, by: Sequence[str] = ("step",)) -> DataFra
 
 # ------------------------------------------------------------------ W8 P11 O6
 def format_rounded(x, digits: int = 4) -> Column:
-    """P11 text form of ``str(round(v, 4))``: fixed digits, trailing zeros cut,
-    at least one digit after the point (0.43, 1.0, 0.0005)."""
+    """P11 text form of ``str(round(v, 4))``: rounded as Python does (the exact binary value, ties to
+    even), fixed digits, trailing zeros cut, at least one digit after the point (0.43, 1.0, 0.0005)."""
     c = F.col(x) if isinstance(x, str) else x
-    s = F.format_string(f"%.{digits}f", F.round(c, digits))
+    s = F.format_string(f"%.{digits}f", py_round(c.cast("double"), digits))
     s = F.regexp_replace(s, "0+$", "")
-    return F.when(c.isNull(), F.lit("nan")).otherwise(
+    return F.when(c.isNull() | F.isnan(c), F.lit("nan")).otherwise(
         F.when(s.endswith(F.lit(".")), F.concat(s, F.lit("0"))).otherwise(s))
 
 

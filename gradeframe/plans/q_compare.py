@@ -128,16 +128,17 @@ def q_compare_sets(spark, sf_dir):
                     F.size("tso").alias("n_sets"))
 
 
-# Fixed fixture: what a call returned and what was expected, by event_id mod 8; 'K' stands for the number in props.
+# Fixed fixture: what a call returned and what was expected, by event_id mod 12; 'K' stands for the number in props.
 CALL_CASES = (("{\"k\": K}", "{\"k\": K}"), ("[{\"k\":K}, 0]", "{\"k\": K}"), ("{\"k\": K}", "{\"k\": 1K}"), ("K", "[K]"),
               ("[100, true]", "[1e2, 1]"), ("{\"b\": 1.50, \"a\": false}", "{\"a\": 0, \"b\": 1.5}"), ("[]", "K"),
-              ("\"1e2 true\"", "\"100 1\""))
-CALL_MATCHES = (1, 1, 0, 0, 1, 1, 0, 0)
+              ("\"1e2 true\"", "\"100 1\""), ("[9007199254740992K]", "[9007199254740993K]"), ("9007199254740993", "9007199254740992"),
+              ("[[1K0000000000000000000000]]", "[[1K0000000000000000000001]]"), ("[9223372036854775808]", "[9223372036854775808.0]"))
+CALL_MATCHES = (1, 1, 0, 0, 1, 1, 0, 0, 0, 0, 0, 1)
 
 
 def _case_sql(which: int) -> str:
     whens = " ".join(f"WHEN {i} THEN '{c[which]}'" for i, c in enumerate(CALL_CASES))
-    return f"replace(CASE event_id % 8 {whens} END, 'K', json_extract_string(props, '$.k'))"
+    return f"replace(CASE event_id % {len(CALL_CASES)} {whens} END, 'K', json_extract_string(props, '$.k'))"
 
 
 CALL_CTE = f"""c AS (SELECT event_id, user_id, event_type, props, {_case_sql(0)} AS expected, {_case_sql(1)} AS output FROM events)"""
@@ -145,14 +146,15 @@ CALL_CTE = f"""c AS (SELECT event_id, user_id, event_type, props, {_case_sql(0)}
 
 # The twin states the outcome of each case by hand: DuckDB has no comparison that takes 1e2 for 100.
 @register("compare_calls", V.with_views([], f"""
-SELECT event_id, [{', '.join(map(str, CALL_MATCHES))}][event_id % 8 + 1] AS matches,
+SELECT event_id, [{', '.join(map(str, CALL_MATCHES))}][event_id % {len(CALL_CASES)} + 1] AS matches,
        CAST(len(list_filter(string_split(args, chr(10)), lambda l: json_valid(l))) AS INTEGER) AS n_args,
-       event_type AS restored, CASE WHEN event_id % 3 = 0 THEN 'u' || CAST(user_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS kept_key
+       event_type AS restored, CASE WHEN event_id % 3 = 0 THEN 'u' || CAST(user_id AS VARCHAR) ELSE CAST(user_id AS VARCHAR) END AS kept_key,
+       event_type AS last_of_equal, CAST(user_id + 1 AS VARCHAR) || '99999999999999999999' AS long_key
 FROM (SELECT *, props || chr(10) || CAST(user_id AS VARCHAR) || chr(10) || CASE WHEN event_id % 5 = 0 THEN event_type
                    ELSE '"' || event_type || '"' END AS args FROM c) a""", [CALL_CTE]))
 def q_compare_calls(spark, sf_dir):
     """X21 (call result = expected or its first element), X22 (one JSON argument per
-    line, some invalid), X23 (integer map keys restored; kept as they are where one is no integer)."""
+    line, some invalid), X23 (integer map keys of any size restored, of equal ones the last; kept as they are where one is no integer)."""
     ev = V.table(spark, sf_dir, "events")
     expected, output = (F.expr(_case_sql(w).replace("json_extract_string", "get_json_object")) for w in (0, 1))
     word = F.when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
@@ -160,9 +162,12 @@ def q_compare_calls(spark, sf_dir):
     user = F.col("user_id").cast("string")
     key = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), user)).otherwise(F.concat(F.lit(" 0"), user))
     restored = CMP.int_keys(F.create_map(F.concat(F.lit("0"), user), F.col("event_type")))
+    twice = F.create_map(F.concat(F.lit(" "), user), F.lit("first"), F.concat(F.lit("+00"), user), F.col("event_type"))
+    large = F.create_map(F.concat((F.col("user_id") + 1).cast("string"), F.lit("99999999999999999999")), F.col("event_type"))
     return ev.select(
         "event_id",
         CMP.call_result_matches(output, expected).cast("int").alias("matches"),
         F.size(F.filter(CMP.parse_call_args(args), lambda v: v.isNotNull())).alias("n_args"),
-        F.try_element_at(restored, F.col("user_id").cast("int")).alias("restored"),
-        F.map_keys(CMP.int_keys_or_original(F.create_map(key, F.col("event_type"))))[0].alias("kept_key"))
+        F.try_element_at(restored, F.col("user_id").cast("decimal(38,0)")).alias("restored"),
+        F.map_keys(CMP.int_keys_or_original(F.create_map(key, F.col("event_type"))))[0].alias("kept_key"),
+        F.map_values(CMP.int_keys_or_original(twice))[0].alias("last_of_equal"), F.map_keys(CMP.int_keys_or_original(large))[0].alias("long_key"))

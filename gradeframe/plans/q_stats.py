@@ -181,8 +181,9 @@ def q_report_totals(spark, sf_dir):
 
 
 def _fmt_sql(x: str) -> str:
-    s = f"regexp_replace(printf('%.4f', round({x}, 4)), '0+$', '')"
-    return f"(CASE WHEN {x} IS NULL THEN 'nan' WHEN ends_with({s}, '.') THEN {s} || '0' ELSE {s} END)"
+    """DuckDB: ``str(round(x, 4))``; the formatter rounds the exact binary value, ties to even."""
+    s = f"regexp_replace(format('{{:.4f}}', {x}), '0+$', '')"
+    return f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN 'nan' WHEN ends_with({s}, '.') THEN {s} || '0' ELSE {s} END)"
 
 
 _rep = ", ".join(f"{_fmt_sql(m)} || ' +/- ' || {_fmt_sql(m + '_std')} AS {m}" for m in S.REPORT_METRICS)
@@ -198,6 +199,18 @@ def q_latest_step_report(spark, sf_dir):
     return S.latest_step_report(S.overall_stats(_rollouts(spark, sf_dir)))
 
 
+@register("rounded_rates", f"""
+SELECT rate, {_fmt_sql('rate')} AS text, count(*) AS n FROM (
+  SELECT CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE (o_orderkey % 4003) / 20000.0::DOUBLE END AS rate FROM orders) r
+GROUP BY rate""")
+def q_rounded_rates(spark, sf_dir):
+    """P11 over many rates, half of them in the middle between two printed values."""
+    key = F.col("o_orderkey")
+    rate = F.when(key % 50 != 0, (key % 4003) / F.lit(20000.0))
+    return (V.table(spark, sf_dir, "orders").groupBy(rate.alias("rate")).agg(F.count(F.lit(1)).alias("n"))
+            .select("rate", S.format_rounded("rate").alias("text"), "n"))
+
+
 SETTING_VERDICTS = """
 sv AS (SELECT CAST(CAST(qid AS BIGINT) % 3 AS INTEGER) AS setting, step AS part, qid, sample, verdict
        FROM verdicts)"""

@@ -369,22 +369,33 @@ def q_class_program(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ P2 X31 O7 P1
+# Fixed fixture: solutions as they are stored by doc_id mod 9 ({s}, {l}, {t}: source, lang, text), and the first and number of what is read.
+SOLUTIONS = (('["{s}", "{l}"]', "{s}", 2), ("('{s}', '{l}')", "{s}", 2), ("['{s}', None, True]", "{s}", 3),
+             ("['it\\'s \\\\ \"{s}\"', \"'{l}'\"]", "it's \\ \"{s}\"", 2), ("(1, 2, -3)", "1", 3),
+             ('[@@@def {l}:\n  \'a\', "b"@@@, "\\x41\\t" \'z\']', 'def {l}:\n  \'a\', "b"', 2), ("('{s}')", "('{s}')", 1),
+             ("print('{s}')  # ['x']", "print('{s}')  # ['x']", 1), ("{t}", "{t}", 1))
+
+
+def _solution(which: int, sql: bool):
+    import re
+    columns = {"{s}": "source", "{l}": "lang", "{t}": "text"}
+    parts = [[x for x in re.split(r"(\{[slt]\})", c[which].replace("@", "'")) if x] for c in SOLUTIONS]
+    if sql:
+        text = [" || ".join(columns[x] if x in columns else lit(x) for x in p) for p in parts]
+        return f"CASE doc_id % {len(SOLUTIONS)} " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(text)) + " END"
+    texts = [F.concat(*[F.col(columns[x]) if x in columns else F.lit(x) for x in p]) for p in parts]
+    return F.element_at(F.array(*texts), (F.col("doc_id") % len(SOLUTIONS) + 1).cast("int"))
+
+
 @register("solution_info", f"""
-SELECT doc_id, mode, CASE WHEN mode = 'no_solution' THEN {lit(C.NO_SOLUTION)} ELSE sols[1] END AS solution_info,
-       CAST(len(sols) AS INTEGER) AS n_solutions
-FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'full_solution' ELSE 'no_solution' END AS mode,
-             CASE WHEN json_valid(s) AND json_type(s) = 'ARRAY' THEN CAST(json_extract_string(s, '$[*]') AS VARCHAR[])
-                  ELSE [s] END AS sols
-      FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '["' || source || '", "' || lang || '"]' ELSE text END AS s
-            FROM documents) a) b""")
+SELECT doc_id, mode, CASE WHEN mode = 'no_solution' THEN {lit(C.NO_SOLUTION)} ELSE first END AS solution_info, n_solutions
+FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'full_solution' ELSE 'no_solution' END AS mode, {_solution(1, True)} AS first,
+             CAST([{', '.join(str(c[2]) for c in SOLUTIONS)}][doc_id % {len(SOLUTIONS)} + 1] AS INTEGER) AS n_solutions FROM documents) b""")
 def q_solution_info(spark, sf_dir):
-    """P2 + X31 + O7: parse the solution list, then pick the first solution or the fixed sentence."""
+    """P2 + X31 + O7: parse the solution list (JSON, Python list or tuple, plain code), then pick the first solution or the fixed sentence."""
     d = _docs(spark, sf_dir)
-    s = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit('["'), F.col("source"), F.lit('", "'), F.col("lang"),
-                                                 F.lit('"]'))).otherwise(F.col("text"))
     mode = F.when(F.col("doc_id") % 2 == 0, F.lit("full_solution")).otherwise(F.lit("no_solution"))
-    sols = X.parse_solutions(s)
-    return d.select("doc_id", mode.alias("mode"), sols.alias("sols")).select(
+    return d.select("doc_id", mode.alias("mode"), X.parse_solutions(_solution(0, False)).alias("sols")).select(
         "doc_id", "mode", C.solution_info("mode", "sols").alias("solution_info"),
         F.size("sols").alias("n_solutions"))
 

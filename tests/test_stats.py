@@ -101,7 +101,7 @@ def test_problem_keys(spark):
 
 def test_format_rounded(spark):
     from pyspark.sql import functions as F
-    vals = [0.0005, 0.43, 1.0, 0.123456, 0.0]
+    vals = [0.0005, 0.43, 1.0, 0.123456, 0.0, 0.00015, 0.33335, 0.00025, 12.34565, -0.00005, float('nan'), *[k / 20000 for k in range(1, 4001, 2)]]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r[0] for r in df.select(S.format_rounded("v")).collect()]
     assert got == [str(round(v, 4)) for v in vals]
