@@ -334,6 +334,16 @@ def q_first_matches(spark, sf_dir):
     return SC.first_matches(d, (F.col("lang") == "de") & (F.col("n_chars") > 100), 50, ["doc_id"]).select("doc_id", "lang")
 
 
+@register("first_of_files", "SELECT doc_id, lang, text FROM documents WHERE lang = 'de' AND n_chars > 100 ORDER BY doc_id LIMIT 50")
+def q_first_of_files(spark, sf_dir):
+    """S8 + O4: the first 50 documents of a language in a listing of 48 files; files behind the last of them are not opened."""
+    root = f"{scratch(spark, 'first_of_files')}/{ODD_ROOT}"
+    d = V.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", "text")
+    d.repartitionByRange(48, "doc_id").sortWithinPartitions("doc_id").write.parquet(root)
+    found = SC.first_of_files(spark, root, (F.col("lang") == "de") & (F.col("n_chars") > 100), 50)
+    return found.select("doc_id", "lang", "text")
+
+
 @register("appended_by_key", V.with_views(["setting_values"], """
 SELECT setting, part, count(*) * 2 AS n, round(sum(value) * 2, 4) AS total FROM setting_values GROUP BY 1, 2"""))
 def q_appended_by_key(spark, sf_dir):

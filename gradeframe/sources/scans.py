@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,6 +135,40 @@ def first_matches(df: DataFrame, condition: Column, n: int, order: Sequence[str]
     return df.filter(condition).orderBy(*order).limit(n)
 
 
+#: Files of the first round of :func:`first_of_files`, and how many times more each next round takes.
+FIRST_FILES, MORE_FILES = 4, 4
+
+
+def first_of_files(spark: SparkSession, path: str, condition: Column, n: int, pattern: str = "*.parquet") -> DataFrame:
+    """S8 with the early stop of a stream: the first ``n`` rows that meet the condition, in the order of
+    the files' paths and of the rows in a file.
+
+    The parquet files below ``path`` are listed without being opened. They are
+    taken in growing rounds, each one job that reads its files in parallel with
+    the filter pushed into the scan and keeps at most the rows still missing;
+    once ``n`` are found, no further file is opened. The rounds grow, so a rare
+    condition costs few of them. The result has ``_file`` and ``_row`` besides
+    the files' columns; fewer matches than ``n`` give all there are, no file or
+    ``n`` below 1 an empty result (without a schema of its own if no file is there).
+    """
+    from ..session import cut_lineage
+    listed = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+              .load(path).select(_path().alias("path")).orderBy("path"))
+    files, size, found, rounds = listed.toLocalIterator(), FIRST_FILES, 0, []
+    while found < n or not rounds:
+        some = [re.sub(r"([\\*?{}\[\]])", r"\\\1", r["path"]) for r in islice(files, size)]
+        if not some:
+            break
+        rows = (spark.read.parquet(*some).select("*", _path().alias("_file"), F.col("_metadata.row_index").alias("_row"))
+                .filter(condition).orderBy("_file", "_row").limit(max(0, n - found)))
+        rounds.append(cut_lineage(rows))
+        found += rounds[-1].count()
+        size *= MORE_FILES
+    if not rounds:
+        return spark.createDataFrame([], "_file string, _row long")
+    return reduce(DataFrame.unionByName, rounds).orderBy("_file", "_row")
+
+
 # ------------------------------------------------------------------ S3
 def rollout_scan(spark: SparkSession, root: str,
                  name: str = "generation_data/*/iter_refinement_data.json") -> DataFrame:

@@ -115,3 +115,27 @@ def test_single_problem_filter_reaches_the_scan(spark):
     plan = single_problem(df, 5).select("qid")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_partkey), EqualTo(l_partkey,5)]" in plan
     assert "ReadSchema: struct<l_partkey:bigint>" in plan
+
+
+def test_files_behind_the_last_match_are_not_opened(spark, tmpdir_path):
+    root = f"{tmpdir_path}/a b{{1}}"
+    for k in range(30):
+        spark.range(k * 10, k * 10 + 10, numPartitions=1).withColumn("odd", F.col("id") % 2 == 1).write.parquet(f"{root}/f{k:02}")
+    for k in range(20, 30):                                    # the first rounds end before these
+        for f in os.listdir(f"{root}/f{k:02}"):
+            if f.startswith("part-"):
+                with open(f"{root}/f{k:02}/{f}", "wb") as out:
+                    out.write(b"no parquet")
+    path = f"{tmpdir_path}/a b?1?"
+    got = SC.first_of_files(spark, path, F.col("odd"), 23)
+    assert [r.id for r in got.collect()] == list(range(1, 46, 2))           # 20 matches in the first 4 files, 3 in the next round
+    assert got.columns == ["id", "odd", "_file", "_row"] and [r._row for r in got.limit(5).collect()] == [1, 3, 5, 7, 9]
+    assert SC.first_of_files(spark, path, F.col("odd"), 0).count() == 0
+    try:
+        SC.first_of_files(spark, path, F.col("id") < 0, 1)
+        raise AssertionError("all files are opened when nothing matches")
+    except Exception as e:
+        assert "AssertionError" not in type(e).__name__
+    assert [r.id for r in SC.first_of_files(spark, f"{path}/f1*", F.col("id") > 195, 100).collect()] == [196, 197, 198, 199]
+    os.makedirs(f"{tmpdir_path}/none")
+    assert SC.first_of_files(spark, f"{tmpdir_path}/none", F.col("id") > 5, 3).count() == 0
