@@ -191,17 +191,22 @@ def q_scan_consolidated(spark, sf_dir):
 
 @register("scan_stream_ingest", None)  # oracle: the overall_stats query, see below
 def q_scan_stream_ingest(spark, sf_dir):
-    """Streaming ingest (J3 by checkpoint): result records (a stretch of a rollout's results per
-    JSON line) are read by a file stream (availableNow) and merged idempotently
-    into a verdict table - a second run finds nothing new - then the overall
-    statistics are computed from the table."""
+    """Streaming ingest (J3 by checkpoint and keyed state): result records (a stretch of a rollout's results
+    per JSON line) are read by a file stream (availableNow) into a verdict table. First come records of which
+    step 1 was graded wrongly, then the same again, then the corrections of step 1 with a higher version, which
+    replace them; the overall statistics are computed from the last versions."""
     from ..streaming.incremental import ingest_verdicts, ingested_statistics
     from .catalogue import finish
     root = scratch(spark, "stream")
-    SK.verdict_lines(V.verdicts(spark, sf_dir, positions=True)).write.json(f"{root}/in")
+    lines = SK.verdict_lines(V.verdicts(spark, sf_dir, positions=True))
+    wrong = F.when(F.col("step") == 1, F.regexp_replace("results", "true|false", "-2")).otherwise(F.col("results"))
+    first = lines.withColumn("results", wrong).withColumn("version", F.lit(1))
+    first.write.json(f"{root}/in")
     table, ck = f"{root}/table", f"{root}/checkpoint"
     ingest_verdicts(spark, f"{root}/in", table, ck, name="part-*", layout="lines")
-    ingest_verdicts(spark, f"{root}/in", table, ck, name="part-*", layout="lines")   # nothing new
+    first.write.mode("append").json(f"{root}/in")                     # delivered again
+    lines.filter("step = 1").withColumn("version", F.lit(2)).write.mode("append").json(f"{root}/in")
+    ingest_verdicts(spark, f"{root}/in", table, ck, name="part-*", layout="lines")
     return finish(ingested_statistics(spark, table))
 
 

@@ -256,12 +256,14 @@ def verdict_scan(spark: SparkSession, root: str, name: str = "test_case_results.
 VERDICT_LINE = "qid string, step long, sample int, first_test int, results string"
 
 
-def verdict_lines(lines: DataFrame) -> DataFrame:
-    """VERDICT_LINE rows (a stretch of one rollout's results each) -> the long verdict table."""
-    t = lines.select("qid", "step", "sample", "first_test",
+def verdict_lines(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """VERDICT_LINE rows (a stretch of one rollout's results each) -> the long verdict table;
+    with ``keep``, also the stretch's first test and the columns kept."""
+    own = ["first_test", *keep] if keep else []
+    t = lines.select("qid", "step", "sample", "first_test", *keep,
                      F.posexplode(F.from_json("results", "array<string>")).alias("pos", "raw"))
     return t.select("qid", "step", "sample", (F.col("first_test") + F.col("pos")).cast("int").alias("test_idx"),
-                    normalize_verdict("raw").alias("verdict"))
+                    normalize_verdict("raw").alias("verdict"), *own)
 
 
 def verdict_lines_scan(spark: SparkSession, path: str) -> DataFrame:

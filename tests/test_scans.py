@@ -139,3 +139,44 @@ def test_files_behind_the_last_match_are_not_opened(spark, tmpdir_path):
     assert [r.id for r in SC.first_of_files(spark, f"{path}/f1*", F.col("id") > 195, 100).collect()] == [196, 197, 198, 199]
     os.makedirs(f"{tmpdir_path}/none")
     assert SC.first_of_files(spark, f"{tmpdir_path}/none", F.col("id") > 5, 3).count() == 0
+
+
+def _lines(path, rows):
+    _write(path, "".join(json.dumps(r) + "\n" for r in rows))
+
+
+def test_corrections_replace_and_batches_do_not_read_the_table(spark, tmpdir_path):
+    from gradeframe.streaming.incremental import current_verdicts, ingest_verdicts
+    src, table, ck = f"{tmpdir_path}/in", f"{tmpdir_path}/table", f"{tmpdir_path}/ck"
+    one = {"qid": "1", "step": 0, "sample": 0, "first_test": 0, "results": "[true, false, -1]", "version": 1}
+    two = one | {"qid": "2", "results": "[true]"}
+    go = lambda: ingest_verdicts(spark, src, table, ck, name="*.json", layout="lines")
+    now = lambda: sorted(tuple(r) for r in current_verdicts(spark, table).collect())     # noqa: E731
+    _lines(f"{src}/a.json", [one, two, one])
+    go()
+    before = [("1", 0, 0, 0, 1), ("1", 0, 0, 1, 0), ("1", 0, 0, 2, -1), ("2", 0, 0, 0, 1)]
+    assert now() == before
+    files = {os.path.join(d, f) for d, _, fs in os.walk(table) for f in fs if f.startswith("part-")}
+    for f in files:                              # no batch may read what is there
+        os.rename(f, f + ".away")
+    _lines(f"{src}/b.json", [one, one | {"results": "[false, false]", "version": 3}, one | {"results": "[-2]", "version": 2}])
+    go()
+    for f in files:
+        os.rename(f + ".away", f)
+    # the last version counts whole: the test it no longer has is gone
+    assert now() == [("1", 0, 0, 0, 0), ("1", 0, 0, 1, 0), ("2", 0, 0, 0, 1)]
+    assert spark.read.parquet(table).count() == 4 + 3                                  # the repeated record was dropped by its key
+    _lines(f"{src}/c.json", [{k: v for k, v in two.items() if k != "version"} | {"results": "[false]"}])    # the file's time is the version
+    go()
+    assert now()[-1] == ("2", 0, 0, 0, 0)
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmpdir_path):
+    from gradeframe.streaming.incremental import append_batch, current_verdicts
+    batch = spark.createDataFrame([("1", 0, 0, 0, "[true]", 1)], "qid string, step long, sample int, first_test int, results string, version long")
+    write = append_batch(f"{tmpdir_path}/t", "r")
+    for _ in range(2):
+        write(batch, 5)
+    assert spark.read.parquet(f"{tmpdir_path}/t").count() == 1
+    append_batch(f"{tmpdir_path}/t", "other")(batch, 0)        # a run that lost its checkpoint
+    assert [tuple(r) for r in current_verdicts(spark, f"{tmpdir_path}/t").collect()] == [("1", 0, 0, 0, 1)]
