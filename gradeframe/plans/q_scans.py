@@ -246,6 +246,23 @@ def q_setting_tree(spark, sf_dir):
     return SC.setting_verdict_scan(spark, root)
 
 
+@register("stored_report", V.with_views(["verdicts"], """
+SELECT qid, step, CASE WHEN CAST(qid AS BIGINT) % 10 = 0 THEN -count(*) ELSE count(*) END AS n_tests,
+       CASE WHEN step = 1 THEN count(*) FILTER (WHERE verdict = 1) END AS n_passed, CASE WHEN CAST(qid AS BIGINT) % 10 = 0 THEN 'regraded' END AS note
+FROM verdicts GROUP BY qid, step"""))
+def q_stored_report(spark, sf_dir):
+    """A stored report per problem and step, updated twice: step 1 gets a second metric (the first is kept),
+    then every tenth problem gets a new value of the first and a column that the report did not have."""
+    from ..sources import report_store as RS
+    root = scratch(spark, "stored_report")
+    v = V.verdicts(spark, sf_dir).groupBy("qid", "step").agg(F.count(F.lit(1)).alias("n_tests"), F.count_if(F.col("verdict") == 1).alias("n_passed"))
+    RS.upsert(v.select("qid", "step", "n_tests"), root, ["qid", "step"])
+    RS.upsert(v.filter("step = 1").select("qid", "step", "n_passed"), root, ["qid", "step"])
+    tenth = v.filter(F.col("qid").cast("long") % 10 == 0)
+    RS.upsert(tenth.select("qid", "step", (-F.col("n_tests")).alias("n_tests"), F.lit("regraded").alias("note")), root, ["qid", "step"])
+    return RS.read_report(spark, root)
+
+
 @register("label_tree", None)  # oracle: the sample_labels query, see below
 def q_label_tree(spark, sf_dir):
     """S18 on the reference layout: a label document per problem in a folder of its own, written and scanned back."""
