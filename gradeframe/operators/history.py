@@ -244,24 +244,79 @@ def context_offsets(turns: DataFrame, keys: Sequence[str] = ("conv_id",), pos: s
     return group_cumsum(lens, list(keys), [pos], "_len", "end_offset").select(*keys, pos, "end_offset")
 
 
+#: Characters of a chunk of running text.
+CHUNK = 4096
+
+
+def text_chunks(pieces: DataFrame, keys: Sequence[str], pos: str, text: str, size: int = CHUNK) -> DataFrame:
+    """The joined text of each key's pieces as rows (keys, chunk, chars) of ``size`` characters (the last: fewer).
+
+    Offsets are skew-safe running sums of lengths; the texts meet them by (key,
+    position) and are cut where chunks end, so pieces of one key go to as many
+    tasks as it has chunks and no row holds more than a chunk. Keys whose pieces
+    are all empty or null have no chunk; positions must be unique in a key.
+    """
+    from .positions import group_cumsum
+    piece = F.coalesce(F.col(text), F.lit(""))
+    lens = pieces.select(*keys, pos, F.length(piece).cast("long").alias("_len")).filter("_len > 0")
+    ends = group_cumsum(lens, list(keys), [pos], "_len", "_end").select(*keys, pos, "_len", "_end")
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"p.{k}")) for k in (*keys, pos)]
+    placed = (pieces.select(*keys, pos, piece.alias("_text")).alias("p").join(ends.alias("e"), same)
+              .select(*[F.col(f"p.{k}").alias(k) for k in keys], "_text", (F.col("_end") - F.col("_len")).alias("_at"), "_end"))
+    number = F.explode(F.sequence(F.floor(F.col("_at") / size), F.floor((F.col("_end") - 1) / size)))
+    parts = placed.select("*", number.alias("chunk")).withColumn("_from", F.greatest(F.col("_at"), F.col("chunk") * size))
+    part = F.substring("_text", (F.col("_from") - F.col("_at") + 1).cast("int"),
+                       (F.least(F.col("_end"), (F.col("chunk") + 1) * size) - F.col("_from")).cast("int"))
+    # at most ``size`` parts, none of them empty
+    return (parts.select(*keys, "chunk", "_from", part.alias("_part")).groupBy(*keys, "chunk")
+            .agg(F.array_sort(F.collect_list(F.struct("_from", "_part"))).alias("_parts"))
+            .select(*keys, "chunk", F.array_join(F.transform("_parts", lambda x: x["_part"]), "").alias("chars")))
+
+
+def running_text(turns: DataFrame, chosen: DataFrame, keys: Sequence[str] = ("conv_id",), pos: str = "turn",
+                 size: int = CHUNK) -> DataFrame:
+    """The running context after each chosen turn, in chunks: (keys, pos, chunk, chars).
+
+    ``chosen`` has rows (keys, pos), each once. A conversation's chunks are made
+    once however many of its turns are chosen; a chosen turn asks for its chunks
+    by number (an equi-join), the last one cut where the turn's context ends. A
+    turn whose context is empty, or that does not exist, has no row.
+    """
+    pieces = context_pieces(turns, keys, pos)
+    wanted = chosen.select(*keys, pos).join(context_offsets(turns, keys, pos), [*keys, pos]).filter("end_offset > 0")
+    wanted = wanted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end_offset") - 1) / size))).alias("chunk"))
+    cut = F.substring("chars", F.lit(1), (F.col("end_offset") - F.col("chunk") * size).cast("int"))
+    return (wanted.join(text_chunks(pieces, keys, pos, "piece", size), [*keys, "chunk"])
+            .select(*keys, pos, "chunk", F.when((F.col("chunk") + 1) * size <= F.col("end_offset"), F.col("chars")).otherwise(cut).alias("chars")))
+
+
 # ------------------------------------------------------------------ W3
-def stuck_runs(turns: DataFrame, keys: Sequence[str] = STEP, limit: int = 10,
-               role: str = "assistant") -> DataFrame:
-    """A generation loop is stuck when appending a turn leaves the stripped
-    running code unchanged, i.e. the new piece is blank after ``rstrip``.
-    At ``limit`` such turns the sample is given up with empty code.
-
-    A count aggregate (partial + final) replaces the running counter: the
-    loop only reaches ``limit`` if the step has at least that many blank pieces.
+def stuck_counts(turns: DataFrame, keys: Sequence[str] = STEP, limit: int = 10, role: str = "assistant") -> DataFrame:
+    """(keys, n_turns, n_stuck, given_up). A generation loop is stuck when appending a turn leaves the
+    stripped running code unchanged; at ``limit`` such turns the sample is given up.
+
+    Appending a piece changes the stripped code exactly if the piece is not
+    blank, so a count aggregate replaces the running text: the loop only reaches
+    ``limit`` if the step has at least that many blank pieces.
     """
     t = turns.filter(F.col("role") == role)
     blank = X.py_strip(F.col("text")) == ""
     # the first turn has no previous code to compare with, so it never counts
-    agg = t.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_turns"),
-        (F.count_if(blank) - F.min_by(blank.cast("int"), F.col("turn"))).alias("n_stuck"),
-        # the code so far: all pieces of the step in order, at most the generation budget of one step
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "").alias("_code"))
-    given_up = F.col("n_stuck") >= limit
-    return agg.select(*keys, "n_turns", "n_stuck", given_up.cast("int").alias("given_up"),
-                      F.when(given_up, F.lit("")).otherwise(F.col("_code")).alias("final_code"))
+    agg = t.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_turns"),
+                               (F.count_if(blank) - F.min_by(blank.cast("int"), F.col("turn"))).alias("n_stuck"))
+    return agg.select(*keys, "n_turns", "n_stuck", (F.col("n_stuck") >= limit).cast("int").alias("given_up"))
+
+
+def final_code_chunks(turns: DataFrame, keys: Sequence[str] = STEP, limit: int = 10, role: str = "assistant", size: int = CHUNK) -> DataFrame:
+    """The accumulated code of each step that was not given up, as rows (keys, chunk, chars)."""
+    chunks = text_chunks(turns.filter(F.col("role") == role), keys, "turn", "text", size)
+    return chunks.join(stuck_counts(turns, keys, limit, role).filter("given_up = 1").select(*keys), list(keys), "left_anti")
+
+
+def stuck_runs(turns: DataFrame, keys: Sequence[str] = STEP, limit: int = 10, role: str = "assistant") -> DataFrame:
+    """``stuck_counts`` with the code itself (empty where the sample was given up), for steps whose
+    code fits in a row: their chunks are joined once the pieces have become chunks."""
+    per = (final_code_chunks(turns, keys, limit, role).groupBy(*keys)
+           .agg(F.array_sort(F.collect_list(F.struct("chunk", "chars"))).alias("_c"))
+           .select(*keys, F.array_join(F.transform("_c", lambda x: x["chars"]), "").alias("final_code")))
+    return stuck_counts(turns, keys, limit, role).join(per, list(keys), "left").withColumn("final_code", F.coalesce("final_code", F.lit("")))

@@ -160,13 +160,39 @@ _NS = f"(count(*) FILTER (WHERE {_strip('text')} = '') - arg_min(CAST({_strip('t
 
 
 @register("stuck_runs", V.with_views([], f"""
-SELECT qid, sample, step, count(*) AS n_turns, {_NS} AS n_stuck,
-       CAST({_NS} >= 10 AS INTEGER) AS given_up,
-       CASE WHEN {_NS} >= 10 THEN '' ELSE string_agg(text, '' ORDER BY turn) END AS final_code
+SELECT qid, sample, step, count(*) AS n_turns, {_NS} AS n_stuck, CAST({_NS} >= 10 AS INTEGER) AS given_up
 FROM loops WHERE role = 'assistant' GROUP BY 1, 2, 3""", [LOOPS_CTE]))
 def q_stuck_runs(spark, sf_dir):
-    """Blank continuations counted per step; at 10 the sample is given up, else its accumulated code."""
-    return H.stuck_runs(_loops(spark, sf_dir))
+    """Blank continuations counted per step; at 10 the sample is given up. (The code: final_code_chunks.)"""
+    return H.stuck_counts(_loops(spark, sf_dir))
+
+
+#: Characters of a chunk in the queries below.
+QUERY_CHUNK = 1000
+
+
+@register("final_code_chunks", V.with_views([], f"""
+SELECT qid, sample, step, CAST(chunk AS BIGINT) AS chunk, substr(code, CAST(chunk * {QUERY_CHUNK} + 1 AS INTEGER), {QUERY_CHUNK}) AS chars FROM (
+  SELECT qid, sample, step, code, unnest(range(CAST(ceil(length(code) / {QUERY_CHUNK}.0) AS BIGINT))) AS chunk FROM (
+    SELECT qid, sample, step, string_agg(text, '' ORDER BY turn) AS code FROM loops
+    WHERE role = 'assistant' GROUP BY 1, 2, 3 HAVING {_NS} < 10) c) x""", [LOOPS_CTE]))
+def q_final_code_chunks(spark, sf_dir):
+    """The accumulated code of every step that was not given up, in chunks; no row holds a whole step."""
+    return H.final_code_chunks(_loops(spark, sf_dir), size=QUERY_CHUNK)
+
+
+@register("running_text", V.with_views([], f"""
+SELECT conv_id, turn, CAST(chunk AS BIGINT) AS chunk, substr(code, CAST(chunk * {QUERY_CHUNK} + 1 AS INTEGER), {QUERY_CHUNK}) AS chars FROM (
+  SELECT conv_id, turn, code, unnest(range(CAST(ceil(length(code) / {QUERY_CHUNK}.0) AS BIGINT))) AS chunk FROM (
+    SELECT conv_id, turn, string_agg({_PIECE}, '') OVER (PARTITION BY conv_id ORDER BY turn) AS code,
+           max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) c
+  WHERE turn = last OR turn = 2) x"""))
+def q_running_text(spark, sf_dir):
+    """The running context after turn 2 and after the last turn of every conversation, in chunks."""
+    t = V.table(spark, sf_dir, "conversations")
+    last = t.groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    chosen = last.unionByName(t.filter("turn = 2").select("conv_id", "turn")).distinct()
+    return H.running_text(t, chosen, size=QUERY_CHUNK)
 
 
 @register("rounds", V.with_views([], """

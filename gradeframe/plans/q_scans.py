@@ -327,7 +327,7 @@ def q_step_tables(spark, sf_dir):
     from ..operators import stats as S
     root = scratch(spark, "step_tables")
     r = S.rollout_stats(V.verdicts(spark, sf_dir))
-    SK.write_step_tables(r, r.select("qid"), root)
+    SK.write_step_tables(r, None, root)
     out = None
     for name in SK.STEP_TABLES:
         t = SC.table_scan(spark, f"{root}/{name}").groupBy(F.col("step").cast("long").alias("step")).agg(

@@ -108,12 +108,25 @@ def rollout_documents(steps: DataFrame) -> DataFrame:
 STEP_TABLES = ("problem_level_stats", "problem_level_agg_stats", "agg_results", "agg_stats")
 
 
-def write_step_tables(rollouts: DataFrame, problems: DataFrame, root: str) -> None:
-    """Rollout rows, per-problem rows, overall rows and macro rows, each a table partitioned by step."""
+def write_step_tables(rollouts: DataFrame, problems: DataFrame | None, root: str) -> None:
+    """Rollout rows, per-problem rows, overall rows and macro rows, each a table partitioned by step.
+
+    Each grain is computed once: the rollout rows are written first, and the
+    coarser tables are made from the rows read back, so the verdicts behind
+    ``rollouts`` are scanned a single time. Without ``problems`` the grid has
+    the problems of the rollouts.
+    """
     from ..operators import stats as S
-    per_problem = S.with_all_problems(S.problem_stats(rollouts), problems)
-    for name, table in zip(STEP_TABLES, (rollouts, per_problem, S.overall_stats(rollouts), S.macro_stats(per_problem)), strict=True):
+    names = dict(zip(("rollouts", "problems", "overall", "macro"), STEP_TABLES, strict=True))
+
+    def stored(table: DataFrame, name: str) -> DataFrame:
         write_partitioned(table, f"{root}/{name}", ["step"])
+        return table.sparkSession.read.schema(table.schema).parquet(f"{root}/{name}")
+
+    r = stored(rollouts, names["rollouts"])
+    p = stored(S.with_all_problems(S.problem_stats(r), r.select("qid") if problems is None else problems), names["problems"])
+    write_partitioned(S.overall_stats(r), f"{root}/{names['overall']}", ["step"])
+    write_partitioned(S.macro_stats(p), f"{root}/{names['macro']}", ["step"])
 
 
 def label_documents(labels: DataFrame, qid: str = "qid", sample: str = "sample") -> DataFrame:

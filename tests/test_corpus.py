@@ -80,3 +80,38 @@ def test_chat_messages_merge_all(spark):
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = [(r.role, r.content) for r in H.chat_messages(t, True, merge_system="all").orderBy("msg_idx").collect()]
     assert got == [("user", "S\n\nu1"), ("assistant", "a1"), ("user", "S\n\nu2")]
+
+
+def test_running_text_in_chunks(spark):
+    from gradeframe.operators import history as H
+    rows = [(1, 0, "system", "sys"), (1, 1, "assistant", "def f():\n" * 5), (1, 2, "user", "é日😀"), (1, 3, "assistant", ""), (1, 4, "assistant", None),
+            (1, 5, "assistant", "x" * 100), (2, 0, "user", None), (3, 7, "assistant", "abc"), (None, 0, "assistant", "lost")]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    chosen = spark.createDataFrame([(1, 1), (1, 2), (1, 5), (2, 0), (3, 7), (3, 8)], "conv_id long, turn long")
+    texts = {(1, 1): rows[1][3], (1, 2): rows[1][3] + "\n" + "é日😀", (1, 5): rows[1][3] + "\n" + "é日😀" + "x" * 100, (3, 7): "abc"}
+    for size in (1, 7, 10, 4096):
+        got = {}
+        for r in H.running_text(t, chosen, size=size).orderBy("conv_id", "turn", "chunk").collect():
+            got.setdefault((r.conv_id, r.turn), []).append(r.chars)
+        assert {k: "".join(v) for k, v in got.items()} == texts
+        assert all(len(c) == size for v in got.values() for c in v[:-1])
+    lists = H.final_code_chunks(t.withColumn("qid", F.col("conv_id")).withColumn("sample", F.lit(0)).withColumn("step", F.lit(0)), size=50)
+    assert sorted((r.qid, r.chunk, len(r.chars)) for r in lists.collect() if r.qid) == [(1, 0, 50), (1, 1, 50), (1, 2, 45), (3, 0, 3)]
+
+
+def test_step_tables_scan_the_verdicts_once(spark, tmpdir_path):
+    from gradeframe.operators import stats as S
+    from gradeframe.sources import sinks as SK
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    v = spark.createDataFrame([("a", 0, 0, 1), ("a", 0, 0, 0), ("b", 0, 1, 1), ("b", 1, 0, -2)], "qid string, step long, sample int, verdict int")
+    r = S.rollout_stats(v.select("qid", "step", "sample", counted.asNondeterministic()("verdict").alias("verdict")))
+    SK.write_step_tables(r, None, f"{tmpdir_path}/t")
+    assert seen.value == 4
+    tables = {n: spark.read.parquet(f"{tmpdir_path}/t/{n}") for n in SK.STEP_TABLES}
+    assert [tables[n].count() for n in SK.STEP_TABLES] == [3, 4, 2, 2]
