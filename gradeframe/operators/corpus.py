@@ -130,11 +130,21 @@ def seeded_shuffle(df: DataFrame, seed, key: str = "qid") -> DataFrame:
     return r.drop("_h", "_g")
 
 
+def random_index(tests: DataFrame, seed, key: str = "qid", idx: str = "test_idx") -> DataFrame:
+    """(key, idx) of one test per problem, picked by a seeded md5 rank over *all* its tests.
+
+    The first 60 bits of the rank and the index share one number, whose minimum
+    is a hash aggregate that carries no text.
+    """
+    rank = F.conv(F.substring(X.seeded_rank_key(seed, F.col(key), F.col(idx)), 1, 15), 16, 10).cast("decimal(20,0)")
+    packed = (rank * F.lit(1 << 31).cast("decimal(11,0)") + F.col(idx).cast("decimal(10,0)")).cast("decimal(38,0)")
+    least = tests.groupBy(key).agg(F.min(packed).alias("_m"))
+    return least.select(key, (F.col("_m") % F.lit(1 << 31).cast("decimal(11,0)")).cast("int").alias(idx))
+
+
 def random_test(tests: DataFrame, seed, key: str = "qid", idx: str = "test_idx") -> DataFrame:
-    """One test per problem picked by a seeded md5 rank over *all* its tests."""
-    h = X.seeded_rank_key(seed, F.col(key), F.col(idx))
-    cols = [c for c in tests.columns if c != key]
-    return tests.groupBy(key).agg(F.min_by(F.struct(*cols), h).alias("_t")).select(key, "_t.*")
+    """The test of :func:`random_index`, fetched by its key."""
+    return tests.join(random_index(tests, seed, key, idx), [key, idx])
 
 
 # ------------------------------------------------------------------ W1
@@ -155,13 +165,13 @@ def first_python_file(files: DataFrame, repo: str = "repo", path: str = "path",
                       content: str = "content") -> DataFrame:
     """The first ``.py`` file of each repository with non-empty content.
 
-    On the long file table this is a ``min_by`` aggregate (partial per map
-    task), not a collected file list.
+    On the long file table the first position is a minimum (a hash aggregate
+    without texts); the one file that has it is fetched by its key. Positions
+    are unique in a repository.
     """
     py = files.filter(F.col(path).endswith(".py"))
-    first = py.groupBy(repo).agg(F.min_by(F.struct(F.col(path), F.col(content)), F.col(pos)).alias("_f"))
-    return first.select(repo, F.col("_f")[path].alias(path), F.col("_f")[content].alias(content)) \
-        .filter(F.col(content) != "")
+    first = py.groupBy(repo).agg(F.min(pos).alias(pos))
+    return py.join(first, [repo, pos]).filter(F.col(content) != "").select(repo, path, content)
 
 
 def eligible_repos(repos: DataFrame, language: str, min_stars: int, max_size: int,

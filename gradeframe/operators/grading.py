@@ -54,16 +54,17 @@ def feedback_messages(verdicts: DataFrame, tests: DataFrame, seed=0, keys: Seque
     """J2 + X25 + O9: the test-based feedback sent back to the assistant.
 
     Compile error -> fixed text; else the first runtime error with its test's
-    input and expected output; else a seeded random test of the problem.
+    input and expected output; else a seeded random test of the problem. Which
+    test a rollout shows is settled on indexes alone (hash aggregates); the
+    texts are then fetched once, by problem and index.
     """
     f = rollout_firsts(verdicts, keys)
-    rt = tests.select(problem, F.col("test_idx").alias("first_runtime_idx"),
-                      F.col("input").alias("rt_input"), F.col("expected").alias("rt_expected"))
-    rnd = C.random_test(tests.select(problem, "test_idx", "input", "expected"), seed, problem) \
-        .select(problem, F.col("input").alias("rnd_input"), F.col("expected").alias("rnd_expected"))
-    j = f.join(rt, [problem, "first_runtime_idx"], "left").join(rnd, problem, "left")
-    msg = X.failure_message(F.col("first_verdict"), F.col("rt_input"), F.col("rt_expected"),
-                            F.col("first_runtime_idx").isNotNull(), F.col("rnd_input"), F.col("rnd_expected"))
+    failed = F.col("first_runtime_idx").isNotNull()
+    shown = F.when(F.col("first_verdict") == COMPILE_ERROR, F.lit(None).cast("int")).otherwise(F.coalesce("first_runtime_idx", "_random"))
+    picked = C.random_index(tests.select(problem, "test_idx"), seed, problem).withColumnRenamed("test_idx", "_random")
+    wanted = f.join(picked, problem, "left").withColumn("test_idx", shown)
+    j = wanted.join(tests.select(problem, "test_idx", "input", "expected"), [problem, "test_idx"], "left")
+    msg = X.failure_message(F.col("first_verdict"), F.col("input"), F.col("expected"), failed, F.col("input"), F.col("expected"))
     return j.select(*keys, msg.alias("message"))
 
 
