@@ -125,3 +125,63 @@ def test_scoring_in_slices_changes_nothing(monkeypatch):
     whole = Q.find(t, trees)
     monkeypatch.setattr(Q, "SCORED", 7)
     assert Q.find(t, trees) == whole
+
+
+def model():
+    return Q.fit(np.zeros((0, Q.FEATURES)), np.zeros(0, int))
+
+
+def test_credentials_without_a_digit_are_proposed():
+    shown = lambda t: {(k, t[a:b]) for k, a, b in Q.candidates(t)}
+    for t, v in (("password: correcthorsebattery", "correcthorsebattery"), ("passwd=abcDEFGHijk", "abcDEFGHijk"), ("pwd=x1", "x1"),
+                 ("my api_key = 'a=b:c'", "a=b:c"), ("token:é", "é")):
+        assert ("secret", v) in shown(t)
+    t = model()
+    added = lambda s: {(k, s[a:b]) for k, a, b in Q.find(s, t)[1]}
+    assert ("secret", "correcthorsebattery") in added("password: correcthorsebattery") and ("secret", "abcDEFGHijk") in added("so passwd=abcDEFGHijk ok")
+    assert added("the password: required here") == set() and added("token: none") == set() and added("no colon") == set()
+
+
+def test_thresholds_come_from_held_out_examples():
+    ex, ey, held = Q.examples()
+    assert len(ex) > 500
+    for k, kind in enumerate(Q.KINDS):
+        mine = ex[:, 0] == k
+        if kind in ("phone", "account", "secret"):
+            assert held[mine].sum() >= 20 and 0 < ey[held & mine].mean() < 1
+    t = model()
+    ok = t.chance(ex[held]) >= np.array(t.threshold)[ex[held][:, 0].astype(int)]
+    assert (ey[held][ok] == 1).mean() >= 0.9 and ok[ey[held] == 1].mean() > 0.6
+    assert len(set(t.threshold)) > 2
+
+
+def test_added_spans_do_not_overlap():
+    rnd = np.random.default_rng(4)
+    t = model()
+    words = ["call", "phone", "account", "passport", "order", "x", "password="]
+    for _ in range(200):
+        s = " ".join(rnd.choice(words) if rnd.random() < 0.4 else "".join(rnd.choice(list("0123456789-"), rnd.integers(2, 9))) for _ in range(12))
+        base, spans = Q.find(s, t)
+        cuts = sorted((a, b) for _, a, b in spans if (_, a, b) not in base)
+        assert all(b <= a for (_, b), (a, _) in zip(cuts, cuts[1:], strict=False))
+        assert all(Q.luhn(Q._digits(s[a:b])) for k, a, b in spans if k == "card")
+    assert Q.without_overlaps([(("a", 0, 4), 0.9), (("b", 3, 9), 0.8), (("c", 9, 12), 0.5), (("d", 0, 12), 0.4)]) == [("b", 3, 9), ("c", 9, 12)]
+    assert Q.without_overlaps([]) == []
+    one = {s[a:b] for s in ["phone 020 7946 0958 or"] for _, a, b in Q.find(s, t)[1]}
+    assert one == {"020 7946 0958"}
+
+
+def test_documents_and_addresses():
+    t = model()
+    added = lambda s: {s[a:b] for _, a, b in Q.find(s, t)[1]}
+    assert "219-09-9999" in added("ssn 219-09-9999") and "C01234567" in added("passport no C01234567 of")
+    assert "2001:db8:85a3::8a2e:370:7334" in added("host 2001:db8:85a3::8a2e:370:7334 up") and added("at 12:30:45 we") == set()
+    assert added("order id 1234567890") == set()
+
+
+def test_training_takes_a_bounded_number_of_candidates_and_one_task(spark, monkeypatch):
+    rows = [(i, f"mail a{i}@b.org ip 10.0.{i % 300}.1 card 4111 1111 1111 {i:04}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    full, few = Q.train(df), Q.train(df, max_candidates=20)
+    assert full.leaf.shape == few.leaf.shape and not np.array_equal(full.leaf, few.leaf)
+    assert np.array_equal(Q.train(df.repartition(7)).leaf, full.leaf)
