@@ -7,8 +7,10 @@ is rejected outside the fixed band of its language or script, and outside the
 band that the corpus itself shows for its script and length: a robust distance
 from the median of all texts of that script and length step that pass the base
 rules (entropy grows with length, so one number cannot serve all lengths). A
-step with too few texts takes in the nearest steps of its script until there
-are enough, at most the whole script, so every text meets a band.
+band rests on the ``NEAREST`` texts that are nearest in length: those of its own
+step, all of them, and of the script's other steps, ring by ring, as much as is
+still missing, the last ring in part. So a neighbour's weight fades out as a
+step fills, and no number of texts switches anything.
 
 The whole texts are read in one Arrow pass without a shuffle; a row of figures
 per text is kept. Medians come from counts of rounded figures, so they are
@@ -17,6 +19,7 @@ exact, the same on every run, and gathered by map-side sums.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -35,20 +38,26 @@ WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
 
-#: Corpus bands: distance from the median in median deviations, least deviation of each figure,
-#: texts a script and length step needs to have a band of its own (fewer: with its neighbours), and steps per
+#: Corpus bands: distance from the median in median deviations, least deviation of each figure, and steps per
 #: doubling of the length.
 SPREAD, LEAST_SPREAD = 5.0, {"chars_per_token": 0.2, "byte_share": 0.05, "token_entropy": 0.06}
-LEAST_TEXTS, STEPS = 50, 2
+STEPS = 2
+#: Texts a band rests on (own steps with more: all of theirs), and the weight of a text that counts in full: parts are
+#: whole numbers, so that sums do not depend on their order.
+NEAREST, WEIGHT = 50, 1 << 30
 
 
 @dataclass(frozen=True)
 class Band:
-    """Accepted values; texts with fewer than ``entropy_from`` tokens have no entropy band."""
+    """Accepted values. The least entropy holds from ``entropy_full`` tokens on; below, it falls with the
+    logarithm of their number, as the entropy of so few tokens is bounded by it."""
     chars_per_token: tuple[float, float]
     byte_share: tuple[float, float]
     entropy: tuple[float, float]
-    entropy_from: int = 64
+    entropy_full: int = 64
+
+    def least_entropy(self, tokens: int) -> float:
+        return self.entropy[0] * min(1.0, math.log2(max(tokens, 1)) / math.log2(self.entropy_full))
 
 
 #: By script, or by "lang:" and a language code, which goes first.
@@ -119,7 +128,7 @@ def in_bands(bands: Mapping[str, Band], lang: str | None, script: str, cpt: floa
     if not (tokens and band.chars_per_token[0] <= cpt <= band.chars_per_token[1]
             and band.byte_share[0] <= share <= band.byte_share[1]):
         return False
-    return tokens < band.entropy_from or band.entropy[0] <= entropy <= band.entropy[1]
+    return band.least_entropy(tokens) <= entropy <= band.entropy[1]
 
 
 COLUMNS = (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"),
@@ -155,49 +164,63 @@ def figures(docs: DataFrame, model_path: str, bands: Mapping[str, Band] = BANDS,
     return map_arrow(src, run, "doc_id long, " + ", ".join(f"{c} {k}" for c, k in COLUMNS))
 
 
+def weighted_median(rows: DataFrame, keys: list[str], x: str, weight: str, out: str) -> DataFrame:
+    """(keys, out): the least ``x`` up to which half of the weight of its keys lies.
+
+    Equal values are summed first, so the window of a key has as many rows as it
+    has rounded values.
+    """
+    sums = rows.groupBy(*keys, F.col(x).alias(out)).agg(F.sum(weight).alias("_w"))
+    upto = Window.partitionBy(*keys).orderBy(out)
+    return (sums.select(*keys, out, F.sum("_w").over(upto).alias("_upto"), F.sum("_w").over(Window.partitionBy(*keys)).alias("_all"))
+            .filter(2 * F.col("_upto") >= F.col("_all")).groupBy(*keys).agg(F.min(out).alias(out)))
+
+
 def reach(rows: DataFrame) -> DataFrame:
-    """(script, step, near): the steps whose texts make the band of a script and step.
+    """(script, step, near, weight): what a text of each step ``near`` weighs for the band of a step.
 
-    A step with LEAST_TEXTS texts that pass the base rules stands alone; others
-    take in the steps of their script by distance, both sides alike, until there
-    are so many, at most all of them. Scripts do not mix: their figures differ
-    by nature. At most scripts x length steps x length steps rows.
+    The step's own texts weigh WEIGHT. Steps of the script at one distance, on
+    both sides, are a ring; the rings are taken from the nearest on until they
+    hold NEAREST texts, the last one with the part of its weight that is missing.
     """
     size = rows.filter(~F.col("base_failed")).groupBy("script", "step").agg(F.count(F.lit(1)).alias("texts"))
     pairs = (size.select("script", "step").join(size.withColumnRenamed("step", "near"), "script")
              .withColumn("far", F.abs(F.col("near") - F.col("step"))))
-    closer = Window.partitionBy("script", "step").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
-    return (pairs.withColumn("before", F.coalesce(F.sum("texts").over(closer), F.lit(0)))
-            .filter(F.col("before") < LEAST_TEXTS).select("script", "step", "near"))
+    ring = Window.partitionBy("script", "step").orderBy("far")
+    missing = NEAREST - F.coalesce(F.sum("texts").over(ring.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rings = pairs.select("script", "step", "near", "far", missing.alias("missing"), F.sum("texts").over(ring.rangeBetween(0, 0)).alias("ring"))
+    part = F.when(F.col("far") == 0, F.lit(WEIGHT)).otherwise(F.floor(WEIGHT * F.least(F.lit(1.0), F.col("missing") / F.col("ring"))))
+    return (rings.filter((F.col("far") == 0) | (F.col("missing") > 0))
+            .select("script", "step", "near", part.cast("decimal(12,0)").alias("weight")).filter("weight > 0"))
 
 
-def corpus_bands(rows: DataFrame, near: DataFrame | None = None) -> DataFrame:
+def corpus_bands(rows: DataFrame) -> DataFrame:
     """(script, step, low and high of each figure) from the rows that pass the base rules.
 
-    ``near`` (see ``reach``) says which steps make each band; without it steps
-    of LEAST_TEXTS texts have their own and others none. A text of a longer step
-    counts with half a bit less entropy a step, the most that so much more text
-    can add. At most scripts x length steps rows: five scripts and two steps a
-    doubling.
+    Every step of a script that has such rows gets a band, from the rounded
+    figures of the texts that ``reach`` gives it; scripts do not mix, their
+    figures differ by nature. A text of a longer step counts with half a bit less
+    entropy a step, the most that so much more text can add. At most scripts x
+    length steps rows: five scripts and two steps a doubling.
     """
     ok = rows.filter(~F.col("base_failed"))
-    least = LEAST_TEXTS if near is None else 1
-    if near is None:
-        near = ok.select("script", "step", F.col("step").alias("near")).distinct()
+    pairs = checkpoint(reach(rows))
     out = None
     for c, digits in (("chars_per_token", 2), ("byte_share", 3), ("token_entropy", 2)):
         times = (ok.groupBy("script", F.col("step").alias("near"), F.round(c, digits).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-                 .join(F.broadcast(near), ["script", "near"]))           # bounded, see reach
+                 .join(F.broadcast(pairs), ["script", "near"])           # at most scripts x steps x steps rows
+                 .withColumn("weight", F.col("n").cast("decimal(20,0)") * F.col("weight")))
         if c == "token_entropy":
-            times = times.withColumn("x", F.col("x") - F.greatest(F.col("near") - F.col("step"), F.lit(0)) / STEPS)
-        mid = times.groupBy("script", "step").agg(F.percentile("x", 0.5, F.col("n")).alias("mid"), F.sum("n").alias("texts"))
-        off = (times.join(mid, ["script", "step"]).groupBy("script", "step", "mid", "texts")
-               .agg(F.percentile(F.abs(F.col("x") - F.col("mid")), 0.5, F.col("n")).alias("off")))
+            times = times.withColumn("x", F.round(F.col("x") - F.greatest(F.col("near") - F.col("step"), F.lit(0)) / STEPS, digits))
+        mid = weighted_median(times, ["script", "step"], "x", "weight", "mid")
+        far = (times.join(F.broadcast(mid), ["script", "step"])          # at most scripts x steps rows
+               .withColumn("far", F.round(F.abs(F.col("x") - F.col("mid")), digits)))
+        off = weighted_median(far, ["script", "step"], "far", "weight", "off")
         width = SPREAD * F.greatest("off", F.lit(LEAST_SPREAD[c]))
-        one = (off.filter(F.col("texts") >= least)
-               .select("script", "step", (F.col("mid") - width).alias(f"low_{c}"),
-                       # unusual but varied words are no fault: entropy has no upper corpus band
-                       (F.lit(float("inf")) if c == "token_entropy" else F.col("mid") + width).alias(f"high_{c}")))
+        one = mid.join(off, ["script", "step"]).select(
+            "script", "step", (F.col("mid") - width).alias(f"low_{c}"),
+            # unusual but varied words are no fault: entropy has no upper corpus band
+            (F.lit(float("inf")) if c == "token_entropy" else F.col("mid") + width).alias(f"high_{c}"))
         out = one if out is None else out.join(one, ["script", "step"])
     return out
 
@@ -209,14 +232,13 @@ def quality_rules(docs: DataFrame, model_path: str, bands: Mapping[str, Band] =
     ``kept`` is false where the base rules fail (fewer than 10 words, or over
     20 % of the words in repeated 5-word windows) and else says whether the
     text lies in the fixed and the corpus bands of its script (or language).
-    Lengths with too few texts are judged with the nearest ones of their script,
-    a script with too few by all its texts. A null text has no words; a text
+    Lengths with few texts are judged with the nearest ones of their script. A null text has no words; a text
     without words fails; repeated rows and null ids are judged like any other;
     other columns are not read; an empty table gives an empty result.
     """
     step = F.floor(STEPS * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")
     rows = checkpoint(figures(docs, model_path, bands, id_col, text_col, lang_col).withColumn("step", step))
-    learned = corpus_bands(rows, checkpoint(reach(rows)))
+    learned = corpus_bands(rows)
     inside = F.col("in_band")
     for c in LEAST_SPREAD:                   # only rows that fail the base rules can be without a band
         inside = inside & F.coalesce(F.col(c).between(F.col(f"low_{c}"), F.col(f"high_{c}")), F.lit(True))

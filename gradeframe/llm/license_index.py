@@ -10,10 +10,12 @@ up its highest-IDF licence words; every hit proposes a template at an offset
 (position in the file minus position in the template). The rarest word of a
 template's key phrase proposes it too, in every file and whatever the ranks, so
 labels do not depend on how many words are looked up. All licence words then
-vote for proposed (template, offset) pairs, which intersects the postings by
-relative position. A template counts when enough of its words agree on one
+vote for (template, offset) pairs, which intersects the postings by relative
+position. A proposed template counts when enough of its words agree on one
 offset and its mandatory key phrase stands whole at that offset. Phrases are
-looked up by their own rarest word and must stand whole.
+looked up by their own rarest word and must stand whole. The score takes the
+best of all pairs, proposed or not, so neither the number of words looked up
+nor the frequencies of words in other files touch it.
 
 Positions are rows: a text full of licence words only makes more rows, summed
 up map-side first. The templates are a parameter, so their tables are bounded
@@ -114,9 +116,9 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     that overlaps itself counts at every start; repeated rows and null ids are
     scanned like any other; other columns are not read; an empty table gives an
     empty result. ``score`` is 1 with a phrase, else the best share of agreeing
-    words of a template whose key stands, else half the best share without it;
-    only that half share, which labels nothing, is taken among the templates that
-    the ``top_words`` looked-up words propose.
+    words of a template whose key stands, else half the best share without it (at
+    least two words that agree); 0 for a file that holds the words of no key or
+    phrase. It depends on the file and the templates alone.
     """
     spark = docs.sparkSession
     units = _units(phrases, templates)
@@ -149,9 +151,10 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     offset = (F.col("i") - F.col("j")).alias("off")
     proposed = (hits.join(top, ["rid", "w"]).join(wide, "w").select("rid", "unit", offset)
                 .union(hits.join(anchors, "w").select("rid", "unit", offset)).distinct())
-    agreed = (hits.join(postings, "w").groupBy("rid", "unit", offset).agg(F.count(F.lit(1)).alias("n"))
-              .join(proposed, ["rid", "unit", "off"], "left_semi").join(info, "unit"))
-    agreed = checkpoint(agreed.withColumn("share", F.col("n") / F.col("size")).filter((F.col("n") > 1) | (F.col("size") == 1)))
+    agreed = (hits.join(postings, "w").groupBy("rid", "unit", offset).agg(F.count(F.lit(1)).alias("n")).join(info, "unit")
+              .filter((F.col("n") > 1) | (F.col("size") == 1)))
+    agreed = checkpoint(agreed.join(proposed.withColumn("proposed", F.lit(True)), ["rid", "unit", "off"], "left")
+                        .withColumn("share", F.col("n") / F.col("size")))
 
     base = (agreed.filter("kind = 'phrase' AND n = size").groupBy("rid")
             .agg(F.count(F.lit(1)).alias("n_base"), F.min("off").alias("first_word"), F.max("off").alias("last_word"),
@@ -163,7 +166,7 @@ def scan(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, template
     found = (agreed.filter("kind = 'template'").withColumn("key_at", F.col("off") + at)
              .join(keys, ["rid", "unit", "key_at"], "left")
              .groupBy("rid").agg(
-                 F.collect_set(F.when(F.col("held") & (F.col("share") >= least_share), F.col("label"))).alias("more"),
+                 F.collect_set(F.when(F.col("held") & F.col("proposed") & (F.col("share") >= least_share), F.col("label"))).alias("more"),
                  F.max(F.when(F.col("held"), F.col("share")).otherwise(F.col("share") / 2)).alias("best")))
     joined = rows.join(base, "rid", "left").join(found, "rid", "left")
     none = F.array().cast("array<string>")

@@ -313,8 +313,8 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Trees:
 def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     """Trees on four fifths of the labelled candidates and the examples, calibrated on the rest.
 
-    A kind's threshold is the lowest chance from which on its held-out
-    candidates reach PRECISION; a kind with fewer than LEAST_HELD of them takes
+    A kind's threshold lies just below the lowest chance of a right held-out
+    candidate from which on they reach PRECISION; a kind with fewer than LEAST_HELD of them takes
     the threshold of all kinds together.
     """
     ex, ey, held = examples()
@@ -335,11 +335,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     chance = t.chance(hx)
 
     def cut(mine: np.ndarray) -> float:
-        order = np.argsort(-chance[mine], kind="stable")
-        c, right = chance[mine][order], hy[mine][order]
-        ends = np.append(c[1:] != c[:-1], True)            # equal chances stand or fall together
-        good = ends & (np.cumsum(right) / np.arange(1, len(c) + 1) >= PRECISION)
-        return float(c[np.flatnonzero(good)[-1]]) if good.any() else 1.1
+        levels, at = np.unique(-chance[mine], return_inverse=True)           # equal chances stand or fall together
+        right, n = np.bincount(at, hy[mine], len(levels)), np.bincount(at, minlength=len(levels))
+        # a level without a right candidate sets no cut
+        good = np.flatnonzero((right > 0) & (np.cumsum(right) / np.cumsum(n) >= PRECISION))
+        if not len(good):
+            return 1.1
+        k = good[-1]                                        # half way to the next level below
+        return float(-(levels[k] + (levels[k + 1] if k + 1 < len(levels) else 0.0)) / 2)
 
     every = cut(np.ones(len(hy), bool))
     t.threshold = tuple(cut(hx[:, 0] == k) if (hx[:, 0] == k).sum() >= LEAST_HELD else every for k in range(len(KINDS)))
@@ -481,6 +484,7 @@ def redact(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with all spans replaced by ``[KIND]``; a column n_chars follows the text.
 
     Null texts stay null; texts without spans and all other columns stay as they are.
+    No base span is left: what shows up once its neighbours are gone is replaced too.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -488,7 +492,10 @@ def redact(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
             for t in b.column(0):
                 text = t.as_py()
                 spans = find(text, trees)[1]
-                out.append(redacted(text, spans) if spans else text)
+                while spans:                        # what is left may hold a format that its neighbours hid
+                    text = redacted(text, spans)
+                    spans = exact_spans(text)[0]
+                out.append(text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(1)], ["text", "row"])
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]

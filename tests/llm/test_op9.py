@@ -82,3 +82,36 @@ def test_several_licences_in_one_file(spark):
     assert want[0] == "bsd,gpl-3" and want[1] == "gpl-3,mit" and want[2] == "bsd,gpl-3,mit"
     for top in (L.TOP_WORDS, 1, 1000):
         assert {r.doc_id: r.labels for r in L.scan(df, top_words=top).collect()} == want
+
+
+def brute_score(text):
+    """1 with a phrase, else the best share of agreeing words, half of it where the key does not stand."""
+    if brute(text)[1]:
+        return 1.0
+    w = re.findall("[a-z0-9]+", text.lower())
+    if not any(set(p.split()) <= set(w) for p in [p for p, _ in L.PHRASES] + [t.key for t in L.TEMPLATES]):
+        return 0.0
+    best = 0.0
+    for t in L.TEMPLATES:
+        words, key, place = t.words.split(), t.key.split(), L._key_place(t)
+        for off in range(-len(words), len(w)):
+            agree = sum(0 <= off + j < len(w) and w[off + j] == x for j, x in enumerate(words))
+            if agree > 1:
+                held = off + place >= 0 and w[off + place:off + place + len(key)] == key
+                best = max(best, agree / len(words) * (1 if held else 0.5))
+    return best
+
+
+def test_score_against_brute_force_whatever_is_looked_up(spark):
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    bsd = next(t.words for t in L.TEMPLATES if t.label == "bsd")
+    cut = " ".join(bsd.split()[6:]) + " forms source in use and redistribution"
+    texts = [cut, cut + " the license of the public gnu general version 3", "the mit x license", "mit the license under", gpl[20:], "gnu license x general public lesser",
+             "under the mit license", "nothing at all", "", bsd.replace("source", "sauce"), "in " + gpl.replace("General", "generic general")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: round(brute_score(t), 9) for i, t in enumerate(texts)}
+    assert 0 < want[0] < 1 and want[7] == 0
+    more = df.union(spark.createDataFrame([(100 + i, gpl) for i in range(50)] + [(200 + i, cut) for i in range(50)], df.schema))
+    for some, top in ((df, L.TOP_WORDS), (df, 1), (more, L.TOP_WORDS), (more, 1)):
+        got = {r.doc_id: round(r.score, 9) for r in L.scan(some, top_words=top).collect() if r.doc_id < 100}
+        assert got == want
