@@ -3,8 +3,9 @@
 Every rule names the literal tokens (runs of a-z and 0-9) that any URL it fits
 must hold. The token of a rule that is rarest among the URLs at hand is its
 index entry. A URL looks up its own tokens, and only the rules fetched that way
-run their regular expression on it; a rule without a literal token sits under
-the empty token, which every URL holds.
+run their regular expression on it. An alternative is a rule of its own, so that
+each has its token; a rule that still has none (the parameter allows it) sits
+under the empty token, which every URL holds.
 
 Distinct URLs are judged once (a URL that fills a third of the table costs one
 row after the map-side aggregate) and the verdicts join back by URL. The rule
@@ -59,9 +60,13 @@ LISTED = (host_rule("net/", "block"), host_rule("example.net/en/", "allow"),
           host_rule("example.com/de/", "block"), host_rule("org/fr/", "allow"))
 #: Rules for URLs without a listed one: pages that hold no prose.
 PATTERNS = (
-    Rule("login page", "block", r"(?i)/(?:login|signin|wp-login\.php)(?:[/?]|\z)", (), 1),
-    Rule("session id", "block", r"(?i)[?&;](?:phpsessid|jsessionid)=", (), 2),
-    Rule("shopping cart", "block", r"(?i)/(?:cart|checkout)(?:[/?]|\z)", (), 3),
+    Rule("login page", "block", r"(?i)/login(?:[/?]|\z)", ("login",), 1),
+    Rule("sign-in page", "block", r"(?i)/signin(?:[/?]|\z)", ("signin",), 1),
+    Rule("blog login", "block", r"(?i)/wp-login\.php(?:[/?]|\z)", ("wp", "login", "php"), 1),
+    Rule("PHP session", "block", r"(?i)[?&;]phpsessid=", ("phpsessid",), 2),
+    Rule("Java session", "block", r"(?i)[?&;]jsessionid=", ("jsessionid",), 2),
+    Rule("shopping cart", "block", r"(?i)/cart(?:[/?]|\z)", ("cart",), 3),
+    Rule("checkout", "block", r"(?i)/checkout(?:[/?]|\z)", ("checkout",), 3),
     Rule("site search", "block", r"(?i)/search/?\?(?:.*&)?q=", ("search", "q"), 4),
     Rule("admin area", "block", r"(?i)/wp-admin/", ("wp", "admin"), 5),
     Rule("calendar trap", "block", r"(?i)/calendar/\d{4}/\d{1,2}/\d{1,2}", ("calendar",), 6),
@@ -100,6 +105,11 @@ def rule_index(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return rarest.select("rank_no", F.col("best.token").alias("token")).join(patterns, "rank_no")
 
 
+def fetched(urls: DataFrame, index: DataFrame) -> DataFrame:
+    """(url, subject, rank_no, pattern): the rules whose index token a URL holds, the only ones whose expressions run."""
+    return urls.select("url", "subject", F.explode(_tokens(F.col("subject"))).alias("token")).join(index, "token").drop("token")
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule] = LISTED + PATTERNS, default: str = DEFAULT_VERDICT,
           url_col: str = "url") -> DataFrame:
     """All columns of ``pages`` plus host, path, rule, verdict, pattern_rule.
@@ -115,8 +125,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = LISTED + PATTERNS, default:
     host, path, subject = url_parts(url)
     urls = pages.select(url.alias("url")).dropna().distinct().select("url", subject.alias("subject"))
     index = rule_index(pages.select(subject.alias("subject")), rules)
-    fetched = urls.select("url", "subject", F.explode(_tokens(F.col("subject"))).alias("token")).join(index, "token")
-    best = (fetched.filter(F.regexp_like("subject", F.col("pattern")))
+    best = (fetched(urls, index).filter(F.regexp_like("subject", F.col("pattern")))
             .groupBy("url").agg(F.max("rank_no").alias("rank_no")))
     ordered = sorted(rules, key=lambda r: (r.rank, r.name))
     names = local_rows(pages.sparkSession, [("rank_no", "int"), ("name", "string"), ("decided", "string"), ("listed", "boolean")],

@@ -62,3 +62,26 @@ def test_query_without_a_path_stays_out_of_the_host(spark):
     host = (U.host_rule("foo.net", "block"),)
     got = {r.url: r.rule for r in U.judge(df, rules=host).collect()}
     assert {u for u, rule in got.items() if rule} == {"http://foo.net?next=a.org/fr/", "http://foo.net/?next=a.org/fr/"}
+
+
+def test_every_rule_has_a_token_and_few_expressions_run(spark):
+    """With two thousand rules a URL runs the expressions of the few whose rarest token it holds."""
+    assert all(r.tokens for r in U.LISTED + U.PATTERNS)
+    rules = [U.Rule(f"trap {k}", "block", rf"(?i)/trap{k}/page", (f"trap{k}", "page"), 1) for k in range(1000)]
+    rules += [U.host_rule(f"host{k}.example.org/page/", "block") for k in range(1000)]
+    urls = [f"http://host{k}.example.org/{'page' if k % 2 else 'other'}/x{k}" for k in range(400)] + [f"http://www.a.com/trap{k}/page" for k in range(400)]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    subjects = df.select("url", U.url_parts(F.col("url"))[2].alias("subject"))
+    ran = U.fetched(subjects, U.rule_index(subjects, rules + list(U.PATTERNS))).count()
+    assert ran / len(urls) <= 1.0                              # of 2,010 rules
+    got = {r.url: (r.rule, r.pattern_rule) for r in U.judge(df, rules=rules + list(U.PATTERNS)).collect()}
+    assert all(got[u] == ((f"host{k}.example.org/page/", None) if k % 2 else (None, None)) for k, u in enumerate(urls[:400]))
+    assert all(got[u] == (None, f"trap {k}") for k, u in enumerate(urls[400:]))
+
+
+def test_each_alternative_is_found(spark):
+    blocked = ["/login", "/Login/", "/signin?x", "/wp-login.php", "/a?PHPSESSID=1", "/a;jsessionid=2", "/cart", "/CHECKOUT/x", "/a/login?next=/"]
+    free = ["/logins", "/xsignin", "/wp-loginxphp", "/a?xphpsessid=1", "/cartoon", "/check-out", "/a#/login"]
+    df = spark.createDataFrame([("http://w.com" + p,) for p in blocked + free], "url string")
+    got = {r.url: r.verdict for r in U.judge(df).collect()}
+    assert got == {"http://w.com" + p: "block" for p in blocked} | {"http://w.com" + p: "allow" for p in free}
