@@ -133,7 +133,9 @@ def plan(docs: DataFrame, target: Target = Target(), seed: int = SEED, id_col: s
             .select("key", F.col("block").alias("slot"), "tokens"))
     upto = checkpoint(_runs_out(fine, upto.select("key", "rest")).withColumnRenamed("slot", "block"))
     in_block = Window.partitionBy("key").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows of one hash (without an id, or of one id) are one sum before they move
     fits = (rows.withColumn("block", F.shiftright("h", shift)).join(upto, ["key", "block"])
+            .groupBy("key", "block", "rest", "h").agg(F.sum("tokens").alias("tokens"))
             .withColumn("sum", F.sum("tokens").over(in_block)).filter("sum <= rest").groupBy("key").agg(F.max("h").alias("last")))
     cuts = upto.join(fits, "key", "left").select(
         "key", F.coalesce("last", F.shiftleft("block", shift) - 1).alias("cut"))

@@ -84,3 +84,13 @@ def test_cases(spark):
 def test_sql(spark):
     same_as_sql(spark, M, "op7_mixing")
     same_as_sql(spark, M, "op7_mixing", "/root/testdata/sf0.01")
+
+
+def test_rows_of_one_hash_are_summed_before_they_meet(spark):
+    """A third of the rows without an id: they are one row of the last window, and taken or left together."""
+    rows = [(None if i % 3 == 0 else i, "a" if i % 2 else "b", "w " * (i % 7)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = M.mix(df).groupBy("doc_id", "source", "_epoch").count().collect()
+    for source in "ab":
+        n = [r["count"] for r in got if r.doc_id is None and r.source == source]
+        assert set(n) <= {sum(1 for d, s, _ in rows if d is None and s == source)}
