@@ -172,21 +172,30 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     Rows are taken by the smallest hashes of doc_id, so the sample is the same
     however the tables are dealt out; an id with several different labels
     counts as labelled 1 if any is. Ids are bounded by ``max_rows``, so they
-    are broadcast to find their texts, and one task fits the model.
+    are broadcast to find their texts. Of an id's rows the one with the smallest
+    hash of its text counts: each task keeps one per id, an aggregate the least of
+    these, so at most ``max_rows`` rows reach the one task that fits the model,
+    however often an id is repeated.
     """
     known = (labels.select("doc_id", "quality").dropna().filter(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("quality").cast("int").alias("label")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(sample), "doc_id")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
+        best: dict[int, tuple] = {}                            # at most ``max_rows`` ids
         for b in batches:
-            out = [describe(t.as_py(), cache) for t in b.column(1)]
+            for doc, text, h, label in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if doc not in best or h < best[doc][0]:
+                    best[doc] = (h, label, describe(text.as_py(), cache))
+        out = list(best.items())
+        for k in range(0, len(out), 1000):
+            some = out[k:k + 1000]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([i for i, _, _ in out], pa.list_(pa.int32())),
-                 pa.array([v for _, v, _ in out], pa.list_(pa.float32())),
-                 pa.array([s for _, _, s in out], pa.list_(pa.float32()))], ["doc_id", "label", "ids", "vals", "stats"])
+                [pa.array([d for d, _ in some], pa.int64()), pa.array([x[0] for _, x in some], pa.int64()), pa.array([x[1] for _, x in some], pa.int32()),
+                 *(pa.array([x[2][j] for _, x in some], pa.list_(kind)) for j, kind in enumerate((pa.int32(), pa.float32(), pa.float32())))],
+                ["doc_id", "h", "label", "ids", "vals", "stats"])
 
     def one_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -200,7 +209,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
         parts = [m.edges, np.array([m.bias], np.float32), m.linear, m.factors]
         yield pa.RecordBatch.from_arrays([pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["part"])
 
-    rows = map_arrow(texts, vectors, "doc_id long, label int, ids array<int>, vals array<float>, stats array<float>")
+    found = map_arrow(texts, vectors, "doc_id long, h long, label int, ids array<int>, vals array<float>, stats array<float>")
+    rows = (found.groupBy("doc_id").agg(F.min(F.struct("h", "label", "ids", "vals", "stats")).alias("r"))
+            .select("doc_id", "r.label", "r.ids", "r.vals", "r.stats"))
     got = [np.frombuffer(r.part, np.float32) for r in map_arrow(rows.repartition(1), one_model, "part binary").collect()]
     return Model(got[0].reshape(len(STATS), BINS - 1), float(got[1][0]), got[2], got[3].reshape(-1, FACTORS))
 

@@ -55,3 +55,15 @@ def test_cases(spark):
     assert Q.train(df, labels.limit(0)).linear.any() == np.False_
     kept = Q.good(df, labels)
     assert kept.columns == df.columns and 0 < kept.count() <= len(rows)
+
+
+def test_one_row_of_an_id_reaches_the_fit(spark, monkeypatch):
+    """A third of all rows with one id: the model is that of the row with the smallest hash of its text."""
+    from pyspark.sql import functions as F
+    docs = [(i, f"plain words of text {i} " * 5) for i in range(40)] + [(1, f"other words {k}") for k in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    least = [r.text for r in df.filter("doc_id = 1").orderBy(F.xxhash64("text")).limit(1).collect()][0]
+    plain = spark.createDataFrame([d for d in docs[:40] if d[0] != 1] + [(1, least)], df.schema)
+    a, b = Q.train(df.repartition(7), labels), Q.train(plain, labels)
+    assert a.bias == b.bias and (a.linear == b.linear).all() and (a.edges == b.edges).all()
