@@ -51,6 +51,7 @@ class Setting:
     alpha: float = 1.2
     audit: int = 128             # queries compared with all rows
     least_recall: float = 0.99
+    refused_recall: float = 0.9  # below it, after the widest search, there is an error instead of a result
     query_rows: int = 20_000     # queries of one search task
 
 
@@ -405,17 +406,35 @@ def links_of(classes: DataFrame, s: Setting) -> tuple[DataFrame, DataFrame, floa
         out = checkpoint(found_in_shards(index.select(*KEY, "chunk", "cid", "vec", "n", "first", "near"),
                                          asked.select(*[F.col(c).alias(c) for c in (*KEY, "chunk", "cid", "vec", "shards")]), s, beam))
         hits = checkpoint(out.filter("v is null").groupBy("u").agg(F.sum("hits").alias("hits")).withColumnRenamed("u", "cid"))
-        seen = truth.join(hits, "cid", "left").agg(F.sum("want").alias("want"),
-                                                  F.sum(F.least("want", F.coalesce("hits", F.lit(0)))).alias("got")).first()
-        recall = 1.0 if not seen.want else seen.got / seen.want
-        if recall >= s.least_recall or (probes >= most_shards and beam >= 16 * s.beam):
+        # each query counts alike, whether its group is small or large
+        share = F.least("want", F.coalesce("hits", F.lit(0))) / F.col("want")
+        recall = truth.filter("want > 0").join(hits, "cid", "left").agg(F.avg(share)).first()[0]
+        recall = 1.0 if recall is None else recall
+        exhausted = probes >= most_shards and beam >= 16 * s.beam
+        if exhausted and recall < s.refused_recall:
+            raise RuntimeError(f"recall {recall:.3f} of the audited queries after the widest search; raise shard_rows, probes or beam")
+        if recall >= s.least_recall or exhausted:
             return hits, out.filter("v is not null").select("u", "v"), recall
         probes, beam = 2 * probes, 2 * beam
 
 
 def audit_truth(classes: DataFrame, s: Setting) -> DataFrame:
-    """(cid, want): links of a bounded sample of classes, by comparison with all classes."""
-    picked = classes.orderBy(F.xxhash64("vec"), "cid").limit(s.audit).collect()
+    """(cid, want): links of a sample of classes, by comparison with all classes.
+
+    Where links are rare a first sample may hold none: the sample grows fourfold
+    until ``audit`` / 4 of its queries have links, it holds all classes, or it has
+    grown three times (a bounded 64 x ``audit`` queries).
+    """
+    n = s.audit
+    while True:
+        truth, held = _links_of_sample(classes, s, n)
+        if held < n or n >= 64 * s.audit or truth.filter("want > 0").limit(s.audit // 4).count() >= s.audit // 4:
+            return truth
+        n *= 4
+
+
+def _links_of_sample(classes: DataFrame, s: Setting, n: int) -> tuple[DataFrame, int]:
+    picked = classes.orderBy(F.xxhash64("vec"), "cid").limit(n).collect()
     held = classes.sparkSession.sparkContext.broadcast([(r.cid, r.label, r.dim, list(r.vec)) for r in picked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +451,7 @@ def audit_truth(classes: DataFrame, s: Setting) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ pdf["n"].to_numpy()[at])], ["cid", "want"])
 
     return checkpoint(map_arrow(classes.select("cid", "label", "dim", "vec", "n"), run, "cid long, want long")
-                      .groupBy("cid").agg(F.sum("want").alias("want")))
+                      .groupBy("cid").agg(F.sum("want").alias("want"))), len(picked)
 
 
 def near_duplicates(vectors: DataFrame, s: Setting = Setting(), id_col: str = "vec_id", vec_col: str = "embedding",

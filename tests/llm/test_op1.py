@@ -98,3 +98,20 @@ def test_query(spark):
     out = E.op1_embed_graph(spark, d)
     assert out.columns == ["vec_id", "n_links", "component_id", "kept"]
     assert sorted(map(tuple, out.collect()), key=repr) == brute(rows)
+
+
+def test_the_audit_looks_for_queries_with_links_and_a_low_recall_is_refused(spark, monkeypatch):
+    """One pair among lone vectors: a sample of a few queries holds none of it, a grown one does."""
+    import pytest
+    rnd = np.random.default_rng(6)
+    vecs = [rnd.normal(size=24).tolist() for _ in range(300)]
+    vecs += [[x + 1e-3 * (k + 1) for x in v] for k, v in enumerate(vecs[:20])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vecs)], "vec_id long, embedding array<float>, label int")
+    s = E.Setting(audit=8)
+    classes = E.classes_of(df.select("vec_id", F.col("embedding").alias("vec"), "label"))
+    truth = E.audit_truth(classes, s)
+    assert truth.filter("want > 0").count() >= 2 and truth.count() > 8
+    lost = lambda *a, **k: spark.createDataFrame([], "u long, v long, hits long")
+    monkeypatch.setattr(E, "found_in_shards", lost)
+    with pytest.raises(RuntimeError, match="recall"):
+        E.near_duplicates(df, s)
