@@ -69,6 +69,12 @@ def existing_steps(rollouts: DataFrame, steps: DataFrame, keys: Sequence[str] =
     return rollouts.join(steps.select(*keys).distinct(), list(keys))
 
 
+def mark_complete(df: DataFrame, n_samples: int, keys: Sequence[str] = ("qid", "step"), sample: str = "sample") -> DataFrame:
+    """``complete`` (1/0) of each row: whether its group has all ``n_samples`` samples. One aggregate, one join."""
+    ok = F.when(F.countDistinct(sample) >= n_samples, 1).otherwise(0).alias("complete")
+    return df.join(df.groupBy(*keys).agg(ok), list(keys))
+
+
 def complete_samples(df: DataFrame, n_samples: int, keys: Sequence[str] = ("qid", "step"),
                      sample: str = "sample") -> tuple[DataFrame, DataFrame]:
     """Groups with all ``n_samples`` samples, and the quarantined rest.
@@ -76,10 +82,8 @@ def complete_samples(df: DataFrame, n_samples: int, keys: Sequence[str] = ("qid"
     The reference aborts the run; a distributed job keeps going and returns
     the incomplete groups separately so nothing is silently dropped.
     """
-    cnt = df.groupBy(*keys).agg(F.countDistinct(sample).alias("_n"))
-    ok = cnt.filter(F.col("_n") >= n_samples).select(*keys)
-    bad = cnt.filter(F.col("_n") < n_samples).select(*keys)
-    return df.join(ok, list(keys), "left_semi"), df.join(bad, list(keys), "left_semi")
+    marked = mark_complete(df, n_samples, keys, sample)
+    return marked.filter("complete = 1").select(*df.columns), marked.filter("complete = 0").select(*df.columns)
 
 
 # ------------------------------------------------------------------ P20

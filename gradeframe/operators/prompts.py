@@ -39,15 +39,21 @@ def templates(spark: SparkSession, config: Mapping[str, str], prompt_types: Sequ
     return spark.createDataFrame(template_rows(config, prompt_types, tasks), TEMPLATE_SCHEMA)
 
 
+#: Templates that are broadcast.
+MOST_TEMPLATES = 10_000
+
+
 def render_prompts(rows: DataFrame, tmpl: DataFrame, slots: Mapping[str, Column],
                    prompt_type: str = "prompt_type", task: str = "task") -> DataFrame:
     """J8 + X28: look up the templates of each row and fill their slots.
 
     sys = strip(sys.rstrip() + " " + suffix) when a suffix exists, query and
-    prefill stripped; rows without a template get NULL prompts (left join).
+    prefill stripped; rows without a template get NULL prompts (left join). Up to
+    ``MOST_TEMPLATES`` templates are broadcast, more are joined as Spark plans it.
     """
-    j = rows.join(F.broadcast(tmpl.withColumnRenamed("prompt_type", prompt_type)
-                              .withColumnRenamed("task", task)), [prompt_type, task], "left")
+    t = tmpl.withColumnRenamed("prompt_type", prompt_type).withColumnRenamed("task", task)
+    t = F.broadcast(t) if t.limit(MOST_TEMPLATES + 1).count() <= MOST_TEMPLATES else t
+    j = rows.join(t, [prompt_type, task], "left")
     sys_ = X.join_suffix(X.fill_slots("sys", slots), X.fill_slots("sys_suffix", slots))
     return j.select(*rows.columns,
                     X.py_strip(sys_).alias("sys_prompt"),

@@ -241,20 +241,26 @@ def bad_only(problems: DataFrame, buckets: DataFrame, problem: str = "qid") -> D
 
 
 # ------------------------------------------------------------------ J5 A20 O8
+#: Setting pairs that are broadcast.
+MOST_PAIRS = 10_000
+
+
 def paired_delta(values: DataFrame, pairs: Sequence[tuple[str, str]],
                  keys: Sequence[str] = ("part", "qid", "sample"),
                  setting: str = "setting", value: str = "value",
                  n_samples: int | None = None, sample: str = "sample") -> DataFrame:
     """value(setting a) - value(setting b) per key for each requested pair.
 
-    ``pairs`` is a caller-given list (its size bounds the broadcast); each side
-    is unique per key, so the join is one-to-one. O8 keeps the first n samples.
+    ``pairs`` is a caller-given list, broadcast up to ``MOST_PAIRS`` of them and
+    joined as Spark plans it beyond; each side is unique per key, so the join is
+    one-to-one. O8 keeps the first n samples.
     """
     spark = values.sparkSession
     if n_samples is not None:
         values = values.filter(F.col(sample) < n_samples)
     pr = spark.createDataFrame([(a, b) for a, b in pairs], "setting_a string, setting_b string")
-    left = values.join(F.broadcast(pr), F.col(setting) == F.col("setting_a")).select(
+    pr = F.broadcast(pr) if len(pairs) <= MOST_PAIRS else pr
+    left = values.join(pr, F.col(setting) == F.col("setting_a")).select(
         "setting_a", "setting_b", *keys, F.col(value).alias("value_a"))
     right = values.select(F.col(setting).alias("setting_b"), *keys, F.col(value).alias("value_b"))
     return (left.join(right, ["setting_b", *keys])

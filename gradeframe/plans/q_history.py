@@ -240,8 +240,7 @@ FROM turns t JOIN (SELECT qid, step, count(DISTINCT sample) AS n FROM turns GROU
 def q_complete_samples(spark, sf_dir):
     """Groups with all samples, and the quarantined rest."""
     from ..operators import corpus as C
-    ok, bad = C.complete_samples(V.turns(spark, sf_dir).select("qid", "step", "sample", "turn"), 4)
-    return ok.withColumn("complete", F.lit(1)).unionByName(bad.withColumn("complete", F.lit(0)))
+    return C.mark_complete(V.turns(spark, sf_dir).select("qid", "step", "sample", "turn"), 4)
 
 
 # ------------------------------------------------------------------ prompts

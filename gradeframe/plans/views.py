@@ -77,13 +77,21 @@ def verdicts(spark: SparkSession, sf_dir: str, positions: bool = False, errors:
     return p.select("qid", "step", "sample", "test_idx", "verdict", *(["error_text"] if errors else []))
 
 
-_NUMBERED: dict[tuple[str, str, str], DataFrame] = {}
+_NUMBERED: dict[tuple, DataFrame] = {}
+
+
+def _written(spark: SparkSession, path: str) -> tuple[int, ...]:
+    """When a table's files were written, and their sizes: a table written anew is another one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((str(s.getPath()), s.getModificationTime(), s.getLen()) for s in fs.listStatus(at))
+    return tuple(x for _, when, size in files for x in (when, size))
 
 
 def _numbered_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A numbered table is made once per application and input folder and shared by the queries
+    """A numbered table is made once per application and state of its input and shared by the queries
     that need positions (real verdict data brings its ``test_idx`` along)."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name, _written(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet"))
     if key not in _NUMBERED:
         _NUMBERED[key] = build()
     return _NUMBERED[key]
