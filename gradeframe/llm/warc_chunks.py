@@ -1,26 +1,30 @@
 """WARC archives as a chunked record table.
 
-Writing: a payload never exists twice. Copies are found by (digest, length)
-aggregates; each record becomes rows (record, segment) of at most
-``chunk_bytes`` payload bytes, cut at character boundaries, while a SHA-256
-state runs along, so a row holds its chunk and the digest so far and nothing
-else. Every segment is a WARC record of its own (a ``continuation`` record from
-the second on), the text writer puts the blank line between records, and
+Writing: the scan's rows become chunk rows (record, chunk number, chunk of at
+most ``chunk_bytes`` bytes, cut between characters) before anything is shuffled;
+copies are found by aggregates over ids and digests alone. A record's header row
+and its chunk rows meet sorted in one task, which streams them: a SHA-256 state
+runs along, so the writer holds one chunk and the digest so far and nothing
+else. Every chunk is a WARC record of its own (a ``continuation`` record from the
+second on), the text writer puts the blank line between records, and
 ``maxRecordsPerFile`` bounds a file, so a huge payload runs over several files.
 
 Reading: files come in through Spark's ``binaryFile`` source from any store,
 are parsed record by record by Content-Length, and the segments of a record are
-sorted by number and folded one by one into length and digest. No step holds a
-whole multi-segment payload.
+sorted by number and folded one by one into length and digest. After the scan
+of ``pages`` no step holds a whole multi-chunk payload; the scan itself hands
+out whole values, which Spark cuts in the same task.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import gzip
 import hashlib
 import io
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -43,103 +47,135 @@ READ_SCHEMA = ("record string, segment int, kind string, page_id long, copies lo
                "stated_digest string, last boolean, data binary")
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}"
-
-
-def cut_points(data: bytes, most: int) -> Iterator[tuple[int, int]]:
-    """Chunk bounds of UTF-8 data, at character starts; one empty chunk for no data."""
-    start = 0
-    while True:
-        end = min(start + most, len(data))
-        while end < len(data) and data[end] & 0xC0 == 0x80:
-            end -= 1
-        yield start, end
-        start = end
-        if start >= len(data):
-            return
-
-
-def segments(page_id, url, digest, copies, refers, data: bytes, most: int) -> Iterator[str]:
-    """WARC records (headers, blank line, chunk) of one page."""
-    rid = record_id(page_id, digest)
-    head = ["WARC/1.1"]
-    common = [f"WARC-Date: {ARCHIVE_DATE}", f"X-Copies: {copies}"]
-    if page_id is not None:
-        common.append(f"X-Page-Id: {page_id}")
-    if url:
-        common.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
-    if refers is not None:
-        head += ["WARC-Type: revisit", f"WARC-Record-ID: <{rid}>", *common,
-                 "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                 f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Refers-To: <{record_id(refers, digest)}>",
-                 f"X-Refers-To-Page: {refers}", "Content-Length: 0"]
-        yield "\r\n".join(head) + BLANK
-        return
-    state = hashlib.sha256()
-    for n, (a, b) in enumerate(cut_points(data, most), 1):
-        chunk = data[a:b]
-        state.update(chunk)
-        last = b == len(data)
+def record_id(page_id: int | None, digest: str, url: str | None) -> str:
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{url}')}"
+
+
+@dataclass(frozen=True)
+class Header:
+    """What a record says besides its chunks; ``refers`` is null for a response."""
+    page_id: int | None
+    url: str | None
+    digest: str
+    copies: int
+    refers: int | None
+    refers_url: str | None
+    payload_bytes: int
+    chunks: int
+
+    def revisit(self) -> str:
+        """The whole WARC record of a revisit."""
+        return "\r\n".join([
+            "WARC/1.1", "WARC-Type: revisit", f"WARC-Record-ID: <{self.name()}>", *self.common(),
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Payload-Digest: sha256:{self.digest}", f"WARC-Refers-To: <{record_id(self.refers, self.digest, self.refers_url)}>",
+            f"X-Refers-To-Page: {self.refers}", "Content-Length: 0"]) + BLANK
+
+    def segment(self, n: int, chunk: bytes, so_far: str) -> str:
+        """The WARC record of chunk ``n`` (from 1); ``so_far`` is the digest up to its end."""
         if n == 1:
-            lines = ["WARC-Type: response", f"WARC-Record-ID: <{rid}>", *common, "Content-Type: text/html",
-                     f"WARC-Payload-Digest: sha256:{digest}"]
+            lines = ["WARC-Type: response", f"WARC-Record-ID: <{self.name()}>", *self.common(), "Content-Type: text/html",
+                     f"WARC-Payload-Digest: sha256:{self.digest}"]
         else:
-            lines = ["WARC-Type: continuation", f"WARC-Record-ID: <{rid}.{n}>", *common,
-                     f"WARC-Segment-Origin-ID: <{rid}>"]
-        lines += [f"WARC-Segment-Number: {n}", f"X-Digest-So-Far: sha256:{state.hexdigest()}"]
-        if last:
-            lines.append(f"WARC-Segment-Total-Length: {len(data)}")
+            lines = ["WARC-Type: continuation", f"WARC-Record-ID: <{self.name()}.{n}>", *self.common(),
+                     f"WARC-Segment-Origin-ID: <{self.name()}>"]
+        lines += [f"WARC-Segment-Number: {n}", f"X-Digest-So-Far: sha256:{so_far}"]
+        if n == self.chunks:
+            lines.append(f"WARC-Segment-Total-Length: {self.payload_bytes}")
         lines.append(f"Content-Length: {len(chunk)}")
-        yield "\r\n".join(head + lines) + BLANK + chunk.decode("utf-8")
+        return "\r\n".join(["WARC/1.1", *lines]) + BLANK + chunk.decode("utf-8")
 
+    def name(self) -> str:
+        return record_id(self.page_id, self.digest, self.url)
 
-def archive_plan(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, digest, url, payload, copies, refers_page): one row per page and payload.
+    def common(self) -> list[str]:
+        out = [f"WARC-Date: {ARCHIVE_DATE}", f"X-Copies: {self.copies}"]
+        if self.page_id is not None:
+            out.append(f"X-Page-Id: {self.page_id}")
+        if self.url:
+            out.append(f"WARC-Target-URI: {quote(self.url, safe=':/?#[]@!$&()*+,;=%~')}")
+        return out
 
-    Equal rows are collapsed with their count. ``refers_page`` is the smallest
+
+def archive_plan(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, least: int = LEAST_REVISIT) -> tuple[DataFrame, DataFrame]:
+    """(headers: a row per distinct page, url and payload; chunks: (record, n, chunk) of all rows).
+
+    Equal rows are one record with their count. ``refers`` is the smallest
     page_id that has the payload, where another page has it and it is long enough.
+    The headers are made from ids, digests and lengths; a chunk has at most
+    ``chunk_bytes`` / 4 characters, so its bytes fit whatever they are.
     """
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                        payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    firsts = checkpoint(rows.filter(F.octet_length("payload") >= least)
-                        .groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"),
-                                               F.count(F.lit(1)).alias("n"))
-                        .filter("n > 1").select("digest", "first"))
-    records = (rows.groupBy("page_id", "digest")
-               .agg(F.min("url").alias("url"), F.first("payload").alias("payload"), F.count(F.lit(1)).alias("copies")))
-    least_id = F.lit(-2 ** 63)                  # stands for a null page_id in the join key
-    again = (rows.select("page_id", "digest").join(firsts, "digest")
-             .filter(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
-             .groupBy(F.coalesce("page_id", least_id).alias("_page"), F.col("digest").alias("_digest"))
-             .agg(F.first("first").alias("refers_page")))
-    return (records.join(again, (F.coalesce("page_id", least_id) == F.col("_page")) & (F.col("digest") == F.col("_digest")),
-                         "left")
-            .select("page_id", "digest", "url", F.when(F.col("refers_page").isNull(), F.col("payload")).alias("payload"),
-                    "copies", "refers_page"))
+    most = max(1, chunk_bytes // 4)
+    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    page, url = F.col("page_id").cast("long"), F.col("url").cast("string")
+    rows = pages.select(page.alias("page_id"), url.alias("url"), payload.alias("payload"), F.sha2(payload.cast("binary"), 256).alias("digest"))
+    record = F.sha2(F.concat_ws("/", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest", F.coalesce(F.concat(F.lit("+"), "url"), F.lit("-")))
+                    .cast("binary"), 256).alias("record")
+    size = F.octet_length("payload").cast("long")
+    count = F.greatest(F.lit(1), F.ceil(F.length("payload") / most)).cast("int")
+    meta = checkpoint(rows.select(record, "page_id", "url", "digest", size.alias("payload_bytes"), count.alias("chunks"))
+                      .groupBy("record", "page_id", "url", "digest", "payload_bytes", "chunks").agg(F.count(F.lit(1)).alias("copies")))
+    firsts = (meta.filter(F.col("payload_bytes") >= least).groupBy("digest")
+              .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first"))
+    known = meta.join(firsts, "digest", "left")
+    at_first = known.filter(F.col("page_id") == F.col("first")).groupBy("digest").agg(F.min(F.coalesce("url", F.lit(""))).alias("refers_url"))
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    headers = (known.withColumn("refers", F.when(again, F.col("first"))).join(at_first, "digest", "left")
+               .select("record", "page_id", "url", "digest", "copies", "refers", F.when(again, F.nullif("refers_url", F.lit(""))).alias("refers_url"),
+                       "payload_bytes", "chunks"))
+    pieces = F.when(F.length("payload") <= most, F.array("payload")).otherwise(F.regexp_extract_all("payload", F.lit(f"(?s).{{1,{most}}}"), F.lit(0)))
+    chunks = rows.select(record, F.posexplode(pieces).alias("n", "chunk")).select("record", (F.col("n") + 1).alias("n"), F.col("chunk").cast("binary").alias("chunk"))
+    return headers, chunks
 
 
 def write_archives(pages: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES,
                    records_per_file: int = RECORDS_PER_FILE, least: int = LEAST_REVISIT) -> None:
     """Write ``pages`` (page_id, url, html) as gzip-compressed WARC files under ``path``."""
+    fields = [f.name for f in dataclasses.fields(Header)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        now, header, state, done = None, None, None, 0
+
+        def batch() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
+            held.clear()
+            return made
+
         for b in batches:
-            cols = [b.column(i) for i in range(b.num_columns)]
             for i in range(b.num_rows):
-                page, digest, url, payload, copies, refers = (c[i].as_py() for c in cols)
-                for text in segments(page, url, digest, copies, refers, payload or b"", chunk_bytes):
+                record, n = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                if n == 0:                                    # the header row comes before the chunks of its record
+                    header = Header(**{f: v.as_py() for f, v in b.column(2)[i].items()})
+                    now, state, done = record, hashlib.sha256(), 0
+                    text = header.revisit() if header.refers is not None else None
+                elif header.refers is not None or n <= done:
+                    continue                                  # kept elsewhere, or a chunk of an equal row
+                else:
+                    if record != now or n != done + 1:
+                        raise ValueError(f"chunk {n} of record {record} follows chunk {done} of {now}")
+                    chunk = b.column(3)[i].as_py()
+                    state.update(chunk)
+                    done = n
+                    if n == header.chunks and state.hexdigest() != header.digest:
+                        raise ValueError(f"the chunks of page {header.page_id} do not make up its payload")
+                    text = header.segment(n, chunk, state.hexdigest())
+                if text is not None:
                     held.append(text)
                     size += len(text)
                     if size >= BATCH_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
-                        held, size = [], 0
+                        yield batch()
+                        size = 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
-
-    plan = archive_plan(pages, least).withColumn("payload", F.col("payload").cast("binary"))
-    (map_arrow(plan, run, "value string").write.option("lineSep", BLANK).option("compression", "gzip")
+            yield batch()
+
+    headers, chunks = archive_plan(pages, chunk_bytes, least)
+    head = F.struct(*fields).alias("header")
+    none = F.lit(None).cast("binary").alias("chunk")
+    rows = headers.select("record", F.lit(0).alias("n"), head, none)
+    rows = rows.unionByName(chunks.select("record", "n", F.lit(None).cast(rows.schema["header"].dataType).alias("header"), "chunk"))
+    ordered = rows.repartition("record").sortWithinPartitions("record", "n")
+    (map_arrow(ordered, run, "value string").write.option("lineSep", BLANK).option("compression", "gzip")
      .option("maxRecordsPerFile", records_per_file).text(path))
 
 
@@ -232,8 +268,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = checkpoint(fold(read_segments(spark, path)))
     whole = (rows.filter("record_type = 'response'")
-             .select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"),
-                     F.col("payload_bytes").alias("_bytes")))
+             .groupBy(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"))      # a page may have several URLs
+             .agg(F.max("payload_bytes").alias("_bytes")))
     back = (rows.filter("record_type = 'revisit'")
             .join(whole, (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
             .withColumn("payload_bytes", F.col("_bytes")))
@@ -248,8 +284,8 @@ def round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFram
 
     A null html is an empty payload; a null page_id is archived without one and
     never stands as the response that others refer to unless no row has an id;
-    of rows with one page_id and different payloads each gets a record; equal
-    rows share one record that counts them and come back as often; other
+    of rows with one page_id and different payloads or URLs each gets a record;
+    equal rows share one record that counts them and come back as often; other
     columns are not archived; an empty table gives an empty result.
     """
     spark = pages.sparkSession
