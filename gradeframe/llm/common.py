@@ -39,6 +39,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote, in any file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def whole_text(col: Column) -> Column:
     """Null texts count as empty ones."""
     return F.coalesce(col, F.lit(""))
