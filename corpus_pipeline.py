@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeframe.llm import bpe_words, mixing, pii_boost, quality_fm, simhash_trie
-from gradeframe.llm.common import table
+from gradeframe.llm.common import remove, table
 from gradeframe.session import ensure_checkpoint_dir
 
 
@@ -53,12 +53,15 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each is written as Parquet and read again.
 
-    Null texts count as empty and every stage states its own cases; an empty
-    table gives an empty result.
+    A stage's input is removed once its output is written; the last output stays
+    for the result to read. Null texts count as empty and every stage states its
+    own cases; an empty table gives an empty result.
     """
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
