@@ -70,54 +70,46 @@ def class_rollup(counts: DataFrame, task: str = "task") -> DataFrame:
 
 
 def class_report(counts: DataFrame, pass_k: int | Sequence[int], by: Sequence[str] = (),
-                 task: str = "task", test_class: str = "test_class",
-                 sample: str = "sample", materialize: bool = True) -> DataFrame:
+                 task: str = "task", test_class: str = "test_class", sample: str = "sample") -> DataFrame:
     """A15 + A16: the four ClassEval rates at pass@k, one row per (by..., k).
 
     The sample count of each task comes from the data. Function-level rates
     average over (task, test class) pairs, class-level rates over tasks;
-    pairs/tasks with no success add 0. All k values come out of one plan:
-    the outcome table is aggregated at two grains - (task, sample) for the
-    class-level outcome and (task, class) for the function-level counts -
-    and every k is a column of the same final aggregates. The outcome table
-    (one row per task, sample and class - far smaller than the verdicts it
-    comes from) feeds both grains, so it is materialised once with a reliable
-    checkpoint instead of being recomputed per branch.
+    pairs/tasks with no success add 0. One lazy plan reads the counts once:
+    grouping sets aggregate them at both grains - (task, sample) for the
+    class-level outcome and (task, class) for the function-level counts - in
+    one shuffle, the next brings a task's few grain rows together (its pairs are
+    a list bounded by the task's test classes), and all k are columns of the
+    same final aggregate.
     """
     ks = [int(pass_k)] if isinstance(pass_k, int) else [int(k) for k in pass_k]
     by = list(by)
     o = with_outcome(counts)
-    if materialize:
-        from ..session import cut_lineage
-        o = cut_lineage(o)
     grouped = bool(by)
     if not grouped:  # one report row per k: group on a constant key rather than cross-joining
         o, by = o.withColumn("_all", F.lit(1)), ["_all"]
-    per_run = o.groupBy(*by, task, sample).agg(
-        F.count(F.lit(1)).alias("_nc"),
-        F.count_if(F.col("outcome") == "success").alias("_ns"),
-        F.count_if(F.col("outcome").isin("fail", "error")).alias("_nb"))
-    per_task = per_run.groupBy(*by, task).agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        F.count_if(F.col("_ns") == F.col("_nc")).alias("cs"),
-        F.count_if(F.col("_nb") == 0).alias("cps"))
-    per_pair = (o.groupBy(*by, task, test_class)
-                .agg(F.count_if(F.col("outcome") == "success").alias("s"),
-                     F.count_if(F.col("outcome").isin("success", "partial_success")).alias("sp"))
-                .join(per_task.select(*by, task, "n_samples"), [*by, task]))
-
-    def pk(s, k):
-        return F.when(F.col(s) > 0, pass_at_k_comb(F.lit(k), F.col("n_samples"), F.col(s))).otherwise(0.0)
-
-    fun = per_pair.groupBy(*by).agg(*[F.avg(pk(c, k)).alias(f"{name}_{k}") for k in ks
-                                      for c, name in (("s", "fun_success"), ("sp", "fun_partial_success"))])
-    cls = per_task.groupBy(*by).agg(*[F.avg(pk(c, k)).alias(f"{name}_{k}") for k in ks
-                                      for c, name in (("cs", "class_success"), ("cps", "class_partial_success"))])
-    wide = fun.join(cls, by)
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("pass_k"),
-                                        *[F.col(f"{r}_{k}").alias(r) for r in RATES]) for k in ks]))
+    good, fair = F.col("outcome") == "success", F.col("outcome").isin("success", "partial_success")
+    keys = [*by, task]
+    grains = o.groupingSets([[*keys, sample], [*keys, test_class]], *keys, sample, test_class).agg(
+        F.grouping(sample).alias("_pair"), F.count(F.lit(1)).alias("_n"), F.count_if(good).alias("_s"), F.count_if(fair).alias("_sp"))
+    run = F.col("_pair") == 0
+    per_task = grains.groupBy(*keys).agg(
+        F.count_if(run).alias("n"), F.count_if(run & (F.col("_s") == F.col("_n"))).alias("cs"),
+        F.count_if(run & (F.col("_sp") == F.col("_n"))).alias("cps"),
+        F.collect_list(F.when(~run, F.struct(F.col("_s").alias("s"), F.col("_sp").alias("sp")))).alias("pairs"))
+
+    def pk(s, k, n):
+        return F.when(s > 0, pass_at_k_comb(F.lit(k), n, s)).otherwise(0.0)
+
+    # the pairs of a task leave as rows, its own row as one without a pair
+    rows = per_task.select(*by, "n", "cs", "cps", F.explode(F.array_append("pairs", F.lit(None).cast("struct<s:bigint,sp:bigint>"))).alias("p"))
+    mine, n = F.col("p").isNull(), F.col("n")
+    rates = [F.avg(F.when(~mine, pk(F.col(f"p.{c}"), k, n))).alias(f"{name}_{k}") for k in ks for c, name in (("s", "fun_success"), ("sp", "fun_partial_success"))]
+    rates += [F.avg(F.when(mine, pk(F.col(c), k, n))).alias(f"{name}_{k}") for k in ks for c, name in (("cs", "class_success"), ("cps", "class_partial_success"))]
+    wide = rows.groupBy(*by).agg(*rates)
+    out = F.explode(F.array(*[F.struct(F.lit(k).alias("pass_k"), *[F.col(f"{r}_{k}").alias(r) for r in RATES]) for k in ks]))
     keep = by if grouped else []
-    return wide.select(*keep, rows.alias("_r")).select(*keep, "_r.*")
+    return wide.select(*keep, out.alias("_r")).select(*keep, "_r.*")
 
 
 def report_projection(report: DataFrame, pass_k: int, setting: str = "setting") -> DataFrame:
