@@ -4,11 +4,12 @@
    A-Z, words, ``shingle``-word windows, XXH64 with seed 42, bit majority).
 2. Equal fingerprints collapse to one row (map-side aggregate), so thousands
    of exact copies cost one trie leaf.
-3. Two fingerprints that differ in at most ``max_bits`` bits agree in one of
-   ``max_bits + 1`` bit blocks. For each block the fingerprint is rotated so
-   that the block comes first: the top levels of the trie are then an equality
-   key, by which Spark deals out the subtries. Only subtries meet here, never
-   whole tables.
+3. Of ``max_bits + k`` bit blocks, two fingerprints that differ in at most
+   ``max_bits`` bits agree in at least ``k``. For each choice of k blocks these
+   come first: the top levels of the trie are then an equality key, by which
+   Spark deals out the subtries. Only subtries meet here, never whole tables. k
+   (1 to 3: keys of 12, 20 or 27 bits, 5, 15 or 35 tries) follows from the number
+   of fingerprints so that subtries stay small; the links are the same.
 4. Inside a subtrie, pairs of trie nodes are walked together from the root: a
    pair splits into its children's pairs, differing bits add up and a pair over
    the budget is dropped. Small pairs are compared leaf by leaf. All subtries
@@ -17,8 +18,8 @@
    group, so its output grows with its leaves and not with their pairs.
    ``graph.components`` joins the groups of all blocks.
 
-A subtrie with more than ``subtrie_rows`` leaves (many different texts sharing
-one block) is divided by its next bits; pairs of parts whose bits differ within
+A subtrie with more than ``subtrie_rows`` leaves all the same (many different texts
+sharing the blocks) is divided by its next bits; pairs of parts whose bits differ within
 the budget meet in one task each, so no link is lost and no task grows.
 """
 
@@ -29,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_arrow, table
@@ -71,17 +72,41 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     return map_arrow(src, run, "doc_id long, fp long")
 
 
-def blocks(max_bits: int) -> list[tuple[int, int]]:
-    """(first bit from the top, width) of each of the ``max_bits + 1`` blocks."""
-    n = max_bits + 1
+Block = tuple[int, int]
+
+
+def blocks(max_bits: int, agree: int = 1) -> list[Block]:
+    """(first bit from the top, width) of each of the ``max_bits + agree`` blocks."""
+    n = max_bits + agree
     edges = [BITS * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def rotated(fp: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Bits rotated left so that bit ``first`` (from the top) leads."""
-    first = first.astype(np.uint64)
-    return (fp << first) | np.where(first > 0, fp >> ((np.uint64(BITS) - first) % np.uint64(BITS)), np.uint64(0))
+def keys(max_bits: int, agree: int = 1) -> list[tuple[list[Block], list[Block]]]:
+    """(blocks that make the key, the other blocks) of each trie."""
+    every = blocks(max_bits, agree)
+    return [(list(c), [b for b in every if b not in c]) for c in combinations(every, agree)]
+
+
+def key_bits(max_bits: int, agree: int) -> int:
+    return min(sum(w for _, w in c) for c, _ in keys(max_bits, agree))
+
+
+def agreeing(fingerprints_: int, max_bits: int, subtrie_rows: int) -> int:
+    """Blocks of a key: the fewest for which an even subtrie has at most a quarter of ``subtrie_rows``."""
+    return next((k for k in (1, 2) if fingerprints_ <= (subtrie_rows << key_bits(max_bits, k)) // 4), 3)
+
+
+def key_first(fp: np.ndarray, trie: np.ndarray, tries: list[tuple[list[Block], list[Block]]]) -> np.ndarray:
+    """The bits of each fingerprint with the key of its trie before the others."""
+    out = np.zeros_like(fp)
+    for k, (chosen, rest) in enumerate(tries):
+        mine = trie == k
+        x, y = fp[mine], np.zeros(int(mine.sum()), np.uint64)
+        for first, width in (*chosen, *rest):
+            y = (y << np.uint64(width)) | ((x >> np.uint64(BITS - first - width)) & np.uint64((1 << width) - 1))
+        out[mine] = y
+    return out
 
 
 def merge_groups(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -148,13 +173,13 @@ def walk(rot: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np
     return label
 
 
-def _subtries(max_bits: int, buffer_rows: int):
-    """Arrow function: rows (blk, val, p, q, side, fp) sorted by all of them -> (u, v)."""
-    firsts = np.array([a for a, _ in blocks(max_bits)])
+def _subtries(max_bits: int, agree: int, buffer_rows: int):
+    """Arrow function: rows (blk, val, p, q, side, fp) sorted by all of them -> (u, v); blk is the number of the trie."""
+    tries, top = keys(max_bits, agree), key_bits(max_bits, agree)
 
     def solve(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         blk, val, p, q, side, fp = cols
-        rot = rotated(fp.view(np.uint64), firsts[blk])
+        rot = key_first(fp.view(np.uint64), blk, tries)
         order = np.lexsort((rot, side, q, p, val, blk))
         blk, val, p, q, side, fp, rot = (x[order] for x in (blk, val, p, q, side, fp, rot))
         n = len(rot)
@@ -171,7 +196,7 @@ def _subtries(max_bits: int, buffer_rows: int):
         a1 = np.concatenate((end[own], end[two]))
         b0 = np.concatenate((at[own], at[two + 1]))
         b1 = np.concatenate((end[own], end[two + 1]))
-        label = walk(rot, a0, a1, b0, b1, min(w for _, w in blocks(max_bits)), max_bits)
+        label = walk(rot, a0, a1, b0, b1, top, max_bits)
         led = np.flatnonzero(label != np.arange(n))
         return fp[led], fp[label[led]]
 
@@ -209,22 +234,24 @@ def _near_prefixes(bits: int, max_bits: int) -> list[int]:
     return [sum(1 << i for i in c) for k in range(min(bits, max_bits) + 1) for c in combinations(range(bits), k)]
 
 
-def _divided(rows: DataFrame, max_bits: int, subtrie_rows: int) -> DataFrame:
+def _bits(block: Block, width: int | None = None) -> Column:
+    """The first ``width`` bits of a block (all of them if None)."""
+    first, own = block
+    width = own if width is None else width
+    return F.shiftrightunsigned("fp", BITS - first - width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _divided(rows: DataFrame, max_bits: int, agree: int, subtrie_rows: int) -> DataFrame:
     """Add (p, q, side): 0 for small subtries, pairs of parts for large ones."""
     large = checkpoint(rows.groupBy("blk", "val").count().filter(F.col("count") > subtrie_rows))
     plain = [F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side")]
     if large.isEmpty():
         return rows.select("blk", "val", *plain, "fp")
     small = rows.join(large, ["blk", "val"], "left_anti").select("blk", "val", *plain, "fp")
-    depth = 6
-    width = max(w for _, w in blocks(max_bits))
-    first = F.element_at(F.array(*[F.lit(a) for a, _ in blocks(max_bits)]), F.col("blk") + 1)
-    shift = (first + width) % BITS               # the bits after the block, rotated
-    rot = F.when(shift == 0, F.col("fp")).otherwise(
-        F.expr("shiftleft(fp, shift)").bitwiseOR(F.expr("shiftrightunsigned(fp, 64 - shift)")))
+    depth = 6                                    # the bits after the key, at the head of the first other block
+    own = F.element_at(F.array(*[_bits(rest[0], depth) for _, rest in keys(max_bits, agree)]), F.col("blk") + 1)
     near = F.array(*[F.lit(x) for x in _near_prefixes(depth, max_bits)])
-    big = (rows.join(large.drop("count"), ["blk", "val"]).withColumn("shift", shift.cast("int"))
-           .withColumn("own", F.shiftrightunsigned(rot, BITS - depth).cast("int"))
+    big = (rows.join(large.drop("count"), ["blk", "val"]).withColumn("own", own.cast("int"))
            .select("blk", "val", "own", "fp", F.explode(near).alias("flip"))
            .withColumn("other", F.col("own").bitwiseXOR(F.col("flip")))
            .select("blk", "val", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
@@ -232,19 +259,24 @@ def _divided(rows: DataFrame, max_bits: int, subtrie_rows: int) -> DataFrame:
     return small.union(big)
 
 
-def trie_links(fps: DataFrame, max_bits: int, subtrie_rows: int = 50_000, buffer_rows: int = 200_000) -> DataFrame:
+def trie_links(fps: DataFrame, max_bits: int, subtrie_rows: int = 50_000, buffer_rows: int = 200_000,
+               agree: int | None = None) -> DataFrame:
     """(u, v) links that join exactly the fingerprints reachable at ``max_bits`` or fewer bits.
 
-    ``fps`` holds one row per fingerprint (column ``fp``, long).
+    ``fps`` holds one row per fingerprint (column ``fp``, long); without
+    ``agree`` the number of blocks in a key follows from their number.
     """
+    agree = agree or agreeing(fps.count(), max_bits, subtrie_rows)
     parts = []
-    for k, (first, width) in enumerate(blocks(max_bits)):
-        value = F.shiftrightunsigned("fp", BITS - first - width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    for k, (chosen, _) in enumerate(keys(max_bits, agree)):
+        value = F.lit(0).cast("long")
+        for block in chosen:
+            value = F.shiftleft(value, block[1]).bitwiseOR(_bits(block))
         parts.append(F.struct(F.lit(k).alias("blk"), value.cast("int").alias("val")))
     rows = fps.select("fp", F.inline(F.array(*parts)))
-    keys = ["blk", "val", "p", "q"]
-    dealt = _divided(rows, max_bits, subtrie_rows).repartition(*keys).sortWithinPartitions(*keys)
-    return map_arrow(dealt, _subtries(max_bits, buffer_rows), "u long, v long")
+    by = ["blk", "val", "p", "q"]
+    dealt = _divided(rows, max_bits, agree, subtrie_rows).repartition(*by).sortWithinPartitions(*by)
+    return map_arrow(dealt, _subtries(max_bits, agree, buffer_rows), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4,

@@ -44,8 +44,8 @@ def test_fingerprint_matches_definition():
         assert S.fingerprint(t, 4) == brute_fp(t)
 
 
-@pytest.mark.parametrize("limit", [50_000, 20])
-def test_trie_links_against_brute_force(spark, limit):
+@pytest.mark.parametrize("limit,agree", [(50_000, None), (20, 1), (50_000, 2), (20, 3)])
+def test_trie_links_against_brute_force(spark, limit, agree):
     rnd = random.Random(5)
     base = [rnd.getrandbits(64) for _ in range(60)]
     fps = {0}
@@ -60,11 +60,28 @@ def test_trie_links_against_brute_force(spark, limit):
     fps = sorted(fps)
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
-    got = {r.node: r.root for r in S.components(S.trie_links(df, 4, subtrie_rows=limit, buffer_rows=100)).collect()}
+    got = {r.node: r.root for r in S.components(S.trie_links(df, 4, subtrie_rows=limit, buffer_rows=100, agree=agree)).collect()}
     want = brute_groups(signed, fps)
     assert [got.get(f, f) for f in signed] == want
 
 
+def test_keys_hold_all_pairs_within_the_distance():
+    """Of max_bits + k blocks k are untouched by max_bits changed bits; more fingerprints get longer keys."""
+    rnd = random.Random(3)
+    for agree in (1, 2, 3):
+        tries = S.keys(4, agree)
+        assert len(tries) == (5, 15, 35)[agree - 1] and all(sum(w for _, w in (*c, *r)) == 64 for c, r in tries)
+        for _ in range(50):
+            a = rnd.getrandbits(64)
+            b = a
+            for _ in range(4):
+                b ^= 1 << rnd.randrange(64)
+            both = np.array([a, b], np.uint64)
+            firsts = [S.key_first(both, np.full(2, k), tries) >> np.uint64(64 - sum(w for _, w in c)) for k, (c, _) in enumerate(tries)]
+            assert any(x == y for x, y in firsts)
+    assert [S.agreeing(n, 4, 50_000) for n in (0, 250_000, 10 ** 8, 10 ** 10, 10 ** 11)] == [1, 1, 2, 2, 3]
+
+
 def test_groups_cases(spark):
     long = " ".join(f"w{i}" for i in range(3000))
     rows = [(5, "a b c d e"), (3, "A b C d e"), (3, "A b C d e"), (9, None), (8, ""), (None, "x y z"), (7, long),
