@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,6 +44,21 @@ def file_system(root: str):
     return fs.FileSystem.from_uri(root)
 
 
+def remove_job(job: str, tries: int = 20) -> None:
+    """Remove a job folder; tasks that are still being stopped may come in between, so more than once."""
+    from pyarrow.fs import FileType
+    fs, at = file_system(job)
+    for k in range(tries):
+        if fs.get_file_info(at).type == FileType.NotFound:
+            return
+        try:
+            fs.delete_dir(at)
+        except OSError:
+            if k == tries - 1:
+                raise
+            time.sleep(0.1)
+
+
 def checked(path: str | None) -> str:
     """A path below the root whose every part can be a file name that scans see."""
     parts = (path or "").split("/")
@@ -99,10 +115,7 @@ class DocumentWriter(DataSourceArrowWriter):
             f.write("".join(f"{m.name}\n" for m in messages if m is not None).encode())
 
     def abort(self, messages: list[Attempt | None]) -> None:
-        fs, job = file_system(self.job)
-        from pyarrow.fs import FileType
-        if fs.get_file_info(job).type == FileType.Directory:
-            fs.delete_dir(job)
+        remove_job(self.job)
 
 
 class DocumentSource(DataSource):
@@ -164,8 +177,12 @@ def write_documents(pieces: DataFrame, root: str) -> None:
     fs.create_dir(at, recursive=True)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pieces.select(F.col("path").cast("string"), F.col("part").cast("long"), F.col("piece").cast("string"))
-    (rows.repartition(tasks, "path").sortWithinPartitions("path", "part", "piece")
-     .write.format(DocumentSource.name()).option("job", job).mode("append").save())
+    ordered = rows.repartition(tasks, "path").sortWithinPartitions("path", "part", "piece")
+    try:
+        ordered.write.format(DocumentSource.name()).option("job", job).mode("append").save()
+    except Exception:
+        remove_job(job)              # what a task still wrote while the job was given up
+        raise
     publish(spark, root, job)
 
 
