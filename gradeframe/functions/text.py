@@ -227,13 +227,14 @@ def extract_code(df, text: str, out: str = "code", model_name: str | None = None
     st = df.withColumn("_t", _markers(F.col(text)))
     st = st.withColumn("_lines", F.split(F.col("_t"), "\n", -1))
     fc = F.array_position(F.transform("_lines", lambda l: _strip_startswith(l, "class")), F.lit(True))
-    head = (F.when(fc == 1, F.array().cast("array<string>"))
-            .when(fc > 1, F.slice("_lines", 1, (fc - 1).cast("int")))
-            .otherwise(F.col("_lines")))
-    removed = F.filter(head, lambda l: ~(_strip_startswith(l, "import") | _strip_startswith(l, "from")))
+    is_import = lambda l: _strip_startswith(l, "import") | _strip_startswith(l, "from")
+    # lines above the class that import nothing go, and with them every equal line below; without a class line
+    # all lines are above it, so a line stays exactly if it imports
+    head = F.when(fc > 1, F.slice("_lines", 1, (fc - 1).cast("int"))).otherwise(F.array().cast("array<string>"))
+    removed = F.array_distinct(F.filter(head, lambda l: ~is_import(l)))
     z = F.arrays_zip(F.col("_lines").alias("l"), F.array_repeat(removed, F.size("_lines")).alias("r"))
-    st = st.withColumn("_kept", F.transform(F.filter(z, lambda x: ~F.array_contains(x["r"], x["l"])),
-                                            lambda x: x["l"]))
+    by_class = F.transform(F.filter(z, lambda x: ~F.array_contains(x["r"], x["l"])), lambda x: x["l"])
+    st = st.withColumn("_kept", F.when(F.coalesce(fc, F.lit(0)) == 0, F.filter("_lines", is_import)).otherwise(by_class))
     k_class = F.filter("_kept", lambda l: _strip_startswith(l, "class"))
     st = st.withColumn("_ind", F.coalesce(leading_spaces(F.try_element_at(k_class, F.lit(1))), F.lit(0)))
     zd = F.arrays_zip(F.col("_kept").alias("l"), F.array_repeat(F.col("_ind"), F.size("_kept")).alias("d"))
