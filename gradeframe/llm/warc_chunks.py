@@ -10,8 +10,9 @@ second on), the text writer puts the blank line between records, and
 ``maxRecordsPerFile`` bounds a file, so a huge payload runs over several files.
 
 Reading: files come in through Spark's ``binaryFile`` source from any store,
-are parsed record by record by Content-Length, and the segments of a record are
-sorted by number and folded one by one into length and digest. After the scan
+are parsed record by record by Content-Length. A record of one segment gets its
+length and digest there; the segments of others are sorted by number and folded
+one by one. After the scan
 of ``pages`` no step holds a whole multi-chunk payload; the scan itself hands
 out whole values, which Spark cuts in the same task.
 """
@@ -227,6 +228,22 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return map_arrow(files.select("content"), run, READ_SCHEMA)
 
 
+def shortened(segs: DataFrame) -> DataFrame:
+    """The segments with (size, sum) in place of the data of records that have one segment: their
+    digest needs no other row, so their payload need not move."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            alone = [n.as_py() == 1 and last.as_py() for n, last in zip(b.column(1), b.column(7), strict=True)]
+            data = b.column(8)
+            buffers = [d.as_buffer() if a else None for d, a in zip(data, alone, strict=True)]
+            kept = pa.array([None if a else d.as_py() for d, a in zip(data, alone, strict=True)], pa.binary())
+            sizes = pa.array([None if x is None else len(x) for x in buffers], pa.int64())
+            sums = pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in buffers], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:8], kept, sizes, sums], [*b.schema.names, "size", "sum"])
+
+    return map_arrow(segs, run, READ_SCHEMA + ", size long, sum string")
+
+
 def fold(segs: DataFrame) -> DataFrame:
     """One row per record: segments in order through one running digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,13 +257,18 @@ def fold(segs: DataFrame) -> DataFrame:
                     now, state, size, head = rid, hashlib.sha256(), 0, (kind, page, copies, refers, digest)
                 elif rid != now:
                     raise ValueError(f"segment {n} of {rid} has no first segment")
-                chunk = cols[8][i].as_buffer()
-                state.update(chunk)
-                size += len(chunk)
+                found = cols[10][i].as_py()
+                if found is None:
+                    chunk = cols[8][i].as_buffer()
+                    state.update(chunk)
+                    size += len(chunk)
+                else:
+                    size = cols[9][i].as_py()
                 if last:
                     kind, page, copies, refers, stated = head
-                    if kind != "revisit" and state.hexdigest() != stated:
-                        raise ValueError(f"{rid}: payload digest {state.hexdigest()}, stated {stated}")
+                    found = found or state.hexdigest()
+                    if kind != "revisit" and found != stated:
+                        raise ValueError(f"{rid}: payload digest {found}, stated {stated}")
                     out.append((page, None if kind == "revisit" else size, stated, kind, refers, copies))
             if out:
                 page, size_, digest, kind, refers, copies = zip(*out, strict=True)
@@ -255,7 +277,7 @@ def fold(segs: DataFrame) -> DataFrame:
                      pa.array(kind, pa.string()), pa.array(refers, pa.int64()), pa.array(copies, pa.int64())],
                     ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "copies"])
 
-    ordered = segs.repartition("record").sortWithinPartitions("record", "segment")
+    ordered = shortened(segs).repartition("record").sortWithinPartitions("record", "segment")
     return map_arrow(ordered, run, "page_id long, payload_bytes long, payload_digest string, record_type string, "
                                    "refers_to long, copies long")
 
