@@ -313,10 +313,27 @@ def final_code_chunks(turns: DataFrame, keys: Sequence[str] = STEP, limit: int =
     return chunks.join(stuck_counts(turns, keys, limit, role).filter("given_up = 1").select(*keys), list(keys), "left_anti")
 
 
+#: Turns whose pieces are joined first where a step's code becomes one row.
+STRETCH = 1000
+
+
 def stuck_runs(turns: DataFrame, keys: Sequence[str] = STEP, limit: int = 10, role: str = "assistant") -> DataFrame:
-    """``stuck_counts`` with the code itself (empty where the sample was given up), for steps whose
-    code fits in a row: their chunks are joined once the pieces have become chunks."""
-    per = (final_code_chunks(turns, keys, limit, role).groupBy(*keys)
-           .agg(F.array_sort(F.collect_list(F.struct("chunk", "chars"))).alias("_c"))
-           .select(*keys, F.array_join(F.transform("_c", lambda x: x["chars"]), "").alias("final_code")))
-    return stuck_counts(turns, keys, limit, role).join(per, list(keys), "left").withColumn("final_code", F.coalesce("final_code", F.lit("")))
+    """``stuck_counts`` with the accumulated code (empty where the sample was given up).
+
+    The result's row holds a step's whole code. Its pieces are joined by stretches
+    of turns first, so no row lists all of them. Turns that come twice are pieces
+    twice, ordered by their text; null texts add nothing.
+    """
+    t = turns.filter(F.col("role") == role)
+    blank = X.py_strip(F.col("text")) == ""
+    in_order = lambda by, text: F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(by, text))), lambda x: x[text]), "")
+    parts = t.groupBy(*keys, F.floor(F.col("turn") / STRETCH).alias("_stretch")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(blank).alias("_blank"), F.min("turn").alias("_turn"),
+        F.min_by(blank.cast("int"), F.col("turn")).alias("_first"), in_order("turn", "text").alias("_code"))
+    agg = parts.groupBy(*keys).agg(
+        F.sum("_n").alias("n_turns"), (F.sum("_blank") - F.min_by("_first", "_turn")).alias("n_stuck"),
+        in_order("_stretch", "_code").alias("_all"))
+    given_up = F.col("n_stuck") >= limit
+    return agg.select(*keys, "n_turns", "n_stuck", given_up.cast("int").alias("given_up"),
+                      F.when(given_up, F.lit("")).otherwise(F.col("_all")).alias("final_code"))

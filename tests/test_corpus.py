@@ -115,3 +115,21 @@ def test_step_tables_scan_the_verdicts_once(spark, tmpdir_path):
     assert seen.value == 4
     tables = {n: spark.read.parquet(f"{tmpdir_path}/t/{n}") for n in SK.STEP_TABLES}
     assert [tables[n].count() for n in SK.STEP_TABLES] == [3, 4, 2, 2]
+
+
+def test_stuck_runs_query_gives_the_code(spark, tmpdir_path):
+    """The registered query returns the accumulated code, also of long steps."""
+    from gradeframe.plans.catalogue import oracle_sql, queries
+    texts = {14: "a = 1\n\nb = 2", 12: "x", 15: "y\n\n\n\n\nz" * 700}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    got = {r.qid: (r.n_turns, r.given_up, r.final_code) for r in queries()["stuck_runs"](spark, tmpdir_path).collect()}
+    assert got == {"14": (4, 0, "a = 1\n\nb = 2\n \n"), "12": (14, 1, ""), "15": (3504, 1, "")}
+    assert "final_code" in oracle_sql()["stuck_runs"]
+
+
+def test_stuck_runs_over_many_turns(spark):
+    """Stretches of turns are joined in order; null keys and turns that come twice count as they are."""
+    rows = [(None, 0, 0, i, "assistant", f"{i};") for i in range(3500)] + [("q", 0, 0, 7, "assistant", t) for t in ("b", "a", None)]
+    r = {x.qid: x for x in H.stuck_runs(spark.createDataFrame(rows, "qid string, sample int, step long, turn long, role string, text string")).collect()}
+    assert r[None].final_code == "".join(f"{i};" for i in range(3500)) and (r[None].n_turns, r[None].n_stuck) == (3500, 0)
+    assert (r["q"].n_turns, r["q"].final_code) == (3, "ab")
