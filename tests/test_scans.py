@@ -180,3 +180,35 @@ def test_a_replayed_batch_replaces_itself(spark, tmpdir_path):
     assert spark.read.parquet(f"{tmpdir_path}/t").count() == 1
     append_batch(f"{tmpdir_path}/t", "other")(batch, 0)        # a run that lost its checkpoint
     assert [tuple(r) for r in current_verdicts(spark, f"{tmpdir_path}/t").collect()] == [("1", 0, 0, 0, 1)]
+
+
+def test_a_large_delivery_is_taken_in_bounded_steps(spark, tmpdir_path, monkeypatch):
+    """Batches, and tasks behind the table, are bounded by their bytes and rows; the verdicts are the same."""
+    from gradeframe.streaming import incremental as I
+    rec = lambda q, v, res: {"qid": str(q), "step": q % 2, "sample": 0, "first_test": 0, "results": res, "version": v}
+    for k in range(6):
+        _lines(f"{tmpdir_path}/in/{k}.json", [rec(q, 1, "[true, false]") for q in range(k * 50, k * 50 + 60)])
+    _lines(f"{tmpdir_path}/in/9.json", [rec(q, 2, "[-1]") for q in range(0, 300, 3)])
+    got = {}
+    for name, size, rows in (("whole", I.BATCH_BYTES, I.TASK_ROWS), ("steps", 1, 20)):
+        monkeypatch.setattr(I, "BATCH_BYTES", size)
+        monkeypatch.setattr(I, "TASK_ROWS", rows)
+        I.ingest_verdicts(spark, f"{tmpdir_path}/in", f"{tmpdir_path}/{name}", f"{tmpdir_path}/ck-{name}", name="*.json", layout="lines")
+        now = I.current_verdicts(spark, f"{tmpdir_path}/{name}")
+        got[name] = sorted(tuple(r) for r in now.collect())
+        batches = {d for _, ds, _ in os.walk(f"{tmpdir_path}/{name}") for d in ds if d.startswith("batch=")}
+        assert len(batches) == (1 if name == "whole" else 7)
+    assert "RepartitionByExpression [qid" in now._jdf.queryExecution().optimizedPlan().toString()
+    assert got["whole"] == got["steps"] and len(got["whole"]) == 310 * 2 - 100
+
+
+def test_range_partitions_follow_the_input(spark, tmpdir_path):
+    """A task sorts rows of at most 32 MB of files."""
+    from gradeframe.operators import positions as P
+    spark.range(3_000_000).selectExpr("id", "uuid() AS u").coalesce(1).write.option("compression", "none").parquet(f"{tmpdir_path}/t")
+    size = sum(os.path.getsize(f"{tmpdir_path}/t/{f}") for f in os.listdir(f"{tmpdir_path}/t"))
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        assert P.range_partitions(spark.read.parquet(f"{tmpdir_path}/t")) >= size // (32 << 20) > 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
